@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,7 @@ class WordCache:
 
     _kept: dict[str, WordCache] = {}
 
-    def __init__(self, path: str, most: int = 250_000, longest: int = 40):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -172,6 +172,20 @@ def lower_bound(lengths: np.ndarray, capacity: int, most_k: int = 20) -> int:
     return best
 
 
+def _packer(r: int, capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Packs the items of one part in round r; _done where the part is certified or the bin is full."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lengths = pdf["length"].to_numpy(np.int64)
+        where, offset, n_bins = best_fit(lengths, capacity)
+        sure = n_bins == lower_bound(lengths, capacity)
+        filled = np.bincount(where, weights=lengths, minlength=n_bins)
+        first = np.int64((r << 26) + int(pdf["_part"].iloc[0])) << np.int64(32)
+        return pd.DataFrame({"_row": pdf["_row"], "length": lengths, "sequence_id": first + where, "offset": offset, "_done": sure | (filled[where] == capacity)})
+
+    return run
+
+
 def pack(items: DataFrame, capacity: int = 2048, per_part: int = 30_000, rounds: int = 3) -> DataFrame:
     """Add sequence_id and offset to items (doc_id, piece, length, ...); lengths from 1 to capacity.
 
@@ -186,16 +200,8 @@ def pack(items: DataFrame, capacity: int = 2048, per_part: int = 30_000, rounds:
     for r in range(rounds):
         parts = blocks(n, per_part)
 
-        def run(pdf: pd.DataFrame, r: int = r) -> pd.DataFrame:
-            lengths = pdf["length"].to_numpy(np.int64)
-            where, offset, n_bins = best_fit(lengths, capacity)
-            sure = n_bins == lower_bound(lengths, capacity)
-            filled = np.bincount(where, weights=lengths, minlength=n_bins)
-            part = int(pdf["_part"].iloc[0])
-            return pd.DataFrame({"_row": pdf["_row"], "length": lengths, "sequence_id": (np.int64((r << 26) + part) << 32) + where, "offset": offset, "_done": sure | (filled[where] == capacity)})
-
         dealt = open_.withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(r)), F.lit(parts)).cast("int"))
-        made = cut(dealt.groupBy("_part").applyInPandas(run, "_row long, length long, sequence_id long, offset long, _done boolean"))
+        made = cut(dealt.groupBy("_part").applyInPandas(_packer(r, capacity), "_row long, length long, sequence_id long, offset long, _done boolean"))
         kept, left = made.filter("_done"), made.filter("NOT _done")
         if before is not None and made.select("sequence_id").distinct().count() >= before.select("sequence_id").distinct().count():
             placed.append(before)  # dealing anew saved nothing

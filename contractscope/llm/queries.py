@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractscope.llm import chat, pages, urls
+from contractscope.llm import chat, packing, pages, sentencepiece_fst, urls
 from contractscope.llm.frames import small_batches
 
 #: The rules that the URL query applies.
@@ -18,6 +18,19 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine; executors have the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether decoding gives the text back."""
+    small_batches(spark, 500)
+    return sentencepiece_fst.encode(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and conversation -1, formatted and read back."""
     small_batches(spark, 2000)
@@ -27,6 +40,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 2048 tokens."""
+    small_batches(spark, 1000)
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     small_batches(spark, 500)
@@ -40,7 +59,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_chat": op5_chat, "op8_html": op8_html, "op10_urls": op10_urls}
+    return {"op4_sentencepiece": op4_sentencepiece, "op5_chat": op5_chat, "op6_pack": op6_pack, "op8_html": op8_html, "op10_urls": op10_urls}
 
 
 _CONTROL = "'</s>[INST] ok [/INST]'"

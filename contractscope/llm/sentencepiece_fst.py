@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,26 @@ class Transducer:
     bpe: bool = True
     rules: dict[str, str] = field(default_factory=dict)
     dummy_prefix: bool = True
-    most: int = 300_000
+    most: int = 400_000
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.ids), default=1)
         self.paths: dict[str, bytes] = {}
         self.passes: dict[tuple[str, str], bool] = {}
+        # where no piece has a letter beside another character (but for the mark before it), no path leaves a run of letters
+        apart = not any(a.isalpha() != b.isalpha() and a != MARK for piece in self.ids for a, b in zip(piece, piece[1:], strict=False))
+        self.words = re.compile(rf"{MARK}*[^\W\d_]+|{MARK}*(?:(?![^\W\d_])[^{MARK}])+|{MARK}+" if apart else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.rule = re.compile("|".join(map(re.escape, sorted(self.rules, key=len, reverse=True)))) if self.rules else None
 
+    _kept: ClassVar[dict[str, Transducer]] = {}
+
+    @classmethod
+    def of(cls, path: str, bpe: bool = True) -> Transducer:
+        """This worker's transducer, whose paths its later tasks find again."""
+        if path not in cls._kept:
+            cls._kept[path] = cls.load(path, bpe)
+        return cls._kept[path]
+
     @classmethod
     def load(cls, path: str, bpe: bool = True, rules: dict[str, str] | None = None) -> Transducer:
         """Compile from a model file; only its vocabulary and scores are read."""
@@ -86,7 +99,7 @@ class Transducer:
         if known is None:
             if len(self.passes) > self.most:
                 self.passes.clear()
-            known = self.passes[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            known = self.passes[a, b] = self.merged(b) == [b] and (not a or self.merged(a + b) == [a, b])
         return known
 
     def _single(self, c: str) -> list[int]:
@@ -97,18 +110,16 @@ class Transducer:
         n = len(word)
         come: list[str | None] = [None] * (n + 1)
         if self.bpe:
+            ids, passes, longest = self.ids, self.passes, self.longest
             for e in range(1, n + 1):
-                for s in range(max(0, e - self.longest), e):
+                for s in range(e - longest if e > longest else 0, e):
                     piece = word[s:e]
-                    if e - s > 1 and piece not in self.ids:
-                        continue
-                    if s == 0:
-                        if e - s == 1 or self._whole(piece):
+                    if piece in ids or e - s == 1:
+                        before = come[s] if s else ""
+                        fits = passes.get((before, piece))
+                        if self.follows(before, piece) if fits is None else fits:
                             come[e] = piece
                             break
-                    elif self.follows(come[s], piece) and (e - s == 1 or self._whole(piece)):
-                        come[e] = piece
-                        break
         else:
             cost = [0.0] + [math.inf] * n
             for e in range(1, n + 1):
@@ -124,9 +135,6 @@ class Transducer:
             n -= len(piece)
         return [i for part in reversed(out) for i in part]
 
-    def _whole(self, piece: str) -> bool:
-        return self.follows("", piece)
-
     def normalise(self, text: str) -> str:
         if self.rule:
             text = self.rule.sub(lambda m: self.rules[m[0]], text)
@@ -136,7 +144,7 @@ class Transducer:
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian bytes; none for a null or empty text."""
         out = []
-        for word in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", self.normalise(text or "")):
+        for word in self.words.findall(self.normalise(text or "")):
             ids = self.paths.get(word)
             if ids is None:
                 ids = np.array(self.shortest(word), "<i4").tobytes()
@@ -163,7 +171,7 @@ def encode(docs: DataFrame, model: str, bpe: bool = True, key: str = "doc_id", t
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = Transducer.load(model, bpe)
+        fst = Transducer.of(model, bpe)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
@@ -184,7 +192,7 @@ def decode(encoded: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = Transducer.load(model)
+        fst = Transducer.of(model)
         for batch in batches:
             texts = [None if x is None else fst.decode(np.array(x, "<i4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
