@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractscope.llm import chat, packing, pages, sentencepiece_fst, urls
+from contractscope.llm import chat, languages, packing, pages, sentencepiece_fst, urls, vectors
 from contractscope.llm.frames import small_batches
 
 #: The rules that the URL query applies.
@@ -25,6 +25,19 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose vec_id is divisible by 20."""
+    return vectors.nearest(vectors.usable(_read(spark, sf_dir, "embeddings"), zero_too=False))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from documents that are not held out."""
+    small_batches(spark, 512)
+    docs = _read(spark, sf_dir, "documents")
+    model = languages.train(docs, languages.learnable())
+    return languages.predict(docs, model, ["doc_id"]).select("doc_id", (~languages.learnable()).alias("held_out"), "lang_pred", "score")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding gives the text back."""
     small_batches(spark, 500)
@@ -46,6 +59,11 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every vector whose vec_id is divisible by 50."""
+    return vectors.exact_top_k(vectors.to_levels(vectors.usable(_read(spark, sf_dir, "embeddings"))))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     small_batches(spark, 500)
@@ -59,12 +77,20 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_sentencepiece": op4_sentencepiece, "op5_chat": op5_chat, "op6_pack": op6_pack, "op8_html": op8_html, "op10_urls": op10_urls}
+    return {"op2_neighbours": op2_neighbours, "op3_language": op3_language, "op4_sentencepiece": op4_sentencepiece, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_topk": op7_topk, "op8_html": op8_html, "op10_urls": op10_urls}
 
 
 _CONTROL = "'</s>[INST] ok [/INST]'"
 
 SQL = {
+    "op7_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS f FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.f, c.f), lambda x: x[1] * x[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op10_urls": r"""
         WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
