@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractscope.llm import chat, languages, packing, pages, sentencepiece_fst, urls, vectors
+from contractscope.llm import chat, jaccard, languages, packing, pages, sentencepiece_fst, urls, vectors
 from contractscope.llm.frames import small_batches
 
 #: The rules that the URL query applies.
@@ -70,6 +70,12 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(_read(spark, sf_dir, "pages"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of links by word shingles."""
+    small_batches(spark, 512)
+    return jaccard.similar(_read(spark, sf_dir, "documents"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     small_batches(spark, 4000)
@@ -77,7 +83,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_neighbours": op2_neighbours, "op3_language": op3_language, "op4_sentencepiece": op4_sentencepiece, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_topk": op7_topk, "op8_html": op8_html, "op10_urls": op10_urls}
+    return {"op2_neighbours": op2_neighbours, "op3_language": op3_language, "op4_sentencepiece": op4_sentencepiece, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_topk": op7_topk, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_urls": op10_urls}
 
 
 _CONTROL = "'</s>[INST] ok [/INST]'"
