@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractscope.llm import chat, jaccard, languages, packing, pages, sentencepiece_fst, urls, vectors
+from contractscope.llm import chat, jaccard, languages, packing, pages, sentencepiece_fst, suffixes, urls, vectors
 from contractscope.llm.frames import small_batches
 
 #: The rules that the URL query applies.
@@ -25,6 +25,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 100-byte strings that occur earlier."""
+    small_batches(spark, 512)
+    return suffixes.dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose vec_id is divisible by 20."""
     return vectors.nearest(vectors.usable(_read(spark, sf_dir, "embeddings"), zero_too=False))
@@ -83,7 +89,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_neighbours": op2_neighbours, "op3_language": op3_language, "op4_sentencepiece": op4_sentencepiece, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_topk": op7_topk, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_urls": op10_urls}
+    return {"op1_suffixes": op1_suffixes, "op2_neighbours": op2_neighbours, "op3_language": op3_language, "op4_sentencepiece": op4_sentencepiece, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_topk": op7_topk, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_urls": op10_urls}
 
 
 _CONTROL = "'</s>[INST] ok [/INST]'"
