@@ -447,7 +447,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Remove every byte that a 100-byte string covers which also starts earlier in the table.
 
-    Returns `keep` columns, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 for each row. Order
+    Returns `keep` columns, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_text (their whole
+    characters) and kept_sha256 for each row. Order
     is by doc_id, then position; strings are judged on the input and never cross documents. A null text counts as
     empty, a null doc_id comes first, and texts under 100 bytes stay whole. Rows that share a doc_id and a text are one
     document, whose result each of them gets.
@@ -461,7 +462,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields if f.name in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", *others, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+        names = ["doc_id", *others, "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256"]
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
@@ -473,11 +474,11 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
                     at = until = max(until, span[1])
                 parts.append(text[at:])
                 kept = b"".join(parts)
-                rows.append((len(text), len(text) - len(kept), n_spans, kept, hashlib.sha256(kept).hexdigest()))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+                rows.append((len(text), len(text) - len(kept), n_spans, kept, "".join(p.decode("utf-8", "ignore") for p in parts), hashlib.sha256(kept).hexdigest()))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string())
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:-1], *made], names=names)
 
     joined = whole.join(found, "doc_id", "left").select("doc_id", "text", *others, "marks")
-    done = joined.mapInArrow(run, "doc_id long, " + (fields + ", " if fields else "") + "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    done = joined.mapInArrow(run, "doc_id long, " + (fields + ", " if fields else "") + "n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string")
     return done.withColumn("doc_id", F.nullif("doc_id", F.lit(first)))
