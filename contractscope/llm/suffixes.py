@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contractscope.llm.frames import cut
 from contractscope.llm.shingles import mix
 
 LEAST, GRAM = 100, 32
@@ -150,7 +150,7 @@ def repeated(found: DataFrame) -> DataFrame:
 _AROUND = "gram long, doc_id long, pos long, lefts int, rights int, around binary"
 
 
-def surroundings(docs: DataFrame, kept: DataFrame, window: int = 40_000) -> DataFrame:
+def surroundings(docs: DataFrame, kept: DataFrame, window: int = 200_000) -> DataFrame:
     """Each repeated anchor with the bytes around it; rows without them are marks (pos: start, rights: length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,18 +159,18 @@ def surroundings(docs: DataFrame, kept: DataFrame, window: int = 40_000) -> Data
 
         def flush() -> pa.RecordBatch:
             doc, pos, left, right, around = (np.concatenate(x) for x in zip(*held, strict=True))
-            key = np.zeros(len(doc), np.uint64)
-            for word in np.ascontiguousarray(around).view(np.uint64).T:
+            held.clear()
+            words = np.ascontiguousarray(around).view(np.uint64).T
+            key, gram = np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.uint64)
+            for word in words:
                 key = mix(key * _STEPS[0] + word)
-            order = np.lexsort((pos, doc, key))
-            doc, pos, left, right, around, key = (x[order] for x in (doc, pos, left, right, around, key))
+            for word in np.ascontiguousarray(around[:, REACH : REACH + GRAM]).view(np.uint64).T:
+                gram = mix(gram * _STEPS[1] + word)
+            order = np.lexsort((pos, doc, key, gram))  # alike rows lie side by side, which packs them well
+            doc, pos, left, right, around, key, gram = (x[order] for x in (doc, pos, left, right, around, key, gram))
             same = np.concatenate([[False], (key[1:] == key[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1]) & (around[1:] == around[:-1]).all(axis=1)])
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
             own = same & (doc == doc[head]) & (pos == pos[head])  # the same place of a repeated row
-            words = np.ascontiguousarray(around[:, REACH : REACH + GRAM]).view(np.uint64).T
-            gram = np.zeros(len(doc), np.uint64)
-            for word in words:
-                gram = mix(gram * _STEPS[1] + word)
             mark = same & ~own
             gram[mark] = mix(gram[mark] + doc[mark].view(np.uint64) * _STEPS[2] + pos[mark].view(np.uint64))
             keep = ~own
@@ -193,7 +193,7 @@ def surroundings(docs: DataFrame, kept: DataFrame, window: int = 40_000) -> Data
                     n += len(pos)
                     if n > window:
                         yield flush()
-                        held, n = [], 0
+                        n = 0
         if n:
             yield flush()
 
@@ -411,11 +411,14 @@ def _resolve_or_postpone(part, most, resolve, postpone) -> Iterator[pa.RecordBat
 
 
 def later_strings(found: DataFrame) -> DataFrame:
-    """(doc_id, start, end) of all but the earliest place of each string; streams over runs."""
+    """(doc_id, start, end): the marks, and all but the earliest place of each string; streams over runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
         for batch in batches:
+            done = batch.filter(pc.is_null(batch.column(0)))
+            yield pa.RecordBatch.from_arrays(done.columns[1:], names=["doc_id", "start", "end"])
+            batch = batch.filter(pc.is_valid(batch.column(0)))
             if not batch.num_rows:
                 continue
             string, doc, start, end = (batch.column(i).to_numpy() for i in range(4))
@@ -426,7 +429,7 @@ def later_strings(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(start[again]), pa.array(end[again])], names=["doc_id", "start", "end"])
             head = (string[-1], hd[-1], hs[-1])
 
-    dealt = found.repartition("string").sortWithinPartitions("string", "doc_id", "start")
+    dealt = found.repartition(F.coalesce("string", F.xxhash64("doc_id", "start"))).sortWithinPartitions("string", "doc_id", "start")
     return dealt.select("string", "doc_id", "start", "end").mapInArrow(run, "doc_id long, start long, end long")
 
 
@@ -435,13 +438,8 @@ def later_strings(found: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, marks array<struct<start, end>>) of the documents with repeated strings; docs has doc_id and text as bytes."""
-    rows = surroundings(docs, repeated(anchors(docs)))
-    found = cut(marks(rows))
-    every = found.filter("string IS NULL").select("doc_id", "start", "end")
-    more = found.filter("string IS NOT NULL")
-    if not more.isEmpty():
-        every = every.union(later_strings(more))
-    return every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+    found = later_strings(marks(surroundings(docs, repeated(anchors(docs)))))
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
 
 def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
