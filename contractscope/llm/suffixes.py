@@ -1,7 +1,7 @@
 """Removal of long repeated byte strings by sorting sampled suffixes, deep-shallow.
 
 Any two equal strings of `least` bytes choose the same anchor: the leftmost least hash of their `gram`-byte grams. So
-1. each document gives its anchors; those whose gram is met once in the corpus are dropped;
+1. whole copies are set apart; every other document gives its anchors; those whose gram is met once in the corpus are dropped;
 2. the rest meet by gram, with the bytes that a string through the anchor can reach: to the right of it, and to the
    left. Within a task both sides are sorted as suffixes: multikey quicksort on symbols of eight bytes down to a
    shallow depth, then a blind trie orders each group that still agrees. Common prefixes of sorted neighbours tell,
@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contractscope.llm.frames import cut
 from contractscope.llm.shingles import mix
 
 LEAST, GRAM = 100, 32
@@ -147,6 +148,7 @@ def repeated(found: DataFrame) -> DataFrame:
 
 # --- surroundings -----------------------------------------------------------------------------------------------
 
+SIDE = REACH  # bytes kept on each side of a gram; its own bytes are known by its 64-bit hash
 _AROUND = "gram long, doc_id long, pos long, lefts int, rights int, around binary"
 
 
@@ -160,15 +162,16 @@ def surroundings(docs: DataFrame, kept: DataFrame, window: int = 200_000) -> Dat
         def flush() -> pa.RecordBatch:
             doc, pos, left, right, around = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            words = np.ascontiguousarray(around).view(np.uint64).T
             key, gram = np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.uint64)
-            for word in words:
-                key = mix(key * _STEPS[0] + word)
             for word in np.ascontiguousarray(around[:, REACH : REACH + GRAM]).view(np.uint64).T:
                 gram = mix(gram * _STEPS[1] + word)
+            around = np.concatenate([around[:, :REACH], around[:, REACH + GRAM :]], axis=1)
+            for word in around.view(np.uint64).T:
+                key = mix(key * _STEPS[0] + word)
+            key = mix(key + gram)
             order = np.lexsort((pos, doc, key, gram))  # alike rows lie side by side, which packs them well
             doc, pos, left, right, around, key, gram = (x[order] for x in (doc, pos, left, right, around, key, gram))
-            same = np.concatenate([[False], (key[1:] == key[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1]) & (around[1:] == around[:-1]).all(axis=1)])
+            same = np.concatenate([[False], (key[1:] == key[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1]) & (around[1:] == around[:-1]).all(axis=1) & (gram[1:] == gram[:-1])])
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
             own = same & (doc == doc[head]) & (pos == pos[head])  # the same place of a repeated row
             mark = same & ~own
@@ -291,13 +294,14 @@ def sort_suffixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.minimum(prefix, m)
 
 
-def mark(doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def mark(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, start, end) of what the anchors' strings repeat; rows of one gram must all be given, in any order."""
     by = np.lexsort((pos, doc))
-    doc, pos, left, right, around = doc[by], pos[by], left[by], right[by], around[by]
+    gram, doc, pos, left, right, around = (x[by] for x in (gram, doc, pos, left, right, around))
     n = len(doc)
     sides = []
-    for rows in (around[:, REACH:], around[:, REACH - 1 :: -1]):
+    first = gram.astype(">i8").view(np.uint8).reshape(n, 8)  # the gram stands for the first bytes of the right side
+    for rows in (np.concatenate([first, around[:, SIDE:]], axis=1), around[:, SIDE - 1 :: -1]):
         order, prefix = sort_suffixes(np.ascontiguousarray(rows))
         sides.append((order, prefix))
     low, high = np.full(n, LEAST), np.full(n, -1)
@@ -306,7 +310,7 @@ def mark(doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray,
         if len(ok) < 2:
             continue
         classes = []
-        for (order, prefix), depth in zip(sides, (LEAST - reach, reach), strict=True):
+        for (order, prefix), depth in zip(sides, (8 + SIDE - reach, reach), strict=True):
             c = np.empty(n, np.int64)
             c[order] = np.cumsum(prefix < depth) if depth else 0
             classes.append(c)
@@ -321,15 +325,16 @@ def mark(doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray,
     return doc[hit], (pos - high)[hit], (pos - low + LEAST)[hit]
 
 
-def _strings(doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string hash, doc, start) of every string through the anchors, each hash once: the others are left to the caller."""
-    up = np.cumprod(np.full(REACH + LEAST, _STEPS[3], np.uint64), dtype=np.uint64)
+def _strings(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string hash, doc, start) of every string through the anchors: of its gram, its place in it, and the bytes around."""
+    up = np.cumprod(np.full(2 * SIDE, _STEPS[3], np.uint64), dtype=np.uint64)
     total = np.concatenate([np.zeros((len(doc), 1), np.uint64), np.cumsum(_TABLE[around] * up, axis=1, dtype=np.uint64)], axis=1)
+    own = mix(gram.view(np.uint64))
     out = []
     for reach in range(REACH + 1):
         ok = (left >= reach) & (right >= LEAST - reach)
-        a = REACH - reach
-        h = mix((total[ok, a + LEAST] - total[ok, a]) * np.uint64(pow(int(_STEPS[3]), -(a + 1), 1 << 64)))
+        a = SIDE - reach
+        h = mix((total[ok, a + SIDE] - total[ok, a]) + own[ok] + np.uint64(reach) * _STEPS[4])
         out.append((h, doc[ok], pos[ok] - reach))
     h, d, p = (np.concatenate(x) for x in zip(*out, strict=True))
     return h, d, p
@@ -348,11 +353,11 @@ def marks(rows: DataFrame, most: int = 20_000, batch_rows: int = 30_000) -> Data
             common = np.bincount(np.unique(gram, return_inverse=True)[1])
             if common.max() == 1:
                 return out(*(np.zeros(0, np.int64),) * 3)
-            return out(*mark(*part[1:]))
+            return out(*mark(*part))
 
         def postpone(part: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(part[0]), 2000):
-                h, doc, pos = _strings(*(x[a : a + 2000] for x in part[1:]))
+                h, doc, pos = _strings(*(x[a : a + 2000] for x in part))
                 order = np.lexsort((pos, doc, h))
                 h, doc, pos = h[order], doc[order], pos[order]
                 same = np.concatenate([[False], h[1:] == h[:-1]])
@@ -372,7 +377,7 @@ def marks(rows: DataFrame, most: int = 20_000, batch_rows: int = 30_000) -> Data
                 cols = [c[whole] for c in cols]
             if not len(cols[0]):
                 continue
-            around = np.frombuffer(b"".join(batch.column(5).drop_null().to_pylist()), np.uint8).reshape(-1, REACH + LEAST)
+            around = np.frombuffer(b"".join(batch.column(5).drop_null().to_pylist()), np.uint8).reshape(-1, 2 * SIDE)
             now = (*(c.astype(np.int64) for c in cols), around)
             if hot is not None:
                 mine = now[0] == hot
@@ -436,9 +441,19 @@ def later_strings(found: DataFrame) -> DataFrame:
 # --- the operator -----------------------------------------------------------------------------------------------
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, marks array<struct<start, end>>) of the documents with repeated strings; docs has doc_id and text as bytes."""
-    found = later_strings(marks(surroundings(docs, repeated(anchors(docs)))))
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id of the documents of LEAST bytes or more whose whole text an earlier one has; only hashes are shuffled."""
+    keys = docs.filter(F.octet_length("text") >= LEAST).select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(7)).alias("k2"))
+    heads = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last").drop("last")
+    return keys.join(heads, ["k1", "k2"]).filter("doc_id > head").select("doc_id").distinct()
+
+
+def repeats(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """(doc_id, marks array<struct<start, end>>) of the documents with repeated strings, other than whole copies.
+
+    docs has doc_id and text as bytes; again has the doc_id of the copies, which need no search.
+    """
+    found = later_strings(marks(surroundings(docs, repeated(anchors(docs.join(again, "doc_id", "left_anti"))))))
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
 
@@ -448,13 +463,14 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     Returns `keep` columns, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_text (their whole
     characters) and kept_sha256 for each row. Order
     is by doc_id, then position; strings are judged on the input and never cross documents. A null text counts as
-    empty, a null doc_id comes first, and texts under 100 bytes stay whole. Rows that share a doc_id and a text are one
-    document, whose result each of them gets.
+    empty, a null doc_id comes first, and texts under 100 bytes stay whole. Rows that share a doc_id are one document,
+    whose removed places each of them loses; so they should share their text, too.
     """
     keep = keep if keep is not None else ["doc_id"]
     first = -(1 << 63)
     slim = docs.select(F.coalesce("doc_id", F.lit(first)).alias("doc_id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("text"))
-    found = repeats(slim)
+    again = cut(copies(slim))
+    found = repeats(slim, again)
     others = [c for c in keep if c not in ("doc_id", "text")]
     whole = docs.select(F.coalesce("doc_id", F.lit(first)).alias("doc_id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("text"), *others)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields if f.name in others)
@@ -477,6 +493,8 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:-1], *made], names=names)
 
-    joined = whole.join(found, "doc_id", "left").select("doc_id", "text", *others, "marks")
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
+    joined = whole.join(found, "doc_id", "left").join(again.withColumn("_copy", F.lit(True)), "doc_id", "left")
+    joined = joined.select("doc_id", "text", *others, F.when(F.col("_copy"), everything).otherwise(F.col("marks")).alias("marks"))
     done = joined.mapInArrow(run, "doc_id long, " + (fields + ", " if fields else "") + "n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string")
     return done.withColumn("doc_id", F.nullif("doc_id", F.lit(first)))
