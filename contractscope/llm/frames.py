@@ -14,8 +14,16 @@ def shared_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or "/tmp/contractscope-checkpoints")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """From now on let each query's shuffle files go when it ends, so that steps don't pile up on disk."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared checkpoint folder, so that no executor loss recomputes what lies before it."""
+    """Compute df once into the shared checkpoint folder, so that no executor loss recomputes what lies before it.
+
+    With free_shuffles, the computation's shuffle files go as soon as the checkpoint is written.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

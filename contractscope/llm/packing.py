@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contractscope.llm.frames import blocks, cut
+from contractscope.llm.frames import blocks, cut, free_shuffles
 
 
 #: Texts without any of this have only full stops and commas besides words, never two together.
@@ -193,6 +193,7 @@ def pack(items: DataFrame, capacity: int = 2048, per_part: int = 30_000, rounds:
     about per_part items however many there are in all, dealt by a hash of each row's own number, so repeated rows
     and hot documents spread evenly. An empty table gives an empty result; other columns are kept.
     """
+    free_shuffles(items.sparkSession)
     rows = cut(items.withColumn("_row", F.monotonically_increasing_id()))
     columns = rows.columns[:-1]
     open_ = rows.select("_row", "length")

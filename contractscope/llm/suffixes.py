@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contractscope.llm.frames import cut
+from contractscope.llm.frames import cut, free_shuffles
 from contractscope.llm.shingles import mix
 
 LEAST, GRAM = 100, 32
@@ -453,7 +453,8 @@ def repeats(docs: DataFrame, again: DataFrame) -> DataFrame:
 
     docs has doc_id and text as bytes; again has the doc_id of the copies, which need no search.
     """
-    found = later_strings(marks(surroundings(docs, repeated(anchors(docs.join(again, "doc_id", "left_anti"))))))
+    kept = cut(repeated(anchors(docs.join(again, "doc_id", "left_anti"))))
+    found = later_strings(marks(surroundings(docs, kept)))
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
 
@@ -466,6 +467,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     empty, a null doc_id comes first, and texts under 100 bytes stay whole. Rows that share a doc_id are one document,
     whose removed places each of them loses; so they should share their text, too.
     """
+    free_shuffles(docs.sparkSession)
     keep = keep if keep is not None else ["doc_id"]
     first = -(1 << 63)
     slim = docs.select(F.coalesce("doc_id", F.lit(first)).alias("doc_id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("text"))
