@@ -328,6 +328,35 @@ def test_jaccard_family(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_of(rows)
 
 
+def test_sketches_bound_overlaps():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 40, 700, 9000):
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for m in (max(1, int(0.8 * n)), n, int(1.3 * n)):
+            both = rng.integers(0, min(m, n) + 1)
+            y = np.concatenate([x[:both], rng.integers(0, 1 << 63, m - both).astype(np.uint64)])
+            room = jaccard._room([jaccard._sketch(x)], [jaccard._sketch(y)], np.array([min(m, n)]))[0]
+            assert both <= room <= min(m, n)
+    far = rng.integers(0, 1 << 63, (2, 9000)).astype(np.uint64)
+    assert jaccard._room([jaccard._sketch(far[0])], [jaccard._sketch(far[1])], np.array([9000]))[0] < 0.75 * 9000
+
+
+def test_jaccard_through_groups(spark, monkeypatch):
+    """Families of near copies that share their rarest shingles, met in large meetings only."""
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    rng = random.Random(11)
+    families = [[rng.choice(WORDS) + str(i) + "f" + str(f) for i in range(60)] for f in range(3)]
+    shared = ["s" + str(i) for i in range(40)]
+    rows = []
+    for i in range(90):
+        w = list(families[i % 3])
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(60)] = "x" + str(rng.randrange(10**6))
+        rows.append((i, " ".join(shared + w if i % 2 else w + shared)))
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), share=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_of(rows)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(50, 51), (60, 60)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
