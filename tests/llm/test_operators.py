@@ -353,7 +353,7 @@ def test_jaccard_through_groups(spark, monkeypatch):
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(60)] = "x" + str(rng.randrange(10**6))
         rows.append((i, " ".join(shared + w if i % 2 else w + shared)))
-    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), share=1).collect()
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), most_last=0).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_of(rows)
 
 
