@@ -254,14 +254,16 @@ def fold_balance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, upper(trim(w)) AS id FROM (SELECT doc_id, unnest(string_split(substr(text, 1, 400), '.')) AS w FROM (SELECT doc_id, text FROM documents WHERE instr(substr(text, 1, 400), ',') = 0 AND instr(substr(text, 1, 400), ';') = 0)) WHERE length(trim(w)) = 10 AND regexp_full_match(upper(trim(w)), '[A-Z0-9]+')
+    WITH w AS (SELECT o_orderkey, 'a' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS x, ' b' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || ' ' AS y FROM orders),
+    i AS (SELECT o_orderkey, unnest([x, y]) AS id FROM w)
+    SELECT o_orderkey, upper(trim(id)) AS id FROM i WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, upper(trim(x)) FROM w WHERE o_orderkey % 5 = 0
 """)
 def explode_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Cells with several identifiers, exploded; only valid ones stay. (A cell is a text's first 400 characters.)"""
-    cell = F.substring("text", 1, 400)
-    plain = t(spark, d, "documents").filter((F.instr(cell, ",") == 0) & (F.instr(cell, ";") == 0)).select("doc_id", F.translate(cell, ".", ",").alias("cell"))
-    ids = plain.withColumn("id", F.explode(C.split_ids(F.regexp_replace("cell", "^([^,]*)$", "$1,")))).withColumn("id", C.valid_id(F.col("id")))
-    return ids.filter("id RLIKE '^[A-Z0-9]+$'").select("doc_id", "id")
+    """Cells with several identifiers, exploded; only valid ones stay. (Cells are made of keys, with blanks, short ones and a "none".)"""
+    key = lambda letter, c: F.concat(F.lit(letter), F.lpad(F.col(c).cast("string"), 9, "0"))
+    second = F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit(" "), key("b", "o_custkey"), F.lit(" "))).otherwise("short")
+    cells = t(spark, d, "orders").select("o_orderkey", F.concat(key("a", "o_orderkey"), F.lit(";"), second, F.lit("; ;0000000000")).alias("cell"))
+    return cells.select("o_orderkey", F.explode(C.split_ids(F.col("cell"))).alias("id")).select("o_orderkey", C.valid_id(F.col("id")).alias("id")).filter("id IS NOT NULL")
 
 
 @query("""
