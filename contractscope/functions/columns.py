@@ -34,7 +34,7 @@ def split_ids(c: Column) -> Column:
     parts = F.array(c)
     for s in reversed(ID_SEPARATORS):
         parts = F.when(F.contains(c, F.lit(s)), F.split(c, "\\Q" + s + "\\E")).otherwise(parts)
-    return F.filter(F.transform(parts, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def valid_id(c: Column, length: int = 10) -> Column:
