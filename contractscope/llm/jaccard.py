@@ -7,10 +7,13 @@
 3. The token-group matrix holds each group's token union. In large meetings a class (the query) that allows a link
    with a class of another group is matched with that group: the number of its tokens in the group's union bounds its
    overlap with every member, and only groups that reach the least overlap are opened and their members compared.
+4. Every link lies within a component. The classes of large meetings are dealt to blocks by component and size, each two
+   blocks that allow a link meet once, and a task adds up each class's links; pairs are never listed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,8 @@ LEAST_LEVEL = 4
 BITS = 4
 #: Bits of the filter that spares most unneeded texts the way to their join; fixed, so it can be sent to every task.
 FILTER_BITS = 1 << 23
+#: Tokens of the sets that are compared with a block at once.
+AT_ONCE = 1 << 13
 _PAIR = "a long, b long, na int, nb int, token long, pos int, large boolean"
 
 
@@ -283,8 +288,8 @@ def frequent(seen: DataFrame, most: int, least: int = 8) -> np.ndarray:
 def similar(docs: DataFrame, percent: int = 75, width: int = 5, most_last: int = 1 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document.
 
-    component_id is the smallest doc_id that links reach; n_links counts the links found from a document's class to
-    other classes, whose copies are not expanded. Null, empty and blank texts have no shingles and are alone. The list
+    component_id is the smallest doc_id that links reach; n_links counts all links from a document's class to other
+    classes, whose copies are not expanded. Null, empty and blank texts have no shingles and are alone. The list
     of shingles ordered last has at most `most_last` entries, whatever the number of documents; it only sets the order.
     """
     free_shuffles(docs.sparkSession)
@@ -301,13 +306,19 @@ def similar(docs: DataFrame, percent: int = 75, width: int = 5, most_last: int =
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     sets = cut(sets_of(docs, named_docs.join(nodes, "set").select("doc_id", "set"), width))
     links = cut(verified(pairs, sets, percent))
-    if not rows.isEmpty():
-        links = cut(links.union(_through_groups(docs, rows, links, classes, percent, width)).distinct())
+    large = not rows.isEmpty()
+    if large:
+        more, more_sets = _through_groups(docs, rows, links, classes, percent, width)
+        links = cut(links.union(more).distinct())
     named = classes.select(F.col("set").alias("a"), F.col("doc_id").alias("da"))
     by_doc = links.join(named, "a").join(named.toDF("b", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
     found = components(by_doc)
-    degree = by_doc.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_class = classes.join(found.join(degree, "node"), F.col("doc_id") == F.col("node"), "left").select("set", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    if large:
+        sets = sets.union(more_sets.join(sets.select("set"), "set", "left_anti"))
+        degree = _degrees(links, rows, sets, classes.join(found, F.col("doc_id") == F.col("node")).select("set", F.col("component").alias("g")), percent)
+    else:
+        degree = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
+    of_class = classes.join(found, F.col("doc_id") == F.col("node"), "left").join(degree, "set", "left").select("set", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = whole.join(of_class, "set", "left")
     alone = F.col("n") == 0
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
@@ -408,8 +419,8 @@ def _qualifying(asked: DataFrame, member: DataFrame, sets: DataFrame, percent: i
     return both.mapInArrow(run, "set long, h long").distinct()
 
 
-def _through_groups(docs: DataFrame, rows: DataFrame, links: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links between different groups, from the rows of large meetings, by the token-group matrix."""
+def _through_groups(docs: DataFrame, rows: DataFrame, links: DataFrame, classes: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Links between different groups, from the rows of large meetings, by the token-group matrix; and the sets it met."""
     groups = components(links)
     own = cut(rows.join(groups.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "pos", F.coalesce("component", "set").alias("g")))
     # what a group's members in a meeting allow at most, by their sizes: one row per meeting, group and size
@@ -430,4 +441,124 @@ def _through_groups(docs: DataFrame, rows: DataFrame, links: DataFrame, classes:
     within = own.select("token", F.col("set").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("g").alias("h"))
     pairs = own.join(opened, "set").select("token", "set", "n", "pos", "h").join(within, ["token", "h"]).filter(fits)
     tidy = pairs.select(F.least("set", "y").alias("a"), F.greatest("set", "y").alias("b"), F.when(F.col("set") < F.col("y"), F.col("n")).otherwise(F.col("m")).alias("na"), F.when(F.col("set") < F.col("y"), F.col("m")).otherwise(F.col("n")).alias("nb"))
-    return verified(plausible(tidy.distinct(), classes, percent), sets, percent)
+    return verified(plausible(tidy.distinct(), classes, percent), sets, percent), sets
+
+
+def _degrees(links: DataFrame, rows: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(set, n_links): each linked class's number of links, from the links, the rows of large meetings and (set, g).
+
+    A link that no small meeting found has both ends in large meetings. Such pairs are counted by blocks; the others
+    are all in links.
+    """
+    members = cut(rows.select("set", "n").distinct().join(groups, "set"))
+    met = members.select("set", F.lit(True).alias("met"))
+    apart = links.join(met.toDF("a", "ma"), "a", "left").join(met.toDF("b", "mb"), "b", "left").filter("ma IS NULL OR mb IS NULL")
+    ones = apart.select(F.explode(F.array("a", "b")).alias("set"), F.lit(1).cast("long").alias("n_links"))
+    return ones.union(_counted(members, sets, percent)).groupBy("set").agg(F.sum("n_links").alias("n_links"))
+
+
+class _Block:
+    """Sets by their tokens: those of many sets as a matrix, the others as postings."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.start, self.times = np.unique(tokens[order], return_index=True, return_counts=True)
+        self.of = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        many = np.flatnonzero(8 * self.times > len(sets))  # at most eight times as many as a set has on average
+        self.column = np.full(len(self.tokens), -1)
+        self.column[many] = np.arange(len(many))
+        self.matrix = np.zeros((len(sets), len(many)), np.float32)
+        column = np.repeat(self.column, self.times)
+        self.matrix[self.of[column >= 0], column[column >= 0]] = 1
+
+    def linked(self, sets: list[np.ndarray], percent: int) -> np.ndarray:
+        """Whether each of the sets (a row) is linked with each of the block's."""
+        sizes = np.array([len(s) for s in sets], np.int64)
+        tokens, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        hit = self.tokens[at] == tokens
+        of, at = of[hit], at[hit]
+        column = self.column[at]
+        there = np.zeros((len(sets), self.matrix.shape[1]), np.float32)
+        there[of[column >= 0], column[column >= 0]] = 1
+        both = np.rint(there @ self.matrix.T).astype(np.int64)
+        of, at = of[column < 0], at[column < 0]
+        if len(at):
+            times = self.times[at]
+            ends = np.cumsum(times)
+            x = self.of[np.arange(ends[-1]) + np.repeat(self.start[at] - ends + times, times)]
+            both += np.bincount(np.repeat(of, times) * len(self.sizes) + x, minlength=both.size).reshape(both.shape)
+        return (100 + percent) * both >= percent * (sizes[:, None] + self.sizes)
+
+
+def _counted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(set, n_links): links of the members (set, n, g) with others of the same g, in parts that are to be added up.
+
+    Linked sizes lie in one band or in neighbouring ones. A component's band has up to eight blocks of 256 members or
+    more, and beyond that blocks of about 4096 members or 2**20 tokens at most. Two blocks meet in one task, which holds
+    the first and takes the second as a stream.
+    """
+    banded = members.withColumn("band", F.floor(F.log("n") / (math.log(100 / percent) + 1e-3)).cast("int"))
+    many = F.ceil(F.greatest(F.least(F.lit(8.0), F.count("*") / 256), F.count("*") / 4096, F.sum("n") / (1 << 20))).cast("int")
+    kinds = cut(banded.groupBy("g", "band").agg(many.alias("k"), F.count("*").alias("c")))
+    up, down = (kinds.select("g", (F.col("band") - d).alias("band"), F.col("k").alias(k)) for d, k in ((1, "k_up"), (-1, "k_down")))
+    kinds = kinds.join(up, ["g", "band"], "left").join(down, ["g", "band"], "left").filter("c > 1 OR k_up IS NOT NULL OR k_down IS NOT NULL").drop("c")
+    placed = banded.join(kinds, ["g", "band"]).withColumn("i", F.expr("cast(pmod(xxhash64(set, 7), k) as int)"))
+    meets = """concat(
+        transform(sequence(0, k - 1), j -> named_struct('band', band, 'x', least(i, j), 'other', band, 'y', greatest(i, j), 'side', if(i <= j, 0, 1))),
+        if(k_up IS NULL, array(), transform(sequence(0, k_up - 1), j -> named_struct('band', band, 'x', i, 'other', band + 1, 'y', j, 'side', 0))),
+        if(k_down IS NULL, array(), transform(sequence(0, k_down - 1), j -> named_struct('band', band - 1, 'x', j, 'other', band, 'y', i, 'side', 1))))"""
+    keys = ["g", "band", "x", "other", "y"]
+    dealt = sets.join(placed.select("set", "g", F.expr(meets).alias("meets")), "set").select("set", "tokens", "g", F.inline("meets")).select(*keys, "side", "set", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, held, block, found = None, [], [], None, np.zeros(0, np.int64)
+
+        def batch_of(sets: list[int], n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(n, pa.int64())], names=["set", "n_links"])
+
+        def portions(sets: list[np.ndarray]) -> Iterator[slice]:
+            a, size = 0, 0
+            for b, s in enumerate(sets):
+                if b > a and size + len(s) > AT_ONCE:
+                    yield slice(a, b)
+                    a, size = b, 0
+                size += len(s)
+            if sets:
+                yield slice(a, len(sets))
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if key is not None and key[1:3] == key[3:] and len(held) > 1:
+                whole = _Block(held)
+                for at in portions(held):
+                    yield batch_of(names[at], whole.linked(held[at], percent).sum(axis=1) - 1)
+            elif block is not None:
+                yield batch_of(names, found)
+
+        for batch in batches:
+            rows = list(zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True))
+            a = 0
+            while a < len(rows):
+                b = a
+                while b < len(rows) and rows[b][:6] == rows[a][:6]:
+                    b += 1
+                if rows[a][:5] != key:
+                    yield from end()
+                    key, names, held, block = rows[a][:5], [], [], None
+                some = [batch.column(7)[i].values.to_numpy() for i in range(a, b)]
+                if rows[a][5] == 0:
+                    names += [r[6] for r in rows[a:b]]
+                    held += some
+                elif held:
+                    if block is None:
+                        block, found = _Block(held), np.zeros(len(held), np.int64)
+                    for at in portions(some):
+                        hit = block.linked(some[at], percent)
+                        found += hit.sum(axis=0)
+                        yield batch_of([r[6] for r in rows[a:b]][at], hit.sum(axis=1))
+                a = b
+        yield from end()
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "set long, n_links long")

@@ -357,6 +357,57 @@ def test_jaccard_through_groups(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_of(rows)
 
 
+def shingles_of(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def links_of(rows):
+    """Every document's number of links: other sets of shingles with which its own is linked."""
+    sets = {d: frozenset(shingles_of(x)) for d, x in rows}
+    kinds = set(sets.values()) - {frozenset()}
+    return {d: sum(175 * len(s & k) >= 75 * (len(s) + len(k)) for k in kinds if k != s) if s else 0 for d, s in sets.items()}
+
+
+def test_jaccard_counts_all_links(spark, monkeypatch):
+    """Families larger than a small meeting, of several sizes, in one block and in many."""
+    rng = random.Random(21)
+    rows = []
+    for f, n in enumerate((60, 20, 3)):
+        base = [rng.choice(WORDS) + str(i) + "f" + str(f) for i in range(80)]
+        for _ in range(n):
+            w = list(base[: rng.choice((80, 80, 70))])
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = "x" + str(rng.randrange(10**6))
+            rows += [(len(rows), " ".join(w))]
+    rows += [(1000, rows[0][1]), (1001, None), (1002, "")]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), links_of(rows)
+    assert max(want.values()) > 40
+    for small in (16, 1):
+        monkeypatch.setattr(jaccard, "SMALL", small)
+        got = jaccard.similar(docs).collect()
+        assert {r.doc_id: r.n_links for r in got} == want
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_of(rows)
+
+
+def test_blocks_count_links(spark):
+    rng = np.random.default_rng(4)
+    base, sets = np.arange(100), []
+    for i in range(900):
+        s = rng.choice(base, rng.integers(60, 101), replace=False) + 1000 * (i % 2)
+        sets.append(np.unique(np.concatenate([s, rng.integers(10**6, 10**9, rng.integers(0, 30))])))
+    have = [set(s.tolist()) for s in sets]
+    want = collections.Counter()
+    for i in range(900):
+        for j in range(i):
+            if i % 2 == j % 2 and 175 * len(have[i] & have[j]) >= 75 * (len(have[i]) + len(have[j])):
+                want.update((i, j))
+    members = spark.createDataFrame([(i, len(s), i % 2) for i, s in enumerate(sets)], "set long, n int, g long")
+    held = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "set long, tokens array<long>")
+    got = jaccard._counted(members, held, 75).groupBy("set").agg(F.sum("n_links").alias("n")).filter("n > 0").collect()
+    assert {r.set: r.n for r in got} == dict(want)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(50, 51), (60, 60)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
