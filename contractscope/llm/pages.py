@@ -17,6 +17,23 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
 SILENT = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "math", "canvas", "audio", "video", "select", "option", "button", "textarea", "input", "label", "datalist"}
 LAYOUT = {"nav", "footer", "aside", "form", "menu", "dialog", "search"}
 MAIN = {"article", "main"}
+#: Elements that leave an open head open; all others, and text, end it.
+IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+#: What bounds the search for an open element that a start tag ends by implication.
+SCOPE = {"html", "table", "td", "th", "caption", "template", "object", "svg", "math", "button", "marquee"}
+ENDS_P = BLOCK - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+_ITEM = (BLOCK | SCOPE) - {"address", "div", "p"}
+_ROW = {"tr", "td", "th", "caption", "colgroup"}
+_ROWS = _ROW | {"tbody", "thead", "tfoot"}
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Start tags: the open elements that they end, and the elements that bound the search.
+IMPLIED = {
+    "li": ({"li"}, _ITEM), "dd": ({"dd", "dt"}, _ITEM), "dt": ({"dd", "dt"}, _ITEM),
+    "option": ({"option"}, SCOPE | {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, SCOPE | {"select"}),
+    "select": ({"select"}, SCOPE), "input": ({"select"}, SCOPE), "textarea": ({"select"}, SCOPE), "button": ({"button"}, SCOPE - {"button"}),
+    "td": ({"td", "th"}, {"table", "template"}), "th": ({"td", "th"}, {"table", "template"}), "tr": (_ROW, {"table", "template"}),
+    **{x: (_ROWS, {"table", "template"}) for x in ("tbody", "thead", "tfoot", "caption", "colgroup")},
+}
 #: Words in class, id or role that name what is no article text.
 _NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|sidebar|side-bar|menu|navbar|nav|navigation|breadcrumbs?|footer|masthead|site-header|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|widget|toolbar|pagination|pager|skip-link|complementary|contentinfo)(?=$|[\s_-])", re.I)
 
@@ -55,13 +72,34 @@ class Reader(HTMLParser):
             self.tags = self.linked = 0
         self.parts = []
 
+    def _end(self, ended: set[str], bounds: set[str]) -> None:
+        """Take the outermost open one of the ended elements, and all in it, off the stack."""
+        found = None
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in ended:
+                found = i
+            elif self.stack[i][0] in bounds:
+                break
+        if found is not None:
+            del self.stack[found:]
+
+    def _imply(self, tag: str) -> None:
+        """End what a start tag ends without an end tag, by HTML's rules; elements that need an end tag stay open."""
+        if tag == "body" or (tag not in IN_HEAD and self.stack and self.stack[-1][0] == "head"):
+            self._end({"head"}, {"body", "template"})
+        if tag in IMPLIED:
+            self._end(*IMPLIED[tag])
+        if tag in ENDS_P:
+            self._end({"p"}, SCOPE)
+        if tag in _HEADING and self.stack and self.stack[-1][0] in _HEADING:
+            self.stack.pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self._flush()
-            if tag in {"p", "li", "td", "th", "tr", "dt", "dd"} and self.stack and self.stack[-1][0] == tag:
-                self.stack.pop()
         elif tag == "br":
             self.parts.append(" ")
+        self._imply(tag)
         self.tags += 1
         if tag in VOID:
             return
@@ -88,6 +126,8 @@ class Reader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.stack.pop()
         if not self._state()[0]:
             self.parts.append(data)
             if any(t == "a" for t, _, _ in self.stack):

@@ -286,6 +286,33 @@ def test_pages(spark):
     assert pages.extract(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<head><title>x</title><body>",
+        "<html><head><meta charset=utf-8><title>x</title>",
+        "<head><style>p{}</style><noscript><img src=x></noscript><body>",
+        "<body><p class=notice>Cookies are used.",
+        "<body><p class=notice>Cookies <b>are used.",
+        "<body><ul><li class=share>Share<div><li></ul>",
+        "<body><dl><dt class=share>Share<dd></dl>",
+        "<body><table><tr class=ad><td>x<tr><td>",
+        "<body><table><tr><td class=ad><p>x<td>",
+        "<body><select><option>a<option>b</select>",
+        "<body><datalist><option>a<option>b</datalist>",
+        "<body><h2 class=share>Share<h2>",
+    ],
+)
+def test_pages_end_elements_by_implication(start):
+    body = "Long text of the page. " * 9
+    assert pages.main_text(f"{start}<div>{body}</div><div>{body}</div>") == body.strip() + "\n\n" + body.strip()
+
+
+def test_pages_text_ends_head():
+    assert pages.main_text("<head><title>x</title>" + "Long text of the page. " * 9).startswith("Long text")
+    assert pages.main_text("<head><template><p>" + "Long text of the page. " * 9 + "</template></head>") == ""
+
+
 # --- 9 ---
 
 
