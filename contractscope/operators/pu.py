@@ -203,7 +203,7 @@ def _ridge_logit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1
     return w
 
 
-def bagged_weights(df: DataFrame, key: str, features: Sequence[str], bags: int = 20, unlabelled: int = 2000, gamma: float = 1.0, seed: int = 2025) -> DataFrame:
+def bagged_weights(df: DataFrame, key: str, features: Sequence[str], bags: int = 150, unlabelled: int = 15_000, gamma: float = 1.0, seed: int = 2025) -> DataFrame:
     """(bag, w array): one weighted logistic model per bag of all labelled rows and about `unlabelled` unlabelled ones.
 
     Unlabelled rows are dealt to bags by hash, so a bag's task holds a bounded sample whatever the table's size;
@@ -233,28 +233,38 @@ def bagged_score(df: DataFrame, features: Sequence[str], models: DataFrame) -> D
     return df.withColumn("score", total / max(1, len(ws)))
 
 
-def em_hard(df: DataFrame, features: Sequence[str], prior: float = 0.02, rounds: int = 5, percent: Sequence[float] = (5, 10, 15, 20, 25, 30)) -> tuple[np.ndarray, DataFrame]:
-    """Reliable negatives from unlabelled rows below a rising percentile of the score, refitting each time.
+def em_hard(df: DataFrame, features: Sequence[str], prior: float = 0.02, rounds: int = 5, least: float = 5, most: float = 30, steps: int = 60) -> tuple[np.ndarray, DataFrame]:
+    """Reliable negatives from unlabelled rows below a percentile of the score, refitting each time.
 
-    Stops when fewer than half of the positives are recalled or reliable negatives exceed half of the unlabelled.
+    The percentile starts at `least` and rises by 5 while the last refit kept margins of more than 0.10 over both
+    limits, by 2 for margins of more than 0.05, up to `most`. Stops when the refit puts fewer than 0.8 of the negatives
+    below 0.5, fewer than half of the positives above it, or when reliable negatives exceed half of the unlabelled.
     """
     cols = list(features)
-    w = nnpu_logit(df, cols, prior, steps=20)
+    w = nnpu_logit(df, cols, prior, steps=steps)
     log = []
     spark = df.sparkSession
     n_u = df.filter("label IS NULL").count()
-    for r, q in enumerate(list(percent)[:rounds]):
+    q = float(least)
+    for r in range(rounds):
         scored = df.withColumn("score", linear_score(cols, w))
         cut = scored.filter("label IS NULL").agg(F.percentile("score", F.lit(q / 100))).first()[0]
         if cut is None:
             break
-        target = scored.withColumn("label2", F.when(F.col("label").isNotNull(), F.col("label")).when(F.col("score") <= cut, 0))
-        c = target.agg(F.count_if(F.col("label").isNull() & (F.col("label2") == 0)).alias("rn"), F.avg(F.when(F.col("label") == 1, (F.col("score") > cut).cast("double"))).alias("recall")).first()
-        log.append((r, float(q), float(cut), int(c["rn"]), float(c["recall"] or 0.0)))
-        if (c["recall"] or 0) < 0.5 or c["rn"] > 0.5 * n_u:
+        target = scored.withColumn("label2", F.when(F.col("label").isNotNull(), F.col("label")).when(F.col("score") < cut, 0))
+        reliable = target.filter("label IS NULL AND label2 = 0").count()
+        if not reliable:
             break
-        w = nnpu_logit(target.drop("label", "score").withColumnRenamed("label2", "label"), cols, prior, steps=20)
-    return w, spark.createDataFrame(log, "round int, percentile double, cut double, reliable long, recall double")
+        w = nnpu_logit(target.drop("label", "score").withColumnRenamed("label2", "label"), cols, prior, steps=steps)
+        now = df.withColumn("score", linear_score(cols, w))
+        c = now.agg(F.avg(F.when(F.col("label") == 0, (F.col("score") < 0.5).cast("double"))).alias("precision"), F.avg(F.when(F.col("label") == 1, (F.col("score") > 0.5).cast("double"))).alias("recall")).first()
+        precision, recall = c["precision"] or 0.0, c["recall"] or 0.0
+        log.append((r, q, float(cut), reliable, precision, recall))
+        if reliable > 0.5 * n_u or precision < 0.8 or recall < 0.5:
+            break
+        margin = min(precision - 0.8, recall - 0.5)
+        q = min(q + (5 if margin > 0.10 else 2 if margin > 0.05 else 0), float(most))
+    return w, spark.createDataFrame(log, "round int, percentile double, cut double, reliable long, precision double, recall double")
 
 
 # --- explanation ---

@@ -607,7 +607,7 @@ def blanchard_prior(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_mean(spark: SparkSession, d: str) -> DataFrame:
     """Percentile intervals of the mean score by language, from Poisson replicates."""
-    return metrics.bootstrap(scored(spark, d), "doc_id", F.col("score"), 100, ["lang"])
+    return metrics.bootstrap(scored(spark, d), "doc_id", F.col("score"), keys=["lang"])
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -623,7 +623,7 @@ FEATURES = ["size", "odd", "upper"]
 def nnpu_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores of a linear model under the non-negative PU risk."""
     x = _features(spark, d).persist()
-    w = pu.nnpu_logit(x, FEATURES, prior=0.5, steps=25)
+    w = pu.nnpu_logit(x, FEATURES, prior=0.5)
     return x.select("doc_id", "label", pu.linear_score(FEATURES, w).alias("score"))
 
 
@@ -631,12 +631,12 @@ def nnpu_scores(spark: SparkSession, d: str) -> DataFrame:
 def bagged_scores(spark: SparkSession, d: str) -> DataFrame:
     """Mean score of models fitted on bags of unlabelled rows."""
     x = _features(spark, d).persist()
-    return pu.bagged_score(x, FEATURES, pu.bagged_weights(x, "doc_id", FEATURES, bags=8)).select("doc_id", "label", "score")
+    return pu.bagged_score(x, FEATURES, pu.bagged_weights(x, "doc_id", FEATURES)).select("doc_id", "label", "score")
 
 
 @query()
 def em_hard_rounds(spark: SparkSession, d: str) -> DataFrame:
-    return pu.em_hard(_features(spark, d).persist(), FEATURES, prior=0.5, rounds=2)[1]
+    return pu.em_hard(_features(spark, d).persist(), FEATURES, prior=0.5)[1]
 
 
 @query()
@@ -650,7 +650,7 @@ def supervised_scores(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     x = _features(spark, d).persist()
-    w = pu.nnpu_logit(x, FEATURES, prior=0.5, steps=10)
+    w = pu.nnpu_logit(x, FEATURES, prior=0.5)
     return pu.permutation_importance(x, "doc_id", FEATURES, pu.linear_score(FEATURES, w))
 
 
