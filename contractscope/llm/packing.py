@@ -2,8 +2,8 @@
 
 Pieces are dealt into partitions of bounded size. Each is packed by best-fit decreasing and compared with lower
 bounds from dual feasible functions: where the number of bins equals the bound, the partition is certified. The
-others give up the bins that are not full; their documents are dealt anew, so that the gaps of different partitions
-meet, and packed again, as long as that saves bins.
+others give up their emptier bins; the documents in these are dealt anew, so that the gaps of different partitions
+meet, and packed again, until one partition holds them all or no bin is saved.
 """
 
 from __future__ import annotations
@@ -16,46 +16,49 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contractscope.llm.frames import blocks, cut, free_shuffles
+from contractscope.llm.frames import WordTable, blocks, cut, free_shuffles, gathered, ragged
 
 
-#: Texts without any of this have only full stops and commas besides words, never two together.
-_ODD = re.compile(r"[^\w\s.,]|[.,_][.,_]|\u03a3|_")
+#: Between a letter and anything but a letter, a mark or an apostrophe a token ends, whatever lies around it;
+#: _MARKED finds words with a mark, a letter whose lower case has one, or the begin of a special token.
+_EDGE = re.compile(r"(?<=[^\W\d_])(?=[^'\w])|(?<=[^'\w])(?=[^\W\d_])|(?<=[^\W\d_])(?=\d)|(?<=\d)(?=[^\W\d_])")
+_MARKED = re.compile("<\\||[\u0130\u0300-\u036f\u0483-\u0489\u0591-\u0902\u093a-\u0e4e\u0eb1-\u109d\u135d-\u1dff\u20d0-\u20f0\u2cef-\u2cf1\u2de0-\u2dff\u302a-\u309a\ua66f-\uabed\ufb1e-\ufe2f\U00010000-\U0010ffff]")
 
 
 class WordCache:
-    """Ids of words as little-endian bytes, kept in two bounded generations.
+    """Ids of words, in a table of bounded size that a worker's later tasks find again.
 
-    The tokenizer drops white space, lower-cases, and neither its normaliser nor its pattern reaches across white
-    space, so a text's ids are those of its words one after another. In plain texts a full stop or comma beside a
-    word is a token of its own, so there words are cut off from them. A word of letters alone ends in exactly one
-    id of an end-of-word piece, which tells new words apart that are encoded in one go.
+    The tokenizer drops white space, and neither its normaliser nor its pattern reaches across white space, so a text's
+    ids are those of its words one after another. Within a word, a token ends where letters meet punctuation or digits,
+    so a new word such as "word," is cut into two parts; words with an apostrophe or a combining mark beside such an
+    edge stay whole there. A part of letters alone ends in exactly one id of an end-of-word piece, which tells new parts
+    apart that are encoded in one go.
     """
 
     _kept: dict[str, WordCache] = {}
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 40):
+    def __init__(self, path: str, most: int = 1_000_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
-        self.known: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.table = WordTable(most, longest)
+        self.parts: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
 
     @classmethod
     def of(cls, path: str) -> WordCache:
-        """This worker's cache, which its later tasks find again."""
         if path not in cls._kept:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], known: dict[str, bytes]) -> None:
         plain = [w for w in words if w.isalpha()]
         rest = [w for w in words if not w.isalpha()]
         for i in range(0, len(plain), 1000):
@@ -67,34 +70,30 @@ class WordCache:
                 continue
             data, begin = ids.tobytes(), 0
             for w, end in zip(some, (4 * stops).tolist(), strict=True):
-                self.known[w] = data[begin:end]
+                known[w] = data[begin:end]
                 begin = end
         for i in range(0, len(rest), 1000):
             some = rest[i : i + 1000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [_words(t or "") for t in texts]
-        needed = set().union(*parts) if parts else set()
-        if len(self.known) > self.most:
-            self.old, self.known = self.known, {"": b""}
-        new = needed.difference(self.known)
-        for w in new & self.old.keys():
-            self.known[w] = self.old[w]
-        new.difference_update(self.known)
-        self._learn(list(new))
-        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+                known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the table lacks."""
+        if len(self.parts) > self.most // 4:
+            self.parts = {}
+        known = self.parts
+        parts = [[w] if w.isalpha() or _MARKED.search(w) else _EDGE.split(w) for w in words]
+        new = set().union(*parts).difference(known)
+        self._learn(list(new), known)
+        out = [known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for p in parts]
         for w in new:
             if len(w) > self.longest:
-                del self.known[w]
+                del known[w]
         return out
 
-
-def _words(text: str) -> list[str]:
-    if not _ODD.search(text):
-        text = text.lower().replace(".", " . ").replace(",", " , ")
-    return text.replace("\n", " ").split(" ")
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after another, and where each text's begin (with the end of the last)."""
+        return ragged(*self.table.look_up(pc.ascii_split_whitespace(texts.fill_null("")), self._new), "<u4")
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -107,15 +106,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordCache.of(tokenizer)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        for batch in gathered(batches, 1):
+            ids, begin = words.encode(batch.column(1))
             rows = []
-            for a in range(0, len(ids), 128):
-                for doc, data in zip(ids[a : a + 128], words.encode(texts[a : a + 128].to_pylist()), strict=True):
-                    data += last
-                    for k, b in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[b : b + 4 * capacity]
-                        rows.append((doc, k, b // 4, len(part) // 4, zlib.crc32(part)))
+            for doc, a, z in zip(batch.column(0).to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                data = ids[a:z].tobytes() + last
+                for k, b in enumerate(range(0, len(data), 4 * capacity)):
+                    part = data[b : b + 4 * capacity]
+                    rows.append((doc, k, b // 4, len(part) // 4, zlib.crc32(part)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
 
@@ -173,49 +171,73 @@ def lower_bound(lengths: np.ndarray, capacity: int, most_k: int = 20) -> int:
 
 
 def _packer(r: int, capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Packs the items of one part in round r; _done where the part is certified or the bin is full."""
+    """Packs the items of one part in round r; _done unless the part has gaps and the bin is among its emptier ones.
+
+    A part whose number of bins is the lower bound is certified and keeps them all. Another keeps its full bins and
+    gives up the emptiest ones, until those hold at least half of its free space.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = pdf["length"].to_numpy(np.int64)
         where, offset, n_bins = best_fit(lengths, capacity)
-        sure = n_bins == lower_bound(lengths, capacity)
-        filled = np.bincount(where, weights=lengths, minlength=n_bins)
+        done = np.ones(n_bins, bool)
+        if n_bins > lower_bound(lengths, capacity):
+            free = capacity - np.bincount(where, weights=lengths, minlength=n_bins)
+            order = np.argsort(-free, kind="stable")
+            given = int(np.searchsorted(np.cumsum(free[order]), free.sum() / 2)) + 1
+            done[order[:given]] = free[order[:given]] == 0
         first = np.int64((r << 26) + int(pdf["_part"].iloc[0])) << np.int64(32)
-        return pd.DataFrame({"_row": pdf["_row"], "length": lengths, "sequence_id": first + where, "offset": offset, "_done": sure | (filled[where] == capacity)})
+        return pd.DataFrame({"_row": pdf["_row"], "length": lengths, "sequence_id": first + where, "offset": offset, "_done": done[where]})
+
+    return run
+
+
+def _dealer(parts: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Deals the items of a batch round the parts by falling length, so that all parts get much the same lengths."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                pdf = pdf.sort_values(["length", "_row"], ascending=[False, True], kind="stable")
+                first = int(pdf["_row"].iloc[0]) * 2654435761 % parts
+                yield pdf.assign(_part=((first + np.arange(len(pdf))) % parts).astype(np.int32))
 
     return run
 
 
-def pack(items: DataFrame, capacity: int = 2048, per_part: int = 30_000, rounds: int = 3) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048, per_part: int = 30_000) -> DataFrame:
     """Add sequence_id and offset to items (doc_id, piece, length, ...); lengths from 1 to capacity.
 
     Every item is placed exactly once; a sequence's items follow one another from offset 0 without gaps. Parts have
-    about per_part items however many there are in all, dealt by a hash of each row's own number, so repeated rows
-    and hot documents spread evenly. An empty table gives an empty result; other columns are kept.
+    about per_part items however many there are in all, dealt row by row, so repeated rows and hot documents spread
+    evenly. Bins that parts with gaps give up are dealt anew into fewer parts and packed again,
+    until one part holds what is left or dealing anew saves no bin. An empty table gives an empty result; other columns
+    are kept, but for columns that have the names sequence_id and offset, which are replaced.
     """
     free_shuffles(items.sparkSession)
-    rows = cut(items.withColumn("_row", F.monotonically_increasing_id()))
+    rows = cut(items.drop("sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id()))
     columns = rows.columns[:-1]
     open_ = rows.select("_row", "length")
-    n, placed, before = open_.count(), [], None
-    for r in range(rounds):
+    n, placed, before, r = open_.count(), [], None, 0
+    while n:
         parts = blocks(n, per_part)
-
-        dealt = open_.withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(r)), F.lit(parts)).cast("int"))
+        dealt = open_.mapInPandas(_dealer(parts), "_row long, length long, _part int")
         made = cut(dealt.groupBy("_part").applyInPandas(_packer(r, capacity), "_row long, length long, sequence_id long, offset long, _done boolean"))
-        kept, left = made.filter("_done"), made.filter("NOT _done")
-        if before is not None and made.select("sequence_id").distinct().count() >= before.select("sequence_id").distinct().count():
-            placed.append(before)  # dealing anew saved nothing
-            break
-        placed.append(kept)
-        before, open_, n = left, left.select("_row", "length"), left.count()
-        if n == 0 or r + 1 == rounds or parts == 1:
-            placed.append(left)
+        if before is not None:
+            bins = made.select("sequence_id").distinct().count()
+            if bins >= before.select("sequence_id").distinct().count():
+                placed.append(before)  # dealing anew saved nothing
+                break
+        if parts == 1:
+            placed.append(made)
             break
-    out = placed[0]
-    for p in placed[1:]:
-        out = out.unionByName(p)
-    return rows.join(out.select("_row", "sequence_id", "offset"), "_row").select(*columns, "sequence_id", "offset")
+        before = made.filter("NOT _done")
+        placed.append(made.filter("_done"))
+        open_, n, r = before.select("_row", "length"), before.count(), r + 1
+    out = rows.select("_row", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
+    for p in placed:
+        out = out.unionByName(p.select("_row", "sequence_id", "offset"))
+    return rows.join(out, "_row").select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
