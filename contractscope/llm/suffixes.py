@@ -441,11 +441,21 @@ def later_strings(found: DataFrame) -> DataFrame:
 # --- the operator -----------------------------------------------------------------------------------------------
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """doc_id of the documents of LEAST bytes or more whose whole text an earlier one has; only hashes are shuffled."""
-    keys = docs.filter(F.octet_length("text") >= LEAST).select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(7)).alias("k2"))
-    heads = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last").drop("last")
-    return keys.join(heads, ["k1", "k2"]).filter("doc_id > head").select("doc_id").distinct()
+def copies(docs: DataFrame, most_hot: int = 4096) -> DataFrame:
+    """doc_id of the documents of LEAST bytes or more whose whole text an earlier one has.
+
+    Texts are told apart by length and SHA-256, so only these are shuffled. Keys that more than 1 in most_hot rows
+    share (and more than 1000 rows) are at most most_hot; their heads are sent to every task, so no task gets all their
+    copies.
+    """
+    keys = docs.filter(F.octet_length("text") >= LEAST).select("doc_id", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha"))
+    same = ["size", "sha"]
+    heads = cut(keys.groupBy(*same).agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("head < last").drop("last"))
+    rows = heads.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(heads.filter(F.col("n") > max(1000, rows // most_hot)).select(*same, F.col("head").alias("hot")))
+    known = keys.join(hot, same, "left")
+    rest = known.filter("hot IS NULL").drop("hot").join(heads.select(*same, "head"), same).filter("doc_id > head")
+    return known.filter("doc_id > hot").select("doc_id").union(rest.select("doc_id")).distinct()
 
 
 def repeats(docs: DataFrame, again: DataFrame) -> DataFrame:
@@ -464,17 +474,23 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     Returns `keep` columns, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_text (their whole
     characters) and kept_sha256 for each row. Order
     is by doc_id, then position; strings are judged on the input and never cross documents. A null text counts as
-    empty, a null doc_id comes first, and texts under 100 bytes stay whole. Rows that share a doc_id are one document,
-    whose removed places each of them loses; so they should share their text, too.
+    empty, and texts under 100 bytes stay whole. Rows with a null doc_id come first, in the order of their texts' hashes;
+    those with equal texts are one document. Rows that share a doc_id are one document, too, whose removed places each
+    of them loses; so they should share their text. Long texts are cut for the search, and no string is lost by that. An
+    empty table gives an empty result. `keep` must not name a column that is returned anyway.
     """
     free_shuffles(docs.sparkSession)
     keep = keep if keep is not None else ["doc_id"]
-    first = -(1 << 63)
-    slim = docs.select(F.coalesce("doc_id", F.lit(first)).alias("doc_id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("text"))
+    clash = {"n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256"} & set(keep)
+    if clash:
+        raise ValueError(f"columns that clash with those of the result: {sorted(clash)}")
+    data = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    place = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(data), 2) + F.lit(-(1 << 63)))  # below -(1 << 62)
+    slim = docs.select(place.alias("doc_id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("text"))
     again = cut(copies(slim))
     found = repeats(slim, again)
     others = [c for c in keep if c not in ("doc_id", "text")]
-    whole = docs.select(F.coalesce("doc_id", F.lit(first)).alias("doc_id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("text"), *others)
+    whole = docs.select(place.alias("doc_id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("text"), *others)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields if f.name in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,4 +515,4 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     joined = whole.join(found, "doc_id", "left").join(again.withColumn("_copy", F.lit(True)), "doc_id", "left")
     joined = joined.select("doc_id", "text", *others, F.when(F.col("_copy"), everything).otherwise(F.col("marks")).alias("marks"))
     done = joined.mapInArrow(run, "doc_id long, " + (fields + ", " if fields else "") + "n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string")
-    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(first)))
+    return done.withColumn("doc_id", F.when(F.col("doc_id") >= -(1 << 62), F.col("doc_id")))
