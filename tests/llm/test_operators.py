@@ -4,8 +4,11 @@ import collections
 import hashlib
 import random
 import re
+import struct
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,17 +187,73 @@ def test_language(spark):
 def test_sentencepiece_is_the_library_s(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     path = queries.tokenizer_file("piece_bpe_32k.model")
-    model, fst = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_fst.Transducer.load(path)
+    model, fst = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_fst.Transducer.of(path)
     rng = random.Random(6)
-    texts = ["", " ", "Hello  world\n\nfoo\t bar ", "ﬁ ①é é x　y", "a\x00b\r\n", "</s> [INST] 12345", "a" * 300, "🎉 日本語"]
-    texts += ["".join(rng.choice('abcdeth in onst ="\n.,é') for _ in range(rng.randint(1, 50))) for _ in range(300)]
-    for t in texts:
-        ids = fst.encode(t)
-        assert np.frombuffer(ids, "<i4").tolist() == model.encode(t) and fst.decode(ids) == t
-    rows = spark.createDataFrame([*enumerate(texts[:8]), (99, None)], "doc_id long, text string")
+    texts = ["", " ", "Hello  world\n\nfoo\t bar ", "ﬁ ①é é x　y", "a\x00b\r\n", "</s> [INST] 12345", "a" * 300, "🎉 日本語", "ab" * 5000, " a  b   c ", "▁x ▁"]
+    texts += ["".join(rng.choice('abcdeth in onst ="\n.,é') for _ in range(rng.randint(1, 50))) for _ in range(2000)]
+    for some in (texts, [t for t in texts if "\0" not in t]):
+        ids, begin = fst.encode_all(pa.array(some))
+        assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])] == [model.encode(t) for t in some]
+        assert [x.decode() for x in fst.decode_all(ids, begin)] == [t.replace("▁", " ") for t in some]
+    rows = spark.createDataFrame([*enumerate(texts[:10]), (98, None), (0, "")], "doc_id long, text string").withColumn("n_ids", F.lit("other"))
     made = sentencepiece_fst.encode(rows, path)
-    back = {r.doc_id: r.text for r in sentencepiece_fst.decode(made, path).collect()}
-    assert back == {**dict(enumerate(texts[:8])), 99: ""}
+    back = collections.Counter((r.doc_id, r.text) for r in sentencepiece_fst.decode(made, path).collect())
+    assert back == collections.Counter([*enumerate(texts[:10]), (98, ""), (0, "")])
+    assert made.filter("NOT decoded_same").count() == 0 and sentencepiece_fst.encode(rows.filter("false"), path).count() == 0
+
+
+def _message(*fields):
+    """A protocol buffer message of (number, value) fields: whole numbers, floats, bytes."""
+    def number(n):
+        return bytes([n & 127 | 128]) + number(n >> 7) if n > 127 else bytes([n])
+
+    out = b""
+    for k, v in fields:
+        if isinstance(v, float):
+            out += number(k << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += number(k << 3) + number(v)
+        else:
+            out += number(k << 3 | 2) + number(len(v)) + v
+    return out
+
+
+def _model(kind, pieces, fallback, **normaliser):
+    every = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []), *((p, w, 1) for p, w in pieces)]
+    parts = [(1, _message((1, p.encode()), (2, w), (3, k))) for p, w, k in every]
+    return _message(*parts, (2, _message((3, kind), (35, int(fallback)))), (3, _message((1, b"identity"), (3, normaliser.get("prefix", 1)), (4, normaliser.get("one_space", 0)), (5, 1))))
+
+
+@pytest.mark.parametrize("kind, fallback, one_space", [(1, True, 0), (1, False, 1), (2, True, 0), (2, False, 1)])
+def test_sentencepiece_models(kind, fallback, one_space):
+    """Hand-made models of both kinds, with and without byte fallback, against the library."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rng = random.Random(kind)
+    pieces = ["▁", "a", "b", "c", "▁▁", "ab", "bc", "▁a", "abc", "ca", "▁ab", "aa", "aaa", "cab", "▁abc", "bb", "bca", "aabb", "ba", "▁b"]
+    if kind == 2:
+        weights = [-float(pieces.index(p)) for p in pieces]
+    else:
+        weights = [-rng.randint(8, 72) / 8 for _ in pieces]  # sums are exact, so ties are ties
+    data = _model(kind, zip(pieces, weights), bool(fallback), one_space=one_space)
+    model, fst = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_fst.Transducer.compile(data)
+    texts = ["".join(rng.choice("aaabbbcc  é") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    for t in texts:
+        assert fst.encode(t) == model.encode(t), t
+
+
+def test_sentencepiece_normaliser():
+    """Rules are read from a model's double-array trie, and the longest match is rewritten."""
+    rules = {"ﬁ": "fi", "ﬁx": "FIX", "①": "1"}
+    fst = sentencepiece_fst.Transducer({"f": 0, "i": 1, "1": 2, "x": 3, "▁": 4}, dict.fromkeys("fi1x▁", 0.0), [], [b"f", b"i", b"1", b"x", b" "], 9, True, rules)
+    assert fst.normalise("aﬁ ﬁxﬁ①") == "▁afi▁FIXfi1"
+    # keys a and ab, by the published layout: label in the low byte, bit 8 for a key's end, offset from bit 10 on
+    units = [0] * 1024
+    units[0] = 256 << 10
+    units[256 ^ ord("a")] = ord("a") | 1 << 8 | (256 ^ ord("a") ^ 512) << 10
+    units[512] = 1 << 31 | 0
+    units[512 ^ ord("b")] = ord("b") | 1 << 8 | (512 ^ ord("b") ^ 768) << 10
+    units[768] = 1 << 31 | 2
+    assert sentencepiece_fst.rewrite_rules(struct.pack("<I", 4096) + struct.pack("<1024I", *units) + b"X\0yz\0") == {"a": "X", "ab": "yz"}
 
 
 # --- 5 ---
@@ -255,11 +314,44 @@ def test_packing(documents):
 
 def test_words_are_the_tokenizer_s():
     path = queries.tokenizer_file("word_bpe_49k.json")
-    words_ = packing.WordCache(path, most=20)
+    words_ = packing.WordCache(path, most=30)
     texts = ["Don't I'LL héé é ΑΣ Σ. <|endoftext|>x a..b a.,b 12,3.4 İx ǅ a_b _ ½ ² ①", "x" * 3000, "", "a b\x1cc\x85d  e", "a.b,c . , .", "ﬁn ſ K", None, *("w" + str(i) for i in range(50))]
     want = [words_.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in words_.encode(texts)] == want
+        ids, begin = words_.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])] == want
+    rng = random.Random(2)
+    signs = [*"abZ'. ,-12_eßİΣ中हि²Ⅷำᅡᄀ\t\n", "\u0301", "\u20dd", "'s", "'re", "\U0001f600", "\U0001d400", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(20000)]
+    ids, begin = words_.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])] == [e.ids for e in words_.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_pieces_hold_the_tokenizer_s_ids(documents):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    want = []
+    for r in documents.collect():
+        ids = np.array(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")
+        want += [(r.doc_id, k, a, len(ids[a : a + 200]), zlib.crc32(ids[a : a + 200].tobytes())) for k, a in enumerate(range(0, len(ids), 200))]
+    got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.pieces(documents, path, 200).collect()]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("kind", ["uniform", "short", "big"])
+def test_packing_in_many_parts(spark, kind):
+    """Parts with gaps exchange their items; the result is close to what one part gives."""
+    rng = np.random.default_rng(4)
+    lengths = {"uniform": rng.integers(1, 2049, 24_000), "short": rng.integers(1, 300, 24_000), "big": rng.integers(500, 1100, 24_000)}[kind]
+    items = spark.createDataFrame([(i, int(x), "o") for i, x in enumerate(lengths)], "doc_id long, length long, offset string")
+    rows = packing.pack(items, 2048, 1000).select("doc_id", "length", "sequence_id", "offset").toPandas()
+    assert sorted(rows["doc_id"]) == list(range(len(lengths)))
+    rows = rows.sort_values(["sequence_id", "offset"])
+    before = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
+    assert (before == rows["offset"]).all() and (before + rows["length"] <= 2048).all()
+    assert rows["sequence_id"].nunique() <= 1.005 * packing.best_fit(lengths, 2048)[2]
 
 
 def test_lower_bound_holds():
