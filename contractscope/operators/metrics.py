@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contractscope.operators.panel import running_sum
+
 
 def by_score(df: DataFrame, keys: Sequence[str] = (), score: str = "score") -> DataFrame:
     """Positives, negatives and all rows for each distinct score, and from the highest score down to it."""
@@ -133,13 +135,14 @@ def prediction_sets(rows: DataFrame, thresholds: DataFrame, prob: str = "prob",
 
 
 def conformal_p_values(rows: DataFrame, calibration_rows: DataFrame, prob: str = "prob", name: str = "p_value") -> DataFrame:
-    """(1 + calibration positives whose score is no smaller) / (n + 1), by one running count over distinct scores."""
-    cal = calibration_rows.filter("label = 1").select((1 - F.col(prob)).alias("_s")).groupBy("_s").agg(F.count("*").alias("_c"))
+    """(1 + calibration positives whose score is no smaller) / (n + 1); rows without a probability keep a null value."""
+    known = calibration_rows.filter((F.col("label") == 1) & F.col(prob).isNotNull())
+    cal = known.select((1 - F.col(prob)).alias("_s")).groupBy("_s").agg(F.count("*").alias("_c"))
     asked = rows.withColumn("_s", 1 - F.col(prob))
-    both = cal.unionByName(asked.select("_s").distinct().withColumn("_c", F.lit(0).cast("long"))).groupBy("_s").agg(F.sum("_c").alias("_c"))
-    w = Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    table = both.select("_s", ((1 + F.sum("_c").over(w)) / (1 + F.sum("_c").over(Window.partitionBy()))).alias(name))
-    return asked.join(table, "_s").drop("_s")
+    both = cal.unionByName(asked.filter("_s IS NOT NULL").select("_s").distinct().withColumn("_c", F.lit(0).cast("long"))).groupBy("_s").agg(F.sum("_c").alias("_c"))
+    n = known.count()
+    table = running_sum(both, "_s", "_c", "_upto", down=True).select("_s", ((1 + F.col("_upto")) / (1 + F.lit(n))).alias(name))
+    return asked.join(table, "_s", "left").drop("_s")
 
 
 def coverage(sets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -42,26 +42,51 @@ def average_rank(score: str, *keys: str) -> Column:
     return F.rank().over(w) + (ties - 1) / F.lit(2.0)
 
 
+def running_sum(counts: DataFrame, order: str, value: str, name: str, down: bool = False, parts: int = 64) -> DataFrame:
+    """Add the sum of value over all rows up to each one in the order of a distinct number, without sorting in one task.
+
+    Rows are cut into ranges of the order by approximate quantiles; each range is summed up by itself, and the sums of the
+    ranges before it, at most `parts` numbers, are added.
+    """
+    edges = [e for e in counts.agg(F.percentile_approx(order, F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]), F.lit(10_000))).first()[0] or []]
+    edges = sorted(set(edges))
+    place = F.lit(0)
+    for i, e in enumerate(edges):
+        place = F.when(F.col(order) > F.lit(e), F.lit(i + 1)).otherwise(place)
+    dealt = counts.withColumn("_part", place)
+    totals = {r["_part"]: r["s"] for r in dealt.groupBy("_part").agg(F.sum(value).alias("s")).collect()}
+    before, so_far = {}, 0
+    for k in sorted(totals, reverse=down):
+        before[k], so_far = so_far, so_far + (totals[k] or 0)
+    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    w = Window.partitionBy("_part").orderBy(F.desc(order) if down else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumn(name, F.sum(value).over(w) + offset[F.col("_part")]).drop("_part")
+
+
 def percentile_rank(df: DataFrame, score: str, name: str = "percentile_rank", keys: Sequence[str] = ()) -> DataFrame:
-    """Average rank over the number of rows, times 100.
+    """Average rank over the number of scored rows, times 100; rows without a score keep a null rank.
 
-    Ranks are summed up from one row per distinct score, so equal scores, however many, never meet in one task.
+    Ranks are summed up from one row per distinct score, so equal scores, however many, never meet in one task; without
+    keys, the distinct scores are cut into ranges.
     """
-    counts = df.groupBy(*keys, score).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(score)
-    whole = Window.partitionBy(*keys)
-    upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.withColumn(name, (upto - (F.col("_c") - 1) / F.lit(2.0)) / F.sum("_c").over(whole) * 100)
-    return df.join(ranks.drop("_c"), [*keys, score])
+    counts = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("_c"))
+    if keys:
+        upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.withColumns({"_upto": upto, "_all": F.sum("_c").over(Window.partitionBy(*keys))})
+    else:
+        counts = running_sum(counts, score, "_c", "_upto").withColumn("_all", F.lit(df.filter(F.col(score).isNotNull()).count()))
+    ranks = counts.withColumn(name, (F.col("_upto") - (F.col("_c") - 1) / F.lit(2.0)) / F.col("_all") * 100)
+    return df.join(ranks.drop("_c", "_upto", "_all"), [*keys, score], "left")
 
 
 def share_below(df: DataFrame, reference: DataFrame, score: str, name: str = "share_below") -> DataFrame:
-    """Percentage of reference scores strictly below each score, by one running count over distinct scores."""
-    both = reference.groupBy(score).agg(F.count("*").alias("_r")).unionByName(df.select(score).distinct().withColumn("_r", F.lit(0).cast("long")))
-    merged = both.groupBy(score).agg(F.sum("_r").alias("_r"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    table = merged.select(score, (F.coalesce(F.sum("_r").over(w), F.lit(0)) / F.sum("_r").over(Window.partitionBy()) * 100).alias(name))
-    return df.join(table, score)
+    """Percentage of reference scores strictly below each score; rows without a score keep a null share."""
+    known = reference.filter(F.col(score).isNotNull())
+    both = known.groupBy(score).agg(F.count("*").alias("_r")).unionByName(df.filter(F.col(score).isNotNull()).select(score).distinct().withColumn("_r", F.lit(0).cast("long")))
+    merged = running_sum(both.groupBy(score).agg(F.sum("_r").alias("_r")), score, "_r", "_upto")
+    n = known.count()
+    table = merged.select(score, F.try_divide((F.col("_upto") - F.col("_r")) * 100.0, F.lit(n)).alias(name))
+    return df.join(table, score, "left")
 
 
 def risk_band(rank: Column) -> Column:

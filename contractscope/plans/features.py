@@ -56,7 +56,7 @@ def subject_kind(c):
 
 def contracts(raw: DataFrame) -> DataFrame:
     """Base table, one row per cig: the prevalent lot line, with dates, amounts, classes and derived features."""
-    t = pick_one(raw.filter(F.trim("flag_prevalente") == "1"), ["cig"], F.col("cod_cpv").asc_nulls_last())
+    t = pick_one(raw.filter(F.trim("flag_prevalente") == "1"), ["cig"], *[F.col(c).asc_nulls_last() for c in ("cod_cpv", "importo_lotto", "luogo_istat")])
     for c in ("data_pubblicazione", "data_scadenza_offerta", "data_ultimo_perfezionamento", "data_comunicazione_esito"):
         t = t.withColumn(c, moment(F.col(c)))
     for c in ("importo_complessivo_gara", "importo_lotto", "importo_sicurezza"):
@@ -85,7 +85,7 @@ def awards(raw: DataFrame, base: DataFrame, targets: DataFrame | None = None) ->
         t = t.withColumn(c, number(F.col(c)))
     for c in ("data_aggiudicazione_definitiva", "data_comunicazione_esito"):
         t = t.withColumn(c, moment(F.col(c)))
-    t = pick_award(t, targets).join(base.select("cig", F.col("data_pubblicazione").alias("_p")), "cig", "left")
+    t = pick_award(t, targets, F.col("importo_aggiudicazione")).join(base.select("cig", F.col("data_pubblicazione").alias("_p")), "cig", "left")
     made = t.withColumns({
         "pct_offerte_escluse": excluded_share(F.col("numero_offerte_ammesse"), F.col("numero_offerte_escluse"), F.col("num_imprese_offerenti")),
         "ribasso_spread": F.col("massimo_ribasso") - F.col("ribasso_aggiudicazione"),
@@ -127,13 +127,34 @@ def starts(raw: DataFrame, awarded: DataFrame) -> DataFrame:
     t = raw.withColumns({c: moment(F.col(c)) for c in ("data_stipula_contratto", "data_termine_contrattuale", "data_inizio_effettiva")})
     t = t.join(awarded.select("cig", F.col("id_aggiudicazione").alias("_a"), "data_aggiudicazione_definitiva"), "cig", "left")
     t = pick_one(t, ["cig"], (F.col("id_aggiudicazione") == F.col("_a")).desc_nulls_last(), F.col("id_aggiudicazione"), F.col("data_stipula_contratto").asc_nulls_last())
-    return t.select("cig", lag_days(F.col("data_aggiudicazione_definitiva"), F.col("data_stipula_contratto")).alias("lag_stipula_aggiudicazione_giorni"), lag_days(F.coalesce("data_inizio_effettiva", "data_stipula_contratto"), F.col("data_termine_contrattuale")).alias("durata_pianificata_giorni"), F.col("consegna_frazionata").try_cast("tinyint").alias("consegna_frazionata"), F.col("consegna_sotto_riserva").try_cast("tinyint").alias("consegna_sotto_riserva"))
+    return t.select("cig", F.coalesce("data_inizio_effettiva", "data_stipula_contratto").alias("inizio"), F.col("data_termine_contrattuale").alias("termine"), lag_days(F.col("data_aggiudicazione_definitiva"), F.col("data_stipula_contratto")).alias("lag_stipula_aggiudicazione_giorni"), lag_days(F.coalesce("data_inizio_effettiva", "data_stipula_contratto"), F.col("data_termine_contrattuale")).alias("durata_pianificata_giorni"), F.col("consegna_frazionata").try_cast("tinyint").alias("consegna_frazionata"), F.col("consegna_sotto_riserva").try_cast("tinyint").alias("consegna_sotto_riserva"))
+
+
+def _within(c):
+    """A date moved into 2000 to 2040."""
+    edge = lambda x: F.lit(x).cast("timestamp")
+    return F.when(c.isNotNull(), F.least(F.greatest(c, edge("2000-01-01")), edge("2040-01-01")))
 
 
 def variants(raw: DataFrame, minor: tuple[float, ...] = (1.0,)) -> DataFrame:
-    """Number, whether any is substantial (a null reason counts), and the first approval."""
+    """Number, whether any is substantial (a null reason counts), and the first approval, moved into 2000 to 2040."""
     big = F.coalesce(~F.col("cod_motivo_variante").try_cast("double").isin(list(minor)), F.lit(True))
-    return raw.groupBy("cig").agg(F.count("*").alias("n_varianti"), F.max(big.cast("int")).alias("flag_variante_sostanziale"), F.min(moment(F.col("data_approvazione_variante"), low="2000-01-01", high="2040-12-31")).alias("prima_variante"))
+    return raw.groupBy("cig").agg(F.count("*").alias("n_varianti"), F.max(big.cast("int")).alias("flag_variante_sostanziale"), F.min(_within(moment(F.col("data_approvazione_variante"), low="1678-01-01", high="2262-01-01"))).alias("prima_variante"))
+
+
+def variant_timing(wide: DataFrame) -> DataFrame:
+    """Add when the first variant came: days from the award (none below zero), share of the planned time, whether after
+    its end, and overrun.
+
+    Contracts without a start or a variant have nulls; overrun counts only where there is a variant. The last three are
+    defined here, as their names say, since no published step makes them.
+    """
+    return wide.withColumns({
+        "delta_prima_variante_giorni": lag_days(_within(F.col("data_aggiudicazione_definitiva")), F.col("prima_variante")),
+        "pct_vita_prima_variante": ratio(days_between(F.col("inizio"), F.col("prima_variante")), F.col("durata_pianificata_giorni"), 0, 10),
+        "flag_variante_oltre_termine": (F.col("prima_variante") > F.col("termine")).cast("int"),
+        "pct_overrun_variante": F.when(F.col("n_varianti") > 0, F.col("pct_overrun_core")),
+    })
 
 
 def suspensions(raw: DataFrame) -> DataFrame:
@@ -186,6 +207,11 @@ def wide_table(tables: dict[str, DataFrame], labels: DataFrame | None = None) ->
             wide = wide.withColumn("pct_durata_sospesa", F.when(F.col("n_sospensioni") == 0, 0.0).otherwise(ratio(F.col("durata_totale_sospensioni_gg"), F.col("durata_pianificata_giorni"), 0, 10)))
     if "subappalti" in tables:
         wide = present(wide, tables["subappalti"], ["cig"], "in_subappalti")
+        if "flag_subappalto" in wide.columns:  # said by the award, or listed among the subcontracts
+            said = F.coalesce(F.lower(F.trim(F.col("flag_subappalto").cast("string"))).isin("true", "1"), F.lit(False))
+            wide = wide.withColumn("flag_subappalto", (said | (F.col("in_subappalti") == 1)).cast("int"))
+    if {"inizio", "prima_variante", "pct_overrun_core"} <= set(wide.columns):
+        wide = variant_timing(wide)
     if "contesto_province" in tables:
         wide = wide.join(tables["contesto_province"].select("codice_provincia", "anno", "tasso_disoccupazione", "reddito_irpef_procapite", "tasso_omicidi_100k"), ["codice_provincia", "anno"], "left")
     return wide.join(labels.select("cig", "label"), "cig", "left") if labels is not None else wide.withColumn("label", F.lit(None).cast("int"))

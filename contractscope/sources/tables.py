@@ -50,7 +50,11 @@ def sniff(head: str, delimiters: Sequence[str] = (";", ",", "\t", "|")) -> str:
     return max(delimiters, key=lambda d: (len(next(csv.reader(io.StringIO(head), delimiter=d), [])), -list(delimiters).index(d)))
 
 
-def decode(data: bytes, encodings: Sequence[str] = ("utf-8-sig", "cp1252", "latin-1")) -> str:
+#: Encodings in the order in which they are tried.
+ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
+
+
+def decode(data: bytes, encodings: Sequence[str] = ENCODINGS) -> str:
     """Text by the first encoding that fits strictly."""
     for e in encodings:
         try:
@@ -63,25 +67,34 @@ def decode(data: bytes, encodings: Sequence[str] = ("utf-8-sig", "cp1252", "lati
 def recover_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Broken CSV: fields beyond the header's are rejoined into the last column, short rows padded, empty lines dropped.
 
-    Lines are read as bytes and parsed where they lie, so files split over tasks; a quoted field may not span lines.
-    The header is the first line of the file (of the first file of a folder); its delimiter is found if not given.
-    Column names are normalised and _source_file is added.
+    Files are cut into lines by Spark, which keeps their bytes, so they split over tasks; a quoted field may not span
+    lines. A file's encoding is decided over the whole file: UTF-8 if all its lines are, else cp1252 if that fits, else
+    latin-1. The header is the first line that is not blank; its delimiter is found if not given. Column names are
+    normalised and _source_file is added. Lines equal to the header are dropped, so the files of a folder may each have it.
     """
-    raw = spark.read.format("text").load(path)
-    lines = spark.read.text(path, wholetext=False).select(F.encode("value", "UTF-8").alias("line"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_source_file"))
-    first = raw.filter(F.trim("value") != "").first()
+    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    lines = spark.read.text(path, lineSep="\n").select(F.col("value").cast("binary").alias("line"), file.alias("_source_file"))
+    first = lines.filter(F.trim(F.regexp_replace(F.decode("line", "ISO-8859-1"), "[\\r\ufeff]", "")) != "").first()
     if first is None:
         return spark.createDataFrame([], "_source_file string")
-    head = first[0].lstrip("﻿")
+    head = decode(bytes(first["line"])).strip("\r\n").lstrip("\ufeff")
     delimiter = sep or sniff(head)
     names = [header_name(c) for c in next(csv.reader([head], delimiter=delimiter))]
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = [tuple(_fits(line or b"", e) for e in ENCODINGS[:2]) for line in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([f[i] for f in fits], pa.bool_()) for i in range(2))], names=["_source_file", "utf8", "cp1252"])
+
+    chosen = F.when(F.bool_and("utf8"), ENCODINGS[0]).when(F.bool_and("cp1252"), ENCODINGS[1]).otherwise(ENCODINGS[2])
+    encoding = lines.mapInArrow(fit, "_source_file string, utf8 boolean, cp1252 boolean").groupBy("_source_file").agg(chosen.alias("encoding"))
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, files = [], []
-            for line, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = decode(line or b"").strip("\r\n").lstrip("﻿")
-                if not text.strip() or text == head.strip("\r\n"):
+            for line, file, code in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                text = (line or b"").decode(code).strip("\r\n").lstrip("\ufeff")
+                if not text.strip() or text == head:
                     continue
                 cells = next(csv.reader([text], delimiter=delimiter))
                 if len(cells) > len(names):
@@ -91,7 +104,16 @@ def recover_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataF
             columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(files, pa.string())], names=[*names, "_source_file"])
 
-    return lines.mapInArrow(parse, ", ".join(f"`{n}` string" for n in names) + ", _source_file string")
+    told = lines.join(encoding, "_source_file").select("line", "_source_file", "encoding")
+    return told.mapInArrow(parse, ", ".join(f"`{n}` string" for n in names) + ", _source_file string")
+
+
+def _fits(line: bytes, encoding: str) -> bool:
+    try:
+        line.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def select_known(df: DataFrame, wanted: Sequence[str]) -> tuple[DataFrame, list[str]]:

@@ -4,6 +4,7 @@ import math
 
 import pytest
 
+from contractscope import plan_queries  # noqa: F401
 from contractscope import queries as own
 from tests.compare import both
 
