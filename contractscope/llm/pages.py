@@ -58,6 +58,7 @@ class Reader(HTMLParser):
     def __post_init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = []
+        self.open: dict[str, int] = {}
         self.parts: list[str] = []
         self.tags = self.linked = self.roots = 0
 
@@ -81,18 +82,24 @@ class Reader(HTMLParser):
             elif self.stack[i][0] in bounds:
                 break
         if found is not None:
-            del self.stack[found:]
+            self._cut(found)
+
+    def _cut(self, i: int) -> None:
+        for tag, _, _ in self.stack[i:]:
+            self.open[tag] -= 1
+        del self.stack[i:]
 
     def _imply(self, tag: str) -> None:
         """End what a start tag ends without an end tag, by HTML's rules; elements that need an end tag stay open."""
         if tag == "body" or (tag not in IN_HEAD and self.stack and self.stack[-1][0] == "head"):
             self._end({"head"}, {"body", "template"})
-        if tag in IMPLIED:
+        if tag in IMPLIED and any(map(self.open.get, IMPLIED[tag][0])):
             self._end(*IMPLIED[tag])
         if tag in ENDS_P:
-            self._end({"p"}, SCOPE)
+            if self.open.get("p"):
+                self._end({"p"}, SCOPE)
         if tag in _HEADING and self.stack and self.stack[-1][0] in _HEADING:
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -107,7 +114,7 @@ class Reader(HTMLParser):
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         if tag in SILENT or tag in LAYOUT or (tag == "header" and not root):
             silent = True
-        elif names and tag not in {"html", "body", "article", "main"} and (_NAMED.search(names) or (not root and re.search(r"\bheader\b", names, re.I))):
+        elif names and tag not in {"html", "body"} and (root or tag not in MAIN) and (_NAMED.search(names) or (not root and re.search(r"\bheader\b", names, re.I))):
             silent = True
         if any(k == "hidden" for k, _ in attrs):
             silent = True
@@ -115,22 +122,25 @@ class Reader(HTMLParser):
             self.roots += 1
             root = self.roots
         self.stack.append((tag, silent, root))
+        self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
+        if not self.open.get(tag):
+            return
+        i = len(self.stack) - 1
+        while self.stack[i][0] != tag:
+            i -= 1
+        self._cut(i)
 
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][0] == "head" and data.strip():
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         if not self._state()[0]:
             self.parts.append(data)
-            if any(t == "a" for t, _, _ in self.stack):
+            if self.open.get("a"):
                 self.linked += len(data.strip())
         elif self.parts and self.parts[-1] != " ":
             self.parts.append(" ")
@@ -152,8 +162,9 @@ def select(lines: list[Line], sigma: float = 1.0, share: float = 0.2) -> list[st
     """Texts of the lines in the content regions, in page order.
 
     Each line's ratio is its characters outside links over its tags. Smoothed ratios of at least `share` of their
-    standard deviation mark regions. A region in an article or main element stands for that whole element, as its
-    short lines belong to it too; outside of such elements the lines of the marked regions are taken.
+    standard deviation mark content regions, the others gaps. Outside of article and main elements the lines of the
+    content regions are taken. An article or main element that has a content region counts as one, gaps and all, as its
+    short lines belong to it; but not a gap that is mostly links, such as a list of other articles.
     """
     kept = [x for x in lines if not x.silent]
     if not kept:
@@ -161,13 +172,16 @@ def select(lines: list[Line], sigma: float = 1.0, share: float = 0.2) -> list[st
     ratio = np.array([max(0, len(x.text) - x.links) / max(1, x.tags) for x in kept])
     even = smooth(ratio, sigma)
     marked = even >= share * even.std()
-    weight: dict[int, float] = {}
-    for x, hit in zip(kept, marked, strict=True):
-        if hit and x.root:
-            weight[x.root] = weight.get(x.root, 0) + len(x.text)
-    if weight:
-        return [x.text for x in kept if x.root in weight]
-    return [x.text for x, hit in zip(kept, marked, strict=True) if hit and x.links <= len(x.text) / 2]
+    roots = {x.root for x, hit in zip(kept, marked, strict=True) if hit and x.root}
+    if not roots:
+        return [x.text for x, hit in zip(kept, marked, strict=True) if hit and x.links <= len(x.text) / 2]
+    starts = np.flatnonzero(np.concatenate([[True], (marked[1:] != marked[:-1]) | np.array([x.root != y.root for x, y in zip(kept, kept[1:])], bool)]))
+    out: list[str] = []
+    for a, b in zip(starts, [*starts[1:], len(kept)], strict=True):
+        some = kept[a:b]
+        if some[0].root in roots and (marked[a] or 2 * sum(x.links for x in some) <= sum(len(x.text) for x in some)):
+            out += [x.text for x in some]
+    return out
 
 
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.2) -> str:
