@@ -229,35 +229,53 @@ def train(df: DataFrame, n_rows: int, sample_rows: int = 8192) -> Quantiser | No
 
 
 def index(df: DataFrame, fit: Quantiser) -> DataFrame:
-    """(vec_id, vec, cell, codes) of every row; vectors of another length than the model's are left out."""
+    """(vec_id, vec, cell, codes) of every row; vectors of another length than the model's have cell -1 and no codes."""
     d = fit.centres.shape[1]
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
-            cell, codes = fit.encode(x)
-            packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array([row.tobytes() for row in packed], pa.binary())], names=["vec_id", "vec", "cell", "codes"])
+            own = np.diff(batch.column(1).offsets.to_numpy()) == d
+            cell, codes = np.full(batch.num_rows, -1), [b""] * batch.num_rows
+            if own.any():
+                x = batch.column(1).filter(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                cell[own], made = fit.encode(x)
+                packed = made[:, 0::2] | (made[:, 1::2] << 4)
+                for i, row in zip(np.flatnonzero(own).tolist(), packed, strict=True):
+                    codes[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(codes, pa.binary())], names=["vec_id", "vec", "cell", "codes"])
 
-    return df.filter(F.size("vec") == d).mapInArrow(run, "vec_id long, vec array<double>, cell int, codes binary")
+    return df.mapInArrow(run, "vec_id long, vec array<double>, cell int, codes binary")
 
 
 def nearest(df: DataFrame, k: int = 20, every: int = 20, rerank: int = 200, per_query_block: int = 1024, per_block: int = 16_384, sample_rows: int = 8192) -> DataFrame:
     """About the k nearest by inner product: (query_id, rank, vec_id, score); scores are exact.
 
     Every row is indexed by four-bit codes. A task scans the codes of its block by table look-ups and computes exact
-    inner products, in double precision, of the `rerank` best. Equal scores go to the smaller vec_id.
+    inner products, in double precision, of the `rerank` best. Equal scores go to the smaller vec_id. Vectors meet those of
+    their own length only; the quantiser is fitted for the sample's most frequent length, and the vectors of other lengths are
+    compared exactly. Repeated vec_ids each count as candidates, but never for a query of that vec_id, and a repeated query has
+    its rows' lists merged. An empty table gives an empty result.
     """
     n_rows, n_queries = df.select(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     fit = train(df, n_rows, sample_rows)
     if fit is None:
         return df.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
 
+    def exactly(qi: np.ndarray, qm: np.ndarray, ci: np.ndarray, cm: np.ndarray) -> pa.Table:
+        ids, found, scores = [], [], []
+        for i, x in zip(qi, qm, strict=True):
+            exact = (cm * x).sum(axis=1)
+            best = [r for r in np.lexsort((ci, -exact)) if ci[r] != i][:k]
+            ids.append(np.full(len(best), i)), found.append(ci[best]), scores.append(exact[best])
+        return _result(ids, found, scores, pa.float64())
+
     def task(q: pa.Table, c: pa.Table) -> pa.Table:
         qm, cm = _matrix(q, "vec"), _matrix(c, "vec")
         qi, ci, cell = q.column("vec_id").to_numpy(), c.column("vec_id").to_numpy(), c.column("cell").to_numpy()
+        if cell[0] < 0:
+            return exactly(qi, qm, ci, cm)
         codes = np.frombuffer(b"".join(c.column("codes").to_pylist()), np.uint8).reshape(len(ci), -1).T.astype(np.intp)
         spread = fit.spread[cell].astype(np.float32)
         ids, found, scores = [], [], []
@@ -280,5 +298,5 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, rerank: int = 200, per_
         return _result(ids, found, scores, pa.float64())
 
     rows = index(df, fit)
-    queries = df.filter((F.col("vec_id") % every == 0) & (F.size("vec") == fit.centres.shape[1]))
+    queries = df.filter(F.col("vec_id") % every == 0)
     return search_blocks(queries, rows, task, k, "double", n_queries, n_rows, per_query_block, per_block)
