@@ -34,6 +34,8 @@ BITS = 4
 FILTER_BITS = 1 << 23
 #: Tokens of the sets that are compared with a block at once.
 AT_ONCE = 1 << 13
+#: Parts that a hot token's rows are dealt to, and the most tokens that count as hot, whatever the number of rows.
+PARTS, MOST_HOT = 8, 4096
 _PAIR = "a long, b long, na int, nb int, token long, pos int, large boolean"
 
 
@@ -419,15 +421,26 @@ def _qualifying(asked: DataFrame, member: DataFrame, sets: DataFrame, percent: i
     return both.mapInArrow(run, "set long, h long").distinct()
 
 
+def _dealt(rows: DataFrame, hot: DataFrame, by: str, own: str, other: str) -> DataFrame:
+    """Rows with the numbers of the blocks in which they meet: one block for a token, but PARTS x PARTS blocks for a hot one.
+
+    A hot token's rows are dealt to PARTS parts by a hash, and each goes to every part of the other side once.
+    """
+    part = F.expr(f"cast(if(hot, pmod(xxhash64({by}), {PARTS}), 0) as int)").alias(own)
+    every = F.explode(F.expr(f"if(hot, sequence(0, {PARTS - 1}), array(0))")).alias(other)
+    return rows.join(hot, "token", "left").select(*rows.columns, part, every)
+
+
 def _through_groups(docs: DataFrame, rows: DataFrame, links: DataFrame, classes: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
     """Links between different groups, from the rows of large meetings, by the token-group matrix; and the sets it met."""
     groups = components(links)
     own = cut(rows.join(groups.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "pos", F.coalesce("component", "set").alias("g")))
     # what a group's members in a meeting allow at most, by their sizes: one row per meeting, group and size
     kinds = own.groupBy("token", "g", "n").agg(F.min("pos").alias("pos")).toDF("token", "h", "m", "at")
-    several = own.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("token")
+    several = cut(own.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("rows")).filter("g0 <> g1").select("token", "rows"))
+    hot = F.broadcast(several.filter(F.col("rows") > max(512, own.count() // MOST_HOT)).select("token", F.lit(True).alias("hot")))  # at most MOST_HOT rows
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m) AND {100 + percent} * least(n - pos, m - at) >= {percent} * (n + m)"
-    asked = own.join(several, "token").join(kinds, "token").filter("g <> h").filter(fits)
+    asked = _dealt(own, hot, "set", "i", "j").join(_dealt(kinds, hot, "h, m", "j", "i"), ["token", "i", "j"]).filter("g <> h").filter(fits)
     asked = cut(asked.groupBy("set", "h", F.expr(_LEVEL % "m").alias("level")).agg(F.first("n").alias("n"), F.min("m").alias("m")))
     # the matrix, first by buckets: a group has a row for each level of its members' sketches, with their greatest counts
     inside = own.select("set", "g", F.expr(_LEVEL % "n").alias("level")).distinct()
@@ -439,7 +452,8 @@ def _through_groups(docs: DataFrame, rows: DataFrame, links: DataFrame, classes:
     opened = cut(_qualifying(asked, member, sets, percent))
     # open them: members that met the query in a way that allows a link
     within = own.select("token", F.col("set").alias("y"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("g").alias("h"))
-    pairs = own.join(opened, "set").select("token", "set", "n", "pos", "h").join(within, ["token", "h"]).filter(fits)
+    asking = own.join(opened, "set").select("token", "set", "n", "pos", "h")
+    pairs = _dealt(asking, hot, "set", "i", "j").join(_dealt(within, hot, "y", "j", "i"), ["token", "h", "i", "j"]).filter(fits)
     tidy = pairs.select(F.least("set", "y").alias("a"), F.greatest("set", "y").alias("b"), F.when(F.col("set") < F.col("y"), F.col("n")).otherwise(F.col("m")).alias("na"), F.when(F.col("set") < F.col("y"), F.col("m")).otherwise(F.col("n")).alias("nb"))
     return verified(plausible(tidy.distinct(), classes, percent), sets, percent), sets
 
