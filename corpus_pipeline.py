@@ -19,29 +19,42 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learnt language go on, with lang as predicted; those without letters or text are rejected."""
+    """Documents with letters go on, with lang as predicted; those without text or letters are rejected.
+
+    Where no document has a lang to learn from, lang stays as it is. Repeated rows are kept, and so are rows without
+    doc_id; an empty table gives an empty result.
+    """
     small_batches(spark, 512)
     model = languages.train(docs, languages.learnable())
-    known = languages.predict(docs.select(*COLUMNS), model).filter("lang_pred <> 'und'")
-    return known.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    told = languages.predict(docs.select(*COLUMNS), model).filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return told.withColumn("lang", F.coalesce(F.nullif("lang_pred", F.lit("und")), "lang")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by word shingles the one with the smallest doc_id stays."""
+    """Of each group of documents linked by word shingles the one with the smallest doc_id stays.
+
+    Repeated rows shrink to one. A row without doc_id counts as a document before all others, named by its text's hash;
+    texts without words are linked with nothing and stay.
+    """
     small_batches(spark, 512)
-    kept = jaccard.similar(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    key = F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(-(1 << 63)))
+    named = docs.select(key.alias("_key"), *COLUMNS)
+    kept = jaccard.similar(named.select(F.col("_key").alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return named.join(kept, "_key", "left_semi").dropDuplicates(["_key", "text"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every 100-byte string stays where it starts first; characters that lose bytes go whole, and so do emptied documents."""
+    """Every 100-byte string stays where it starts first; characters that lose bytes go whole, and so do emptied documents.
+
+    Rows without doc_id come first; an empty table gives an empty result.
+    """
     small_batches(spark, 512)
     left = suffixes.dedup(docs, ["doc_id", "lang", "source"])
     return left.withColumn("text", F.col("kept_text")).filter("text <> ''").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left, with their places in sequences of 2048 tokens."""
+    """Pieces of what is left, with their places in sequences of 2048 tokens; a null text is its end alone."""
     small_batches(spark, 1000)
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
