@@ -230,7 +230,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int = 5) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), values], names=["set", "tokens"])
 
-    texts = _sifted(docs.select("doc_id", F.encode("text", "UTF-8").alias("text")), wanted).join(wanted, "doc_id").select("set", "text")
+    # a merge join keeps the two Python steps in two stages, so a task has one Python worker at a time
+    texts = _sifted(docs.select("doc_id", F.encode("text", "UTF-8").alias("text")), wanted).join(wanted.hint("merge"), "doc_id").select("set", "text")
     return texts.mapInArrow(run, "set long, tokens array<long>").dropDuplicates(["set"])
 
 
