@@ -12,9 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make sure that a checkpoint folder is set; one that the cluster names is left alone."""
+    """Make sure that a checkpoint folder is set; one that the cluster names is left alone.
+
+    Only a local session gets a folder of this machine; on a cluster that names none, this is an error.
+    """
     if not spark.sparkContext.getCheckpointDir():
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or "/tmp/contractscope-checkpoints")
 
 
