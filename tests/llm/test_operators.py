@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import types
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from contractscope.llm import chat, graph, jaccard, languages, packing, pages, queries, sentencepiece_fst, suffixes, urls, vectors
+from contractscope.llm import chat, frames, graph, jaccard, languages, packing, pages, queries, sentencepiece_fst, suffixes, urls, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["the", "of", "and", "house", "river", "stone", "light", "water", "green", "Ärger", "été", "niño", "run", "far", "old", "new"]
@@ -22,6 +23,19 @@ def words(rng, n):
     return " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
 
 
+def test_shared_dir_on_a_cluster():
+    held = {}
+    context = types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: held.get("dir"), getConf=lambda: {}, setCheckpointDir=lambda x: held.update(dir=x))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        frames.shared_dir(types.SimpleNamespace(sparkContext=context, conf={}))
+    context.master = "local-cluster[3,2,3000]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        frames.shared_dir(types.SimpleNamespace(sparkContext=context, conf={}))
+    context.getConf = lambda: {"spark.checkpoint.dir": "/shared/here"}
+    frames.shared_dir(types.SimpleNamespace(sparkContext=context, conf={}))
+    assert held == {"dir": "/shared/here"}
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     rng = random.Random(5)
