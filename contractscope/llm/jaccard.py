@@ -288,11 +288,11 @@ def frequent(seen: DataFrame, most: int, least: int = 8) -> np.ndarray:
     return counted.filter(F.col("step") >= chosen).select("token").toArrow().column(0).to_numpy()
 
 
-def similar(docs: DataFrame, percent: int = 75, width: int = 5, most_last: int = 1 << 20) -> DataFrame:
+def similar(docs: DataFrame, percent: int = 75, width: int = 5, most_last: int = 1 << 20, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document.
 
     component_id is the smallest doc_id that links reach; n_links counts all links from a document's class to other
-    classes, whose copies are not expanded. Null, empty and blank texts have no shingles and are alone. The list
+    classes, whose copies are not expanded, and is left out without count_links. Null, empty and blank texts have no shingles and are alone. The list
     of shingles ordered last has at most `most_last` entries, whatever the number of documents; it only sets the order.
     """
     free_shuffles(docs.sparkSession)
@@ -304,27 +304,30 @@ def similar(docs: DataFrame, percent: int = 75, width: int = 5, most_last: int =
     met = cut(meetings(prefixes(docs, last, percent, width), percent))
     pairs = met.filter("NOT large").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
     pairs = cut(plausible(pairs, classes, percent))
+    large = not met.filter("large").isEmpty()
     rows = met.filter("large").select("token", F.col("a").alias("set"), F.col("na").alias("n"), "pos").distinct()
     named_docs = classes.select("doc_id", "set")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     sets = cut(sets_of(docs, named_docs.join(nodes, "set").select("doc_id", "set"), width))
     links = cut(verified(pairs, sets, percent))
-    large = not rows.isEmpty()
     if large:
         more, more_sets = _through_groups(docs, rows, links, classes, percent, width)
         links = cut(links.union(more).distinct())
     named = classes.select(F.col("set").alias("a"), F.col("doc_id").alias("da"))
     by_doc = links.join(named, "a").join(named.toDF("b", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
     found = components(by_doc)
-    if large:
-        sets = sets.union(more_sets.join(sets.select("set"), "set", "left_anti"))
-        degree = _degrees(links, rows, sets, classes.join(found, F.col("doc_id") == F.col("node")).select("set", F.col("component").alias("g")), percent)
-    else:
-        degree = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
-    of_class = classes.join(found, F.col("doc_id") == F.col("node"), "left").join(degree, "set", "left").select("set", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_class = classes.join(found, F.col("doc_id") == F.col("node"), "left").select("set", F.coalesce("component", "doc_id").alias("component_id"))
+    if count_links:
+        if large:
+            sets = sets.union(more_sets.join(sets.select("set"), "set", "left_anti"))
+            degree = _degrees(links, rows, sets, classes.join(found, F.col("doc_id") == F.col("node")).select("set", F.col("component").alias("g")), percent)
+        else:
+            degree = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
+        of_class = of_class.join(degree, "set", "left")
     out = whole.join(of_class, "set", "left")
-    alone = F.col("n") == 0
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    counts = [F.when(F.col("n") == 0, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")] if count_links else []
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component, *counts)
 
 
 def _row_of_counts(sketch: bytes, level: int) -> np.ndarray:

@@ -521,6 +521,9 @@ def test_jaccard_counts_all_links(spark, monkeypatch):
         got = jaccard.similar(docs).collect()
         assert {r.doc_id: r.n_links for r in got} == want
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_of(rows)
+        uncounted = jaccard.similar(docs, count_links=False)
+        assert uncounted.columns == ["doc_id", "n_shingles", "component_id"]
+        assert sorted(uncounted.collect()) == sorted((r.doc_id, r.n_shingles, r.component_id) for r in got)
 
 
 def test_blocks_count_links(spark):
