@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     small_batches(spark, 512)
     key = F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(-(1 << 63)))
     named = docs.select(key.alias("_key"), *COLUMNS)
-    kept = jaccard.similar(named.select(F.col("_key").alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    kept = jaccard.similar(named.select(F.col("_key").alias("doc_id"), "text"), count_links=False).filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     return named.join(kept, "_key", "left_semi").dropDuplicates(["_key", "text"]).select(*COLUMNS)
 
 
