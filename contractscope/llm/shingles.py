@@ -10,7 +10,9 @@ _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint6
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: The longest text whose powers a worker keeps: 16 MB for both.
+_KEPT = 1 << 20
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,12 +23,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POWERS:
-        if size > 1 << 22:
-            return _make(size)
-        _POWERS[size] = _make(size)
-    return _POWERS[size]
+    """At least n powers of the base and of its inverse; a worker keeps one pair of tables, whose heads serve all shorter texts."""
+    if n > _KEPT:
+        return _make(n)
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        _POWERS[:] = [_make(1 << max(16, (n - 1).bit_length()))]
+    return _POWERS[0]
 
 
 def _make(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +76,7 @@ def shingle_sets(texts: list[bytes | None], width: int = 5) -> Iterator[np.ndarr
         at += m
 
 
-def chunks(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes | None], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most about `most` bytes together; a longer text is alone."""
     a = size = 0
     for i, t in enumerate(texts):
