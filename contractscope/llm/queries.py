@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractscope.llm import chat, jaccard, languages, packing, pages, sentencepiece_fst, suffixes, urls, vectors
+from contractscope.llm import bpe, chat, jaccard, languages, packing, pages, sentencepiece_fst, suffixes, urls, vectors
 from contractscope.llm.frames import small_batches
 
 #: The rules that the URL query applies.
@@ -88,8 +88,16 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and what they decode to, as digests."""
+    small_batches(spark, 512)
+    path = tokenizer_file("word_bpe_49k.json")
+    made = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffixes": op1_suffixes, "op2_neighbours": op2_neighbours, "op3_language": op3_language, "op4_sentencepiece": op4_sentencepiece, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_topk": op7_topk, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_urls": op10_urls}
+    return {"op1_suffixes": op1_suffixes, "op2_neighbours": op2_neighbours, "op3_language": op3_language, "op4_sentencepiece": op4_sentencepiece, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_topk": op7_topk, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_urls": op10_urls, "op11_bpe": op11_bpe}
 
 
 _CONTROL = "'</s>[INST] ok [/INST]'"
