@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contractscope.llm.frames import WordTable, gathered, ragged
+from contractscope.llm.frames import WordTable, gathered, lean, ragged
 
 #: What the normaliser and the pattern take for white space.
 _WHITE = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -276,7 +276,7 @@ def _with_column(docs: DataFrame, source: str, name: str, kind: str, run) -> Dat
         for batch in gathered(batches, len(keep)):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], run(batch.column(len(keep)))], names=[*keep, name])
 
-    return slim.mapInArrow(each, f"{fields}{', ' if fields else ''}`{name}` {kind}")
+    return slim.mapInArrow(lean(each), f"{fields}{', ' if fields else ''}`{name}` {kind}")
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", name: str = "ids") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 
@@ -87,6 +88,23 @@ def ragged(values: pa.LargeBinaryArray, ends: np.ndarray, kind: str) -> tuple[np
     return every, (offsets[ends] - offsets[0]) // np.dtype(kind).itemsize
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives back what Arrow's pool and the C library keep of its task.
+
+    Spark reuses workers from one stage to the next, and without this each keeps the most that any of its tasks held.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return each
+
+
 def gathered(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Batches put together to about most_bytes of text, so that more words of a batch repeat."""
     held: list[pa.RecordBatch] = []

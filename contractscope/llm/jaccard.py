@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contractscope.llm.frames import cut, free_shuffles
+from contractscope.llm.frames import cut, free_shuffles, lean
 from contractscope.llm.graph import components
 from contractscope.llm.shingles import chunks, mix, shingle_sets
 
@@ -112,7 +112,7 @@ def describe(docs: DataFrame, width: int = 5, window: int = 1_500_000) -> DataFr
         if held:
             yield frequent()
 
-    return docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, n int, set long, sketch binary, token long, times long")
+    return docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(lean(run), "doc_id long, n int, set long, sketch binary, token long, times long")
 
 
 def prefixes(docs: DataFrame, last: np.ndarray, percent: int = 75, width: int = 5) -> DataFrame:
@@ -147,7 +147,7 @@ def prefixes(docs: DataFrame, last: np.ndarray, percent: int = 75, width: int =
             columns = [np.concatenate(tokens), np.repeat(np.array(sets, np.int64), size), np.repeat(np.array(ns, np.int32), size), pos]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "set", "n", "pos"])
 
-    return docs.select(F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "token long, set long, n int, pos int")
+    return docs.select(F.encode("text", "UTF-8").alias("text")).mapInArrow(lean(run), "token long, set long, n int, pos int")
 
 
 def _allowed(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
@@ -213,7 +213,7 @@ def meetings(rows: DataFrame, percent: int = 75) -> DataFrame:
             yield from flush(out)
 
     dealt = rows.repartition("token").sortWithinPartitions("token", "pos", "n", "set")
-    return dealt.mapInArrow(run, _PAIR)
+    return dealt.mapInArrow(lean(run), _PAIR)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int = 5) -> DataFrame:
@@ -232,7 +232,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int = 5) -> DataFrame:
 
     # a merge join keeps the two Python steps in two stages, so a task has one Python worker at a time
     texts = _sifted(docs.select("doc_id", F.encode("text", "UTF-8").alias("text")), wanted).join(wanted.hint("merge"), "doc_id").select("set", "text")
-    return texts.mapInArrow(run, "set long, tokens array<long>").dropDuplicates(["set"])
+    return texts.mapInArrow(lean(run), "set long, tokens array<long>").dropDuplicates(["set"])
 
 
 def _sifted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def _sifted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             hit = shared.value[bit >> 6].view(np.uint64) >> (bit & 63).astype(np.uint64) & np.uint64(1)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["doc_id", "text"]).filter(pa.array(hit == 1))
 
-    return texts.select("doc_id", "text", place).mapInArrow(run, "doc_id long, text binary")
+    return texts.select("doc_id", "text", place).mapInArrow(lean(run), "doc_id long, text binary")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -265,7 +265,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             ok = (100 + percent) * most >= percent * (na + nb)
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long, na int, nb int")
+    return both.mapInArrow(lean(run), "a long, b long, na int, nb int")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -377,7 +377,7 @@ def _merged(rows: DataFrame, kind: str) -> DataFrame:
             if held:
                 yield flush()
 
-        return part.mapInArrow(run, "h long, level int, sh binary")
+        return part.mapInArrow(lean(run), "h long, level int, sh binary")
 
     met = reduced(rows, 1 << 25, make).repartition("h", "level").sortWithinPartitions("h", "level")
     return reduced(met, 1 << 22, _row_of_counts).groupBy("h", "level").agg(F.collect_list("sh").alias("sh"))
@@ -399,7 +399,7 @@ def _group_plausible(asked: DataFrame, member: DataFrame, classes: DataFrame, pe
             most = _room(batch.column(5).to_pylist(), [_one_row(p, np.maximum) for p in batch.column(6).to_pylist()], n)
             yield pa.RecordBatch.from_arrays(batch.columns[:5], names=["set", "h", "level", "n", "m"]).filter(pa.array((100 + percent) * most >= percent * (n + m)))
 
-    return both.mapInArrow(run, "set long, h long, level int, n int, m int")
+    return both.mapInArrow(lean(run), "set long, h long, level int, n int, m int")
 
 
 def _qualifying(asked: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -422,7 +422,7 @@ def _qualifying(asked: DataFrame, member: DataFrame, sets: DataFrame, percent: i
             ok = (100 + percent) * np.minimum(most, n) >= percent * (n + m)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["set", "h"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "set long, h long").distinct()
+    return both.mapInArrow(lean(run), "set long, h long").distinct()
 
 
 def _dealt(rows: DataFrame, hot: DataFrame, by: str, own: str, other: str) -> DataFrame:
@@ -579,4 +579,4 @@ def _counted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 a = b
         yield from end()
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "set long, n_links long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(lean(run), "set long, n_links long")

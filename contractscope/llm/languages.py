@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contractscope.llm.frames import lean
+
 #: Hash table sizes for byte n-grams of 1, 2, 3 and 4.
 SIZES = (256, 4096, 8192, 8192)
 _FROM = np.concatenate([[0], np.cumsum(SIZES)])
@@ -83,7 +85,7 @@ def train(docs: DataFrame, use: Column, per_language: int = 300) -> Model | None
             bits = np.packbits(presence(batch.column(2).to_pylist()) > 0, axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "lang", "bits"])
 
-    found = sorted((r["lang"], r["doc_id"], r["bits"]) for r in chosen.select("doc_id", "lang", "text").mapInArrow(grams, "doc_id long, lang string, bits binary").collect())
+    found = sorted((r["lang"], r["doc_id"], r["bits"]) for r in chosen.select("doc_id", "lang", "text").mapInArrow(lean(grams), "doc_id long, lang string, bits binary").collect())
     seen: dict[str, int] = {}
     kept = [x for x in found if seen.setdefault(x[0], 0) < per_language and not seen.update({x[0]: seen[x[0]] + 1})]
     if not kept:
@@ -116,7 +118,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
                 best[some] = np.clip((s[np.arange(len(some)), top] + 1) / 2, 0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(best, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return slim.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return slim.mapInArrow(lean(run), f"{fields}, lang_pred string, score double")
 
 
 def learnable() -> Column:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contractscope.llm.frames import cut, free_shuffles
+from contractscope.llm.frames import cut, free_shuffles, lean
 from contractscope.llm.shingles import mix
 
 LEAST, GRAM = 100, 32
@@ -116,7 +116,7 @@ def anchors(docs: DataFrame, window: int = 1_000_000) -> DataFrame:
         if n:
             yield flush()
 
-    return docs.mapInArrow(run, "route long, doc_id long, pos long, known boolean")
+    return docs.mapInArrow(lean(run), "route long, doc_id long, pos long, known boolean")
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def repeated(found: DataFrame) -> DataFrame:
             yield out(np.array([open_[1]], np.int64), np.array([open_[2]], np.int64))
 
     dealt = found.repartition("route").sortWithinPartitions("route")
-    return dealt.mapInArrow(run, "doc_id long, pos long")
+    return dealt.mapInArrow(lean(run), "doc_id long, pos long")
 
 
 # --- surroundings -----------------------------------------------------------------------------------------------
@@ -201,7 +201,7 @@ def surroundings(docs: DataFrame, kept: DataFrame, window: int = 200_000) -> Dat
             yield flush()
 
     places = kept.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-    return docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, _AROUND)
+    return docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(lean(run), _AROUND)
 
 
 # --- deep-shallow sorting ---------------------------------------------------------------------------------------
@@ -402,7 +402,7 @@ def marks(rows: DataFrame, most: int = 20_000, batch_rows: int = 30_000) -> Data
             yield from _resolve_or_postpone(held, most, resolve, postpone)
 
     dealt = rows.repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, "string long, doc_id long, start long, end long")
+    return dealt.mapInArrow(lean(run), "string long, doc_id long, start long, end long")
 
 
 def _resolve_or_postpone(part, most, resolve, postpone) -> Iterator[pa.RecordBatch]:
@@ -435,7 +435,7 @@ def later_strings(found: DataFrame) -> DataFrame:
             head = (string[-1], hd[-1], hs[-1])
 
     dealt = found.repartition(F.coalesce("string", F.xxhash64("doc_id", "start"))).sortWithinPartitions("string", "doc_id", "start")
-    return dealt.select("string", "doc_id", "start", "end").mapInArrow(run, "doc_id long, start long, end long")
+    return dealt.select("string", "doc_id", "start", "end").mapInArrow(lean(run), "doc_id long, start long, end long")
 
 
 # --- the operator -----------------------------------------------------------------------------------------------
@@ -514,5 +514,5 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
     joined = whole.join(found, "doc_id", "left").join(again.withColumn("_copy", F.lit(True)), "doc_id", "left")
     joined = joined.select("doc_id", "text", *others, F.when(F.col("_copy"), everything).otherwise(F.col("marks")).alias("marks"))
-    done = joined.mapInArrow(run, "doc_id long, " + (fields + ", " if fields else "") + "n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string")
+    done = joined.mapInArrow(lean(run), "doc_id long, " + (fields + ", " if fields else "") + "n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string")
     return done.withColumn("doc_id", F.when(F.col("doc_id") >= -(1 << 62), F.col("doc_id")))
