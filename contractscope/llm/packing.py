@@ -1,9 +1,10 @@
 """Packing of tokenised documents into sequences: best-fit decreasing per partition, certified by lower bounds.
 
 Pieces are dealt into partitions of bounded size. Each is packed by best-fit decreasing and compared with lower
-bounds from dual feasible functions: where the number of bins equals the bound, the partition is certified. The
-others give up their emptier bins; the documents in these are dealt anew, so that the gaps of different partitions
-meet, and packed again, until one partition holds them all or no bin is saved.
+bounds from dual feasible functions, which for all partitions together come from one count a length: where the number
+of bins equals the bound, it is certified and packing ends. Else partitions with gaps give up their emptier bins; the
+documents in these are dealt anew, so that the gaps of different partitions meet, and packed again, until one partition
+holds them all or not even larger ones save a bin.
 """
 
 from __future__ import annotations
@@ -153,8 +154,12 @@ def lower_bound(lengths: np.ndarray, capacity: int, most_k: int = 20) -> int:
     For each threshold e up to half a bin, items over capacity - e count as a bin and those under e as nothing; the
     rest count as they are, or by the rounding function of order k (k + 1 parts of a bin, of which k make it full).
     """
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity, most_k)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int, most_k: int = 20) -> int:
+    """The same from the number of items of each length from 0 to capacity, however many items they are."""
     sizes = np.arange(capacity + 1, dtype=np.int64)
-    count = np.bincount(lengths, minlength=capacity + 1)
     best = 0
     e = np.arange(capacity // 2 + 1)
     for k in range(0, most_k + 1):
@@ -171,22 +176,23 @@ def lower_bound(lengths: np.ndarray, capacity: int, most_k: int = 20) -> int:
 
 
 def _packer(r: int, capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Packs the items of one part in round r; _done unless the part has gaps and the bin is among its emptier ones.
+    """Packs the items of one part in round r; _done unless the bin is among the part's emptier ones.
 
-    A part whose number of bins is the lower bound is certified and keeps them all. Another keeps its full bins and
-    gives up the emptiest ones, until those hold at least half of its free space.
+    A part whose bins are full is certified and keeps them all. Another, even one that needs as many bins as its own
+    lower bound, keeps its fuller bins and gives up the emptiest ones, until those hold nine tenths of its free space:
+    its gaps may take what another part can't place.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = pdf["length"].to_numpy(np.int64)
         where, offset, n_bins = best_fit(lengths, capacity)
         done = np.ones(n_bins, bool)
-        if n_bins > lower_bound(lengths, capacity):
-            free = capacity - np.bincount(where, weights=lengths, minlength=n_bins)
+        free = capacity - np.bincount(where, weights=lengths, minlength=n_bins)
+        if free.any():
             order = np.argsort(-free, kind="stable")
-            given = int(np.searchsorted(np.cumsum(free[order]), free.sum() / 2)) + 1
+            given = int(np.searchsorted(np.cumsum(free[order]), 0.9 * free.sum())) + 1
             done[order[:given]] = free[order[:given]] == 0
-        first = np.int64((r << 26) + int(pdf["_part"].iloc[0])) << np.int64(32)
+        first = np.int64((r << 34) + int(pdf["_part"].iloc[0])) << np.int64(21)
         return pd.DataFrame({"_row": pdf["_row"], "length": lengths, "sequence_id": first + where, "offset": offset, "_done": done[where]})
 
     return run
@@ -205,35 +211,46 @@ def _dealer(parts: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
     return run
 
 
-def pack(items: DataFrame, capacity: int = 2048, per_part: int = 30_000) -> DataFrame:
+def _bound(items: DataFrame, capacity: int) -> int:
+    """Lower bound for all items together, from one row a length."""
+    count = np.zeros(capacity + 1, np.int64)
+    for length, n in items.groupBy("length").count().collect():
+        count[length] = n
+    return bound_of_counts(count, capacity)
+
+
+def pack(items: DataFrame, capacity: int = 2048, per_part: int = 30_000, growth: int = 16) -> DataFrame:
     """Add sequence_id and offset to items (doc_id, piece, length, ...); lengths from 1 to capacity.
 
     Every item is placed exactly once; a sequence's items follow one another from offset 0 without gaps. Parts have
     about per_part items however many there are in all, dealt row by row, so repeated rows and hot documents spread
-    evenly. Bins that parts with gaps give up are dealt anew into fewer parts and packed again,
-    until one part holds what is left or dealing anew saves no bin. An empty table gives an empty result; other columns
+    evenly. Bins that parts with gaps give up are dealt anew into fewer parts and packed again, until one part holds what
+    is left, or their bins are as few as the lower bound of what they hold. Where dealing anew saves no bin, parts are made twice as large, up to `growth` times per_part (which bounds a
+    task's memory); only when these save nothing either, what was packed before stays. An empty table gives an empty result; other columns
     are kept, but for columns that have the names sequence_id and offset, which are replaced.
     """
     free_shuffles(items.sparkSession)
     rows = cut(items.drop("sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id()))
     columns = rows.columns[:-1]
     open_ = rows.select("_row", "length")
-    n, placed, before, r = open_.count(), [], None, 0
+    n, placed, before, bins_before, r, size = open_.count(), [], None, 0, 0, per_part
     while n:
-        parts = blocks(n, per_part)
+        parts = blocks(n, size)
         dealt = open_.mapInPandas(_dealer(parts), "_row long, length long, _part int")
         made = cut(dealt.groupBy("_part").applyInPandas(_packer(r, capacity), "_row long, length long, sequence_id long, offset long, _done boolean"))
-        if before is not None:
-            bins = made.select("sequence_id").distinct().count()
-            if bins >= before.select("sequence_id").distinct().count():
-                placed.append(before)  # dealing anew saved nothing
+        bins = made.select("sequence_id").distinct().count()
+        if before is not None and bins >= bins_before:
+            if parts == 1 or size >= growth * per_part:
+                placed.append(before)
                 break
-        if parts == 1:
+            size, r = 2 * size, r + 1
+            continue
+        if parts == 1 or bins == _bound(open_, capacity):
             placed.append(made)
             break
         before = made.filter("NOT _done")
         placed.append(made.filter("_done"))
-        open_, n, r = before.select("_row", "length"), before.count(), r + 1
+        open_, n, bins_before, r = before.select("_row", "length"), before.count(), before.select("sequence_id").distinct().count(), r + 1
     out = rows.select("_row", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
     for p in placed:
         out = out.unionByName(p.select("_row", "sequence_id", "offset"))
