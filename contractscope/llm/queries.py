@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractscope.llm import bpe, chat, jaccard, languages, lexical, packing, pages, sentencepiece_fst, suffixes, urls, vectors
+from contractscope.llm import bpe, chat, divergence, jaccard, languages, lexical, packing, pages, sentencepiece_fst, suffixes, urls, vectors
 from contractscope.llm.frames import small_batches
 
 #: The rules that the URL query applies.
@@ -102,14 +102,21 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every source of every language differs from the others, and by which terms."""
+    small_batches(spark, 20_000)
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffixes": op1_suffixes, "op2_neighbours": op2_neighbours, "op3_language": op3_language, "op4_sentencepiece": op4_sentencepiece, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_topk": op7_topk, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_urls": op10_urls, "op11_bpe": op11_bpe, "op12_lexical": op12_lexical}
+    return {"op1_suffixes": op1_suffixes, "op2_neighbours": op2_neighbours, "op3_language": op3_language, "op4_sentencepiece": op4_sentencepiece, "op5_chat": op5_chat, "op6_pack": op6_pack, "op7_topk": op7_topk, "op8_html": op8_html, "op9_jaccard": op9_jaccard, "op10_urls": op10_urls, "op11_bpe": op11_bpe, "op12_lexical": op12_lexical, "op13_divergence": op13_divergence}
 
 
 _CONTROL = "'</s>[INST] ok [/INST]'"
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+_WORD = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
 
 SQL = {
     "op7_topk": """
@@ -120,6 +127,23 @@ SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op13_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_FOLDED}, {_WORD}) AS terms FROM documents),
+        t AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+        c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+        g AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, kept.term, coalesce(c, 0) AS c, CAST(1 + (1000000000 * CAST(coalesce(c, 0) + 1 AS HUGEINT)) // (g.n + v.v) AS BIGINT) AS p,
+              CAST(1 + (1000000000 * CAST(kept.total + 1 AS HUGEINT)) // (v.n + v.v) AS BIGINT) AS q
+              FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        every AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+        more AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE c > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM more)
+        SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM every
+        UNION ALL SELECT lang, source, 'term', item, value, CAST(rank AS INTEGER) FROM ranked WHERE rank <= 200
+    """,
     "op12_lexical": rf"""
         WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
         dt AS (SELECT row, doc_id, unnest(regexp_extract_all({_FOLDED}, {_TERM})) AS term FROM d),
