@@ -23,13 +23,17 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], moment: str, *ties: Column)
 
 
 def pick_award(df: DataFrame, targets: DataFrame | None = None, *ties: Column) -> DataFrame:
-    """One award per cig: the known target award if there is one, else the earliest that is no re-award, else the earliest."""
+    """One award per cig: the known target award if there is one, else the earliest that is no re-award, else the earliest.
+
+    Ties go by the column `_row`, the place in the file, if there is one, then by award id.
+    """
+    tie = [F.col("_row").asc_nulls_last()] if "_row" in df.columns else []
     if targets is not None:
         df = df.join(targets.select("cig", F.col("id_aggiudicazione").alias("_target")).distinct(), "cig", "left")
     else:
         df = df.withColumn("_target", F.lit(None).cast("string"))
-    rank = F.when(F.col("id_aggiudicazione") == F.col("_target"), 0).when(F.coalesce(F.trim("cod_modo_riaggiudicazione"), F.lit("")) == "", 1).otherwise(2)
-    picked = pick_one(df.withColumn("_rank", rank), ["cig"], F.col("_rank"), F.col("data_aggiudicazione_definitiva").asc_nulls_last(), F.col("id_aggiudicazione"), F.col("cod_modo_riaggiudicazione"), *ties)
+    rank = F.when(F.trim("id_aggiudicazione") == F.col("_target"), 0).when(F.coalesce(F.trim("cod_modo_riaggiudicazione"), F.lit("")).isin("", "nan"), 1).otherwise(2)
+    picked = pick_one(df.withColumn("_rank", rank), ["cig"], F.col("_rank"), F.col("data_aggiudicazione_definitiva").asc_nulls_last(), *tie, F.col("id_aggiudicazione"), F.col("cod_modo_riaggiudicazione"), *ties)
     return picked.drop("_rank", "_target")
 
 

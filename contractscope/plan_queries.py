@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractscope.operators import boost, panel
-from contractscope.plans import features, labels
+from contractscope.plans import datasets, features, labels
 from contractscope.queries import FEATURES, _features, query, r6, t
 
 _CIG = "'Z' || lpad(CAST({k} AS STRING), 9, '0')"
@@ -17,44 +17,59 @@ _SEAT = "CASE WHEN o_orderkey % 11 = 0 THEN ' Consiglio  di Stato' ELSE 'tar r'
 _NO = "CASE WHEN o_orderkey % 13 <> 0 THEN CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING) END"
 _DAY = "substr(CAST({c} AS STRING), 1, 10)"
 
+TABLES = ("orders", "lineitem", "supplier", "region")
 RAW = {
     "ricorsi": f"""SELECT CASE WHEN o_orderkey % 17 = 0 THEN '0000000000' WHEN o_orderkey % 3 = 0 THEN {_CIG.format(k='o_orderkey')} || '; ' || {_CIG.format(k='o_orderkey + 1')} WHEN o_orderkey % 5 = 0 THEN 'short'
         ELSE lower({_CIG.format(k='o_orderkey')}) END AS CODICE_CIG, {_NO} AS NUMERO_RICORSO, {_SEAT} AS NOME_SEDE, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(year(o_orderdate) AS STRING) ELSE 'x' END AS ANNO_DEPOSITO_RICORSO FROM {{orders}}""",
-    "sentenze": f"""SELECT {_NO} AS NUMERO_RICORSO, {_SEAT} AS NOME_SEDE, {_DAY.format(c='l_shipdate')} AS DATA_PUBBLICAZIONE, CASE l_linenumber + o_orderkey % 3 WHEN 1 THEN 'Accoglie  il ricorso' WHEN 2 THEN 'RESPINGE' WHEN 3 THEN 'Dichiara la nullità'
+    "sentenze": f"""SELECT CASE WHEN o_orderkey % 4 <> 3 THEN {_NO} END AS NUMERO_RICORSO, {_SEAT} AS NOME_SEDE, {_DAY.format(c='l_shipdate')} AS DATA_PUBBLICAZIONE, CASE l_linenumber + o_orderkey % 3 WHEN 1 THEN 'Accoglie  il ricorso' WHEN 2 THEN 'RESPINGE' WHEN 3 THEN 'Dichiara la nullità'
         WHEN 4 THEN 'Respinge l''appello' WHEN 5 THEN 'Rimette al TAR' ELSE 'Altro' END AS ESITO_PROVVEDIMENTO, 'il 3/2/2011' AS DATA_DEPOSITO_RICORSO,
-        CASE WHEN o_orderkey % 7 <> 0 THEN CAST(year(o_orderdate) AS STRING) END AS ANNO_DEPOSITO_RICORSO, '2012' AS ANNO_PUBBLICAZIONE FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey WHERE l_linenumber < 4 AND o_orderkey % 4 <> 3""",
-    "ordinanze": f"""SELECT {_NO} AS NUMERO_RICORSO, {_SEAT} AS NOME_SEDE, {_DAY.format(c='o_orderdate')} AS DATA_PUBBLICAZIONE, CASE o_orderkey % 3 WHEN 0 THEN 'Accoglie' WHEN 1 THEN 'Rigetta la domanda cautelare' ELSE 'Altro' END AS ESITO_PROVVEDIMENTO,
-        CAST(NULL AS STRING) AS DATA_DEPOSITO_RICORSO, CAST(year(o_orderdate) AS STRING) AS ANNO_DEPOSITO_RICORSO, '2012' AS ANNO_PUBBLICAZIONE FROM {{orders}} WHERE o_orderkey % 2 = 1""",
-    "fine": f"""SELECT {_CIG.format(k='o_orderkey')} AS cig, CASE WHEN o_orderkey % 19 = 0 THEN '4.0' WHEN o_orderkey % 3 = 0 THEN 'x' END AS cod_motivo_risoluzione, CASE WHEN o_orderkey % 23 = 0 THEN '6' END AS cod_motivo_interruzione_anticipata FROM {{orders}}""",
-    "cig": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, CASE WHEN l_linenumber % 2 = 1 THEN ' 1' ELSE '0' END AS flag_prevalente, CASE l_partkey % 5 WHEN 0 THEN '45' WHEN 1 THEN '33' WHEN 2 THEN '50' WHEN 3 THEN '15' END || '000000-' || CAST(l_linenumber AS STRING) AS cod_cpv,
-        {_DAY.format(c='o_orderdate')} || ' 10:00:00' AS data_pubblicazione, CASE WHEN l_linenumber > 1 THEN {_DAY.format(c='l_shipdate')} || ' 09:30:00' ELSE '1899-01-01' END AS data_scadenza_offerta, {_DAY.format(c='l_shipdate')} AS data_ultimo_perfezionamento,
-        CAST(NULL AS STRING) AS data_comunicazione_esito, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING) AS importo_complessivo_gara, replace(CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS STRING), '.', ',') AS importo_lotto,
-        CAST(CAST(l_tax * 1000 AS DECIMAL(18, 2)) AS STRING) AS importo_sicurezza, CASE WHEN l_returnflag = 'R' THEN '1' WHEN l_returnflag = 'A' THEN '7' END AS flag_urgenza, '0' AS flag_delega, CAST(NULL AS STRING) AS flag_prev_ripetizioni,
-        CASE WHEN l_linenumber = 3 THEN 'Q1' ELSE ' ' END AS cig_accordo_quadro, CASE WHEN l_linestatus = 'O' THEN 'settori speciali' ELSE 'ORDINARI' END AS settore, CASE l_suppkey % 3 WHEN 0 THEN '3.0' WHEN 1 THEN '1' ELSE 'x' END AS cod_modalita_realizzazione,
-        CASE l_suppkey % 5 WHEN 0 THEN '1' WHEN 1 THEN ' 4' WHEN 2 THEN '2' WHEN 3 THEN '6' ELSE '50' END AS cod_tipo_scelta_contraente, CASE l_suppkey % 4 WHEN 0 THEN 'Aggiudicata' WHEN 1 THEN 'non aggiudicata' WHEN 2 THEN 'annullata/deserta' ELSE '' END AS esito,
-        CAST(year(o_orderdate) + 25 AS STRING) AS anno_pubblicazione, CAST(l_suppkey * 997 AS STRING) || '.0' AS luogo_istat, CASE WHEN l_suppkey % 4 <> 0 THEN '000' || CAST(l_suppkey AS STRING) || '.0' END AS codice_ausa, 'CF' || CAST(l_suppkey % 50 AS STRING) AS cf_amministrazione_appaltante
-        FROM {{lineitem}} JOIN {{orders}} ON o_orderkey = l_orderkey""",
-    "sa": "SELECT 'CF' || CAST(s_suppkey AS STRING) AS codice_fiscale, '00' || CAST(s_suppkey AS STRING) AS codice_ausa, CASE s_nationkey % 5 WHEN 0 THEN 'Comune' WHEN 1 THEN 'Fondazione X' WHEN 2 THEN 'Consorzio' WHEN 3 THEN 'ente' ELSE 'Boh' END AS natura_giuridica_descrizione FROM {supplier} WHERE s_suppkey % 2 = 0",
-    "agg": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, CAST(l_linenumber AS STRING) AS id_aggiudicazione, CASE WHEN l_linenumber > 1 THEN {_DAY.format(c='l_shipdate')} END AS data_aggiudicazione_definitiva, '2031-02-01' AS data_comunicazione_esito,
-        replace(CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS STRING), '.', ',') AS importo_aggiudicazione, CAST(l_linenumber AS STRING) AS numero_offerte_ammesse, CASE WHEN l_returnflag = 'R' THEN '2' END AS numero_offerte_escluse, '5' AS num_imprese_offerenti,
-        CAST(CAST(l_discount * 100 AS INT) AS STRING) AS ribasso_aggiudicazione, '9' AS massimo_ribasso, '4' AS minimo_ribasso, CASE WHEN l_linenumber % 2 = 0 THEN 'p' END AS cig_prog_esterna, CASE WHEN l_returnflag = 'N' THEN 'x' ELSE '' END AS cod_modo_riaggiudicazione,
-        CASE WHEN l_linenumber = 2 THEN '1.0' END AS asta_elettronica, '0' AS flag_scomputo, CAST(NULL AS STRING) AS flag_proc_accelerata, 'True' AS flag_subappalto FROM {{lineitem}}""",
-    "eventi": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, CAST(l_linenumber AS STRING) AS id_aggiudicazione, CASE l_linenumber % 3 WHEN 0 THEN 'mandataria' WHEN 1 THEN 'MANDANTE' END AS ruolo, 'F' || CAST(l_suppkey AS STRING) AS codice_fiscale,
-        CASE l_suppkey % 6 WHEN 0 THEN 'Impresa singola' WHEN 1 THEN 'RTI' WHEN 2 THEN 'GEIE consorzio' WHEN 3 THEN 'un consorzio' WHEN 4 THEN 'Stazione appaltante' ELSE 'x' END AS tipo_soggetto, CASE WHEN l_linenumber % 2 = 0 THEN 'Base_asta ' WHEN l_linenumber % 3 = 0 THEN 'CONSUNTIVO' ELSE 'altro' END AS descrizione_evento,
-        replace(CAST(CAST(l_tax * 100 AS DECIMAL(18, 2)) AS STRING), '.', ',') AS importo_sicurezza, CAST(CAST(l_quantity AS INT) AS STRING) AS importo_forniture, CAST(NULL AS STRING) AS importo_lavori, CAST(NULL AS STRING) AS importo_progettazione, 'x' AS importo_servizi,
-        CAST(NULL AS STRING) AS ulteriori_oneri_non_soggetti_ribasso, CASE WHEN l_returnflag <> 'A' THEN CAST(CAST(l_discount * 1000 AS INT) AS STRING) END AS somme_a_disposizione, CASE l_suppkey % 3 WHEN 0 THEN '1' WHEN 1 THEN '2.0' END AS cod_motivo_variante, {_DAY.format(c='l_shipdate')} AS giorno,
-        CASE WHEN l_linenumber > 1 THEN {_DAY.format(c='l_shipdate + INTERVAL 1 DAY * l_linenumber')} END AS dopo, CASE WHEN l_suppkey % 7 = 0 THEN 'Motivi giudiziari' END AS descrizione_motivo, CASE WHEN l_suppkey % 5 = 0 THEN 'In ritardo' END AS flag_ritardo, CASE WHEN l_suppkey % 4 = 0 THEN '2,5' ELSE '0' END AS giorni_proroga,
-        CASE l_suppkey % 5 WHEN 0 THEN 'Acquisizione x' WHEN 1 THEN 'manutenzione' WHEN 2 THEN 'COSTRUZIONE' ELSE '?' END AS tipo_lavorazione, CASE l_linenumber % 3 WHEN 0 THEN 'Positivo' WHEN 1 THEN 'esito negativo' END AS esito_collaudo FROM {{lineitem}}""",
+        CASE WHEN o_orderkey % 7 <> 0 THEN CAST(year(o_orderdate) AS STRING) END AS ANNO_DEPOSITO_RICORSO, '2012' AS ANNO_PUBBLICAZIONE FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey""",
+    "ordinanze": f"""SELECT CASE WHEN o_orderkey % 2 = 1 THEN {_NO} END AS NUMERO_RICORSO, {_SEAT} AS NOME_SEDE, {_DAY.format(c='o_orderdate')} AS DATA_PUBBLICAZIONE, CASE o_orderkey % 3 WHEN 0 THEN 'Accoglie' WHEN 1 THEN 'Rigetta la domanda cautelare' ELSE 'Altro' END AS ESITO_PROVVEDIMENTO,
+        CAST(NULL AS STRING) AS DATA_DEPOSITO_RICORSO, CAST(year(o_orderdate) AS STRING) AS ANNO_DEPOSITO_RICORSO, '2012' AS ANNO_PUBBLICAZIONE FROM {{orders}}""",
+    "fine": f"""SELECT {_CIG.format(k='o_orderkey')} AS cig, CASE WHEN o_orderkey % 19 = 0 THEN '4.0' WHEN o_orderkey % 3 = 0 THEN 'x' END AS cod_motivo_risoluzione, CASE WHEN o_orderkey % 23 = 0 THEN '6' END AS cod_motivo_interruzione_anticipata, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 4 + 1 AS STRING) || ' ' END AS id_aggiudicazione FROM {{orders}}""",
+    "etichette": f"SELECT {_CIG.format(k='o_orderkey')} AS cig, CASE o_custkey % 9 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS label FROM {{orders}}",
+    "cig": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey AS _row, CASE WHEN l_linenumber % 2 = 1 THEN ' 1' ELSE '0' END AS flag_prevalente, CASE WHEN l_partkey % 13 = 0 THEN ' ' WHEN l_partkey % 13 <> 1 THEN lpad(CAST(l_partkey % 100 AS STRING), 2, '0') || '000000-' || CAST(l_linenumber AS STRING) END AS cod_cpv,
+        {_DAY.format(c='o_orderdate')} || ' 10:00:00' AS data_pubblicazione, CASE WHEN l_linenumber > 1 THEN {_DAY.format(c='l_shipdate')} || ' 09:30:00' WHEN l_partkey % 2 = 0 THEN '1899-01-01' ELSE 'garbage' END AS data_scadenza_offerta, {_DAY.format(c='l_shipdate')} AS data_ultimo_perfezionamento,
+        CASE WHEN l_partkey % 3 <> 0 THEN {_DAY.format(c='l_shipdate + INTERVAL 1 DAY * (l_partkey % 40)')} END AS data_comunicazione_esito, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING) AS importo_complessivo_gara, CASE WHEN l_partkey % 17 = 0 THEN '0' ELSE replace(CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS STRING), '.', ',') END AS importo_lotto,
+        CASE l_partkey % 9 WHEN 0 THEN CAST(CAST(l_extendedprice * 2 AS DECIMAL(18, 2)) AS STRING) WHEN 1 THEN NULL WHEN 2 THEN 'x' WHEN 3 THEN '0' ELSE CAST(CAST(l_tax * 1000 AS DECIMAL(18, 2)) AS STRING) END AS importo_sicurezza, CASE WHEN l_returnflag = 'R' THEN '1' WHEN l_returnflag = 'A' THEN '7' END AS flag_urgenza,
+        CASE WHEN l_returnflag = 'R' THEN '0' WHEN l_returnflag = 'A' THEN ' 1.0' END AS flag_delega, CASE l_partkey % 4 WHEN 0 THEN '3' WHEN 1 THEN '-1' WHEN 2 THEN 'x' END AS flag_prev_ripetizioni, CASE l_linenumber WHEN 3 THEN 'Q1' WHEN 1 THEN '' END AS cig_accordo_quadro,
+        CASE l_suppkey % 3 WHEN 0 THEN 'legge' WHEN 1 THEN '' END AS tipo_appalto_riservato, CASE WHEN l_linestatus = 'O' THEN 'settori speciali' ELSE 'ORDINARI' END AS settore, split_part('1|2|3.0|4|5|6|7|8|9|10|11|12|13|14|15|16|17|18|19|20|21|90|999|22|x|| 1', '|', CAST(l_partkey % 27 + 1 AS INT)) AS cod_modalita_realizzazione,
+        split_part('1|2 |3| 4|5|6|7|8|9|10|11|12|13|14|15|16|17|18|19|20|21|22|23|24|25|26|27|28|29|30|32|33|34|35|36|37|38|40|97|98|99|114|122|999|x|', '|', CAST(l_partkey % 46 + 1 AS INT)) AS cod_tipo_scelta_contraente,
+        CASE WHEN l_orderkey % 3 <> 0 THEN 'Aggiudicata ' ELSE split_part('AGGIUDICATA|annullata dalla SA|Revocata|gara deserta|IN_CORSO|in corso|procedura in corso|bando ancora in corso|non ancora aperta|senza esito|non aggiudicata|NON_AGGIUDICATA|nessun vincitore|Chiusa: nessun vincitore|proposta di aggiudicazione|Altro esito|', '|', CAST(l_partkey % 17 + 1 AS INT)) END AS esito,
+        CASE WHEN l_partkey % 11 <> 0 THEN CAST(year(o_orderdate) + 22 AS STRING) WHEN l_partkey % 2 = 0 THEN '1990' END AS anno_pubblicazione, CASE l_partkey % 19 WHEN 0 THEN 'A-12' WHEN 1 THEN '1,5' WHEN 2 THEN '' ELSE CAST((l_partkey % 112) * 1000 + 7 AS STRING) || '.0' END AS luogo_istat,
+        CASE WHEN l_suppkey % 4 <> 0 THEN '000' || CAST(l_suppkey AS STRING) || '.0' END AS codice_ausa, 'CF' || CAST(l_suppkey % 50 AS STRING) AS cf_amministrazione_appaltante, CASE WHEN l_partkey % 5 <> 0 THEN CAST(l_partkey % 5 AS STRING) || '.0' END AS n_lotti_componenti,
+        split_part('LAVORI|SERVIZI|FORNITURE', '|', CAST(l_partkey % 4 + 1 AS INT)) AS oggetto_principale_contratto, split_part('Sezione centrale|sezione regionale LAZIO|Sezione X|Roma|', '|', CAST(l_partkey % 5 + 1 AS INT)) AS sezione_regionale, CASE WHEN l_partkey % 3 > 0 THEN CAST(l_partkey % 3 AS STRING) END AS cod_strumento_svolgimento,
+        CASE WHEN l_partkey % 7 = 0 THEN '2' END AS cod_motivo_urgenza FROM {{lineitem}} JOIN {{orders}} ON o_orderkey = l_orderkey""",
+    "sa": """SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'CF' || CAST(s_suppkey AS STRING) END AS codice_fiscale, CASE WHEN s_suppkey % 3 > 0 THEN '00' || CAST(s_suppkey AS STRING) END AS codice_ausa, split_part('Comune|Enti ospedalieri|enti pubblici economici|Azienda speciale|Azienda speciale di cui al dlgs 267|ente|Ente ecclesiastico|ente ecclesiastico civilmente riconosciuto|Fondazione X|ENTE MORALE|Consorzio|Consorzi ai sensi|consorzi di bonifica|societa'' per azioni|Societa semplice|Cooperativa|GEIE|Boh|Associazioni tra professionisti|Associazione Y|Casse mutue|Ordine e collegio',
+        '|', CAST(s_suppkey % 23 + 1 AS INT)) AS natura_giuridica_descrizione FROM {supplier}""",
+    "agg": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey AS _row, ' ' || CAST(l_linenumber AS STRING) AS id_aggiudicazione, CASE WHEN l_linenumber > 1 THEN {_DAY.format(c='l_shipdate')} END AS data_aggiudicazione_definitiva,
+        replace(CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS STRING), '.', ',') AS importo_aggiudicazione, CAST(l_partkey % 8 AS STRING) AS numero_offerte_ammesse, CASE WHEN l_returnflag = 'R' THEN CAST(l_partkey % 6 AS STRING) END AS numero_offerte_escluse, CASE WHEN l_partkey % 10 <> 0 THEN CAST(l_partkey % 10 AS STRING) END AS num_imprese_offerenti,
+        CASE WHEN l_partkey % 12 = 0 THEN '-3' ELSE CAST(CAST(l_discount * 400 AS INT) AS STRING) END AS ribasso_aggiudicazione, CASE WHEN l_partkey % 3 <> 0 THEN '41' END AS massimo_ribasso, '4,0005' AS minimo_ribasso, CASE l_linenumber % 3 WHEN 0 THEN 'p' WHEN 1 THEN ' ' END AS cig_prog_esterna, CASE WHEN l_returnflag = 'N' THEN 'x' ELSE '' END AS cod_modo_riaggiudicazione,
+        CASE WHEN l_linenumber = 2 THEN '1.0' END AS asta_elettronica, '0' AS flag_scomputo, CASE WHEN l_partkey % 6 = 0 THEN '1' WHEN l_partkey % 6 = 1 THEN 'x' END AS flag_proc_accelerata, CASE l_partkey % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN 'true' END AS flag_subappalto, split_part('1|1.0|5|5.0|2|3|', '|', CAST(l_partkey % 7 + 1 AS INT)) AS cod_esito FROM {{lineitem}}""",
+    "vincitori": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey AS _row, CAST(l_linenumber AS STRING) AS id_aggiudicazione, CASE l_linenumber % 4 WHEN 3 THEN ' mandataria' WHEN 1 THEN 'MANDANTE' END AS ruolo, 'F' || CAST(l_suppkey AS STRING) AS codice_fiscale,
+        split_part('Impresa singola x|impresa|Ditta individuale|MONOSOGGETTIVO|ATI y|RTI|RTI z|Consorzio a|un consorzio|GEIE consorzio|Stazione appaltante|x|', '|', CAST(l_partkey % 13 + 1 AS INT)) AS tipo_soggetto FROM {{lineitem}}""",
+    "quadro": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, CASE WHEN l_linenumber % 4 IN (1, 2) THEN 'BASE_ASTA' WHEN l_linenumber % 4 = 3 THEN 'CONSUNTIVO' ELSE 'Base_asta' END AS descrizione_evento, CASE WHEN l_partkey % 3 = 0 THEN CAST(CAST(l_tax * 100 AS DECIMAL(18, 2)) AS STRING) WHEN l_partkey % 3 = 1 THEN '1,5' END AS importo_sicurezza,
+        CAST(CAST(l_quantity AS INT) AS STRING) AS importo_forniture, CASE WHEN l_partkey % 4 = 0 THEN '100.5' END AS importo_lavori, CAST(NULL AS STRING) AS importo_progettazione, 'x' AS importo_servizi, CASE WHEN l_partkey % 5 = 0 THEN '-70' END AS ulteriori_oneri_non_soggetti_ribasso,
+        CASE WHEN l_returnflag <> 'A' THEN CAST(CAST(l_discount * 1000 AS INT) AS STRING) END AS somme_a_disposizione FROM {{lineitem}}""",
+    "avvio": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey AS _row, CAST(l_linenumber AS STRING) AS id_aggiudicazione, CASE WHEN l_partkey % 5 <> 0 THEN {_DAY.format(c='l_shipdate + INTERVAL 1 DAY * (l_partkey % 40)')} END AS data_stipula_contratto, CASE WHEN l_partkey % 7 <> 0 THEN {_DAY.format(c='l_shipdate + INTERVAL 1 DAY * (l_partkey % 40) + INTERVAL 1 DAY * (l_partkey % 900 - 20)')} END AS data_termine_contrattuale,
+        CASE WHEN l_partkey % 3 <> 0 THEN {_DAY.format(c='l_shipdate + INTERVAL 1 DAY * (l_partkey % 60 - 20)')} END AS data_inizio_effettiva, split_part('1|0|1.0|x|', '|', CAST(l_partkey % 5 + 1 AS INT)) AS consegna_frazionata, split_part('0|2|', '|', CAST(l_partkey % 3 + 1 AS INT)) AS consegna_sotto_riserva FROM {{lineitem}} WHERE l_linestatus = 'F'""",
+    "varianti": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, split_part('17|18|19.0|22|96|98|99|1|2|6|16|x|', '|', CAST(l_partkey % 13 + 1 AS INT)) AS cod_motivo_variante, CASE WHEN l_partkey % 6 <> 0 THEN {_DAY.format(c='l_shipdate + INTERVAL 1 DAY * (l_partkey % 40) + INTERVAL 1 DAY * (l_partkey % 3000)')} WHEN l_partkey % 12 = 0 THEN '2055-05-05' END AS data_approvazione_variante FROM {{lineitem}} WHERE l_returnflag = 'R'""",
+    "sospensioni": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, {_DAY.format(c='l_shipdate')} AS data_sospensione, CASE WHEN l_linenumber > 1 THEN {_DAY.format(c='l_shipdate + INTERVAL 1 DAY * (l_partkey % 200 - 30)')} END AS data_ripresa, split_part('INTERVENTO AUTORITA'' GIUDIZIARIA|intervento autorita'' giudiziaria|MOTIVI GIUDIZIARI|', '|', CAST(l_partkey % 4 + 1 AS INT)) AS descrizione_motivo FROM {{lineitem}} WHERE l_discount > 0.08""",
+    "sal": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, split_part('IN RITARDO|in ritardo|PUNTUALE|', '|', CAST(l_partkey % 4 + 1 AS INT)) AS flag_ritardo, split_part('2.5|2,5|0| 7|x', '|', CAST(l_partkey % 6 + 1 AS INT)) AS giorni_proroga FROM {{lineitem}} WHERE l_returnflag <> 'A'""",
+    "lavorazioni": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, split_part('1|2|3|4|5|6.0|7|8|9|10|11|12|13|14|15|x|', '|', CAST(l_partkey % 17 + 1 AS INT)) AS cod_tipo_lavorazione FROM {{lineitem}}""",
+    "collaudo": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey AS _row, CASE l_partkey % 3 WHEN 0 THEN 'POSITIVO' WHEN 1 THEN 'NEGATIVO' END AS esito_collaudo FROM {{lineitem}} WHERE l_linestatus = 'F'""",
+    "subappalti": f"""SELECT ' ' || {_CIG.format(k='l_orderkey')} AS cig FROM {{lineitem}} WHERE l_quantity > 40""",
+    "contesto": """SELECT CAST(s_suppkey AS INT) AS codice_provincia, CAST(2014 + r_regionkey AS INT) AS anno, CASE WHEN s_suppkey % 9 <> 0 THEN (s_suppkey % 37) * CAST(0.5 AS DOUBLE) END AS tasso_disoccupazione, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(14000 + 1000 * (s_suppkey % 17) AS DOUBLE) END AS reddito_irpef_procapite, CASE WHEN s_suppkey % 6 <> 0 THEN (s_suppkey % 6 - 1) * CAST(0.3 AS DOUBLE) END AS tasso_omicidi_100k FROM {supplier} JOIN {region} ON s_suppkey <= 111""",
 }
 
 
 def raw(spark: SparkSession, d: str, name: str) -> DataFrame:
     text = RAW[name]
-    return spark.sql(text, **{x: t(spark, d, x) for x in ("orders", "lineitem", "supplier") if "{" + x + "}" in text})
+    return spark.sql(text, **{x: t(spark, d, x) for x in TABLES if "{" + x + "}" in text})
 
 
 def _sql(*names: str) -> str:
-    return ", ".join(f"{n} AS ({RAW[n].format(orders='orders', lineitem='lineitem', supplier='supplier')})" for n in names)
+    return ", ".join(f"{n} AS ({RAW[n].format(**{x: x for x in TABLES})})" for n in names)
 
 
 _TIDY = r"nullif(regexp_replace(upper(trim({c})), '\s+', ' ', 'g'), '')"
@@ -119,88 +134,258 @@ def label_matches(spark: SparkSession, d: str) -> DataFrame:
 # --- features ---
 
 _DAYS = "CAST(floor((epoch_us({b}) - epoch_us({a})) / 86400000000) AS BIGINT)"
-_BASE = f"""{_sql('cig')}, one AS (SELECT *, row_number() OVER (PARTITION BY cig ORDER BY cod_cpv NULLS LAST, importo_lotto, luogo_istat) AS k FROM cig WHERE trim(flag_prevalente) = '1'),
-    base AS (SELECT *, CAST(data_pubblicazione AS TIMESTAMP) AS p, CASE WHEN data_scadenza_offerta > '1990' THEN CAST(data_scadenza_offerta AS TIMESTAMP) END AS s, CAST(replace(importo_lotto, ',', '.') AS DOUBLE) AS lot FROM one WHERE k = 1)"""
+_WHEN = "CASE WHEN TRY_CAST(trim({c}) AS TIMESTAMP) BETWEEN TIMESTAMP '1990-01-01' AND TIMESTAMP '2030-12-31' THEN TRY_CAST(trim({c}) AS TIMESTAMP) END"
+_COMMA = r"TRY_CAST(replace(regexp_replace({c}, '\s', '', 'g'), ',', '.') AS DOUBLE)"
+_NUMBER = "TRY_CAST(trim({c}) AS DOUBLE)"
+_CODE = "CAST(TRY_CAST(trim({c}) AS DOUBLE) AS BIGINT)"
+
+
+def _among(c: str, *values: object) -> str:
+    return f"{c} IN ({', '.join(repr(v) for v in values)})"
+
+
+def _holds(c: str, *words: str) -> str:
+    return "(" + " OR ".join("contains({}, '{}')".format(c, w.replace("'", "''")) for w in words) + ")"
+
+
+#: The published rules of each step, written for DuckDB; names of the parts are those of the queries' tables.
+PARTS = {
+    "lines": f"""lines AS (SELECT *, {_WHEN.format(c='data_pubblicazione')} AS p, {_WHEN.format(c='data_scadenza_offerta')} AS s, {_WHEN.format(c='data_ultimo_perfezionamento')} AS u, {_WHEN.format(c='data_comunicazione_esito')} AS m,
+        {_COMMA.format(c='importo_lotto')} AS lot, {_COMMA.format(c='importo_sicurezza')} AS sec, {_CODE.format(c='cod_modalita_realizzazione')} AS mode, trim(cod_tipo_scelta_contraente) AS proc, substr(trim(cod_cpv), 1, 2) AS cpv, nullif(upper(trim(esito)), '') AS e,
+        row_number() OVER (PARTITION BY cig ORDER BY _row) AS k FROM cig WHERE trim(flag_prevalente) = '1')""",
+    "base": f"""base AS (SELECT cig, p, lot AS importo_lotto, {_COMMA.format(c='importo_complessivo_gara')} AS importo_complessivo_gara, {_DAYS.format(a='p', b='s')} AS finestra_offerta_giorni, {_DAYS.format(a='p', b='u')} AS lag_perfezionamento_giorni, {_DAYS.format(a='p', b='m')} AS lag_comunicazione_esito_giorni,
+        CASE WHEN lot > 0 AND (sec > lot) IS NOT TRUE THEN sec / lot END AS importo_sicurezza_pct, CASE WHEN (sec > lot) IS NOT TRUE THEN sec END AS importo_sicurezza, {_CODE.format(c='n_lotti_componenti')} AS n_lotti_componenti, {_CODE.format(c='cod_strumento_svolgimento')} AS cod_strumento_svolgimento, {_CODE.format(c='cod_motivo_urgenza')} AS cod_motivo_urgenza,
+        coalesce({_CODE.format(c='flag_urgenza')}, 0) AS flag_urgenza, {_CODE.format(c='flag_delega')} AS flag_delega, coalesce(CAST(least(greatest({_NUMBER.format(c='flag_prev_ripetizioni')}, 0), 1) AS INTEGER), 0) AS flag_ripetizioni, CASE WHEN cig_accordo_quadro <> '' THEN 1 ELSE 0 END AS flag_accordo_quadro, CASE WHEN tipo_appalto_riservato <> '' THEN 1 ELSE 0 END AS flag_appalto_riservato,
+        CASE WHEN contains(upper(settore), 'SPECIALI') THEN 1 ELSE 0 END AS settore_speciale, oggetto_principale_contratto, CASE WHEN contains(upper(sezione_regionale), 'CENTRALE') THEN 'CENTRALE' WHEN {_holds('upper(sezione_regionale)', 'REGIONALE', 'SEZIONE')} THEN 'REGIONALE' END AS sezione_regionale,
+        CASE WHEN mode = 1 THEN 'APPALTO' WHEN mode = 7 THEN 'ECONOMIA' WHEN {_among('mode', 2, 9, 11, 17, 18)} THEN 'ACCORDO_QUADRO' WHEN {_among('mode', 3, 4, 20, 21)} THEN 'CONCESSIONE' WHEN {_among('mode', 5, 6, 8, 12, 13)} THEN 'PPP' WHEN {_among('mode', 10, 14, 15, 16, 19, 90, 999)} THEN 'ALTRO' END AS modalita_realizzazione_macro,
+        CASE WHEN {_among('proc', '1', '9', '14', '27', '28', '29', '30')} THEN 'APERTA' WHEN {_among('proc', '3', '4', '5', '16', '40')} THEN 'NEGOZIATA' WHEN {_among('proc', '2', '10', '11', '12', '15', '26', '32', '33', '97')} THEN 'RISTRETTA'
+             WHEN {_among('proc', '6', '7', '8', '13', '18', '19', '20', '21', '22', '23', '24', '25', '34', '35', '36', '37', '38', '98', '99', '114')} THEN 'AFFIDAMENTO_DIRETTO' END AS tipo_scelta_4cls,
+        CASE WHEN trim(cod_cpv) = '' OR cod_cpv IS NULL THEN NULL WHEN {_among('cpv', '30', '48', '72')} THEN 'IT' WHEN {_among('cpv', '33', '85')} THEN 'SANITA' WHEN {_among('cpv', '44', '45')} THEN 'LAVORI' WHEN {_among('cpv', '71', '73', '79')} THEN 'ING_PROF'
+             WHEN {_among('cpv', '50', '51', '55', '60', '63', '64', '65', '66', '70', '75', '76', '77', '80', '90', '92', '98')} THEN 'SERVIZI' ELSE 'FORNITURE' END AS cpv_macro_categoria,
+        CASE WHEN e = 'AGGIUDICATA' THEN e WHEN {_holds('e', 'ANNULLAT', 'REVOCAT')} THEN 'ANNULLATA' WHEN contains(e, 'DESERTA') THEN 'DESERTA' WHEN contains(e, 'IN_CORSO') OR e = 'IN CORSO' THEN 'IN_CORSO' WHEN {_holds('e', 'SENZA ESITO', 'NON AGGIUDICATA', 'NON_AGGIUDICATA')} THEN 'SENZA_ESITO'
+             WHEN contains(e, 'NESSUN VINCITORE') AND contains(e, 'CHIUSA') THEN 'SENZA_ESITO' WHEN {_holds('e', 'ANCORA IN CORSO', 'NON ANCORA')} THEN 'IN_CORSO' WHEN contains(e, 'PROPOSTA') THEN 'PROPOSTA' ELSE e END AS esito,
+        greatest(least(coalesce(TRY_CAST(anno_pubblicazione AS INTEGER), 2025) - 1, 2024), 2007) AS anno, CASE WHEN regexp_full_match(trim(luogo_istat), '[0-9.]+') THEN CAST(substr(lpad(CAST(CAST(TRY_CAST(luogo_istat AS DOUBLE) AS BIGINT) AS VARCHAR), 6, '0'), 1, 3) AS INTEGER) END AS codice_provincia, codice_ausa, cf_amministrazione_appaltante
+        FROM lines WHERE k = 1)""",
+    "targets": "targets AS (SELECT fine.cig, trim(id_aggiudicazione) AS id FROM fine JOIN etichette ON fine.cig = etichette.cig AND label = 1 WHERE id_aggiudicazione IS NOT NULL)",
+    "awards": f"""picked AS (SELECT agg.*, row_number() OVER (PARTITION BY agg.cig ORDER BY CASE WHEN trim(id_aggiudicazione) = id THEN 0 WHEN cod_modo_riaggiudicazione = '' THEN 1 ELSE 2 END, data_aggiudicazione_definitiva NULLS LAST, _row) AS k FROM agg LEFT JOIN targets ON agg.cig = targets.cig),
+        numbers AS (SELECT *, {_COMMA.format(c='numero_offerte_ammesse')} AS am, {_COMMA.format(c='numero_offerte_escluse')} AS ex, {_COMMA.format(c='num_imprese_offerenti')} AS fi, {_COMMA.format(c='ribasso_aggiudicazione')} AS rb, {_COMMA.format(c='massimo_ribasso')} AS hi, {_COMMA.format(c='minimo_ribasso')} AS lo, {_COMMA.format(c='importo_aggiudicazione')} AS paid,
+            {_WHEN.format(c='data_aggiudicazione_definitiva')} AS w FROM picked WHERE k = 1),
+        awards AS (SELECT numbers.cig, w, paid AS importo_aggiudicazione, am AS numero_offerte_ammesse, ex AS numero_offerte_escluse, fi AS num_imprese_offerenti, CASE WHEN greatest(coalesce(fi, 0), coalesce(am, 0) + coalesce(ex, 0)) > 0 THEN ex / greatest(coalesce(fi, 0), coalesce(am, 0) + coalesce(ex, 0)) END AS pct_offerte_escluse,
+            rb AS ribasso_aggiudicazione, hi - rb AS ribasso_spread, coalesce(abs(rb - lo) < 0.001, false) AS flag_vince_minimo, coalesce(trim(cig_prog_esterna) <> '', false) AS flag_progettazione_esterna, CASE WHEN w >= p THEN {_DAYS.format(a='p', b='w')} END AS lag_aggiudicazione_giorni,
+            CASE WHEN importo_lotto > 0 THEN abs(paid - importo_lotto * (1 - rb / 100)) / importo_lotto END AS delta_coerenza_pct, coalesce(CAST({_NUMBER.format(c='asta_elettronica')} AS INTEGER), 0) AS asta_elettronica, coalesce(CAST({_NUMBER.format(c='flag_scomputo')} AS INTEGER), 0) AS flag_scomputo,
+            coalesce(CAST({_NUMBER.format(c='flag_proc_accelerata')} AS INTEGER), 0) AS flag_proc_accelerata, split_part(trim(cod_esito), '.', 1) AS cod_esito FROM numbers LEFT JOIN base ON numbers.cig = base.cig)""",
+    "winners": f"""named AS (SELECT cig, upper(trim(tipo_soggetto)) AS v, row_number() OVER (PARTITION BY cig ORDER BY coalesce(upper(trim(ruolo)) = 'MANDATARIA', false) DESC, _row) AS k FROM vincitori),
+        winners AS (SELECT cig, CASE WHEN starts_with(v, 'IMPRESA SINGOLA') OR {_among('v', 'IMPRESA', 'DITTA INDIVIDUALE', 'MONOSOGGETTIVO')} THEN 'SINGOLA' WHEN starts_with(v, 'ATI') OR v = 'RTI' THEN 'ATI' WHEN starts_with(v, 'CONSORZIO') OR (NOT starts_with(v, 'GEIE') AND contains(v, 'CONSORZIO')) THEN 'CONSORZIO'
+            WHEN starts_with(v, 'GEIE') THEN 'GEIE' WHEN v = 'STAZIONE APPALTANTE' THEN 'SA' ELSE 'ALTRO' END AS tipo_soggetto_agg FROM named WHERE k = 1)""",
+    "authorities": f"""forms AS (SELECT ltrim(codice_ausa, '0') AS a, codice_fiscale AS f, upper(trim(natura_giuridica_descrizione)) AS v FROM sa),
+        kinds AS (SELECT a, f, CASE WHEN {_holds('v', 'OSPEDALIERI', 'CURA, SOGGIORNO', 'DI PREVIDENZA E DI ASSIST', 'ISTITUTO PUBBLICO DI ASSIST', 'CASSE MUTUE', 'AZIENDA PUBBLICA DI SERVIZI ALLE PERSONE')} THEN 'SANITARIO' WHEN contains(v, 'ENTI PUBBLICI ECONOMICI') THEN 'EPE'
+            WHEN {_holds('v', 'AMMINISTRAZIONI PUBBLICHE', 'COMUNE', 'ORGANI ED AMMIN', 'UNIONE DI COMUNI', 'CONSORZIO INTERCOMUNALE', 'CONSORZIO DI CUI AL DLGS', 'CONSORZI AI SENSI', 'CONSORZIO AI SENSI', 'CONSORZIO DI DIRITTO PUBBLICO')} THEN 'PA_ISTITUZIONALE'
+            WHEN {_holds('v', 'ALTRI ENTI ED ISTITUTI', 'AZIENDA SPECIALE', 'ORDINE E COLLEGIO', 'ASSOCIAZIONI TRA PROFESSIONISTI', 'ENTE MORALE')} OR {_among('v', 'ENTE', 'ENTE ECCLESIASTICO')} THEN 'PA_ENTE' WHEN {_holds('v', 'FONDAZION', 'ASSOCIAZION', 'ORGANIZZAZIONI SENZA', 'OPERE PIE', 'ECCLESIASTIC')} THEN 'NON_PROFIT'
+            WHEN contains(v, 'CONSORZI') THEN 'CONSORZIO' WHEN {_holds('v', "SOCIETA'", 'SOCIETA ', 'COOPERATIV', 'GEIE')} THEN 'SOCIETA' ELSE 'ALTRO' END AS kind FROM forms),
+        by_a AS (SELECT a, min(kind) AS kind FROM kinds WHERE a IS NOT NULL GROUP BY a), by_f AS (SELECT f, min(kind) AS kind FROM kinds WHERE f IS NOT NULL GROUP BY f),
+        authorities AS (SELECT cig, coalesce(by_a.kind, by_f.kind) AS natura_giuridica_SA FROM base LEFT JOIN by_a ON ltrim(regexp_replace(codice_ausa, '\\.0$', ''), '0') = by_a.a LEFT JOIN by_f ON cf_amministrazione_appaltante = by_f.f)""".replace("\\\\", "\\"),
+    "budgets": f"""amounts AS (SELECT cig, descrizione_evento AS e, sum({_NUMBER.format(c='importo_sicurezza')}) AS sec, coalesce(sum({_NUMBER.format(c='importo_sicurezza')}), 0) + coalesce(sum({_NUMBER.format(c='importo_forniture')}), 0) + coalesce(sum({_NUMBER.format(c='importo_lavori')}), 0) + coalesce(sum({_NUMBER.format(c='importo_servizi')}), 0)
+            + coalesce(sum({_NUMBER.format(c='ulteriori_oneri_non_soggetti_ribasso')}), 0) AS core, sum({_NUMBER.format(c='somme_a_disposizione')}) AS rest FROM quadro GROUP BY ALL),
+        both_events AS (SELECT coalesce(b.cig, c.cig) AS cig, b.sec AS sicurezza_base_asta, b.rest / nullif(b.core, 0) AS x, c.core / nullif(b.core, 0) AS y, c.rest / nullif(b.core, 0) AS z FROM (SELECT * FROM amounts WHERE e = 'BASE_ASTA') b FULL JOIN (SELECT * FROM amounts WHERE e = 'CONSUNTIVO') c ON b.cig = c.cig),
+        budgets AS (SELECT cig, sicurezza_base_asta, CASE WHEN x BETWEEN 0 AND 10 THEN x END AS pct_riserva_base, CASE WHEN y BETWEEN 0 AND 10 THEN y END AS pct_overrun_core, CASE WHEN z BETWEEN 0 AND 10 THEN z END AS pct_riserva_consumata FROM both_events)""",
+    "starts": f"""begun AS (SELECT avvio.*, row_number() OVER (PARTITION BY avvio.cig ORDER BY coalesce(trim(id_aggiudicazione) = id, false) DESC, _row) AS k, {_WHEN.format(c='data_stipula_contratto')} AS g, {_WHEN.format(c='data_termine_contrattuale')} AS f, {_WHEN.format(c='data_inizio_effettiva')} AS i FROM avvio LEFT JOIN targets ON avvio.cig = targets.cig),
+        starts AS (SELECT begun.cig, i, f, CASE WHEN g >= w THEN {_DAYS.format(a='w', b='g')} END AS lag_stipula_aggiudicazione_giorni, CASE WHEN f >= i THEN {_DAYS.format(a='i', b='f')} END AS durata_pianificata_giorni, CAST({_NUMBER.format(c='consegna_frazionata')} AS INTEGER) AS consegna_frazionata,
+            CAST({_NUMBER.format(c='consegna_sotto_riserva')} AS INTEGER) AS consegna_sotto_riserva FROM begun LEFT JOIN awards ON begun.cig = awards.cig WHERE k = 1)""",
+    "variants": f"""variants AS (SELECT cig, count(*) AS n_varianti, max(CASE WHEN {_among('TRY_CAST(cod_motivo_variante AS DOUBLE)', 17, 18, 19, 22, 96, 98, 99)} THEN 0 ELSE 1 END) AS flag_variante_sostanziale, min(least(greatest(CAST(data_approvazione_variante AS TIMESTAMP), TIMESTAMP '2000-01-01'), TIMESTAMP '2040-01-01')) FILTER (WHERE data_approvazione_variante IS NOT NULL) AS first FROM varianti GROUP BY cig)""",
+    "suspensions": """suspensions AS (SELECT cig, count(*) AS n_sospensioni, CAST(coalesce(sum(greatest(CAST(data_ripresa AS DATE) - CAST(data_sospensione AS DATE), 0)) FILTER (WHERE data_ripresa IS NOT NULL), 0) AS BIGINT) AS durata_totale_sospensioni_gg, max(CASE WHEN descrizione_motivo = 'INTERVENTO AUTORITA'' GIUDIZIARIA' THEN 1 ELSE 0 END) AS flag_sosp_giudiziaria FROM sospensioni GROUP BY cig)""",
+    "progress": f"""progress AS (SELECT cig, count(*) AS n_sal, max(CASE WHEN flag_ritardo = 'IN RITARDO' THEN 1 ELSE 0 END) AS flag_in_ritardo, max(CASE WHEN {_NUMBER.format(c='giorni_proroga')} > 0 THEN 1 ELSE 0 END) AS flag_proroga FROM sal GROUP BY cig)""",
+    "works": """coded AS (SELECT cig, TRY_CAST(cod_tipo_lavorazione AS DOUBLE) AS c FROM lavorazioni), works AS (SELECT cig, CASE min(CASE WHEN c IN (6, 7) THEN 1 WHEN c IN (8, 9, 10) THEN 2 WHEN c IN (11, 12, 13, 14) THEN 3 ELSE 4 END) WHEN 1 THEN 'COSTRUZIONE' WHEN 2 THEN 'RISANAMENTO' WHEN 3 THEN 'MANUTENZIONE' END AS tipo_lavorazione_macro FROM coded WHERE c BETWEEN 1 AND 14 GROUP BY cig)""",
+    "tests": "tests AS (SELECT cig, esito_collaudo FROM (SELECT *, row_number() OVER (PARTITION BY cig ORDER BY _row) AS k FROM collaudo) WHERE k = 1)",
+    "subs": "subs AS (SELECT trim(cig) AS cig FROM subappalti UNION SELECT cig FROM (SELECT *, row_number() OVER (PARTITION BY cig ORDER BY _row) AS k FROM agg) WHERE k = 1 AND flag_subappalto = 'True')",
+    "wide": f"""kept AS (SELECT base.* FROM base LEFT JOIN awards ON base.cig = awards.cig WHERE NOT coalesce({_among('esito', 'DESERTA', 'NON_AGGIUDICATA', 'IN_CORSO')}, false) OR coalesce({_among('cod_esito', '1', '5')}, false)),
+        wide AS (SELECT kept.* EXCLUDE (importo_sicurezza, p), coalesce(importo_sicurezza, sicurezza_base_asta) AS importo_sicurezza, label, awards.* EXCLUDE (cig, w), tipo_soggetto_agg, natura_giuridica_SA, pct_riserva_base, pct_overrun_core, pct_riserva_consumata, starts.* EXCLUDE (cig, i, f),
+            coalesce(n_varianti, 0) AS n_varianti, coalesce(flag_variante_sostanziale, 0) AS flag_variante_sostanziale, coalesce(n_sospensioni, 0) AS n_sospensioni, coalesce(durata_totale_sospensioni_gg, 0) AS durata_totale_sospensioni_gg, coalesce(flag_sosp_giudiziaria, 0) AS flag_sosp_giudiziaria,
+            CASE WHEN n_sospensioni > 0 THEN 1 ELSE 0 END AS flag_sospensione, CASE WHEN n_sospensioni IS NULL THEN 0.0 WHEN durata_totale_sospensioni_gg / nullif(durata_pianificata_giorni, 0) BETWEEN 0 AND 10 THEN durata_totale_sospensioni_gg / durata_pianificata_giorni END AS pct_durata_sospesa,
+            coalesce(n_sal, 0) AS n_sal, flag_in_ritardo, coalesce(flag_proroga, 0) AS flag_proroga, tipo_lavorazione_macro, esito_collaudo, CASE WHEN subs.cig IS NULL THEN 0 ELSE 1 END AS flag_subappalto, CASE WHEN first > f THEN 1 WHEN first <= f THEN 0 END AS flag_variante_oltre_termine,
+            CASE WHEN {_DAYS.format(a='i', b='first')} / nullif(durata_pianificata_giorni, 0) BETWEEN 0 AND 10 THEN {_DAYS.format(a='i', b='first')} / durata_pianificata_giorni END AS pct_vita_prima_variante, CASE WHEN n_varianti > 0 THEN pct_overrun_core END AS pct_overrun_variante, tasso_disoccupazione, reddito_irpef_procapite, tasso_omicidi_100k
+            FROM kept LEFT JOIN etichette ON kept.cig = etichette.cig LEFT JOIN awards ON kept.cig = awards.cig LEFT JOIN winners ON kept.cig = winners.cig LEFT JOIN authorities ON kept.cig = authorities.cig LEFT JOIN budgets ON kept.cig = budgets.cig LEFT JOIN starts ON kept.cig = starts.cig LEFT JOIN variants ON kept.cig = variants.cig
+            LEFT JOIN suspensions ON kept.cig = suspensions.cig LEFT JOIN progress ON kept.cig = progress.cig LEFT JOIN works ON kept.cig = works.cig LEFT JOIN tests ON kept.cig = tests.cig LEFT JOIN subs ON kept.cig = subs.cig LEFT JOIN contesto ON kept.codice_provincia = contesto.codice_provincia AND kept.anno = contesto.anno)""",
+}
+#: What each part is made from: raw tables, then parts in order.
+NEEDS = {
+    "base": (["cig"], ["lines", "base"]), "awards": (["cig", "fine", "etichette", "agg"], ["lines", "base", "targets", "awards"]), "winners": (["vincitori"], ["winners"]), "authorities": (["cig", "sa"], ["lines", "base", "authorities"]), "budgets": (["quadro"], ["budgets"]),
+    "starts": (["cig", "fine", "etichette", "agg", "avvio"], ["lines", "base", "targets", "awards", "starts"]), "variants": (["varianti"], ["variants"]), "suspensions": (["sospensioni"], ["suspensions"]), "progress": (["sal"], ["progress"]), "works": (["lavorazioni"], ["works"]), "tests": (["collaudo"], ["tests"]),
+    "subs": (["agg", "subappalti"], ["subs"]), "wide": (["cig", "fine", "etichette", "agg", "vincitori", "sa", "quadro", "avvio", "varianti", "sospensioni", "sal", "lavorazioni", "collaudo", "subappalti", "contesto"], [k for k in PARTS]),
+}
+
+
+def rule(part: str, columns: str) -> str:
+    """SQL over a part and what it needs."""
+    raws, parts = NEEDS[part]
+    return f"WITH {_sql(*raws)}, {', '.join(PARTS[p] for p in parts)} SELECT {columns} FROM {part}"
+
+
+def _plain(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns, doubles rounded and small integers as int."""
+    kinds = dict(df.dtypes)
+    return df.select(*[r6(c).alias(c) if kinds[c] == "double" else F.col(c).cast("int").alias(c) if kinds[c] == "tinyint" else F.col(c) for c in names])
+
+
+def _rounded(names: list[str], doubles: set[str]) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" if c in doubles else c for c in names)
+
+
+_BASE = ["cig", "importo_lotto", "importo_complessivo_gara", "finestra_offerta_giorni", "lag_perfezionamento_giorni", "lag_comunicazione_esito_giorni", "importo_sicurezza_pct", "importo_sicurezza", "n_lotti_componenti", "cod_strumento_svolgimento", "cod_motivo_urgenza", "flag_urgenza", "flag_delega", "flag_ripetizioni", "flag_accordo_quadro", "flag_appalto_riservato", "settore_speciale", "oggetto_principale_contratto", "sezione_regionale", "modalita_realizzazione_macro", "tipo_scelta_4cls", "cpv_macro_categoria", "esito", "anno", "codice_provincia"]
+_AWARD = ["cig", "importo_aggiudicazione", "numero_offerte_ammesse", "numero_offerte_escluse", "num_imprese_offerenti", "pct_offerte_escluse", "ribasso_aggiudicazione", "ribasso_spread", "flag_vince_minimo", "flag_progettazione_esterna", "lag_aggiudicazione_giorni", "delta_coerenza_pct", "asta_elettronica", "flag_scomputo", "flag_proc_accelerata", "cod_esito"]
+_DOUBLES = {"importo_lotto", "importo_complessivo_gara", "importo_sicurezza_pct", "importo_sicurezza", "importo_aggiudicazione", "numero_offerte_ammesse", "numero_offerte_escluse", "num_imprese_offerenti", "pct_offerte_escluse", "ribasso_aggiudicazione", "ribasso_spread", "delta_coerenza_pct", "pct_riserva_base", "pct_overrun_core", "pct_riserva_consumata", "pct_durata_sospesa", "pct_vita_prima_variante", "pct_overrun_variante", "tasso_disoccupazione", "reddito_irpef_procapite", "tasso_omicidi_100k"}
 
 
-@query(f"""WITH {_BASE} SELECT cig, lot AS importo_lotto, {_DAYS.format(a='p', b='s')} AS finestra_offerta_giorni, round(CAST(importo_sicurezza AS DOUBLE) / nullif(lot, 0), 9) AS importo_sicurezza_pct, CASE flag_urgenza WHEN '1' THEN 1 WHEN '7' THEN 1 ELSE 0 END AS flag_urgenza,
-    CASE WHEN trim(cig_accordo_quadro) <> '' THEN 1 ELSE 0 END AS flag_accordo_quadro, CASE WHEN settore = 'settori speciali' THEN 1 ELSE 0 END AS settore_speciale, CASE cod_modalita_realizzazione WHEN '3.0' THEN 'CONCESSIONE' WHEN '1' THEN 'APPALTO' END AS modalita_realizzazione_macro,
-    CASE trim(cod_tipo_scelta_contraente) WHEN '1' THEN 'APERTA' WHEN '4' THEN 'NEGOZIATA' WHEN '2' THEN 'RISTRETTA' WHEN '6' THEN 'AFFIDAMENTO_DIRETTO' END AS tipo_scelta_4cls,
-    CASE substr(cod_cpv, 1, 2) WHEN '45' THEN 'LAVORI' WHEN '33' THEN 'SANITA' WHEN '50' THEN 'SERVIZI' WHEN '15' THEN 'FORNITURE' END AS cpv_macro_categoria, CASE esito WHEN 'Aggiudicata' THEN 'AGGIUDICATA' WHEN 'non aggiudicata' THEN 'SENZA_ESITO' WHEN 'annullata/deserta' THEN 'ANNULLATA' END AS esito,
-    least(greatest(CAST(anno_pubblicazione AS INTEGER), 2007), 2024) AS anno, CAST(substr(lpad(CAST(CAST(CAST(luogo_istat AS DOUBLE) AS BIGINT) AS STRING), 6, '0'), 1, 3) AS INTEGER) AS codice_provincia FROM base""")
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    return features.award_targets(raw(spark, d, "etichette").filter("label = 1"), raw(spark, d, "fine"))
+
+
+@query(rule("base", _rounded(_BASE, _DOUBLES)))
 def feature_contracts(spark: SparkSession, d: str) -> DataFrame:
     """The base table: one row per contract from its prevalent lines."""
-    made = features.contracts(raw(spark, d, "cig"))
-    small = ["flag_urgenza", "flag_accordo_quadro", "settore_speciale"]
-    names = ["cig", "importo_lotto", "finestra_offerta_giorni", "importo_sicurezza_pct", *small, "modalita_realizzazione_macro", "tipo_scelta_4cls", "cpv_macro_categoria", "esito", "anno", "codice_provincia"]
-    return made.select(*names).withColumns({"importo_sicurezza_pct": F.round("importo_sicurezza_pct", 9), **{c: F.col(c).cast("int") for c in small}})
+    return _plain(features.contracts(raw(spark, d, "cig")), _BASE)
 
 
-@query(f"""WITH {_BASE}, {_sql('agg')}, first AS (SELECT *, row_number() OVER (PARTITION BY cig ORDER BY CASE WHEN cod_modo_riaggiudicazione = '' THEN 1 ELSE 2 END, data_aggiudicazione_definitiva NULLS LAST, id_aggiudicazione, CAST(replace(importo_aggiudicazione, ',', '.') AS DOUBLE)) AS n FROM agg),
-    a AS (SELECT first.*, base.p, CAST(data_aggiudicazione_definitiva AS TIMESTAMP) AS w, CAST(ribasso_aggiudicazione AS DOUBLE) AS x FROM first LEFT JOIN base ON first.cig = base.cig WHERE n = 1)
-    SELECT cig, id_aggiudicazione, CAST(replace(importo_aggiudicazione, ',', '.') AS DOUBLE) AS importo_aggiudicazione, 9 - x AS ribasso_spread, CASE WHEN abs(x - 4) < 1e-3 THEN true ELSE false END AS flag_vince_minimo, coalesce(cig_prog_esterna = 'p', false) AS flag_progettazione_esterna,
-    CASE WHEN w >= p THEN {_DAYS.format(a='p', b='w')} END AS lag_aggiudicazione_giorni, CAST(NULL AS BIGINT) AS lag_comunicazione_esito_giorni, CASE WHEN asta_elettronica = '1.0' THEN 1 ELSE 0 END AS asta_elettronica FROM a""")
+@query(rule("awards", _rounded(_AWARD, _DOUBLES)))
 def feature_awards(spark: SparkSession, d: str) -> DataFrame:
-    made = features.awards(raw(spark, d, "agg"), features.contracts(raw(spark, d, "cig")))
-    return made.select("cig", "id_aggiudicazione", "importo_aggiudicazione", "ribasso_spread", F.col("flag_vince_minimo").cast("boolean").alias("flag_vince_minimo"), "flag_progettazione_esterna", "lag_aggiudicazione_giorni", "lag_comunicazione_esito_giorni", "asta_elettronica")
+    return _plain(features.awards(raw(spark, d, "agg"), features.contracts(raw(spark, d, "cig")), _targets(spark, d)), _AWARD)
 
 
-@query(f"""WITH {_sql('eventi')} SELECT cig, CASE tipo_soggetto WHEN 'Impresa singola' THEN 'SINGOLA' WHEN 'RTI' THEN 'ATI' WHEN 'GEIE consorzio' THEN 'GEIE' WHEN 'un consorzio' THEN 'CONSORZIO' WHEN 'Stazione appaltante' THEN 'SA' ELSE 'ALTRO' END AS tipo_soggetto_agg
-    FROM (SELECT *, row_number() OVER (PARTITION BY cig ORDER BY upper(trim(ruolo)) <> 'MANDATARIA' NULLS LAST, id_aggiudicazione, codice_fiscale) AS k FROM eventi) WHERE k = 1""")
+@query(rule("winners", "*"))
 def feature_winners(spark: SparkSession, d: str) -> DataFrame:
-    return features.winners(raw(spark, d, "eventi"))
+    return features.winners(raw(spark, d, "vincitori"))
 
 
-@query(f"""WITH {_sql('cig', 'sa')}, form AS (SELECT ltrim(codice_ausa, '0') AS a, codice_fiscale AS f, CASE natura_giuridica_descrizione WHEN 'Comune' THEN 'PA_ISTITUZIONALE' WHEN 'Fondazione X' THEN 'NON_PROFIT' WHEN 'Consorzio' THEN 'CONSORZIO' WHEN 'ente' THEN 'PA_ENTE' ELSE 'ALTRO' END AS v FROM sa),
-    keys AS (SELECT DISTINCT cig || flag_prevalente || cod_cpv AS cig, ltrim(regexp_replace(codice_ausa, '\\.0$', ''), '0') AS a, cf_amministrazione_appaltante AS f FROM cig WHERE cod_cpv IS NOT NULL)
-    SELECT cig, coalesce(x.v, y.v) AS natura_giuridica_SA FROM keys LEFT JOIN form x ON keys.a = x.a LEFT JOIN form y ON keys.f = y.f""".replace("\\\\", "\\"))
+@query(rule("authorities", "*"))
 def feature_authorities(spark: SparkSession, d: str) -> DataFrame:
     """Legal form by one code, else by another; null codes match nothing."""
-    base = raw(spark, d, "cig").filter("cod_cpv IS NOT NULL").select(F.concat("cig", "flag_prevalente", "cod_cpv").alias("cig"), "codice_ausa", "cf_amministrazione_appaltante").distinct()
-    return features.authorities(base, raw(spark, d, "sa"))
+    return features.authorities(features.contracts(raw(spark, d, "cig")), raw(spark, d, "sa"))
 
 
-@query(f"""WITH {_sql('eventi')}, s AS (SELECT cig, upper(trim(descrizione_evento)) AS e, sum(CAST(replace(importo_sicurezza, ',', '.') AS DOUBLE)) + sum(CAST(importo_forniture AS DOUBLE)) AS core, sum(CAST(somme_a_disposizione AS DOUBLE)) AS reserve FROM eventi GROUP BY 1, 2),
-    b AS (SELECT * FROM s WHERE e = 'BASE_ASTA'), c AS (SELECT * FROM s WHERE e = 'CONSUNTIVO'), r AS (SELECT coalesce(b.cig, c.cig) AS cig, b.reserve / nullif(b.core, 0) AS x, c.core / nullif(b.core, 0) AS y, c.reserve / nullif(b.reserve, 0) AS z FROM b FULL JOIN c ON b.cig = c.cig)
-    SELECT cig, round(CASE WHEN x BETWEEN 0 AND 10 THEN x END, 6) AS pct_riserva_base, round(CASE WHEN y BETWEEN 0 AND 10 THEN y END, 6) AS pct_overrun_core, round(CASE WHEN z BETWEEN 0 AND 10 THEN z END, 6) AS pct_riserva_consumata FROM r""")
+@query(rule("budgets", "cig, round(sicurezza_base_asta, 6) AS sicurezza_base_asta, round(pct_riserva_base, 6) AS pct_riserva_base, round(pct_overrun_core, 6) AS pct_overrun_core, round(pct_riserva_consumata, 6) AS pct_riserva_consumata") + " WHERE cig IN (SELECT cig FROM amounts WHERE e IN ('BASE_ASTA', 'CONSUNTIVO'))")
 def feature_budgets(spark: SparkSession, d: str) -> DataFrame:
-    made = features.budgets(raw(spark, d, "eventi"))
-    return made.withColumns({c: r6(c) for c in made.columns if c != "cig"})
+    return _plain(features.budgets(raw(spark, d, "quadro")), ["cig", "sicurezza_base_asta", "pct_riserva_base", "pct_overrun_core", "pct_riserva_consumata"])
 
 
-@query(f"""WITH {_sql('eventi')} SELECT cig, count(*) AS n_varianti, max(CASE WHEN cod_motivo_variante = '1' THEN 0 ELSE 1 END) AS flag_variante_sostanziale, greatest(min(giorno), '2000-01-01') AS prima_variante FROM eventi GROUP BY 1""")
+@query(rule("variants", "cig, n_varianti, flag_variante_sostanziale, strftime(first, '%Y-%m-%d') AS prima_variante"))
 def feature_variants(spark: SparkSession, d: str) -> DataFrame:
-    made = features.variants(raw(spark, d, "eventi").withColumnRenamed("giorno", "data_approvazione_variante"))
-    return made.withColumn("prima_variante", F.col("prima_variante").cast("date").cast("string"))
+    return features.variants(raw(spark, d, "varianti")).withColumn("prima_variante", F.col("prima_variante").cast("date").cast("string"))
 
 
-@query(f"""WITH {_sql('eventi')} SELECT cig, count(*) AS n_sospensioni, CAST(coalesce(sum(CAST(dopo AS DATE) - CAST(giorno AS DATE)), 0) AS BIGINT) AS durata_totale_sospensioni_gg, max(CASE WHEN descrizione_motivo IS NULL THEN 0 ELSE 1 END) AS flag_sosp_giudiziaria FROM eventi GROUP BY 1""")
+@query(rule("suspensions", "*"))
 def feature_suspensions(spark: SparkSession, d: str) -> DataFrame:
-    return features.suspensions(raw(spark, d, "eventi").withColumnsRenamed({"giorno": "data_sospensione", "dopo": "data_ripresa"}))
+    return features.suspensions(raw(spark, d, "sospensioni"))
 
 
-@query(f"""WITH {_sql('eventi')} SELECT cig, count(*) AS n_sal, max(CASE WHEN flag_ritardo IS NULL THEN 0 ELSE 1 END) AS flag_in_ritardo, max(CASE WHEN giorni_proroga = '2,5' THEN 1 ELSE 0 END) AS flag_proroga FROM eventi GROUP BY 1""")
+@query(rule("progress", "*"))
 def feature_progress(spark: SparkSession, d: str) -> DataFrame:
-    return features.progress(raw(spark, d, "eventi"))
+    return features.progress(raw(spark, d, "sal"))
 
 
-@query(f"""WITH {_sql('eventi')} SELECT cig, CASE min(CASE tipo_lavorazione WHEN 'COSTRUZIONE' THEN 1 WHEN 'manutenzione' THEN 3 ELSE 4 END) WHEN 1 THEN 'COSTRUZIONE' WHEN 3 THEN 'MANUTENZIONE' END AS tipo_lavorazione_macro FROM eventi WHERE tipo_lavorazione <> '?' GROUP BY 1""")
+@query(rule("works", "*"))
 def feature_works(spark: SparkSession, d: str) -> DataFrame:
-    return features.works(raw(spark, d, "eventi"))
+    return features.works(raw(spark, d, "lavorazioni"))
 
 
-@query(f"""WITH {_sql('eventi')} SELECT cig, CASE min(esito_collaudo) WHEN 'Positivo' THEN 'POSITIVO' WHEN 'esito negativo' THEN 'NEGATIVO' END AS esito_collaudo FROM eventi GROUP BY 1""")
+@query(rule("tests", "*"))
 def feature_tests(spark: SparkSession, d: str) -> DataFrame:
-    return features.tests_passed(raw(spark, d, "eventi"))
+    return features.tests_passed(raw(spark, d, "collaudo"))
+
+
+@query(rule("subs", "cig, 1 AS flag_subappalto"))
+def feature_subcontracts(spark: SparkSession, d: str) -> DataFrame:
+    return features.subcontracted(raw(spark, d, "agg"), raw(spark, d, "subappalti"))
+
 
+_START = ["cig", "lag_stipula_aggiudicazione_giorni", "durata_pianificata_giorni", "consegna_frazionata", "consegna_sotto_riserva"]
 
-@query(f"""WITH {_sql('eventi', 'agg')}, first AS (SELECT cig, id_aggiudicazione AS won, CAST(data_aggiudicazione_definitiva AS TIMESTAMP) AS w, row_number() OVER (PARTITION BY cig ORDER BY CASE WHEN cod_modo_riaggiudicazione = '' THEN 1 ELSE 2 END, data_aggiudicazione_definitiva NULLS LAST, id_aggiudicazione, CAST(replace(importo_aggiudicazione, ',', '.') AS DOUBLE)) AS n FROM agg),
-    s AS (SELECT eventi.cig, CAST(giorno AS TIMESTAMP) AS g, CAST(dopo AS TIMESTAMP) AS e, w, row_number() OVER (PARTITION BY eventi.cig ORDER BY id_aggiudicazione = won DESC NULLS LAST, id_aggiudicazione, giorno NULLS LAST) AS k FROM eventi LEFT JOIN first ON eventi.cig = first.cig AND n = 1)
-    SELECT cig, CASE WHEN g >= w THEN {_DAYS.format(a='w', b='g')} END AS lag_stipula_aggiudicazione_giorni, CASE WHEN e >= g THEN {_DAYS.format(a='g', b='e')} END AS durata_pianificata_giorni FROM s WHERE k = 1""")
+
+@query(rule("starts", ", ".join(_START)))
 def feature_starts(spark: SparkSession, d: str) -> DataFrame:
-    begun = raw(spark, d, "eventi").select("cig", "id_aggiudicazione", F.col("giorno").alias("data_stipula_contratto"), F.col("dopo").alias("data_termine_contrattuale"), F.lit(None).cast("string").alias("data_inizio_effettiva"), F.lit("1").alias("consegna_frazionata"), F.lit("x").alias("consegna_sotto_riserva"))
-    awarded = features.awards(raw(spark, d, "agg"), features.contracts(raw(spark, d, "cig")))
-    return features.starts(begun, awarded).select("cig", "lag_stipula_aggiudicazione_giorni", "durata_pianificata_giorni")
+    targets = _targets(spark, d)
+    awarded = features.awards(raw(spark, d, "agg"), features.contracts(raw(spark, d, "cig")), targets)
+    return _plain(features.starts(raw(spark, d, "avvio"), awarded, targets), _START)
+
+
+# --- the nested datasets, from raw columns only ---
+
+FILES = {"cig": "cig", "aggiudicazioni": "agg", "aggiudicatari": "vincitori", "stazioni-appaltanti": "sa", "quadro-economico": "quadro", "avvio-contratto": "avvio", "fine-contratto": "fine", "varianti": "varianti", "sospensioni": "sospensioni", "stati-avanzamento": "sal", "lavorazioni": "lavorazioni", "collaudo": "collaudo", "subappalti": "subappalti", "contesto_province": "contesto"}
+_SIGNS = "(lag_stipula_aggiudicazione_giorni IS NOT NULL OR n_sal > 0 OR n_varianti > 0 OR n_sospensioni > 0)"
+STAGE_ROWS = {"M1": "true", "M2": "esito = 'AGGIUDICATA'", "M3": f"esito = 'AGGIUDICATA' AND {_SIGNS}"}
+_COLUMNS = {"M1": ["cig", "label", *datasets.M1], "M2": ["cig", "label", *datasets.M1, *datasets.M2_MORE], "M3": ["cig", "label", *datasets.M1, *datasets.M2_MORE, *datasets.M3_MORE]}
+
+
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table of all raw tables."""
+    return features.wide_table({file: raw(spark, d, name) for file, name in FILES.items()}, raw(spark, d, "etichette"))
+
+
+def _native(stage: str) -> str:
+    return rule("wide", _rounded(_COLUMNS[stage], _DOUBLES)) + f" WHERE {STAGE_ROWS[stage]}"
+
+
+@query(_native("M1"))
+def dataset_m1(spark: SparkSession, d: str) -> DataFrame:
+    """Every contract with what is known when it is tendered."""
+    return _plain(datasets.native(datasets.stages(wide(spark, d))["M1"], "M1"), _COLUMNS["M1"])
+
+
+@query(_native("M2"))
+def dataset_m2(spark: SparkSession, d: str) -> DataFrame:
+    """Awarded contracts."""
+    return _plain(datasets.native(datasets.stages(wide(spark, d))["M2"], "M2"), _COLUMNS["M2"])
+
+
+@query(_native("M3"))
+def dataset_m3(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts in execution."""
+    return _plain(datasets.native(datasets.stages(wide(spark, d))["M3"], "M3"), _COLUMNS["M3"])
+
+
+def _banded(c: str) -> str:
+    whens = ["WHEN {} < 0 THEN '<0'".format(c)] if c in datasets.NEGATIVE else []
+    for name, *limits in datasets.BANDS[c]:
+        inside = f"{c} IN ({', '.join(map(str, limits[0]))})" if isinstance(limits[0], list) else " AND ".join([f"{c} > {limits[0]}"] * (limits[0] is not None) + [f"{c} <= {limits[1]}"] * (limits[1] is not None))
+        whens.append(f"WHEN {inside} THEN '{name}'")
+    return f"CASE {' '.join(whens)} ELSE 'MISSING' END"
+
+
+def _prepared(c: str) -> str:
+    if c in datasets.BANDS:
+        return _banded(c)
+    if c in datasets.FLAGS:
+        return f"CASE CAST({c} AS INTEGER) WHEN 1 THEN '1' WHEN 0 THEN '0' ELSE 'MISSING' END"
+    if c in datasets.CODES:
+        return f"coalesce(CAST({c} AS VARCHAR), 'MISSING')"
+    if c in datasets.CONSTANTS:
+        return f"round(coalesce({c}, {datasets.CONSTANTS[c]}), 6)" if c in _DOUBLES else f"coalesce({c}, {datasets.CONSTANTS[c]})"
+    if c in datasets.MODES:
+        return f"coalesce({c}, mode_{c})"
+    if c == "importo_complessivo_gara":
+        return f"round(coalesce({c}, med_{c}), 6)"
+    if c in ("finestra_offerta_giorni", "lag_perfezionamento_giorni"):
+        return f"coalesce(CAST({c} AS DOUBLE), round_even(med_{c}, 0))"
+    if c == "tasso_disoccupazione":
+        return f"CASE WHEN {c} IS NULL THEN 'MISSING' WHEN {c} <= qt[2] THEN 'Q1' WHEN {c} <= qt[3] THEN 'Q2' WHEN {c} <= qt[4] THEN 'Q3' ELSE 'Q4' END"
+    if c == "importo_aggiudicazione":
+        return f"CASE WHEN {c} = 0 THEN 'Q1' WHEN ({c} > 0) IS NOT TRUE THEN 'MISSING' WHEN ln(1 + {c}) <= qi[1] THEN 'Q1' WHEN ln(1 + {c}) <= qi[2] THEN 'Q2' WHEN ln(1 + {c}) <= qi[3] THEN 'Q3' ELSE 'Q4' END"
+    if c in ("modalita_realizzazione_macro", "sezione_regionale", "cpv_macro_categoria", "tipo_soggetto_agg", "esito_collaudo"):
+        return f"coalesce({c}, 'MISSING')"
+    return f"round({c}, 6)" if c in _DOUBLES else c
+
+
+_GONE = ("pct_overrun_core", "pct_riserva_consumata", "pct_overrun_variante", "pct_vita_prima_variante")
+_MODE = "(SELECT {c} FROM wide WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode_{c}"
+_STATISTICS = f"""stats AS (SELECT median(importo_complessivo_gara) FILTER (WHERE importo_complessivo_gara > 0) AS med_importo_complessivo_gara, median(finestra_offerta_giorni) FILTER (WHERE finestra_offerta_giorni > 0) AS med_finestra_offerta_giorni,
+    median(lag_perfezionamento_giorni) FILTER (WHERE lag_perfezionamento_giorni > 0) AS med_lag_perfezionamento_giorni, quantile_cont(tasso_disoccupazione, [0, 0.25, 0.5, 0.75, 1]) AS qt, quantile_cont(ln(1 + importo_aggiudicazione), [0.25, 0.5, 0.75]) FILTER (WHERE esito = 'AGGIUDICATA' AND importo_aggiudicazione > 0) AS qi,
+    {', '.join(_MODE.format(c=c) for c in datasets.MODES)} FROM wide)"""
+
+
+@query(rule("wide", "*").replace("SELECT * FROM wide", "") + f""", {_STATISTICS} SELECT {', '.join(f'{_prepared(c)} AS {c}' for c in _COLUMNS['M3'] if c not in _GONE)}, CASE WHEN pct_overrun_core IS NULL THEN 0 ELSE 1 END AS flag_consuntivo_presente FROM wide, stats WHERE {STAGE_ROWS['M3']}""")
+def dataset_m3_preprocessed(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts in execution, imputed and binned by statistics of all contracts."""
+    table = wide(spark, d)
+    made = datasets.preprocessed(datasets.stages(table)["M3"], "M3", datasets.statistics(table))
+    return _plain(made, made.columns)
 
 
 # --- learners over folds and gammas ---

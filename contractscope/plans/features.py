@@ -8,21 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contractscope.functions.columns import clamp, days_between, excluded_share, first_match, lag_days, look_up, moment, near, number, plain_code, prefix_class, ratio, row_sum
-from contractscope.operators.rows import attach, coalesce_lookup, first_by_priority, pick_award, pick_one, present
+from contractscope.operators.rows import attach, coalesce_lookup, duplicates, first_by_priority, pick_award, pick_one, unless_overridden
 
-#: Classes of codes.
+#: Codes of each class. Codes that no class names, such as 17, 122 and 999, have none.
 PROCEDURE = {
-    "1": "APERTA", "9": "APERTA", "14": "APERTA", "27": "APERTA", "28": "APERTA", "29": "APERTA", "30": "APERTA",
-    "3": "NEGOZIATA", "4": "NEGOZIATA", "5": "NEGOZIATA", "16": "NEGOZIATA", "40": "NEGOZIATA",
-    "2": "RISTRETTA", "10": "RISTRETTA", "11": "RISTRETTA", "12": "RISTRETTA", "15": "RISTRETTA", "26": "RISTRETTA", "32": "RISTRETTA", "33": "RISTRETTA", "97": "RISTRETTA",
-    "6": "AFFIDAMENTO_DIRETTO", "7": "AFFIDAMENTO_DIRETTO", "8": "AFFIDAMENTO_DIRETTO", "13": "AFFIDAMENTO_DIRETTO", "18": "AFFIDAMENTO_DIRETTO", "19": "AFFIDAMENTO_DIRETTO", "20": "AFFIDAMENTO_DIRETTO",
-    "21": "AFFIDAMENTO_DIRETTO", "22": "AFFIDAMENTO_DIRETTO", "23": "AFFIDAMENTO_DIRETTO", "24": "AFFIDAMENTO_DIRETTO", "25": "AFFIDAMENTO_DIRETTO", "34": "AFFIDAMENTO_DIRETTO", "35": "AFFIDAMENTO_DIRETTO",
-    "36": "AFFIDAMENTO_DIRETTO", "37": "AFFIDAMENTO_DIRETTO", "38": "AFFIDAMENTO_DIRETTO", "98": "AFFIDAMENTO_DIRETTO", "99": "AFFIDAMENTO_DIRETTO", "114": "AFFIDAMENTO_DIRETTO",
+    "APERTA": ["1", "9", "14", "27", "28", "29", "30"],
+    "RISTRETTA": ["2", "10", "11", "12", "15", "26", "32", "33", "97"],
+    "NEGOZIATA": ["3", "4", "5", "16", "40"],
+    "AFFIDAMENTO_DIRETTO": ["6", "7", "8", "13", "18", "19", "20", "21", "22", "23", "24", "25", "34", "35", "36", "37", "38", "98", "99", "114"],
+}
+MODE = {"APPALTO": [1], "ECONOMIA": [7], "ACCORDO_QUADRO": [2, 9, 11, 17, 18], "CONCESSIONE": [3, 4, 20, 21], "PPP": [5, 6, 8, 12, 13], "ALTRO": [10, 14, 15, 16, 19, 90, 999]}
+CPV = {"IT": ["30", "48", "72"], "SANITA": ["33", "85"], "LAVORI": ["44", "45"], "ING_PROF": ["71", "73", "79"], "SERVIZI": ["50", "51", "55", "60", "63", "64", "65", "66", "70", "75", "76", "77", "80", "90", "92", "98"]}
+WORK_KINDS = {"ACQUISIZIONE": [1, 2, 3, 4, 5], "COSTRUZIONE": [6, 7], "RISANAMENTO": [8, 9, 10], "MANUTENZIONE": [11, 12, 13, 14]}
+#: Reasons of variants that count as minor.
+MINOR_VARIANTS = (17.0, 18.0, 19.0, 22.0, 96.0, 98.0, 99.0)
+#: Outcomes that end a tender without an award, and award outcomes that overrule them.
+NO_AWARD, AWARDED = ("DESERTA", "NON_AGGIUDICATA", "IN_CORSO"), ("1", "5")
+#: First and last province code of each region.
+REGIONS = {
+    "Piemonte": [(1, 8)], "Valle d'Aosta": [(9, 9)], "Liguria": [(10, 13)], "Lombardia": [(14, 20)], "Trentino-Alto Adige": [(21, 22)], "Veneto": [(23, 29)], "Friuli-Venezia Giulia": [(30, 33)],
+    "Emilia-Romagna": [(34, 41)], "Toscana": [(42, 51)], "Umbria": [(52, 53)], "Marche": [(54, 57), (109, 109)], "Lazio": [(58, 62)], "Abruzzo": [(63, 66)], "Molise": [(67, 68)], "Campania": [(69, 73)],
+    "Puglia": [(74, 78), (110, 110)], "Basilicata": [(79, 80)], "Calabria": [(81, 85)], "Sicilia": [(86, 94)], "Sardegna": [(95, 98), (111, 111)],
 }
-MODE = {1: "APPALTO", 7: "ECONOMIA", 2: "ACCORDO_QUADRO", 9: "ACCORDO_QUADRO", 11: "ACCORDO_QUADRO", 17: "ACCORDO_QUADRO", 18: "ACCORDO_QUADRO", 3: "CONCESSIONE", 4: "CONCESSIONE", 20: "CONCESSIONE", 21: "CONCESSIONE", 5: "PPP", 6: "PPP", 8: "PPP", 12: "PPP", 13: "PPP", 10: "ALTRO", 14: "ALTRO", 15: "ALTRO", 16: "ALTRO", 19: "ALTRO", 90: "ALTRO", 999: "ALTRO"}
-CPV = {"30": "IT", "48": "IT", "72": "IT", "33": "SANITA", "85": "SANITA", "44": "LAVORI", "45": "LAVORI", "71": "ING_PROF", "73": "ING_PROF", "79": "ING_PROF", **dict.fromkeys(["50", "51", "55", "60", "63", "64", "65", "66", "70", "75", "76", "77", "80", "90", "92", "98"], "SERVIZI")}
-#: Words of outcome texts, in order of precedence.
-OUTCOMES = [("ANNULLATA", ["ANNULLAT", "REVOCAT"]), ("DESERTA", ["DESERTA"]), ("IN_CORSO", ["IN_CORSO", "IN CORSO", "NON ANCORA"]), ("SENZA_ESITO", ["SENZA ESITO", "NON AGGIUDICATA", "NON_AGGIUDICATA", "NESSUN VINCITORE"]), ("PROPOSTA", ["PROPOSTA"])]
 #: Words of an authority's legal form, in order of precedence.
 LEGAL_FORMS = [
     ("SANITARIO", ["OSPEDALIERI", "CURA, SOGGIORNO", "DI PREVIDENZA E DI ASSIST", "ISTITUTO PUBBLICO DI ASSIST", "CASSE MUTUE", "AZIENDA PUBBLICA DI SERVIZI ALLE PERSONE"]),
@@ -31,15 +38,54 @@ LEGAL_FORMS = [
     ("PA_ENTE", ["ENTI PUBBLICI NON ECONOMICI", "ALTRI ENTI ED ISTITUTI", "ALTRO ENTE PUBBLICO", "AZIENDE REGIONALI", "AZIENDA SPECIALE", "AZIENDE AUTONOME", "ISTITUTO E SCUOLA PUBBLICA", "ORDINE E COLLEGIO", "ASSOCIAZIONI TRA PROFESSIONISTI", "LAVORATORI AUTONOMI", "LIBERO PROFESSIONISTA", "ENTE DIRITTO PUBBLICO", "ENTE PARCO", "ENTE AMBIENTALE", "ENTE MORALE", "ENTE SOCIALE", "ENTE IMPRESA", "ENTI ED ISTITUTI DI PREVIDENZA"]),
     ("NON_PROFIT", ["FONDAZION", "ASSOCIAZION", "ORGANIZZAZIONI SENZA", "OPERE PIE", "ECCLESIASTIC", "ISTITUTO RELIGIOSO", "ENTE RELIGIOSO", "SOCIETA' SPORTIVE DILETTANTISTICHE"]),
     ("CONSORZIO", ["CONSORZI"]),
-    ("SOCIETA", ["SOCIETA'", "SOCIETA ", "DITTE INDIVIDUALI", "IMPRESE INDIVIDUALI", "CONDOMINI", "COOPERATIV", "GRUPPI EUROPEI", "GEIE", "CONTRATTO DI RETE", "MUTUE ASSICURATRICI"]),
+    ("SOCIETA", ["SOCIETA'", "SOCIETA ", "SOCIET\ufffd", "DITTE INDIVIDUALI", "IMPRESE INDIVIDUALI", "CONDOMINI", "COOPERATIV", "GRUPPI EUROPEI", "GEIE", "CONTRATTO DI RETE", "MUTUE ASSICURATRICI"]),
 ]
 #: Kinds of works, the most telling first.
 WORKS = ["COSTRUZIONE", "RISANAMENTO", "MANUTENZIONE", "ACQUISIZIONE"]
 
 
+def by_class(classes):
+    """code -> class, from class -> codes."""
+    return {code: name for name, codes in classes.items() for code in codes}
+
+
 def outcome_family(c):
+    """Family of an outcome text; a text that fits none stays as it is, in upper case."""
     v = F.nullif(F.upper(F.trim(c)), F.lit(""))
-    return F.when(v == "AGGIUDICATA", v).otherwise(first_match(v, OUTCOMES))
+    has = lambda *words: reduce(lambda a, w: a | F.contains(v, F.lit(w)), words, F.lit(False))
+    kind = F.when(v == "AGGIUDICATA", v).when(has("ANNULLAT", "REVOCAT"), "ANNULLATA").when(has("DESERTA"), "DESERTA").when(has("IN_CORSO") | (v == "IN CORSO"), "IN_CORSO")
+    kind = kind.when(has("SENZA ESITO", "NON AGGIUDICATA", "NON_AGGIUDICATA") | (has("NESSUN VINCITORE") & has("CHIUSA")), "SENZA_ESITO")
+    return kind.when(has("ANCORA IN CORSO", "NON ANCORA"), "IN_CORSO").when(has("PROPOSTA"), "PROPOSTA").otherwise(v)
+
+
+def section(c):
+    """CENTRALE or REGIONALE, else null."""
+    v = F.upper(c)
+    return F.when(F.contains(v, F.lit("CENTRALE")), "CENTRALE").when(F.contains(v, F.lit("REGIONALE")) | F.contains(v, F.lit("SEZIONE")), "REGIONALE")
+
+
+def province(c):
+    """First three of six digits of a place code; null unless it is a plain number."""
+    v = F.trim(c)
+    return F.when(v.rlike(r"^[0-9.]+$"), F.substring(F.lpad(v.try_cast("double").cast("bigint").cast("string"), 6, "0"), 1, 3).try_cast("int"))
+
+
+def region(code):
+    out = F.lit(None).cast("string")
+    for name, ranges in REGIONS.items():
+        for low, high in ranges:
+            out = F.when(code.between(low, high), name).otherwise(out)
+    return out
+
+
+def filled(c):
+    """1 where a cell of a file holds anything, else 0."""
+    return F.coalesce(c != "", F.lit(False)).cast("tinyint")
+
+
+def file_order(df: DataFrame, *ties):
+    """The order in which a key's first row is looked for: by the column `_row` if there is one, else by the ties."""
+    return [F.col("_row").asc_nulls_last(), *ties] if "_row" in df.columns else list(ties)
 
 
 def legal_form(c):
@@ -54,53 +100,82 @@ def subject_kind(c):
     return kind.otherwise("ALTRO")
 
 
-def contracts(raw: DataFrame) -> DataFrame:
-    """Base table, one row per cig: the prevalent lot line, with dates, amounts, classes and derived features."""
-    t = pick_one(raw.filter(F.trim("flag_prevalente") == "1"), ["cig"], *[F.col(c).asc_nulls_last() for c in ("cod_cpv", "importo_lotto", "luogo_istat")])
+def contracts(raw: DataFrame, strict: bool = False) -> DataFrame:
+    """Base table, one row per cig: the prevalent lot line, with dates, amounts, classes and derived features.
+
+    With strict, several prevalent lines of one cig are an error; else the first one in file order (or by code, amount and
+    place, if files give no `_row`) stays.
+    """
+    lines = raw.filter(F.trim("flag_prevalente") == "1")
+    if strict and (twice := duplicates(lines, ["cig"]).select("cig").limit(5).collect()):
+        raise ValueError(f"several prevalent lines: {[r['cig'] for r in twice]}")
+    t = pick_one(lines, ["cig"], *file_order(lines, *[F.col(c).asc_nulls_last() for c in ("cod_cpv", "importo_lotto", "luogo_istat")]))
     for c in ("data_pubblicazione", "data_scadenza_offerta", "data_ultimo_perfezionamento", "data_comunicazione_esito"):
         t = t.withColumn(c, moment(F.col(c)))
     for c in ("importo_complessivo_gara", "importo_lotto", "importo_sicurezza"):
         t = t.withColumn(c, number(F.col(c)))
-    flag = lambda c: F.coalesce(clamp(F.col(c).try_cast("int"), 0, 1), F.lit(0)).cast("tinyint")
-    return t.withColumns({
+    code = lambda c: F.trim(c).try_cast("double").cast("long")
+    year = F.col("anno_pubblicazione").try_cast("int")
+    over = F.coalesce(F.col("importo_sicurezza") > F.col("importo_lotto"), F.lit(False))
+    t = t.withColumns({
         "finestra_offerta_giorni": days_between(F.col("data_pubblicazione"), F.col("data_scadenza_offerta")),
         "lag_perfezionamento_giorni": days_between(F.col("data_pubblicazione"), F.col("data_ultimo_perfezionamento")),
-        "importo_sicurezza_pct": ratio(F.col("importo_sicurezza"), F.col("importo_lotto")),
-        "flag_urgenza": flag("flag_urgenza"), "flag_delega": flag("flag_delega"), "flag_ripetizioni": flag("flag_prev_ripetizioni"),
-        "flag_accordo_quadro": F.coalesce(F.trim("cig_accordo_quadro") != "", F.lit(False)).cast("tinyint"),
+        "lag_comunicazione_esito_giorni": days_between(F.col("data_pubblicazione"), F.col("data_comunicazione_esito")),
+        "importo_sicurezza_pct": F.when((F.col("importo_lotto") > 0) & ~over, F.col("importo_sicurezza") / F.col("importo_lotto")),
+        "importo_sicurezza": F.when(~over, F.col("importo_sicurezza")),
+        "flag_urgenza": F.coalesce(code("flag_urgenza"), F.lit(0)), "flag_delega": code("flag_delega"),
+        "flag_ripetizioni": F.coalesce(clamp(F.trim("flag_prev_ripetizioni").try_cast("double"), 0, 1), F.lit(0.0)).cast("tinyint"),
+        "flag_accordo_quadro": filled(F.col("cig_accordo_quadro")), "flag_appalto_riservato": filled(F.col("tipo_appalto_riservato")),
         "settore_speciale": F.coalesce(F.contains(F.upper("settore"), F.lit("SPECIALI")), F.lit(False)).cast("tinyint"),
-        "modalita_realizzazione_macro": look_up(F.col("cod_modalita_realizzazione").try_cast("double").cast("int"), MODE),
-        "tipo_scelta_4cls": look_up(F.trim("cod_tipo_scelta_contraente"), PROCEDURE),
-        "cpv_macro_categoria": prefix_class(F.col("cod_cpv"), CPV, "FORNITURE"),
+        **{c: code(c) for c in ("n_lotti_componenti", "cod_strumento_svolgimento", "cod_motivo_urgenza")},
+        "modalita_realizzazione_macro": look_up(code("cod_modalita_realizzazione").cast("int"), by_class(MODE)),
+        "sezione_regionale": section(F.col("sezione_regionale")),
+        "tipo_scelta_4cls": look_up(F.trim("cod_tipo_scelta_contraente"), by_class(PROCEDURE)),
+        "cpv_macro_categoria": prefix_class(F.col("cod_cpv"), by_class(CPV), "FORNITURE"),
         "esito": outcome_family(F.col("esito")),
-        "anno": clamp(F.col("anno_pubblicazione").try_cast("int"), 2007, 2024),
-        "codice_provincia": F.substring(F.lpad(F.col("luogo_istat").try_cast("double").cast("bigint").cast("string"), 6, "0"), 1, 3).try_cast("int"),
+        "anno": clamp(F.coalesce(year, F.lit(2025)) - 1, 2007, 2024),  # context of the year before, as far as there is any
+        "codice_provincia": province(F.col("luogo_istat")),
     })
+    return t.withColumn("regione", region(F.col("codice_provincia")))
+
+
+def award_targets(condemned: DataFrame, ended: DataFrame) -> DataFrame:
+    """(cig, id_aggiudicazione): the award that ended, for condemned contracts whose end names one; the first in file order."""
+    named = ended.filter("id_aggiudicazione IS NOT NULL").withColumn("id_aggiudicazione", F.trim("id_aggiudicazione"))
+    one = pick_one(named, ["cig"], *file_order(named, F.col("id_aggiudicazione")))
+    return one.join(condemned.select(F.trim("cig").alias("cig")).distinct(), "cig", "left_semi").select("cig", "id_aggiudicazione")
 
 
 def awards(raw: DataFrame, base: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """One award per cig with bids, discounts, lags and flags."""
+    """One award per cig with bids, discounts, lags, flags and how far its amount is from the discounted lot amount."""
     t = raw
     for c in ("importo_aggiudicazione", "numero_offerte_ammesse", "numero_offerte_escluse", "num_imprese_offerenti", "ribasso_aggiudicazione", "massimo_ribasso", "minimo_ribasso"):
         t = t.withColumn(c, number(F.col(c)))
-    for c in ("data_aggiudicazione_definitiva", "data_comunicazione_esito"):
-        t = t.withColumn(c, moment(F.col(c)))
-    t = pick_award(t, targets, F.col("importo_aggiudicazione")).join(base.select("cig", F.col("data_pubblicazione").alias("_p")), "cig", "left")
+    t = t.withColumn("data_aggiudicazione_definitiva", moment(F.col("data_aggiudicazione_definitiva")))
+    t = pick_award(t, targets, F.col("importo_aggiudicazione")).join(base.select("cig", F.col("data_pubblicazione").alias("_p"), F.col("importo_lotto").alias("_lot")), "cig", "left")
     made = t.withColumns({
         "pct_offerte_escluse": excluded_share(F.col("numero_offerte_ammesse"), F.col("numero_offerte_escluse"), F.col("num_imprese_offerenti")),
         "ribasso_spread": F.col("massimo_ribasso") - F.col("ribasso_aggiudicazione"),
         "flag_vince_minimo": near(F.col("ribasso_aggiudicazione"), F.col("minimo_ribasso")),
         "flag_progettazione_esterna": F.coalesce(F.trim("cig_prog_esterna") != "", F.lit(False)),
         "lag_aggiudicazione_giorni": lag_days(F.col("_p"), F.col("data_aggiudicazione_definitiva")),
-        "lag_comunicazione_esito_giorni": days_between(F.col("data_aggiudicazione_definitiva"), F.col("data_comunicazione_esito")),
-        **{c: F.coalesce(F.col(c).try_cast("double").cast("int"), F.lit(0)) for c in ("asta_elettronica", "flag_scomputo", "flag_proc_accelerata")},
+        "delta_coerenza_pct": F.when(F.col("_lot") > 0, F.abs(F.col("importo_aggiudicazione") - F.col("_lot") * (1 - F.col("ribasso_aggiudicazione") / 100)) / F.col("_lot")),
+        "cod_esito": F.substring_index(F.trim("cod_esito"), ".", 1),
+        **{c: F.coalesce(F.trim(c).try_cast("double").cast("int"), F.lit(0)) for c in ("asta_elettronica", "flag_scomputo", "flag_proc_accelerata")},
     })
-    return made.select("cig", "id_aggiudicazione", "data_aggiudicazione_definitiva", "importo_aggiudicazione", "numero_offerte_ammesse", "numero_offerte_escluse", "num_imprese_offerenti", "pct_offerte_escluse", "ribasso_aggiudicazione", "ribasso_spread", "flag_vince_minimo", "flag_progettazione_esterna", "lag_aggiudicazione_giorni", "lag_comunicazione_esito_giorni", "asta_elettronica", "flag_scomputo", "flag_proc_accelerata", "flag_subappalto")
+    return made.select("cig", "id_aggiudicazione", "data_aggiudicazione_definitiva", "importo_aggiudicazione", "numero_offerte_ammesse", "numero_offerte_escluse", "num_imprese_offerenti", "pct_offerte_escluse", "ribasso_aggiudicazione", "ribasso_spread", "flag_vince_minimo", "flag_progettazione_esterna", "lag_aggiudicazione_giorni", "delta_coerenza_pct", "asta_elettronica", "flag_scomputo", "flag_proc_accelerata", "cod_esito")
+
+
+def with_outcome(base: DataFrame, awarded: DataFrame) -> DataFrame:
+    """Contracts whose tender did not end without an award, or whose award's own outcome says that it was awarded."""
+    saved = awarded.filter(F.col("cod_esito").isin(*AWARDED))
+    return unless_overridden(base, F.col("esito").isin(*NO_AWARD), saved, "cig")
 
 
 def winners(raw: DataFrame) -> DataFrame:
     """The leading firm's kind of subject, else the first row's."""
-    t = pick_one(raw, ["cig"], (F.upper(F.trim("ruolo")) != "MANDATARIA").asc_nulls_last(), F.col("id_aggiudicazione"), F.col("codice_fiscale"))
+    leads = F.coalesce(F.upper(F.trim("ruolo")) == "MANDATARIA", F.lit(False))
+    t = pick_one(raw, ["cig"], leads.desc(), *file_order(raw, F.col("id_aggiudicazione"), F.col("codice_fiscale")))
     return t.select("cig", subject_kind(F.col("tipo_soggetto")).alias("tipo_soggetto_agg"))
 
 
@@ -112,22 +187,33 @@ def authorities(base: DataFrame, raw: DataFrame, null_matches: bool = False) ->
 
 
 def budgets(raw: DataFrame) -> DataFrame:
-    """Sums of the tender's and of the final account's amounts; overrun and reserve ratios within [0, 10]."""
-    core = ["importo_sicurezza", "importo_forniture", "importo_lavori", "importo_progettazione", "importo_servizi", "ulteriori_oneri_non_soggetti_ribasso"]
-    every = [*core, "somme_a_disposizione"]
-    t = raw.withColumns({c: number(F.col(c)) for c in every})
-    sums = t.groupBy("cig", F.upper(F.trim("descrizione_evento")).alias("e")).agg(*[F.sum(c).alias(c) for c in every])
-    wide = sums.withColumn("core", row_sum(*[F.col(c) for c in core]))
-    one = lambda e: wide.filter(F.col("e") == e).select("cig", F.col("core").alias(f"{e}_core"), F.col("somme_a_disposizione").alias(f"{e}_reserve"))
-    both = one("BASE_ASTA").join(one("CONSUNTIVO"), "cig", "full")
-    return both.select("cig", ratio(F.col("BASE_ASTA_reserve"), F.col("BASE_ASTA_core"), 0, 10).alias("pct_riserva_base"), ratio(F.col("CONSUNTIVO_core"), F.col("BASE_ASTA_core"), 0, 10).alias("pct_overrun_core"), ratio(F.col("CONSUNTIVO_reserve"), F.col("BASE_ASTA_reserve"), 0, 10).alias("pct_riserva_consumata"))
+    """Overrun and reserve ratios within [0, 10], all over the tender's core sum, and the tender's security amount.
 
-
-def starts(raw: DataFrame, awarded: DataFrame) -> DataFrame:
+    Amounts are plain numbers here, with a decimal point; sums of nothing but nulls are null, the core sum of such sums 0.
+    """
+    core = ["importo_sicurezza", "importo_forniture", "importo_lavori", "importo_progettazione", "importo_servizi", "ulteriori_oneri_non_soggetti_ribasso"]
+    sums = []
+    for event in ("BASE_ASTA", "CONSUNTIVO"):
+        here = F.col("descrizione_evento") == event
+        sums += [F.sum(F.when(here, F.trim(c).try_cast("double"))).alias(f"{event}_{c}") for c in [*core, "somme_a_disposizione"]]
+        sums.append(F.count_if(here).alias(event))
+    t = raw.filter(F.col("descrizione_evento").isin("BASE_ASTA", "CONSUNTIVO")).groupBy(F.trim("cig").alias("cig")).agg(*sums)
+    total = lambda event: F.when(F.col(event) > 0, row_sum(*[F.col(f"{event}_{c}") for c in core]))
+    share = lambda a: ratio(a, total("BASE_ASTA"), 0, 10)
+    return t.select("cig", share(F.col("BASE_ASTA_somme_a_disposizione")).alias("pct_riserva_base"), share(total("CONSUNTIVO")).alias("pct_overrun_core"), share(F.col("CONSUNTIVO_somme_a_disposizione")).alias("pct_riserva_consumata"), F.col("BASE_ASTA_importo_sicurezza").alias("sicurezza_base_asta"), total("BASE_ASTA").alias("somma_base_asta"))
+
+
+def starts(raw: DataFrame, awarded: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Lag from award to signing, planned days and delivery flags: of the row of the known target award, else of the first row."""
     t = raw.withColumns({c: moment(F.col(c)) for c in ("data_stipula_contratto", "data_termine_contrattuale", "data_inizio_effettiva")})
-    t = t.join(awarded.select("cig", F.col("id_aggiudicazione").alias("_a"), "data_aggiudicazione_definitiva"), "cig", "left")
-    t = pick_one(t, ["cig"], (F.col("id_aggiudicazione") == F.col("_a")).desc_nulls_last(), F.col("id_aggiudicazione"), F.col("data_stipula_contratto").asc_nulls_last())
-    return t.select("cig", F.coalesce("data_inizio_effettiva", "data_stipula_contratto").alias("inizio"), F.col("data_termine_contrattuale").alias("termine"), lag_days(F.col("data_aggiudicazione_definitiva"), F.col("data_stipula_contratto")).alias("lag_stipula_aggiudicazione_giorni"), lag_days(F.coalesce("data_inizio_effettiva", "data_stipula_contratto"), F.col("data_termine_contrattuale")).alias("durata_pianificata_giorni"), F.col("consegna_frazionata").try_cast("tinyint").alias("consegna_frazionata"), F.col("consegna_sotto_riserva").try_cast("tinyint").alias("consegna_sotto_riserva"))
+    known = F.lit(False)
+    if targets is not None:
+        t = t.join(targets.select("cig", F.col("id_aggiudicazione").alias("_target")), "cig", "left")
+        known = F.coalesce(F.trim("id_aggiudicazione") == F.col("_target"), F.lit(False))
+    t = pick_one(t, ["cig"], known.desc(), *file_order(raw, F.col("id_aggiudicazione"), F.col("data_stipula_contratto").asc_nulls_last()))
+    t = t.join(awarded.select("cig", "data_aggiudicazione_definitiva"), "cig", "left")
+    flag = lambda c: F.trim(c).try_cast("double").cast("tinyint").alias(c)
+    return t.select("cig", F.col("data_inizio_effettiva").alias("inizio"), F.col("data_termine_contrattuale").alias("termine"), "data_stipula_contratto", lag_days(F.col("data_aggiudicazione_definitiva"), F.col("data_stipula_contratto")).alias("lag_stipula_aggiudicazione_giorni"), lag_days(F.col("data_inizio_effettiva"), F.col("data_termine_contrattuale")).alias("durata_pianificata_giorni"), flag("consegna_frazionata"), flag("consegna_sotto_riserva"))
 
 
 def _within(c):
@@ -136,7 +222,7 @@ def _within(c):
     return F.when(c.isNotNull(), F.least(F.greatest(c, edge("2000-01-01")), edge("2040-01-01")))
 
 
-def variants(raw: DataFrame, minor: tuple[float, ...] = (1.0,)) -> DataFrame:
+def variants(raw: DataFrame, minor: tuple[float, ...] = MINOR_VARIANTS) -> DataFrame:
     """Number, whether any is substantial (a null reason counts), and the first approval, moved into 2000 to 2040."""
     big = F.coalesce(~F.col("cod_motivo_variante").try_cast("double").isin(list(minor)), F.lit(True))
     return raw.groupBy("cig").agg(F.count("*").alias("n_varianti"), F.max(big.cast("int")).alias("flag_variante_sostanziale"), F.min(_within(moment(F.col("data_approvazione_variante"), low="1678-01-01", high="2262-01-01"))).alias("prima_variante"))
@@ -158,35 +244,47 @@ def variant_timing(wide: DataFrame) -> DataFrame:
 
 
 def suspensions(raw: DataFrame) -> DataFrame:
-    """Number, days of completed suspensions (none below zero), and whether any is judicial."""
-    days = days_between(moment(F.col("data_sospensione")), moment(F.col("data_ripresa")))
-    court = F.coalesce(F.contains(F.upper("descrizione_motivo"), F.lit("GIUDIZIARI")), F.lit(False))
-    return raw.groupBy("cig").agg(F.count("*").alias("n_sospensioni"), F.coalesce(F.sum(clamp(days, 0, 100_000)), F.lit(0)).alias("durata_totale_sospensioni_gg"), F.max(court.cast("int")).alias("flag_sosp_giudiziaria"))
+    """Number, days of completed suspensions (none below zero), and whether a judicial authority ordered any."""
+    days = days_between(moment(F.col("data_sospensione"), low="1678-01-01", high="2262-01-01"), moment(F.col("data_ripresa"), low="1678-01-01", high="2262-01-01"))
+    court = F.coalesce(F.col("descrizione_motivo") == "INTERVENTO AUTORITA' GIUDIZIARIA", F.lit(False))
+    return raw.groupBy("cig").agg(F.count("*").alias("n_sospensioni"), F.coalesce(F.sum(F.when(days.isNotNull(), F.greatest(days, F.lit(0)))), F.lit(0)).alias("durata_totale_sospensioni_gg"), F.max(court.cast("int")).alias("flag_sosp_giudiziaria"))
 
 
 def progress(raw: DataFrame) -> DataFrame:
-    """Number of reports, any delay, any extension; contracts without reports stay null after the join."""
-    late = F.coalesce(F.contains(F.upper("flag_ritardo"), F.lit("IN RITARDO")), F.lit(False))
-    return raw.groupBy("cig").agg(F.count("*").alias("n_sal"), F.max(late.cast("int")).alias("flag_in_ritardo"), F.max((F.coalesce(number(F.col("giorni_proroga")), F.lit(0.0)) > 0).cast("int")).alias("flag_proroga"))
+    """Number of reports, any delay, any extension; without reports, the delay stays null after the join."""
+    late = F.coalesce(F.col("flag_ritardo") == "IN RITARDO", F.lit(False))
+    longer = F.coalesce(F.trim("giorni_proroga").try_cast("double") > 0, F.lit(False))
+    return raw.groupBy("cig").agg(F.count("*").alias("n_sal"), F.max(late.cast("int")).alias("flag_in_ritardo"), F.max(longer.cast("int")).alias("flag_proroga"))
 
 
 def works(raw: DataFrame) -> DataFrame:
-    kind = F.upper(F.trim("tipo_lavorazione"))
-    named = reduce(lambda a, w: F.when(F.contains(kind, F.lit(w)), w).otherwise(a), reversed(WORKS), F.lit(None).cast("string"))
-    return first_by_priority(raw.withColumn("tipo_lavorazione_macro", named), ["cig"], "tipo_lavorazione_macro", WORKS, none=["ACQUISIZIONE"])
+    """The most telling kind of a contract's works, by code; acquisition counts as none."""
+    kind = look_up(F.trim("cod_tipo_lavorazione").try_cast("double"), {float(k): v for k, v in by_class(WORK_KINDS).items()})
+    return first_by_priority(raw.withColumn("tipo_lavorazione_macro", kind), ["cig"], "tipo_lavorazione_macro", WORKS, none=["ACQUISIZIONE"])
 
 
 def tests_passed(raw: DataFrame) -> DataFrame:
-    t = pick_one(raw, ["cig"], F.col("esito_collaudo").asc_nulls_last())
-    v = F.upper(F.trim("esito_collaudo"))
-    return t.select("cig", F.when(F.contains(v, F.lit("POSITIV")), "POSITIVO").when(F.contains(v, F.lit("NEGATIV")), "NEGATIVO").alias("esito_collaudo"))
+    """The outcome of the first row of each contract, as it stands."""
+    return pick_one(raw, ["cig"], *file_order(raw, F.col("esito_collaudo").asc_nulls_last())).select("cig", "esito_collaudo")
+
 
+def subcontracted(awards_raw: DataFrame, listed: DataFrame) -> DataFrame:
+    """(cig, flag_subappalto 1): contracts whose first award says so, or that are listed among the subcontracts."""
+    first = pick_one(awards_raw, ["cig"], *file_order(awards_raw, F.col("id_aggiudicazione").asc_nulls_last(), F.col("flag_subappalto")))
+    said = first.filter("flag_subappalto = 'True'").select(F.trim("cig").alias("cig"))
+    return said.union(listed.select(F.trim("cig").alias("cig"))).distinct().withColumn("flag_subappalto", F.lit(1))
 
-def wide_table(tables: dict[str, DataFrame], labels: DataFrame | None = None) -> DataFrame:
-    """All features of every contract; tables that are missing leave their features out."""
+
+def wide_table(tables: dict[str, DataFrame], labels: DataFrame | None = None, filter_outcomes: bool = True) -> DataFrame:
+    """All features of every contract; tables that are missing leave their features out.
+
+    tables are raw, by the names of the published files; labels has (cig, label). With filter_outcomes, contracts without
+    an award go, unless the award's outcome overrules it. Condemned contracts take the award that their end names.
+    """
     base = contracts(tables["cig"])
+    targets = award_targets(labels.filter("label = 1"), tables["fine-contratto"]) if labels is not None and "fine-contratto" in tables else None
     parts: list[DataFrame] = []
-    awarded = awards(tables["aggiudicazioni"], base, tables.get("targets")) if "aggiudicazioni" in tables else None
+    awarded = awards(tables["aggiudicazioni"], base, targets) if "aggiudicazioni" in tables else None
     if awarded is not None:
         parts.append(awarded)
     if "aggiudicatari" in tables:
@@ -194,23 +292,23 @@ def wide_table(tables: dict[str, DataFrame], labels: DataFrame | None = None) ->
     if "stazioni-appaltanti" in tables:
         parts.append(authorities(base, tables["stazioni-appaltanti"]))
     if "avvio-contratto" in tables and awarded is not None:
-        parts.append(starts(tables["avvio-contratto"], awarded))
+        parts.append(starts(tables["avvio-contratto"], awarded, targets))
     for name, build in (("quadro-economico", budgets), ("varianti", variants), ("sospensioni", suspensions), ("stati-avanzamento", progress), ("lavorazioni", works), ("collaudo", tests_passed)):
         if name in tables:
             parts.append(build(tables[name]))
-    wide = attach(base, *parts)
-    zero = [c for c in ("n_varianti", "n_sospensioni", "n_sal", "flag_variante_sostanziale", "flag_sosp_giudiziaria", "durata_totale_sospensioni_gg") if c in wide.columns]
+    if "subappalti" in tables and awarded is not None:
+        parts.append(subcontracted(tables["aggiudicazioni"], tables["subappalti"]))
+    wide = attach(with_outcome(base, awarded) if awarded is not None and filter_outcomes else base, *parts)
+    have = set(wide.columns)
+    zero = [c for c in ("n_varianti", "n_sospensioni", "n_sal", "flag_variante_sostanziale", "flag_sosp_giudiziaria", "durata_totale_sospensioni_gg", "flag_proroga", "flag_subappalto") if c in have]
     wide = wide.fillna(0, zero)
-    if "n_sospensioni" in wide.columns:
+    if "sicurezza_base_asta" in have:
+        wide = wide.withColumn("importo_sicurezza", F.coalesce("importo_sicurezza", "sicurezza_base_asta"))
+    if "n_sospensioni" in have:
         wide = wide.withColumn("flag_sospensione", (F.col("n_sospensioni") > 0).cast("int"))
-        if "durata_pianificata_giorni" in wide.columns:
+        if "durata_pianificata_giorni" in have:
             wide = wide.withColumn("pct_durata_sospesa", F.when(F.col("n_sospensioni") == 0, 0.0).otherwise(ratio(F.col("durata_totale_sospensioni_gg"), F.col("durata_pianificata_giorni"), 0, 10)))
-    if "subappalti" in tables:
-        wide = present(wide, tables["subappalti"], ["cig"], "in_subappalti")
-        if "flag_subappalto" in wide.columns:  # said by the award, or listed among the subcontracts
-            said = F.coalesce(F.lower(F.trim(F.col("flag_subappalto").cast("string"))).isin("true", "1"), F.lit(False))
-            wide = wide.withColumn("flag_subappalto", (said | (F.col("in_subappalti") == 1)).cast("int"))
-    if {"inizio", "prima_variante", "pct_overrun_core"} <= set(wide.columns):
+    if {"inizio", "prima_variante", "pct_overrun_core"} <= have:
         wide = variant_timing(wide)
     if "contesto_province" in tables:
         wide = wide.join(tables["contesto_province"].select("codice_provincia", "anno", "tasso_disoccupazione", "reddito_irpef_procapite", "tasso_omicidi_100k"), ["codice_provincia", "anno"], "left")
