@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contractscope.operators.metrics import across_folds, evaluate
@@ -24,7 +24,10 @@ MODEL = "gamma double, fold int, bag int, model string, n_rounds int, top_gain d
 
 @dataclass
 class Trees:
-    """A sum of trees; a node is (feature, edge, left, right, missing goes left, value), a leaf has feature -1."""
+    """A sum of trees; a node is (feature, edge, left, right, missing goes left, value, rows), a leaf has feature -1.
+
+    The last is the number of rows that came by in training.
+    """
 
     start: float = 0.0
     trees: list[list[tuple]] = field(default_factory=list)
@@ -51,7 +54,7 @@ class Trees:
 
 def tree_values(tree: list[tuple], x: np.ndarray) -> np.ndarray:
     at = np.zeros(len(x), np.int64)
-    feature, edge, left, right, missing, value = (np.array(c) for c in zip(*tree, strict=True))
+    feature, edge, left, right, missing, value, _ = (np.array(c) for c in zip(*tree, strict=True))
     while (feature[at] >= 0).any():
         rows = np.flatnonzero(feature[at] >= 0)
         node = at[rows]
@@ -70,7 +73,7 @@ def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, leaves: int = 15, least: i
     n, d = x.shape
     edges = [np.unique(np.nanquantile(c, np.linspace(0, 1, bins + 1)[1:-1])) if np.isfinite(c).any() else np.zeros(0) for c in x.T]
     coded = np.stack([np.where(np.isnan(c), 0, 1 + np.searchsorted(e, c, side="left")) for c, e in zip(x.T, edges, strict=True)], axis=1)
-    tree: list[tuple] = [(-1, 0.0, -1, -1, 0, 0.0)]
+    tree: list[tuple] = [(-1, 0.0, -1, -1, 0, 0.0, n)]
     rows_of = {0: np.arange(n)}
 
     def best(rows: np.ndarray) -> tuple[float, int, int]:
@@ -104,32 +107,37 @@ def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, leaves: int = 15, least: i
         goes = coded[rows, f] <= k
         left, right = len(tree), len(tree) + 1
         edge = float("-inf") if k == 0 else float(edges[f][k - 1])
-        tree[node] = (f, edge, left, right, 1, 0.0)
-        tree += [(-1, 0.0, -1, -1, 0, 0.0)] * 2
+        tree[node] = (f, edge, left, right, 1, 0.0, len(rows))
+        tree += [(-1, 0.0, -1, -1, 0, 0.0, 0)] * 2
         for i, some in ((left, rows[goes]), (right, rows[~goes])):
             rows_of[i], open_[i] = some, best(some)
         if gain is not None:
             gain[f] = gain.get(f, 0.0) + won
     for i, rows in rows_of.items():
-        tree[i] = (-1, 0.0, -1, -1, 0, float(-g[rows].sum() / (h[rows].sum() + l2 + 1e-12)))
+        tree[i] = (-1, 0.0, -1, -1, 0, float(-g[rows].sum() / (h[rows].sum() + l2 + 1e-12)), len(rows))
     return tree
 
 
-def nnpu_gradient(score: np.ndarray, label: np.ndarray, prior: float, gamma: float) -> tuple[np.ndarray, np.ndarray]:
-    """First and second derivatives of the nnPU/PNPU risk, times the number of rows; label is NaN for unlabelled rows.
+def nnpu_gradient(score: np.ndarray, label: np.ndarray, prior: float, gamma: float, unlabelled: int | None = None, full: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivatives that boosting follows for the nnPU/PNPU risk; label is NaN for unlabelled rows.
 
-    prior * E_P[l+] + max(0, E_U[l-] - prior * E_P[l-]) + gamma * (1 - prior) * E_N[l-], with logistic losses. While the
-    middle term is negative, neither unlabelled rows nor the positives' part of it act.
+    As published, a positive row has only its own loss, prior / n_P * (q - 1); an unlabelled one q / n_U while
+    E_U[l-] - prior * E_P[l-] is above 0, else nothing; a negative one gamma * (1 - prior) / n_U * q, with the number
+    `unlabelled` of unlabelled rows before any were held out. All are times the positive and unlabelled rows. With
+    `full`, they are the derivatives of prior * E_P[l+] + max(0, E_U[l-] - prior * E_P[l-]) + gamma * (1 - prior) * E_N[l-].
     """
-    p, u = label == 1, np.isnan(label)
+    p, u, n = label == 1, np.isnan(label), label == 0
     q = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
     minus = np.logaddexp(0, score)
-    n_p, n_u, n_n = max(1, p.sum()), max(1, u.sum()), max(1, (label == 0).sum())
+    n_p, n_u = max(1, p.sum()), max(1, u.sum())
     active = minus[u].sum() / n_u - prior * minus[p].sum() / n_p > 0
-    weight = np.where(p, 0.0, np.where(u, active / n_u, gamma * (1 - prior) / n_n))
-    g = weight * q + p * prior / n_p * (q - 1 - active * q)
-    h = weight * q * (1 - q) + p * prior / n_p * q * (1 - q) * (1 - active)
-    return g * len(score), np.maximum(h * len(score), 1e-6)
+    of_n = gamma * (1 - prior) / (max(1, n.sum()) if full else max(1, unlabelled or n_u))
+    weight = np.where(p, prior / n_p, np.where(u, active / n_u, of_n))
+    g, h = weight * (q - p), weight * q * (1 - q)
+    if full and active:
+        g, h = g - p * prior / n_p * q, np.where(p, 0.0, h)
+    scale = n_p + n_u
+    return g * scale, np.maximum(h * scale, 1e-6)
 
 
 def logistic_gradient(score: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +165,7 @@ def boost(x: np.ndarray, label: np.ndarray, gradient: Callable[[np.ndarray, np.n
     for r in range(rounds):
         g, h = gradient(score, label[kept])
         tree = grow(x[kept], g, h, gain=made.gain, **grown)
-        tree = [(*t[:5], t[5] * rate) for t in tree]
+        tree = [(*t[:5], t[5] * rate, t[6]) for t in tree]
         made.trees.append(tree)
         score += tree_values(tree, x[kept])
         if len(held):
@@ -174,7 +182,8 @@ def boost(x: np.ndarray, label: np.ndarray, gradient: Callable[[np.ndarray, np.n
 def fit_one(kind: str, x: np.ndarray, label: np.ndarray, gamma: float, prior: float, seed: int, **options) -> Trees:
     """A model of one kind: nnpu (boosted risk), bag (boosted weighted logistic loss), extra (extra trees on positives)."""
     if kind == "nnpu":
-        return boost(x, label, lambda s, y: nnpu_gradient(s, y, prior, gamma), seed=seed, **options)
+        n_u = int(np.isnan(label).sum())
+        return boost(x, label, lambda s, y: nnpu_gradient(s, y, prior, gamma, n_u), seed=seed, **{"l2": 0.5, **options})
     target, weight = (label == 1).astype(float), np.where(label == 0, gamma, 1.0)
     if kind == "bag":
         weights = {"hold": 0.0, "rounds": 100, "rate": 0.05, **options}
@@ -184,10 +193,15 @@ def fit_one(kind: str, x: np.ndarray, label: np.ndarray, gamma: float, prior: fl
     made = Trees()
     for _ in range(n):  # each leaf is the weighted share of positives
         tree = grow(x, -weight * target, weight, rng=rng, gain=made.gain, **{"leaves": 64, "least": 5, **options})
-        made.trees.append([(*t[:5], t[5] / n) for t in tree])
+        made.trees.append([(*t[:5], t[5] / n, t[6]) for t in tree])
     return made
 
 
+def drawn_share(share: float, *keys: Column) -> Column:
+    """Whether a row belongs to a sample of this share, by 62 bits of a hash: shares of a few rows in 10^15 keep their size."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << 62)) < F.lit(min(1 << 62, max(1, round(share * (1 << 62)))))
+
+
 def fit_models(df: DataFrame, key: str, features: Sequence[str], kind: str = "nnpu", gammas: Sequence[float] = (1.0,), prior: float = 0.02, unlabelled: int = 15_000, bags: int = 1, fold: str | None = "fold", seed: int = 2025, **options) -> DataFrame:
     """(gamma, fold, bag, model, n_rounds, top_gain): one model for each gamma, fold that is left out, and bag.
 
@@ -201,7 +215,7 @@ def fit_models(df: DataFrame, key: str, features: Sequence[str], kind: str = "nn
     outs = sorted(r[0] for r in rows.select("fold").distinct().collect()) if fold else [-1]
     n_u = rows.filter("label IS NULL").count()
     share = min(1.0, unlabelled * (len(outs) / max(1, len(outs) - 1) if fold else 1) / n_u) if n_u else 1.0
-    drawn = F.pmod(F.xxhash64("_key", "bag", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
+    drawn = drawn_share(share, F.col("_key"), F.col("bag"), F.lit(seed))
     dealt = rows.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1)))).filter(F.col("label").isNotNull() | drawn)
     dealt = dealt.withColumn("out", F.explode(F.array(*[F.lit(k) for k in outs]))).filter("fold <> out")
     dealt = dealt.withColumn("gamma", F.explode(F.array(*[F.lit(float(g)) for g in gammas])))

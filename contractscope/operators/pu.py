@@ -11,11 +11,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contractscope.operators.boost import drawn_share
+
 
 # --- encoding and weights ---
 
@@ -151,38 +154,63 @@ def prior_sensitivity(prior: float, factors: Sequence[float] = (0.6, 0.8, 1.0, 1
 # --- risk-corrected models ---
 
 
-def nnpu_logit(df: DataFrame, features: Sequence[str], prior: float, gamma: float = 1.0, l2: float = 1e-3, steps: int = 60, rate: float = 0.5) -> np.ndarray:
+def _risk_sums(rows: DataFrame, w: np.ndarray) -> dict[str, tuple[float, float, np.ndarray, np.ndarray, np.ndarray]]:
+    """For positives, negatives and unlabelled rows: their number and the sums of l-, q x, q (1 - q) x x', and x.
+
+    Every task gives one row a number, of which there are 3 (2 + 2 d + d^2); Spark adds them up before any is collected.
+    """
+    d = len(w)
+
+    def run(batches):
+        total = np.zeros((3, 2 + 2 * d + d * d))
+        for batch in batches:
+            label = batch.column(0).to_numpy(zero_copy_only=False)
+            x = np.column_stack([*[np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float)) for c in batch.columns[1:]], np.ones(batch.num_rows)])
+            s = x @ w
+            q = 1 / (1 + np.exp(-np.clip(s, -700, 700)))
+            for k, here in enumerate((label == 1, label == 0, np.isnan(label.astype(float)))):
+                xk, qk = x[here], q[here]
+                total[k] += np.concatenate([[len(xk), np.logaddexp(0, s[here]).sum()], xk.T @ qk, xk.sum(axis=0), ((xk * (qk * (1 - qk))[:, None]).T @ xk).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
+
+    total = np.zeros((3, 2 + 2 * d + d * d))
+    for r in rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        total.flat[r["i"]] = r["v"]
+    return {k: (t[0], t[1], t[2 : 2 + d], t[2 + 2 * d :].reshape(d, d), t[2 + d : 2 + 2 * d]) for k, t in zip("pnu", total, strict=True)}
+
+
+def nnpu_logit(df: DataFrame, features: Sequence[str], prior: float, gamma: float = 1.0, l2: float = 1e-3, steps: int = 40, tolerance: float = 1e-8) -> np.ndarray:
     """Weights (intercept last) of a linear score under the non-negative PU risk with a gamma-weighted negative term.
 
-    Risk: prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]) + gamma * (1 - prior) * E_N[loss(-)].
-    The switch of the max holds for the whole data: each step's job returns the class means of losses and gradients,
-    and the driver decides. Momentum gradient descent; nothing but these sums is collected.
+    Risk: prior * E_P[l+] + max(0, A) + gamma * (1 - prior) / n_U * sum_N[l-] with A = E_U[l-] - prior * E_P[l-], as
+    published, plus l2 / 2 * |w|^2 without the intercept. As the larger of two convex functions it is convex: Newton's
+    method takes A as it is until A falls below 0, then looks for the least risk where A is 0 (weights and the share of A
+    that acts, together), and if that share ends outside of 0 to 1, leaves A out or takes it whole. Each step is one job that returns sums of
+    the features' length squared; null features count as 0.
     """
-    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features] + [F.lit(1.0)]
-    rows = df.select(F.col("label"), F.array(*x).alias("x"))
-    d = len(x)
-    w, v = np.zeros(d), np.zeros(d)
-    kinds = {"p": F.col("label") == 1, "n": F.col("label") == 0, "u": F.col("label").isNull()}
+    rows = df.select(F.col("label").cast("double"), *[F.col(c).cast("double") for c in features])
+    d = len(features) + 1
+    w, part, kind = np.zeros(d), 1.0, "whole"
+    ridge = np.diag([l2] * (d - 1) + [1e-9])
     for _ in range(steps):
-        s = F.lit(0.0)
-        for i in range(d):
-            s = s + F.col("x")[i] * F.lit(float(w[i]))
-        t = rows.withColumn("s", s).withColumn("q", 1 / (1 + F.exp(-F.col("s"))))
-        t = t.withColumn("minus", F.greatest(F.col("s"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("s"))))
-        sums = [F.count_if(k).alias(f"{a}_c") for a, k in kinds.items()]
-        sums += [F.sum(F.when(k, F.col("minus"))).alias(f"{a}_l") for a, k in kinds.items()]
-        sums += [F.sum(F.when(k, F.col("q") * F.col("x")[i])).alias(f"{a}_{i}") for a, k in kinds.items() for i in range(d)]
-        sums += [F.sum(F.when(kinds["p"], F.col("x")[i])).alias(f"x_{i}") for i in range(d)]
-        r = t.agg(*sums).first()
-        mean = lambda a: np.array([(r[f"{a}_{i}"] or 0.0) for i in range(d)]) / max(1, r[f"{a}_c"])  # noqa: B023, E731
-        plus = mean("p") - np.array([(r[f"x_{i}"] or 0.0) for i in range(d)]) / max(1, r["p_c"])
-        g = prior * plus + gamma * (1 - prior) * mean("n")
-        rest = (r["u_l"] or 0.0) / max(1, r["u_c"]) - prior * (r["p_l"] or 0.0) / max(1, r["p_c"])
-        if rest > 0:
-            g = g + mean("u") - prior * mean("p")
-        g[:-1] += l2 * w[:-1]
-        v = 0.9 * v - rate * g
-        w = w + v
+        s = _risk_sums(rows, w)
+        (n_p, loss_p, q_p, h_p, x_p), (_, _, q_n, h_n, _), (n_u, loss_u, q_u, h_u, _) = s["p"], s["n"], s["u"]
+        n_p, n_u = max(1.0, n_p), max(1.0, n_u)
+        a, g_a, h_a = loss_u / n_u - prior * loss_p / n_p, q_u / n_u - prior * q_p / n_p, h_u / n_u - prior * h_p / n_p
+        g = prior * (q_p - x_p) / n_p + gamma * (1 - prior) * q_n / n_u + ridge @ w + part * g_a
+        h = prior * h_p / n_p + gamma * (1 - prior) * h_n / n_u + ridge + part * h_a
+        if kind == "whole" and a < -1e-9:
+            kind, part, h, g = "edge", 0.5, h - 0.5 * h_a, g - 0.5 * g_a
+        if kind == "edge":
+            both = np.linalg.lstsq(np.block([[h, g_a[:, None]], [g_a[None, :], np.zeros((1, 1))]]), np.append(g, a), rcond=None)[0]
+            step, part = both[:-1], part - both[-1]
+        else:
+            step = np.linalg.solve(h, g)
+        w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-300))
+        if np.abs(step).max() < tolerance:
+            if kind != "edge" or 0 <= part <= 1:
+                break
+            kind, part = ("none", 0.0) if part < 0 else ("settled whole", 1.0)
     return w
 
 
@@ -211,7 +239,7 @@ def bagged_weights(df: DataFrame, key: str, features: Sequence[str], bags: int =
     """
     n_u = df.filter("label IS NULL").count()
     share = min(1.0, unlabelled / n_u) if n_u else 1.0
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("bag"), F.lit(seed)), F.lit(1_000_000)) / 1_000_000) < share
+    u = drawn_share(share, F.col(key), F.col("bag"), F.lit(seed))
     dealt = df.select(key, "label", *features).withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1)))).filter(F.col("label").isNotNull() | u)
     names = list(features)
 
@@ -233,7 +261,7 @@ def bagged_score(df: DataFrame, features: Sequence[str], models: DataFrame) -> D
     return df.withColumn("score", total / max(1, len(ws)))
 
 
-def em_hard(df: DataFrame, features: Sequence[str], prior: float = 0.02, rounds: int = 5, least: float = 5, most: float = 30, steps: int = 60) -> tuple[np.ndarray, DataFrame]:
+def em_hard(df: DataFrame, features: Sequence[str], prior: float = 0.02, rounds: int = 5, least: float = 5, most: float = 30, steps: int = 40) -> tuple[np.ndarray, DataFrame]:
     """Reliable negatives from unlabelled rows below a percentile of the score, refitting each time.
 
     The percentile starts at `least` and rises by 5 while the last refit kept margins of more than 0.10 over both

@@ -1,9 +1,13 @@
 """Tree learners against brute force and numerical derivatives, and the out-of-fold loop."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from contractscope.operators import boost, panel
+from contractscope.operators import boost, panel, shap
 
 
 def risk(score, label, prior, gamma):
@@ -13,17 +17,29 @@ def risk(score, label, prior, gamma):
 
 
 @pytest.mark.parametrize("shift", [0.0, -6.0])
-def test_nnpu_gradient_is_the_risk_s(shift):
+def test_full_gradient_is_the_risk_s(shift):
     rng = np.random.default_rng(0)
     label = rng.choice([1.0, 0.0, np.nan], 60)
     score = rng.normal(size=60) + np.where(np.isnan(label), shift, 0)
-    g, h = boost.nnpu_gradient(score, label, 0.4, 0.66)
+    g, h = boost.nnpu_gradient(score, label, 0.4, 0.66, full=True)
+    scale = (label == 1).sum() + np.isnan(label).sum()
     for i in range(60):
         e = np.eye(60)[i] * 1e-5
-        assert abs((risk(score + e, label, 0.4, 0.66) - risk(score - e, label, 0.4, 0.66)) / 2e-5 * 60 - g[i]) < 1e-5
+        assert abs((risk(score + e, label, 0.4, 0.66) - risk(score - e, label, 0.4, 0.66)) / 2e-5 * scale - g[i]) < 1e-5
     assert (h >= 1e-6).all()
 
 
+@pytest.mark.parametrize("shift, active", [(0.0, 1), (-6.0, 0)])
+def test_published_gradient(shift, active):
+    rng = np.random.default_rng(0)
+    label = rng.choice([1.0, 0.0, np.nan], 60)
+    score = rng.normal(size=60) + np.where(np.isnan(label), shift, 0)
+    g, h = boost.nnpu_gradient(score, label, 0.4, 0.66, unlabelled=50)
+    q, n_p, n_u = 1 / (1 + np.exp(-score)), (label == 1).sum(), np.isnan(label).sum()
+    weight = np.where(label == 1, 0.4 / n_p, np.where(label == 0, 0.66 * 0.6 / 50, active / n_u)) * (n_p + n_u)
+    assert np.allclose(g, weight * (q - (label == 1))) and np.allclose(h, np.maximum(weight * q * (1 - q), 1e-6))
+
+
 def test_first_split_is_the_best():
     rng = np.random.default_rng(1)
     for _ in range(20):
@@ -70,5 +86,64 @@ def test_out_of_fold(spark, kind, bags, options):
 
 
 def test_refit_and_guardrail(spark):
-    model = boost.fit_models(frame(spark), "id", ["a", "b"], fold=None, rounds=5).collect()
+    model = boost.fit_models(frame(spark), "id", ["a", "b"], prior=0.5, fold=None, rounds=5).collect()
     assert [(m.fold, m.bag) for m in model] == [(-1, 0)] and 0.5 <= model[0].top_gain <= 1.0
+
+
+def test_small_shares_keep_their_size(spark):
+    n = 200_000
+    for share in (1.0, 1e-3, 1e-4):
+        got = spark.range(n).filter(boost.drawn_share(share, F.col("id"))).count()
+        assert abs(got - share * n) <= 5 * (share * n) ** 0.5 * (share < 1)
+    wide = [spark.range(1).select(boost.drawn_share(300 / rows, F.lit(1))).count() for rows in (10**9, 10**12, 10**15)]  # never a threshold of 0
+    assert wide == [1, 1, 1] and "0L" not in str(boost.drawn_share(300 / 10**12, F.lit(1)))
+
+
+def conditional(tree, row, known):
+    """A tree's value with only the known features, by its training rows."""
+
+    def go(i):
+        f, edge, left, right, missing, value, rows = tree[i]
+        if f < 0:
+            return value
+        if f in known:
+            return go(left if (missing > 0 if np.isnan(row[f]) else row[f] <= edge) else right)
+        return (tree[left][6] * go(left) + tree[right][6] * go(right)) / rows
+
+    return go(0)
+
+
+def test_contributions_equal_all_subsets(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 4))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    label = np.where(rng.random(300) < 0.5, (np.nan_to_num(x[:, 0]) + np.nan_to_num(x[:, 1]) * np.nan_to_num(x[:, 2]) > 0).astype(float), np.nan)
+    model = boost.fit_one("nnpu", x, label, 1.0, 0.3, 1, rounds=20, rate=0.1, leaves=9)
+    made, base = shap.contributions(model, x)
+    assert np.abs(made.sum(axis=1) + base - model.raw(x)).max() < 1e-9
+    for row in range(6):
+        for i in range(4):
+            others = [j for j in range(4) if j != i]
+            want = sum(math.factorial(k) * math.factorial(3 - k) / 24 * sum(conditional(t, x[row], {*s, i}) - conditional(t, x[row], set(s)) for t in model.trees) for k in range(4) for s in itertools.combinations(others, k))
+            assert abs(want - made[row, i]) < 1e-9
+
+
+def test_explanations_of_rows(spark):
+    df = frame(spark)
+    names = ["a", "b"]
+    models = boost.fit_models(df, "id", names, "nnpu", [1.0], 0.5, rounds=15, rate=0.1)
+    told = shap.explain(df, "id", names, models, "fold").cache()
+    scores = {r.id: r.score for r in boost.score_models(df, "id", names, models).collect()}
+    rows = told.collect()
+    assert sorted(r.id for r in rows) == list(range(900))
+    for r in rows:
+        assert abs(r.base + sum(r.contributions) - r.raw) < 1e-9 and abs(1 / (1 + np.exp(-r.raw)) - scores[r.id]) < 1e-9
+    mean = {r.feature: (r.importance, r["rank"]) for r in shap.importance(told, names).collect()}
+    by = np.abs(np.array([r.contributions for r in rows])).mean(axis=0)
+    assert np.allclose([mean["a"][0], mean["b"][0]], by) and {mean["a"][1], mean["b"][1]} == {1, 2}
+    best = shap.top_features(told.filter("id = 7"), "id", names, 1).collect()
+    seven = next(r for r in rows if r.id == 7).contributions
+    k = int(np.abs(seven).argmax())
+    assert [(b.feature, b["rank"], b.contribution) for b in best] == [(names[k], 1, seven[k])]
+    assert shap.explain(df.limit(0), "id", names, models, "fold").count() == 0
+    told.unpersist()

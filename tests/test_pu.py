@@ -38,3 +38,24 @@ def test_registered_jobs_are_whole(spark, monkeypatch):
     monkeypatch.setattr(pu, "nnpu_logit", lambda *a, **k: seen.update(nnpu=k) or nnpu(*a, **{**k, "steps": 1}))
     own.QUERIES["nnpu_scores"](spark, SF)
     assert "steps" not in seen["nnpu"]
+
+
+@pytest.mark.parametrize("prior, gamma", [(0.3, 1.0), (0.6, 0.25), (0.9, 0.1)])
+def test_newton_finds_the_least_risk(spark, prior, gamma):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 2)) + 1.0
+    label = np.where(x[:, 0] + rng.normal(size=600) > 1.2, 1.0, 0.0)
+    label[rng.random(600) < 0.6] = np.nan
+    rows = [(None if np.isnan(y) else int(y), float(a), None if i % 50 == 0 else float(b)) for i, (y, (a, b)) in enumerate(zip(label, x, strict=True))]
+    w = pu.nnpu_logit(spark.createDataFrame(rows, "label int, a double, b double"), ["a", "b"], prior, gamma)
+    x[::50, 1] = 0.0
+    x = np.column_stack([x, np.ones(600)])
+    p, n, u = label == 1, label == 0, np.isnan(label)
+
+    def risk(w):
+        s = x @ w
+        plus, minus = np.logaddexp(0, -s), np.logaddexp(0, s)
+        return prior * plus[p].mean() + max(0, minus[u].mean() - prior * minus[p].mean()) + gamma * (1 - prior) * minus[n].sum() / u.sum() + 5e-4 * (w[:-1] ** 2).sum()
+
+    for e in [*np.eye(3) * 1e-4, *rng.normal(size=(300, 3)) * 1e-4, *rng.normal(size=(300, 3))]:
+        assert risk(w) <= min(risk(w + e), risk(w - e)) + 1e-12
