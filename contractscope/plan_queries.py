@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractscope.operators import boost, panel
+from contractscope.operators import boost, panel, scoring, shap
 from contractscope.plans import datasets, features, labels
 from contractscope.queries import FEATURES, _features, query, r6, t
 
@@ -400,3 +400,34 @@ def boosted_grid(spark: SparkSession, d: str) -> DataFrame:
     x = _features(spark, d).withColumn("stratum", F.coalesce(F.col("label").cast("string"), F.lit("U")))
     return boost.gamma_grid(panel.stratified_folds(x, ["stratum"], "doc_id"), "doc_id", FEATURES, GAMMAS, prior=0.5)[1]
 
+
+
+def _refitted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Features of documents, and one boosted model of all of them."""
+    x = _features(spark, d)
+    return x, boost.fit_models(x, "doc_id", FEATURES, "nnpu", [0.33], 0.5, fold=None)
+
+
+@query()
+def shap_importance(spark: SparkSession, d: str) -> DataFrame:
+    """Mean absolute Shapley value of each feature over all documents."""
+    x, models = _refitted(spark, d)
+    return shap.importance(shap.explain(x, "doc_id", FEATURES, models), FEATURES)
+
+
+@query()
+def shap_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The two features that move each document's score most."""
+    x, models = _refitted(spark, d)
+    return shap.top_features(shap.explain(x, "doc_id", FEATURES, models), "doc_id", FEATURES, 2)
+
+
+@query()
+def score_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """Rank and band of every document as an upload, of which some know no size and only English ones know `upper`."""
+    x = _features(spark, d)
+    registry = {1: ["size", "odd"], 2: ["upper"]}
+    reference = {k: x.select(F.col("doc_id").alias("_id"), "label", *[c for s in registry if s <= k for c in registry[s]]) for k in registry}
+    lang = t(spark, d, "documents").select("doc_id", "lang")
+    known = x.join(lang, "doc_id").select("doc_id", F.when(F.col("lang") != "fr", F.col("size")).alias("size"), "odd", F.when(F.col("lang") == "en", F.col("upper")).alias("upper"))
+    return scoring.score_uploads(known, "doc_id", reference, registry, prior=0.5)
