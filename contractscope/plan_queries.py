@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractscope.operators import boost, panel, scoring, shap
+from contractscope.operators import boost, panel, scoring, shap, tuning
 from contractscope.plans import datasets, features, labels
 from contractscope.queries import FEATURES, _features, query, r6, t
 
@@ -402,6 +402,14 @@ def boosted_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+@query()
+def nested_cv_choices(spark: SparkSession, d: str) -> DataFrame:
+    """For each outer fold the parameters that its other folds choose, and their mean lift over inner folds."""
+    x = _features(spark, d).withColumn("stratum", F.coalesce(F.col("label").cast("string"), F.lit("U")))
+    combos = tuning.grid(leaves=[7, 15, 31], least=[10, 20, 50])
+    return tuning.nested_cv(panel.stratified_folds(x, ["stratum"], "doc_id"), "doc_id", FEATURES, combos, prior=0.5, inner_options={"rounds": 40, "rate": 0.1, "hold": 0.0}, rounds=200, rate=0.05)[1]
+
+
 def _refitted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Features of documents, and one boosted model of all of them."""
     x = _features(spark, d)
