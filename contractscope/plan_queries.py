@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractscope.operators import boost, panel, scoring, shap, tuning
+from contractscope.operators import boost, intervals, panel, scoring, shap, tuning
 from contractscope.plans import datasets, features, labels
-from contractscope.queries import FEATURES, _features, query, r6, t
+from contractscope.queries import FEATURES, _features, query, r6, scored, t
 
 _CIG = "'Z' || lpad(CAST({k} AS STRING), 9, '0')"
 _SEAT = "CASE WHEN o_orderkey % 11 = 0 THEN ' Consiglio  di Stato' ELSE 'tar r' || CAST(o_custkey % 3 AS STRING) END"
@@ -439,3 +439,23 @@ def score_uploads(spark: SparkSession, d: str) -> DataFrame:
     lang = t(spark, d, "documents").select("doc_id", "lang")
     known = x.join(lang, "doc_id").select("doc_id", F.when(F.col("lang") != "fr", F.col("size")).alias("size"), "odd", F.when(F.col("lang") == "en", F.col("upper")).alias("upper"))
     return scoring.score_uploads(known, "doc_id", reference, registry, prior=0.5)
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    """Scored documents in four folds."""
+    x = scored(spark, d).withColumn("stratum", F.coalesce(F.col("label").cast("string"), F.lit("U")))
+    return panel.stratified_folds(x, ["stratum"], "doc_id")
+
+
+@query()
+def platt_by_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Platt scaling of each fold, their mean, and of all labelled documents."""
+    return intervals.platt_table(_folded(spark, d))
+
+
+@query()
+def score_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of every document's calibrated score over 200 replicates of the other folds' scaling, and at a prior of 0.02."""
+    x = _folded(spark, d)
+    rate = x.agg(F.avg(F.col("label").cast("double"))).first()[0]
+    return intervals.intervals(intervals.calibrated_replicates(x, "doc_id"), "doc_id", F.col("probs"), 0.02, rate)
