@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractscope.operators import boost, intervals, panel, scoring, shap, tuning
+from contractscope.operators import boost, intervals, panel, sanity, scoring, shap, tuning
 from contractscope.plans import datasets, features, labels
 from contractscope.queries import FEATURES, _features, query, r6, scored, t
 
@@ -59,6 +59,7 @@ RAW = {
     "lavorazioni": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, split_part('1|2|3|4|5|6.0|7|8|9|10|11|12|13|14|15|x|', '|', CAST(l_partkey % 17 + 1 AS INT)) AS cod_tipo_lavorazione FROM {{lineitem}}""",
     "collaudo": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey AS _row, CASE l_partkey % 3 WHEN 0 THEN 'POSITIVO' WHEN 1 THEN 'NEGATIVO' END AS esito_collaudo FROM {{lineitem}} WHERE l_linestatus = 'F'""",
     "subappalti": f"""SELECT ' ' || {_CIG.format(k='l_orderkey')} AS cig FROM {{lineitem}} WHERE l_quantity > 40""",
+    "partecipanti": f"""SELECT {_CIG.format(k='l_orderkey')} AS cig, 'F' || CAST(l_suppkey AS STRING) || ' ' AS codice_fiscale FROM {{lineitem}} WHERE l_quantity > 25""",
     "contesto": """SELECT CAST(s_suppkey AS INT) AS codice_provincia, CAST(2014 + r_regionkey AS INT) AS anno, CASE WHEN s_suppkey % 9 <> 0 THEN (s_suppkey % 37) * CAST(0.5 AS DOUBLE) END AS tasso_disoccupazione, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(14000 + 1000 * (s_suppkey % 17) AS DOUBLE) END AS reddito_irpef_procapite, CASE WHEN s_suppkey % 6 <> 0 THEN (s_suppkey % 6 - 1) * CAST(0.3 AS DOUBLE) END AS tasso_omicidi_100k FROM {supplier} JOIN {region} ON s_suppkey <= 111""",
 }
 
@@ -388,6 +389,72 @@ def dataset_m3_preprocessed(spark: SparkSession, d: str) -> DataFrame:
     return _plain(made, made.columns)
 
 
+# --- sanity checks ---
+
+_AUDIT = rule("wide", "*").replace("SELECT * FROM wide", "").rstrip() + """, counts AS (SELECT cig, count(*) AS n_awards FROM agg GROUP BY cig), codes AS (SELECT DISTINCT ltrim(codice_ausa, '0') AS a FROM sa WHERE codice_ausa IS NOT NULL), rows AS (SELECT cig, count(*) AS n_rows FROM wide GROUP BY cig),
+    audit AS (SELECT wide.*, n_rows, n_awards, w, base.p, i, f, begun.g, first, base.importo_sicurezza AS bando, amounts.sec AS budget, amounts.core, nullif(ltrim(regexp_replace(wide.codice_ausa, '[.]0$', ''), '0'), '') AS ausa, codes.a AS known, lines.sec > lines.lot AS over
+        FROM wide JOIN rows ON wide.cig = rows.cig LEFT JOIN counts ON wide.cig = counts.cig JOIN base ON wide.cig = base.cig JOIN lines ON wide.cig = lines.cig AND lines.k = 1 LEFT JOIN awards ON wide.cig = awards.cig LEFT JOIN begun ON wide.cig = begun.cig AND begun.k = 1
+        LEFT JOIN variants ON wide.cig = variants.cig LEFT JOIN amounts ON wide.cig = amounts.cig AND amounts.e = 'BASE_ASTA' LEFT JOIN codes ON nullif(ltrim(regexp_replace(wide.codice_ausa, '[.]0$', ''), '0'), '') = codes.a),
+    bids AS (SELECT *, coalesce(numero_offerte_ammesse, 0) + coalesce(numero_offerte_escluse, 0) AS total, abs(num_imprese_offerenti - total) AS off FROM audit)"""
+#: (rule, rows that are asked, rows that break it, most percent that is OK, status beyond).
+_RULES = [
+    ("SC-01 one row a contract", "true", "n_rows > 1", 0, "ERROR"), ("SC-02 award not before tender", "w IS NOT NULL", "w < p", 0, "HANDLED"), ("SC-03 coherence can be told", "true", "delta_coerenza_pct IS NULL", 90, "WARNING"), ("SC-03 coherence within 20%", "delta_coerenza_pct IS NOT NULL", "delta_coerenza_pct > 0.2", None, ""),
+    ("SC-03 coherence within 50%", "delta_coerenza_pct IS NOT NULL", "delta_coerenza_pct > 0.5", None, ""), ("SC-05 security within the lot", "over IS NOT NULL", "over", 1, "WARNING"), ("SC-06a start before end", "i IS NOT NULL AND f IS NOT NULL", "i > f", 1, "WARNING"), ("SC-06b award before signing", "w IS NOT NULL AND g IS NOT NULL", "w > g", 10, "WARNING"),
+    ("SC-09 lots and awards agree", "n_lotti_componenti IS NOT NULL AND n_awards IS NOT NULL", "n_lotti_componenti <> n_awards", None, ""), ("SC-10 authority is known", "ausa IS NOT NULL", "known IS NULL", 1, "WARNING"), ("SC-11 security as in the budget", "bando IS NOT NULL AND budget IS NOT NULL", "abs(bando - budget) > abs(bando) * 0.01", None, ""),
+    ("SC-12 lot as in the budget", "importo_lotto IS NOT NULL AND core IS NOT NULL", "abs(importo_lotto - core) > abs(importo_lotto) * 0.05", None, ""), ("SC-13a awarded with award", "esito = 'AGGIUDICATA'", "importo_aggiudicazione IS NULL", None, ""),
+    ("SC-13c condemned were awarded", "label = 1", "esito IN ('DESERTA', 'NON_AGGIUDICATA', 'IN_CORSO') AND coalesce(cod_esito NOT IN ('1', '5'), true)", 0, "WARNING"), ("SC-OFFERTE bids add up", "num_imprese_offerenti IS NOT NULL AND total > 0", "off <> 0", 20, "WARNING"), ("SC-OFFERTE bids within 2", "num_imprese_offerenti IS NOT NULL AND total > 0", "off > 2", None, ""),
+    ("SC-OFFERTE bids within 10", "num_imprese_offerenti IS NOT NULL AND total > 0", "off > 10", None, ""), ("SC-VAR-1 variant after award", "first IS NOT NULL AND w IS NOT NULL", "first < w", None, ""),
+]
+
+
+def _judged(counts: str, most: float | None, otherwise: str) -> str:
+    status = "'INFO'" if most is None else f"CASE WHEN coalesce(100.0 * broken / nullif(asked, 0), 0) <= {most} THEN 'OK' ELSE '{otherwise}' END"
+    return f"SELECT rule, {status} AS status, asked, broken, round(coalesce(100.0 * broken / nullif(asked, 0), 0), 6) AS pct FROM ({counts})"
+
+
+_SUITE = " UNION ALL ".join([
+    *[_judged(f"SELECT '{name}' AS rule, count(*) FILTER (WHERE {asked}) AS asked, count(*) FILTER (WHERE ({asked}) AND ({broken})) AS broken FROM bids", most, otherwise) for name, asked, broken, most, otherwise in _RULES],
+    _judged("SELECT 'SC-07 winner took part' AS rule, count(*) FILTER (WHERE c.cig IS NOT NULL) AS asked, count(*) FILTER (WHERE c.cig IS NOT NULL AND q.cig IS NULL) AS broken FROM vincitori v LEFT JOIN (SELECT DISTINCT cig, trim(codice_fiscale) AS cf FROM partecipanti) q ON v.cig = q.cig AND v.codice_fiscale = q.cf LEFT JOIN (SELECT DISTINCT cig FROM partecipanti) c ON v.cig = c.cig", 10, "WARNING"),
+    _judged("SELECT 'SC-08 on one list only' AS rule, count(*) AS asked, count(*) FILTER (WHERE n > 1) AS broken FROM (SELECT cig, count(DISTINCT label) AS n FROM etichette WHERE label IS NOT NULL GROUP BY cig)", 0, "ERROR"),
+])
+
+
+def _audit(spark: SparkSession, d: str) -> DataFrame:
+    return features.audit_frame({file: raw(spark, d, name) for file, name in FILES.items()}, raw(spark, d, "etichette"))
+
+
+@query(_AUDIT + f", partecipanti AS ({RAW['partecipanti'].format(lineitem='lineitem')}) {_SUITE}")
+def sanity_suite(spark: SparkSession, d: str) -> DataFrame:
+    """All sanity checks of the wide table, the winners and the label lists, with how many rows each could judge."""
+    told = raw(spark, d, "etichette")
+    made = sanity.check(_audit(spark, d), sanity.contract_rules())
+    made = made.unionByName(sanity.check(sanity.participant_frame(raw(spark, d, "vincitori"), raw(spark, d, "partecipanti")), sanity.participant_rules()))
+    made = made.unionByName(sanity.check(sanity.list_frame(told.filter("label = 1"), told.filter("label = 0")), sanity.list_rules()))
+    return made.withColumn("pct", r6("pct"))
+
+
+@query(_AUDIT + " SELECT rule, CAST(rank AS INTEGER) AS rank, cig FROM (SELECT rule, cig, row_number() OVER (PARTITION BY rule ORDER BY cig) AS rank FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS rule, cig FROM bids WHERE ({asked}) AND ({broken})" for name, asked, broken, _, _ in _RULES) + ")) WHERE rank <= 10")
+def sanity_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The first contracts that break each check."""
+    return sanity.samples(_audit(spark, d), "cig", sanity.contract_rules())
+
+
+@query(rule("wide", "esito, cod_esito, count(*) AS n") + " GROUP BY ALL")
+def sanity_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """SC-16: contracts by outcome of tender and of award."""
+    return wide(spark, d).groupBy("esito", "cod_esito").agg(F.count("*").alias("n"))
+
+
+#: Features whose labelled values are compared: budgets, variants, suspensions, reports and subcontracts.
+_CONTRASTS = ["pct_riserva_base", "pct_overrun_core", "pct_riserva_consumata", "n_varianti", "flag_variante_sostanziale", "n_sospensioni", "flag_sospensione", "durata_totale_sospensioni_gg", "pct_durata_sospesa", "flag_sosp_giudiziaria", "n_sal", "flag_in_ritardo", "flag_proroga", "flag_subappalto", "delta_coerenza_pct"]
+
+
+@query(rule("wide", "*").replace("SELECT * FROM wide", "") + " " + " UNION ALL ".join(f"SELECT label, '{c}' AS feature, count({c}) AS n, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median FROM wide WHERE label IS NOT NULL GROUP BY label" for c in _CONTRASTS))
+def sanity_contrasts(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and median of execution features among condemned and among acquitted contracts."""
+    return sanity.contrasts(wide(spark, d), "label", _CONTRASTS).withColumns({"mean": r6("mean"), "median": r6("median")})
+
+
 # --- learners over folds and gammas ---
 
 #: The gammas of the grid.

@@ -122,7 +122,7 @@ def contracts(raw: DataFrame, strict: bool = False) -> DataFrame:
         "lag_perfezionamento_giorni": days_between(F.col("data_pubblicazione"), F.col("data_ultimo_perfezionamento")),
         "lag_comunicazione_esito_giorni": days_between(F.col("data_pubblicazione"), F.col("data_comunicazione_esito")),
         "importo_sicurezza_pct": F.when((F.col("importo_lotto") > 0) & ~over, F.col("importo_sicurezza") / F.col("importo_lotto")),
-        "importo_sicurezza": F.when(~over, F.col("importo_sicurezza")),
+        "importo_sicurezza": F.when(~over, F.col("importo_sicurezza")), "sicurezza_oltre_lotto": (F.col("importo_sicurezza") > F.col("importo_lotto")).cast("int"),
         "flag_urgenza": F.coalesce(code("flag_urgenza"), F.lit(0)), "flag_delega": code("flag_delega"),
         "flag_ripetizioni": F.coalesce(clamp(F.trim("flag_prev_ripetizioni").try_cast("double"), 0, 1), F.lit(0.0)).cast("tinyint"),
         "flag_accordo_quadro": filled(F.col("cig_accordo_quadro")), "flag_appalto_riservato": filled(F.col("tipo_appalto_riservato")),
@@ -303,7 +303,7 @@ def wide_table(tables: dict[str, DataFrame], labels: DataFrame | None = None, fi
     zero = [c for c in ("n_varianti", "n_sospensioni", "n_sal", "flag_variante_sostanziale", "flag_sosp_giudiziaria", "durata_totale_sospensioni_gg", "flag_proroga", "flag_subappalto") if c in have]
     wide = wide.fillna(0, zero)
     if "sicurezza_base_asta" in have:
-        wide = wide.withColumn("importo_sicurezza", F.coalesce("importo_sicurezza", "sicurezza_base_asta"))
+        wide = wide.withColumns({"importo_sicurezza_bando": F.col("importo_sicurezza"), "importo_sicurezza": F.coalesce("importo_sicurezza", "sicurezza_base_asta")})
     if "n_sospensioni" in have:
         wide = wide.withColumn("flag_sospensione", (F.col("n_sospensioni") > 0).cast("int"))
         if "durata_pianificata_giorni" in have:
@@ -313,3 +313,13 @@ def wide_table(tables: dict[str, DataFrame], labels: DataFrame | None = None, fi
     if "contesto_province" in tables:
         wide = wide.join(tables["contesto_province"].select("codice_provincia", "anno", "tasso_disoccupazione", "reddito_irpef_procapite", "tasso_omicidi_100k"), ["codice_provincia", "anno"], "left")
     return wide.join(labels.select("cig", "label"), "cig", "left") if labels is not None else wide.withColumn("label", F.lit(None).cast("int"))
+
+
+def audit_frame(tables: dict[str, DataFrame], labels: DataFrame) -> DataFrame:
+    """The wide table with what its sanity checks compare: rows a contract, its number of awards, its authority's code and
+    whether that is known. Every part has one row a key before it is joined."""
+    wide = wide_table(tables, labels)
+    rows = wide.groupBy("cig").agg(F.count("*").alias("n_rows"))
+    counts = tables["aggiudicazioni"].groupBy(F.trim("cig").alias("cig")).agg(F.count("*").alias("n_awards"))
+    known = tables["stazioni-appaltanti"].select(plain_code(F.col("codice_ausa")).alias("ausa")).filter("ausa IS NOT NULL").distinct().withColumn("ausa_known", F.lit(1))
+    return attach(wide.withColumn("ausa", plain_code(F.col("codice_ausa"))), rows, counts).join(known, "ausa", "left")
