@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contractscope.operators.panel import running_sum
+from contractscope.operators.panel import percentile_rank, running_sum
 
 
 def by_score(df: DataFrame, keys: Sequence[str] = (), score: str = "score") -> DataFrame:
@@ -62,6 +62,27 @@ def across_folds(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) ->
     return df.groupBy(*keys).agg(*[F.avg(m).alias(f"{m}_mean") for m in metrics], *[F.stddev_samp(m).alias(f"{m}_sd") for m in metrics])
 
 
+def rank_agreement(df: DataFrame, scores: Sequence[str], far: float = 20.0) -> DataFrame:
+    """(model_a, model_b, n, spearman, mae, share_far) for every pair of score columns, over rows that have both.
+
+    Each column's percentile ranks (mean ranks for ties) are taken over the rows that have every score, so that all pairs
+    are compared on the same rows; all pairs come from one aggregation. mae is in percentage points; share_far is the
+    share of rows whose ranks are more than `far` points apart, times 100. The correlation is null where ranks are all
+    equal.
+    """
+    known = df
+    for s in scores:
+        known = known.filter(F.col(s).isNotNull())
+    ranked = known.select(*scores)
+    for s in scores:
+        ranked = percentile_rank(ranked, s, f"_rank_{s}")
+    pairs = [(a, b) for i, a in enumerate(scores) for b in scores[i + 1 :]]
+    gap = lambda a, b: F.abs(F.col(f"_rank_{a}") - F.col(f"_rank_{b}"))
+    made = ranked.agg(F.count("*").alias("n"), *[x for i, (a, b) in enumerate(pairs) for x in (F.corr(f"_rank_{a}", f"_rank_{b}").alias(f"r{i}"), F.avg(gap(a, b)).alias(f"m{i}"), F.avg((gap(a, b) > far).cast("double") * 100).alias(f"f{i}"))])
+    rows = [F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col("n"), F.nanvl(f"r{i}", F.lit(None)).alias("spearman"), F.col(f"m{i}").alias("mae"), F.col(f"f{i}").alias("share_far")) for i, (a, b) in enumerate(pairs)]
+    return made.select(F.inline(F.array(*rows)))
+
+
 # --- calibration ---
 
 

@@ -108,36 +108,81 @@ def blanchard(df: DataFrame, score: str = "score", steps: int = 200) -> DataFram
     return sums.filter("_i >= 0 AND tp > 0").agg(F.least(F.lit(1.0), F.min(ratio)).alias("prior"))
 
 
-def kernel_mean_prior(positives: np.ndarray, unlabelled: np.ndarray, seed: int = 2025, steps: int = 200) -> float:
-    """Kernel-mean estimate of the share of positives, on samples of bounded size.
+def rbf_gram(x: np.ndarray, mixture: int, widths: Sequence[float] = tuple(np.logspace(-1, 1, 5))) -> np.ndarray:
+    """Kernel matrix of the width, among multiples of the median distance, that sets the two groups' means furthest apart.
 
-    Finds the largest weight up to which the unlabelled mean, less that weight of the positive mean, stays close to
-    the convex hull of the points in an RBF kernel's feature space; projected gradient on the simplex.
+    The first `mixture` rows are of the mixture, the others of the component.
+    """
+    square = np.maximum((x**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * x @ x.T, 0)
+    median = np.sqrt(np.median(square)) or 1.0
+    d = np.concatenate([np.full(mixture, 1 / mixture), np.full(len(x) - mixture, -1 / (len(x) - mixture))])
+    grams = [np.exp(-square / (2 * (w * median) ** 2)) for w in widths]
+    return grams[int(np.argmax([d @ g @ d for g in grams]))]
+
+
+def kernel_mean_prior(positives: np.ndarray, unlabelled: np.ndarray, threshold: float | None = None, steps: int = 300, tolerance: float = 0.04) -> float:
+    """Kernel-mean estimate of the share of positives among unlabelled rows, on samples of bounded size.
+
+    The unlabelled mean, moved away from the positives' mean by a factor lambda, stays near the convex hull of the points
+    in feature space up to lambda = 1 / (1 - share); from there its distance rises. Lambda is found by halving [1, 8]
+    until the slope of the distance passes `threshold` times the distance of the two means, or, without a threshold,
+    1 / sqrt of the smaller sample. Distances come from projected gradients with momentum on the simplex.
     """
-    rng = np.random.default_rng(seed)
     x = np.concatenate([unlabelled, positives])
-    pick = rng.integers(0, len(x), (min(500, len(x)), 2))
-    width = np.median(np.linalg.norm(x[pick[:, 0]] - x[pick[:, 1]], axis=1)) or 1.0
-    gram = np.exp(-((x**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * x @ x.T) / (2 * width**2))
-    nu = len(unlabelled)
+    nu, n_p = len(unlabelled), len(positives)
+    gram = rbf_gram(x, nu)
     mu, mp = np.zeros(len(x)), np.zeros(len(x))
-    mu[:nu], mp[nu:] = 1 / nu, 1 / len(positives)
+    mu[:nu], mp[nu:] = 1 / nu, 1 / n_p
     step = 1 / np.linalg.norm(gram, 2)
+    apart = float(np.sqrt(max(0.0, (mu - mp) @ gram @ (mu - mp))))
+    limit = (1 / np.sqrt(min(nu, n_p)) if threshold is None else threshold) * apart
 
     def distance(lam: float) -> float:
         target = lam * mu + (1 - lam) * mp
-        w = np.full(len(x), 1 / len(x))
+        w = _simplex(target)
+        v, t = w, 1.0
         for _ in range(steps):
-            w = _simplex(w - step * (gram @ (w - target)))
+            new = _simplex(v - step * (gram @ (v - target)))
+            after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            v, w, t = new + (t - 1) / after * (new - w), new, after
         d = w - target
         return float(np.sqrt(max(0.0, d @ gram @ d)))
 
     low, high = 1.0, 8.0
-    limit = 0.5 / np.sqrt(min(nu, len(positives)))
-    for _ in range(20):
+    while high - low > tolerance:
         middle = (low + high) / 2
-        low, high = (middle, high) if distance(middle) <= limit else (low, middle)
-    return float(np.clip(1 - 1 / low, 0, 1))
+        slope = (distance(middle + tolerance / 2) - distance(middle)) * 2 / tolerance
+        low, high = (low, middle) if slope > limit else (middle, high)
+    return float(np.clip(1 - 2 / (low + high), 0, 1))
+
+
+def multi_sample_prior(df: DataFrame, key: str, features: Sequence[str], runs: int = 10, positives: int = 500, unlabelled: int = 1000, seed: int = 2025, **options) -> DataFrame:
+    """(run, n_p, n_u, prior): kernel-mean estimates on independent samples, one task each.
+
+    A run draws about `positives` positive and `unlabelled` unlabelled rows by a hash of key and run; features are scaled
+    by the mean and deviation of all these rows' table, with nulls as the mean. Runs without either kind have no row.
+    """
+    names = list(features)
+    n = df.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label").isNull()).alias("u")).first()
+    scaled = standardise(df, names).select(F.col(key).alias("_key"), "label", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    many = scaled.filter("label IS NULL OR label = 1").withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    share = lambda m, all_: min(1.0, m / all_) if all_ else 1.0
+    drawn = F.when(F.col("label") == 1, drawn_share(share(positives, n["p"]), F.col("_key"), F.col("run"), F.lit(seed))).otherwise(drawn_share(share(unlabelled, n["u"]), F.col("_key"), F.col("run"), F.lit(seed)))
+
+    def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_key", kind="stable")
+        p, u = (pdf.loc[m, names].to_numpy(float) for m in (pdf["label"] == 1, pdf["label"].isna()))
+        rows = [(int(pdf["run"].iloc[0]), len(p), len(u), kernel_mean_prior(p, u, **options))] if len(p) > 1 and len(u) > 1 else []
+        return pd.DataFrame(rows, columns=["run", "n_p", "n_u", "prior"])
+
+    return many.filter(drawn).groupBy("run").applyInPandas(estimate, "run int, n_p long, n_u long, prior double")
+
+
+def prior_interval(runs: DataFrame) -> DataFrame:
+    """(runs, prior, lower, upper): the median over runs, which is the value to work with, and the 2.5th and 97.5th percentile,
+    null for a single run."""
+    made = runs.agg(F.count("prior").alias("runs"), F.percentile("prior", F.array(*[F.lit(q) for q in (0.5, 0.025, 0.975)])).alias("q"))
+    return made.select("runs", F.col("q")[0].alias("prior"), F.when(F.col("runs") > 1, F.col("q")[1]).alias("lower"), F.when(F.col("runs") > 1, F.col("q")[2]).alias("upper"))
 
 
 def _simplex(v: np.ndarray) -> np.ndarray:
@@ -147,8 +192,15 @@ def _simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - cum[k] / (k + 1), 0)
 
 
-def prior_sensitivity(prior: float, factors: Sequence[float] = (0.6, 0.8, 1.0, 1.2, 1.4)) -> list[tuple[float, float]]:
-    return [(f, min(1.0, f * prior)) for f in factors]
+def prior_sensitivity(df: DataFrame, prior: float, score: str = "score", factors: Sequence[float] = (0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4)) -> DataFrame:
+    """(factor, assumed, estimate): the quantile estimate after scores are scaled to an assumed prior, for each factor."""
+    out = None
+    for f in factors:
+        assumed = min(max(prior * f, 1e-6), 0.9999)
+        scaled = df.withColumn("_s", F.least(F.greatest(F.col(score) * (assumed / max(prior, 1e-6)), F.lit(0.0)), F.lit(1.0)))
+        one = blanchard(scaled, "_s").select(F.lit(f).alias("factor"), F.lit(assumed).alias("assumed"), F.col("prior").alias("estimate"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # --- risk-corrected models ---

@@ -604,6 +604,35 @@ def blanchard_prior(spark: SparkSession, d: str) -> DataFrame:
     return pu.blanchard(scored(spark, d))
 
 
+@query()
+def kernel_mean_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Kernel-mean estimates of the share of good documents among unlabelled ones, on ten independent samples."""
+    return pu.multi_sample_prior(_features(spark, d), "doc_id", FEATURES)
+
+
+@query()
+def prior_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """The quantile estimate of the prior under nine assumed priors."""
+    x = scored(spark, d)
+    return pu.prior_sensitivity(x, pu.elkan_noto(x).first()["prior"])
+
+
+_RANKS = "100 * (rank() OVER (ORDER BY {s}) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0) / count(*) OVER () AS {s}"
+
+
+@query(f"""
+    WITH x AS (SELECT (n_chars % 200) / 200.0 AS a, (n_chars % 97) / 97.0 AS b, n_chars * 1.0 AS c FROM documents), r AS (SELECT {_RANKS.format(s='a')}, {_RANKS.format(s='b')}, {_RANKS.format(s='c')} FROM x)
+    SELECT 'a' AS model_a, 'b' AS model_b, count(*) AS n, round(corr(a, b), 6) AS spearman, round(avg(abs(a - b)), 6) AS mae, round(avg(CASE WHEN abs(a - b) > 20 THEN 100.0 ELSE 0 END), 6) AS share_far FROM r
+    UNION ALL SELECT 'a', 'c', count(*), round(corr(a, c), 6), round(avg(abs(a - c)), 6), round(avg(CASE WHEN abs(a - c) > 20 THEN 100.0 ELSE 0 END), 6) FROM r
+    UNION ALL SELECT 'b', 'c', count(*), round(corr(b, c), 6), round(avg(abs(b - c)), 6), round(avg(CASE WHEN abs(b - c) > 20 THEN 100.0 ELSE 0 END), 6) FROM r
+""")
+def rank_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How far three scores agree on the ranks of documents."""
+    n = F.col("n_chars")
+    x = t(spark, d, "documents").select((n % 200 / 200.0).alias("a"), (n % 97 / 97.0).alias("b"), (n * 1.0).cast("double").alias("c"))
+    return metrics.rank_agreement(x, ["a", "b", "c"]).withColumns({k: r6(k) for k in ("spearman", "mae", "share_far")})
+
+
 @query()
 def bootstrap_mean(spark: SparkSession, d: str) -> DataFrame:
     """Percentile intervals of the mean score by language, from Poisson replicates."""

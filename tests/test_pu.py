@@ -59,3 +59,37 @@ def test_newton_finds_the_least_risk(spark, prior, gamma):
 
     for e in [*np.eye(3) * 1e-4, *rng.normal(size=(300, 3)) * 1e-4, *rng.normal(size=(300, 3))]:
         assert risk(w) <= min(risk(w + e), risk(w - e)) + 1e-12
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5])
+def test_kernel_mean_recovers_mixtures(spark, share):
+    rng = np.random.default_rng(8)
+    p, n = rng.normal(size=(1500, 2)) + [3, 0], rng.normal(size=(1500, 2)) - [3, 0]
+    u = np.where(rng.random(1500)[:, None] < share, rng.normal(size=(1500, 2)) + [3, 0], n)
+    rows = [(i, 1 if i < 1500 else None, float(a), float(b) if i % 97 else None) for i, (a, b) in enumerate(np.concatenate([p, u]))] + [(9999, 0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id int, label int, a double, b double")
+    runs = pu.multi_sample_prior(df, "id", ["a", "b"], runs=4, positives=200, unlabelled=400).collect()
+    assert sorted(r.run for r in runs) == [1, 2, 3, 4] and all(150 < r.n_p < 250 and 320 < r.n_u < 480 for r in runs)
+    assert len({r.prior for r in runs}) > 1  # samples of their own
+    got = pu.prior_interval(spark.createDataFrame(runs)).first()
+    assert abs(got.prior - share) < 0.08 and got.lower <= got.prior <= got.upper and got.runs == 4
+    assert pu.prior_interval(spark.createDataFrame(runs[:1])).first().lower is None
+    assert pu.multi_sample_prior(df.filter("label = 0"), "id", ["a", "b"], runs=2).count() == 0
+
+
+def test_width_sets_means_apart():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(60, 2)), rng.normal(size=(40, 2)) + 2])
+    d = np.concatenate([np.full(60, 1 / 60), np.full(40, -1 / 40)])
+    square = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    best = max((d @ np.exp(-square / (2 * (w * np.sqrt(np.median(square))) ** 2)) @ d, w) for w in np.logspace(-1, 1, 5))[1]
+    assert np.allclose(pu.rbf_gram(x, 60), np.exp(-square / (2 * (best * np.sqrt(np.median(square))) ** 2)))
+
+
+def test_sensitivity_scales_scores(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.random() < 0.4) or None, float(rng.random())) for _ in range(400)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    got = {round(r.factor, 1): (r.assumed, r.estimate) for r in pu.prior_sensitivity(df, 0.5).collect()}
+    assert sorted(got) == [0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4] and abs(got[0.6][0] - 0.3) < 1e-12
+    assert abs(got[1.0][1] - pu.blanchard(df).first().prior) < 1e-12
