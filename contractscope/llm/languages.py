@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contractscope.llm.frames import lean
+from contractscope.llm.vectors import sample_edge
 
 #: Hash table sizes for byte n-grams of 1, 2, 3 and 4.
 SIZES = (256, 4096, 8192, 8192)
@@ -69,7 +70,7 @@ def fit(rows: np.ndarray, languages: list[str], n_landmarks: int = 96, ridge: fl
 
 
 def train(docs: DataFrame, use: Column, per_language: int = 300) -> Model | None:
-    """Fit on at most per_language texts of each language, chosen by a hash of doc_id among the rows of `use`.
+    """Fit on at most per_language texts of each language, chosen by a hash of doc_id (of the text, without one) among the rows of `use`.
 
     Only doc_id and lang are read to count the languages. None without any labelled row.
     """
@@ -77,15 +78,15 @@ def train(docs: DataFrame, use: Column, per_language: int = 300) -> Model | None
     counts = {r["lang"]: r["count"] for r in docs.filter(use & F.col("lang").isNotNull()).groupBy("lang").count().collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 1.3 * per_language / n) * 1_000_000))])
-    chosen = rows.filter((F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share[F.col("lang")]) & F.col("ok"))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, sample_edge(1.3 * per_language, n))])
+    chosen = rows.filter((F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), F.lit(11)), F.lit(1 << 62)) < share[F.col("lang")]) & F.col("ok"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.packbits(presence(batch.column(2).to_pylist()) > 0, axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "lang", "bits"])
 
-    found = sorted((r["lang"], r["doc_id"], r["bits"]) for r in chosen.select("doc_id", "lang", "text").mapInArrow(lean(grams), "doc_id long, lang string, bits binary").collect())
+    found = sorted(((r["lang"], r["doc_id"], r["bits"]) for r in chosen.select("doc_id", "lang", "text").mapInArrow(lean(grams), "doc_id long, lang string, bits binary").collect()), key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2]))
     seen: dict[str, int] = {}
     kept = [x for x in found if seen.setdefault(x[0], 0) < per_language and not seen.update({x[0]: seen[x[0]] + 1})]
     if not kept:
@@ -99,11 +100,12 @@ def train(docs: DataFrame, use: Column, per_language: int = 300) -> Model | None
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """Add lang_pred and score (0 to 1) from each whole text; other columns in `keep` pass through.
 
-    A null text, or one without letters, is `und` with score 0; so is everything without a model. Narrow: no shuffle.
+    A null text, or one without letters, is `und` with score 0; so is everything without a model. Input columns named
+    lang_pred or score are replaced. Repeated rows are all kept; an empty table gives an empty result. Narrow: no shuffle.
     """
-    keep = keep if keep is not None else docs.columns
-    slim = docs.select(*keep, F.encode("text", "UTF-8").alias("_bytes"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_ok"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-2])
+    keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
+    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.encode("text", "UTF-8").alias("_bytes"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_ok"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema.fields[:-2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,9 +120,9 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
                 best[some] = np.clip((s[np.arange(len(some)), top] + 1) / 2, 0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(best, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return slim.mapInArrow(lean(run), f"{fields}, lang_pred string, score double")
+    return slim.mapInArrow(lean(run), f"{fields}lang_pred string, score double")
 
 
 def learnable() -> Column:
-    """Rows that may be learnt from: those whose crc32 of doc_id, as text, leaves no 2 when divided by 4."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+    """Rows that may be learnt from: those whose crc32 of doc_id, as text, leaves no 2 when divided by 4, or without doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, F.lit(True))
