@@ -69,49 +69,77 @@ def to_levels(df: DataFrame, scale: float = 256.0) -> DataFrame:
     return df.withColumn("vec", F.transform("vec", lambda x: F.floor(F.lit(scale) * x)))
 
 
-def no_random_access(q: np.ndarray, c: np.ndarray, k: int, own: np.ndarray, depths: tuple[float, ...] = (0.15, 0.4, 0.7)) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the rows of c that can be among its k best, with their exact scores.
-
-    Each component has one list of c's values in falling order; a query reads it from the top where its own component
-    is positive and from the bottom where it is negative. All queries of a block read to the same depths. What is
-    unread lies between the list's last value read and its end, which gives a lower and an upper bound of every
-    score. Reading stops when no more than a few rows of each query have an upper bound of at least the k-th lower
-    bound; those few get their final scores.
-    """
-    n, d = c.shape
-    order = np.sort(c, axis=0)
-    low, high = order[0].astype(float), order[-1].astype(float)
-    cf, split = c.astype(float), np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1).astype(float)
-    out: list = [None] * len(q)
-    todo = np.arange(len(q))
-    for depth in (*depths, 1.0):
-        at = min(n - 1, int(depth * n))
-        top, bottom = order[n - 1 - at].astype(float), order[at].astype(float)
-        read_top, read_bottom = cf >= top, cf <= bottom
-        least = np.concatenate([np.where(read_top, cf, low), np.where(read_bottom, cf, high)], axis=1)
-        most = np.concatenate([np.where(read_top, cf, top), np.where(read_bottom, cf, bottom)], axis=1)
-        lower, upper = split[todo] @ least.T, split[todo] @ most.T
-        mine = own[todo]
-        has = np.flatnonzero(mine >= 0)
-        lower[has, mine[has]] = upper[has, mine[has]] = -np.inf
-        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(todo), -np.inf)
-        can = upper >= (kth - 1e-9 * np.abs(kth))[:, None] if n > k else np.isfinite(upper)
-        few = can.sum(axis=1) <= max(4 * k, n // 50)
-        stop = np.ones(len(todo), bool) if depth == 1.0 else few
-        for i in np.flatnonzero(stop):
-            rows = np.flatnonzero(can[i] & np.isfinite(upper[i]))
-            out[todo[i]] = rows, (c[rows] * q[todo[i]]).sum(axis=1)
-        todo = todo[~stop]
-        if not len(todo):
-            break
-    return out
+class SortedLists:
+    """One list of each component's values over some rows, in falling order, with the rows they are of."""
+
+    def __init__(self, c: np.ndarray):
+        self.c = c
+        self.order = np.argsort(-c, axis=0, kind="stable").astype(np.int32)
+        self.value = np.take_along_axis(c, self.order, axis=0)
+
+    def best(self, q: np.ndarray, k: int, own: slice = slice(0, 0), first: float = 1 / 64) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows that can be among the k best of one query, their exact scores, and the number of cells read.
+
+        A list is read from its top where the query's component is positive and from its bottom where it is negative, each
+        to the same depth, and from there on to twice that depth. A cell that was read raises its row's lower bound; what
+        a list still holds lies between its last value read and its end, so a row that no list has shown yet stays below
+        the sum of the last values. Only when that sum is below the k-th lower bound can reading stop: then every other
+        row's upper bound is made from the cells read, and if few rows can still qualify, these get their final scores.
+        Cells that are not read take no part. `own` are rows that do not count.
+        """
+        n = len(self.c)
+        used = np.flatnonzero(q)
+        w = q[used].astype(float)
+        top, down = self.order[:, used], w < 0
+        value = self.value[:, used]
+        worst = np.where(down, value[0], value[-1]) * w
+        lower = np.full(n, worst.sum())
+        read, cells, depth = 0, 0, max(1, int(np.ceil(first * n)))
+        rows = np.arange(n)
+        while read < n and len(used):
+            a, b = read, min(n, depth)
+            at = np.where(down, n - 1 - np.arange(a, b)[:, None], np.arange(a, b)[:, None])
+            lists = np.arange(len(used))
+            lower += np.bincount(top[at, lists].ravel(), (value[at, lists] * w - worst).ravel(), n)
+            read, depth, cells = b, 2 * depth, cells + at.size
+            if read == n:
+                break
+            last = value[np.where(down, n - read, read - 1), lists] * w
+            mine = lower[own].copy()
+            lower[own] = -np.inf
+            kth = np.partition(lower, n - k)[n - k] if n > k else -np.inf
+            lower[own] = mine
+            if last.sum() >= kth:
+                continue
+            gap = last - worst
+            at = np.where(down, n - 1 - np.arange(read)[:, None], np.arange(read)[:, None])
+            seen = np.bincount(top[at, lists].ravel(), np.broadcast_to(gap, at.shape).ravel(), n)
+            can = np.flatnonzero(lower + gap.sum() - seen >= kth - 1e-9 * abs(kth))
+            if len(can) <= max(4 * k, n // 50):
+                rows = can
+                break
+        else:
+            rows = np.arange(n)
+        if read == n and len(rows) == n and n > k:  # all was read: lower bounds are scores
+            lower[own] = -np.inf
+            kth = np.partition(lower, n - k)[n - k]
+            rows = np.flatnonzero(lower >= kth - 1e-9 * abs(kth))
+        rows = rows[(rows < own.start) | (rows >= own.stop)]
+        return rows, (self.c[rows] * q).sum(axis=1), cells
+
+
+def no_random_access(q: np.ndarray, c: np.ndarray, k: int, own: list[slice]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the rows of c that can be among its k best, with their exact scores; own: rows that do not count."""
+    lists = SortedLists(c)
+    return [lists.best(x, k, o)[:2] for x, o in zip(q, own, strict=True)]
 
 
 def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, per_query_block: int = 512, per_block: int = 8192) -> DataFrame:
     """Exact k best by integer inner product: (query_id, rank, vec_id, score).
 
     df has vec_id and vec (whole numbers). Queries are the rows whose vec_id is divisible by `every`. Equal scores go
-    to the smaller vec_id. A query without other rows has no result; repeated rows each count as candidates.
+    to the smaller vec_id. A query without other rows has no result; repeated rows each count as candidates, but not for a query
+    of their own vec_id.
     """
     queries = df.filter(F.col("vec_id") % every == 0)
     n_rows, n_queries = df.select(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
@@ -119,12 +147,9 @@ def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, per_query_block: int
     def task(q: pa.Table, c: pa.Table) -> pa.Table:
         qm, cm = _matrix(q, "vec").astype(np.int64), _matrix(c, "vec").astype(np.int64)
         qi, ci = q.column("vec_id").to_numpy(), c.column("vec_id").to_numpy()
-        at = np.minimum(np.searchsorted(ci, qi), len(ci) - 1)
-        own = np.where(ci[at] == qi, at, -1)
+        own = [slice(a, z) for a, z in zip(np.searchsorted(ci, qi), np.searchsorted(ci, qi, side="right"), strict=True)]
         ids, found, scores = [], [], []
-        for i, (rows, s) in enumerate(no_random_access(qm, cm, min(k + 1, len(ci)), own)):
-            keep = ci[rows] != qi[i]
-            rows, s = rows[keep], s[keep]
+        for i, (rows, s) in enumerate(no_random_access(qm, cm, k, own)):
             best = np.lexsort((ci[rows], -s))[:k]
             ids.append(np.full(len(best), qi[i])), found.append(ci[rows[best]]), scores.append(s[best])
         return _result(ids, found, scores, pa.int64())
@@ -218,9 +243,14 @@ def fit_quantiser(x: np.ndarray, n_centres: int = 64, width: int = 2, threshold:
     return fit
 
 
+def sample_edge(wanted: float, rows: int) -> int:
+    """Which of 2^62 hash values are in a sample of about `wanted` of so many rows; never none."""
+    return min(1 << 62, max(1, round(wanted / rows * (1 << 62))))
+
+
 def train(df: DataFrame, n_rows: int, sample_rows: int = 8192) -> Quantiser | None:
     """Fit on at most sample_rows rows, chosen by a hash of the id; None for an empty table."""
-    chosen = df if n_rows <= sample_rows else df.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_000)) < int(1_100_000 * sample_rows / n_rows))
+    chosen = df if n_rows <= sample_rows else df.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 62)) < sample_edge(1.1 * sample_rows, n_rows))
     rows = chosen.orderBy("vec_id").limit(sample_rows).collect()
     if not rows:
         return None
