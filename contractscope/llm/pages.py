@@ -34,8 +34,27 @@ IMPLIED = {
     "td": ({"td", "th"}, {"table", "template"}), "th": ({"td", "th"}, {"table", "template"}), "tr": (_ROW, {"table", "template"}),
     **{x: (_ROWS, {"table", "template"}) for x in ("tbody", "thead", "tfoot", "caption", "colgroup")},
 }
-#: Words in class, id or role that name what is no article text.
-_NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|sidebar|side-bar|menu|navbar|nav|navigation|breadcrumbs?|footer|masthead|site-header|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|widget|toolbar|pagination|pager|skip-link|complementary|contentinfo)(?=$|[\s_-])", re.I)
+#: Words that name, in class, id, role and the like, what is no article text; and words of layout that may stand beside them.
+CHROME = set("ad ads advert adverts advertisement advertisements advertising adsense adslot adunit mpu dfp leaderboard skyscraper taboola outbrain sponsor sponsored sponsors sponsorship promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices popup modal newsletter subscribe sidebar menu menus navbar nav navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond replies share sharing social related widget widgets toolbar pagination pager skiplink complementary contentinfo header".split())
+BESIDE = set("a the site page main global top bottom left right upper lower inner outer primary secondary sub article articles post posts entry blog content story news list lists item items box bar bars area block section container wrapper wrap panel row col column grid group links link buttons button icons icon widget media tools count form thread sticky fixed mobile desktop small large big new more js is has t u l c v1 v2 v3 side skip to by us this text body slot unit 1 2 3 4 5 6 7 8 9".split())
+#: Attributes whose value names an element's part.
+NAMING = ("class", "id", "role", "data-component", "data-testid", "data-module", "data-widget", "data-region")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_LEGAL = re.compile(r"\s*(?:\u00a9|\(c\)|copyright\b|all rights reserved)", re.I)
+
+
+def names_chrome(value: str, header_too: bool = True) -> bool:
+    """Whether a name among several is a word of CHROME with nothing but layout words beside it.
+
+    So comment-list, siteFooter and ad_slot_2 are, but market-share, related-work and social-policy say what a text is about.
+    """
+    for name in value.split():
+        parts = [x.lower() for x in _PARTS.findall(name)]
+        chrome = [x for x in parts if x in CHROME and (header_too or x != "header")]
+        if chrome and all(x in CHROME or x in BESIDE for x in parts):
+            return True
+    return False
 
 
 @dataclass
@@ -58,6 +77,7 @@ class Reader(HTMLParser):
     def __post_init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = []
+        self.soft = 0  # depth of the outermost element whose name says header: its h1 is the page's title
         self.open: dict[str, int] = {}
         self.parts: list[str] = []
         self.tags = self.linked = self.roots = 0
@@ -88,6 +108,8 @@ class Reader(HTMLParser):
         for tag, _, _ in self.stack[i:]:
             self.open[tag] -= 1
         del self.stack[i:]
+        if len(self.stack) < self.soft:
+            self.soft = 0
 
     def _imply(self, tag: str) -> None:
         """End what a start tag ends without an end tag, by HTML's rules; elements that need an end tag stay open."""
@@ -111,12 +133,18 @@ class Reader(HTMLParser):
         if tag in VOID:
             return
         silent, root = self._state()
-        names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
+        if tag == "h1" and self.soft and silent:
+            silent = False
+        names = " ".join(v for k, v in attrs if k in NAMING and v)
         if tag in SILENT or tag in LAYOUT or (tag == "header" and not root):
             silent = True
-        elif names and tag not in {"html", "body"} and (root or tag not in MAIN) and (_NAMED.search(names) or (not root and re.search(r"\bheader\b", names, re.I))):
-            silent = True
-        if any(k == "hidden" for k, _ in attrs):
+        elif names and tag not in {"html", "body"} and (root or tag not in MAIN):
+            if names_chrome(names, False):
+                silent = True
+            elif not root and names_chrome(names):
+                self.soft = self.soft if silent else len(self.stack) + 1
+                silent = True
+        if any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and _HIDDEN.search(v)) for k, v in attrs):
             silent = True
         if tag in MAIN and not silent and not root:
             self.roots += 1
@@ -174,7 +202,8 @@ def select(lines: list[Line], sigma: float = 1.0, share: float = 0.2) -> list[st
     marked = even >= share * even.std()
     roots = {x.root for x, hit in zip(kept, marked, strict=True) if hit and x.root}
     if not roots:
-        return [x.text for x, hit in zip(kept, marked, strict=True) if hit and x.links <= len(x.text) / 2]
+        last = len(kept) - 3
+        return [x.text for i, (x, hit) in enumerate(zip(kept, marked, strict=True)) if hit and x.links <= len(x.text) / 2 and not (i >= last and len(x.text) < 200 and _LEGAL.match(x.text))]
     starts = np.flatnonzero(np.concatenate([[True], (marked[1:] != marked[:-1]) | np.array([x.root != y.root for x, y in zip(kept, kept[1:])], bool)]))
     out: list[str] = []
     for a, b in zip(starts, [*starts[1:], len(kept)], strict=True):
@@ -184,10 +213,18 @@ def select(lines: list[Line], sigma: float = 1.0, share: float = 0.2) -> list[st
     return out
 
 
+def unclosed_cut(html: str, most: int = 1000) -> str:
+    """The page up to the first of more than `most` comments that nothing closes, which would each be read to the end."""
+    closed = html.rfind("-->")
+    if html.count("<!--", closed + 3 if closed >= 0 else 0) <= most:
+        return html
+    return html[: html.index("<!--", closed + 3 if closed >= 0 else 0)]
+
+
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.2) -> str:
     """Main text of a page; empty for a null or empty page or one without any content region."""
     reader = Reader()
-    reader.feed(html or "")
+    reader.feed(unclosed_cut(html or ""))
     return "\n\n".join(select(reader.finish(), sigma, share))
 
 
