@@ -213,12 +213,27 @@ def select(lines: list[Line], sigma: float = 1.0, share: float = 0.2) -> list[st
     return out
 
 
-def unclosed_cut(html: str, most: int = 1000) -> str:
-    """The page up to the first of more than `most` comments that nothing closes, which would each be read to the end."""
-    closed = html.rfind("-->")
-    if html.count("<!--", closed + 3 if closed >= 0 else 0) <= most:
+_OPENS = re.compile(r"<!--|<(script|style)\b", re.I)
+_CLOSES = {x: re.compile(f"</{x}", re.I) for x in ("script", "style")}
+
+
+def unclosed_cut(html: str) -> str:
+    """The page up to a comment that nothing closes, which runs to its end; inside a script or style it is no comment."""
+    last = html.rfind("-->") + 1
+    if html.find("<!--", last) < 0:
         return html
-    return html[: html.index("<!--", closed + 3 if closed >= 0 else 0)]
+    at = 0
+    while (m := _OPENS.search(html, at)) is not None:
+        if m[1]:
+            closed = _CLOSES[m[1].lower()].search(html, m.end())
+            if closed is None:
+                return html
+            at = closed.end()
+        elif m.start() >= last:
+            return html[: m.start()]
+        else:
+            at = html.index("-->", m.start() + 2) + 3
+    return html
 
 
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.2) -> str:
