@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contractscope.functions.columns import moment, split_ids, tidy, tidy_outcome, uid, valid_id, year_in
-from contractscope.operators.rows import dedup_latest, first_wins, pick_one
+from contractscope.operators.rows import dedup_latest, pick_one
 
 #: Normalised outcomes of rulings. Won, for judgments and for orders.
 WON_JUDGMENT = ["accoglie", "accoglie il ricorso", "accoglie sui motivi aggiunti", "accoglie parzialmente", "accolto", "accolto parzialmente", "accolto parzialmente nei termini in motivazione", "dichiara nullita", "dichiara la nullita", "annulla", "annulla in parte"]
@@ -56,19 +56,35 @@ def council_verdicts(rulings: DataFrame, appeals: DataFrame) -> DataFrame:
     return last.select("cig", F.when(F.col("outcome").isin(UNDONE), "undone").when(F.col("outcome").isin(OPEN), "open").otherwise("confirmed").alias("verdict"))
 
 
+def case_states(judgments: DataFrame, orders: DataFrame, reversal: bool = True) -> DataFrame:
+    """(uid, won, lost, council): one grouping of all rulings by case.
+
+    Of each kind the latest first-instance ruling counts, of equal dates the first by outcome; an order counts as far as no
+    judgment says the same. council is the latest second-instance judgment as (no date, date reversed, uid, outcome), of
+    which the smallest is the latest.
+    """
+    age = [F.col("published").isNull(), F.coalesce(-F.unix_micros("published"), F.lit(0))]
+    every = judgments.unionByName(orders)
+    of = lambda kind: F.min(F.when((F.col("kind") == kind) & ~F.col("second"), F.struct(*age, "outcome")))["outcome"]
+    asked = F.col("second") & (F.col("kind") == "judgment")
+    if not reversal:
+        asked = asked & F.col("outcome").isin(WON_JUDGMENT)
+    council = F.min(F.when(asked, F.struct(age[0].alias("n"), age[1].alias("d"), F.col("uid").alias("uid"), F.col("outcome").alias("outcome"))))
+    t = every.groupBy("uid").agg(of("judgment").alias("j"), of("order").alias("o"), council.alias("council"))
+    among = lambda c, values: F.coalesce(F.col(c).isin(values), F.lit(False))
+    return t.select("uid", (among("j", WON_JUDGMENT) | among("o", WON_ORDER)).alias("won"), (among("j", LOST_JUDGMENT) | among("o", LOST_ORDER)).alias("lost"), "council")
+
+
 def decide(appeals: DataFrame, judgments: DataFrame, orders: DataFrame, reversal: bool = True) -> DataFrame:
     """(cig, label, reason): 1 for cigs with a won first instance that stands, 0 for those that only lost.
 
-    Without `reversal` the second instance is looked at among won rulings only, so it undoes nothing, as published.
+    Without `reversal` the second instance is looked at among won rulings only, so it undoes nothing, as published. All
+    rulings are grouped by case once, and the cases of each cig once.
     """
-    first_j, first_o = latest(judgments.filter("NOT second")), latest(orders.filter("NOT second"))
-    won = consolidate(first_j.filter(F.col("outcome").isin(WON_JUDGMENT)), first_o.filter(F.col("outcome").isin(WON_ORDER)))
-    lost = consolidate(first_j.filter(F.col("outcome").isin(LOST_JUDGMENT)), first_o.filter(F.col("outcome").isin(LOST_ORDER)))
-    council = judgments.filter("second") if reversal else judgments.filter("second").filter(F.col("outcome").isin(WON_JUDGMENT))
-    undone = council_verdicts(council, appeals).filter("verdict = 'undone'").select("cig")
-    guilty = appeals.join(won, "uid").select("cig").distinct().join(undone, "cig", "left_anti").withColumns({"label": F.lit(1), "reason": F.lit("ruling")})
-    free = appeals.join(lost, "uid").select("cig").distinct().join(appeals.join(won, "uid").select("cig").distinct(), "cig", "left_anti").withColumns({"label": F.lit(0), "reason": F.lit("ruling")})
-    return guilty.unionByName(free)
+    t = appeals.select("cig", "uid").join(case_states(judgments, orders, reversal), "uid").groupBy("cig").agg(F.bool_or("won").alias("won"), F.bool_or("lost").alias("lost"), F.min("council").alias("council"))
+    undone = F.coalesce(F.col("council.outcome").isin(UNDONE), F.lit(False))
+    label = F.when(F.col("won") & ~undone, 1).when(F.col("lost") & ~F.col("won"), 0)
+    return t.select("cig", label.alias("label"), F.lit("ruling").alias("reason")).filter("label IS NOT NULL")
 
 
 def closures(ends: DataFrame) -> DataFrame:
@@ -79,8 +95,11 @@ def closures(ends: DataFrame) -> DataFrame:
 
 
 def final_labels(rulings: DataFrame, ends: DataFrame) -> DataFrame:
-    """Union of both sources; a cig with any label 1 is never 0."""
-    return first_wins(rulings.filter("label = 1"), closures(ends), rulings.filter("label = 0"), on=["cig"])
+    """Union of both sources; a cig with any label 1 is never 0. rulings has one row a cig."""
+    closed = closures(ends).select("cig", F.lit(1).alias("_closed"))
+    t = rulings.select("cig", "label").join(closed, "cig", "full")
+    reason = F.when(F.col("label") == 1, "ruling").when(F.col("_closed") == 1, "closure").otherwise("ruling")
+    return t.select("cig", F.when((F.col("label") == 1) | (F.col("_closed") == 1), 1).otherwise(0).alias("label"), reason.alias("reason"))
 
 
 def match_report(appeals: DataFrame, rulings: DataFrame) -> DataFrame:
