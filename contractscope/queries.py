@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contractscope.functions import columns as C
-from contractscope.operators import forensics, metrics, panel, pu, rows
+from contractscope.operators import forensics, metrics, neural, panel, pu, rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -648,24 +649,49 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 FEATURES = ["size", "odd", "upper"]
 
 
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """df kept in memory while a model is fitted on it, and let go after that."""
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+@query()
+def mlp_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of a multilayer net under the non-negative PU risk."""
+    x = _features(spark, d)
+    return neural.net_scores(x, ["doc_id", "label"], FEATURES, neural.fit_net(x, "doc_id", FEATURES, prior=0.5))
+
+
+@query()
+def kernel_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Signed distances of a biased kernel machine on random features."""
+    x = _features(spark, d)
+    return neural.kernel_scores(x, ["doc_id", "label"], FEATURES, neural.fit_kernel(x, FEATURES))
+
+
 @query()
 def nnpu_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores of a linear model under the non-negative PU risk."""
-    x = _features(spark, d).persist()
-    w = pu.nnpu_logit(x, FEATURES, prior=0.5)
+    with held(_features(spark, d)) as x:
+        w = pu.nnpu_logit(x, FEATURES, prior=0.5)
     return x.select("doc_id", "label", pu.linear_score(FEATURES, w).alias("score"))
 
 
 @query()
 def bagged_scores(spark: SparkSession, d: str) -> DataFrame:
     """Mean score of models fitted on bags of unlabelled rows."""
-    x = _features(spark, d).persist()
-    return pu.bagged_score(x, FEATURES, pu.bagged_weights(x, "doc_id", FEATURES)).select("doc_id", "label", "score")
+    with held(_features(spark, d)) as x:
+        return pu.bagged_score(x, FEATURES, pu.bagged_weights(x, "doc_id", FEATURES)).select("doc_id", "label", "score")
 
 
 @query()
 def em_hard_rounds(spark: SparkSession, d: str) -> DataFrame:
-    return pu.em_hard(_features(spark, d).persist(), FEATURES, prior=0.5)[1]
+    with held(_features(spark, d)) as x:
+        return pu.em_hard(x, FEATURES, prior=0.5)[1]
 
 
 @query()
@@ -678,8 +704,8 @@ def supervised_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    x = _features(spark, d).persist()
-    w = pu.nnpu_logit(x, FEATURES, prior=0.5)
+    with held(_features(spark, d)) as x:
+        w = pu.nnpu_logit(x, FEATURES, prior=0.5)
     return pu.permutation_importance(x, "doc_id", FEATURES, pu.linear_score(FEATURES, w))
 
 

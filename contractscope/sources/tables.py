@@ -64,16 +64,16 @@ def decode(data: bytes, encodings: Sequence[str] = ENCODINGS) -> str:
     return data.decode(encodings[0], "replace")
 
 
-def recover_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def recover_csv(spark: SparkSession, path: str, sep: str | None = None, most_files: int = 10_000) -> DataFrame:
     """Broken CSV: fields beyond the header's are rejoined into the last column, short rows padded, empty lines dropped.
 
     Files are cut into lines by Spark, which keeps their bytes, so they split over tasks; a quoted field may not span
     lines. A file's encoding is decided over the whole file: UTF-8 if all its lines are, else cp1252 if that fits, else
     latin-1. The header is the first line that is not blank; its delimiter is found if not given. Column names are
-    normalised and _source_file is added. Lines equal to the header are dropped, so the files of a folder may each have it.
+    normalised and _source_file is added; files are told apart by their whole path. The list of files in other encodings is
+    sent to all tasks while it has at most most_files names, else joined. Lines equal to the header are dropped, so the files of a folder may each have it.
     """
-    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    lines = spark.read.text(path, lineSep="\n").select(F.col("value").cast("binary").alias("line"), file.alias("_source_file"))
+    lines = spark.read.text(path, lineSep="\n").select(F.col("value").cast("binary").alias("line"), F.input_file_name().alias("_path"))
     first = lines.filter(F.trim(F.regexp_replace(F.decode("line", "ISO-8859-1"), "[\\r\ufeff]", "")) != "").first()
     if first is None:
         return spark.createDataFrame([], "_source_file string")
@@ -84,10 +84,10 @@ def recover_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataF
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fits = [tuple(_fits(line or b"", e) for e in ENCODINGS[:2]) for line in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([f[i] for f in fits], pa.bool_()) for i in range(2))], names=["_source_file", "utf8", "cp1252"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([f[i] for f in fits], pa.bool_()) for i in range(2))], names=["_path", "utf8", "cp1252"])
 
     chosen = F.when(F.bool_and("utf8"), ENCODINGS[0]).when(F.bool_and("cp1252"), ENCODINGS[1]).otherwise(ENCODINGS[2])
-    encoding = lines.mapInArrow(fit, "_source_file string, utf8 boolean, cp1252 boolean").groupBy("_source_file").agg(chosen.alias("encoding"))
+    encoding = lines.mapInArrow(fit, "_path string, utf8 boolean, cp1252 boolean").groupBy("_path").agg(chosen.alias("encoding"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,11 +100,15 @@ def recover_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataF
                 if len(cells) > len(names):
                     cells = [*cells[: len(names) - 1], delimiter.join(cells[len(names) - 1 :])]
                 rows.append(cells + [""] * (len(names) - len(cells)))
-                files.append(file)
+                files.append(file.rsplit("/", 1)[-1])
             columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(files, pa.string())], names=[*names, "_source_file"])
 
-    told = lines.join(encoding, "_source_file").select("line", "_source_file", "encoding")
+    odd = encoding.filter(F.col("encoding") != ENCODINGS[0])
+    if odd.limit(most_files + 1).count() <= most_files:  # lines stay where they are; a file is UTF-8 unless it is listed
+        told = lines.join(F.broadcast(odd), "_path", "left").select("line", "_path", F.coalesce("encoding", F.lit(ENCODINGS[0])).alias("encoding"))
+    else:
+        told = lines.join(encoding, "_path").select("line", "_path", "encoding")
     return told.mapInArrow(parse, ", ".join(f"`{n}` string" for n in names) + ", _source_file string")
 
 
