@@ -691,7 +691,7 @@ def bagged_scores(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def em_hard_rounds(spark: SparkSession, d: str) -> DataFrame:
     with held(_features(spark, d)) as x:
-        return pu.em_hard(x, FEATURES, prior=0.5)[1]
+        return pu.em_hard(x, FEATURES)[1]
 
 
 @query()

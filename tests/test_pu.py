@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("shift, percentiles", [(0.0, [5, 10, 15, 20, 25]), (-0.35, [5, 7, 9, 11, 13]), (-0.6, [5])])
 def test_em_hard_rounds(spark, monkeypatch, shift, percentiles):
     """With fixed weights only the percentile and the stop rules act."""
-    monkeypatch.setattr(pu, "nnpu_logit", lambda *a, **k: np.array([1.0, 0.0]))
+    monkeypatch.setattr(pu, "labelled_logit", lambda *a, **k: np.array([1.0, 0.0]))
     u = np.linspace(-2, 2, 201)
     negative = np.linspace(-1, 0.0, 100) - (0.01 if not shift else 0) + (0.13 if shift == -0.35 else 0.5 if shift else 0)
     rows = [(float(x), None) for x in u] + [(float(x), 0) for x in negative] + [(1.0, 1)] * 9
@@ -93,3 +93,31 @@ def test_sensitivity_scales_scores(spark):
     got = {round(r.factor, 1): (r.assumed, r.estimate) for r in pu.prior_sensitivity(df, 0.5).collect()}
     assert sorted(got) == [0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4] and abs(got[0.6][0] - 0.3) < 1e-12
     assert abs(got[1.0][1] - pu.blanchard(df).first().prior) < 1e-12
+
+
+def test_em_hard_learns_from_labelled_and_reliable_rows_and_keeps_the_best_round(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(1, float(x)) for x in rng.normal(2, 1, 60)] + [(0, float(x)) for x in rng.normal(-1, 1, 60)] + [(None, float(x)) for x in rng.normal(0, 2, 400)]
+    df = spark.createDataFrame(rows, "label int, x double")
+    seen, fit = [], pu.labelled_logit
+
+    def watched(train, cols, **k):
+        t = train.toPandas()
+        seen.append((t["label"].notna().sum(), (t["label"] == 0).sum(), fit(train, cols, **k)))
+        return seen[-1][2] if len(seen) < 3 else -seen[-1][2]  # later rounds are made worse
+
+    monkeypatch.setattr(pu, "labelled_logit", watched)
+    w, log = pu.em_hard(df, ["x"])
+    rounds = log.orderBy("round").collect()
+    labelled = seen[0][0]
+    assert 90 <= labelled < 120 and all(n == labelled + r.reliable for (n, _, _), r in zip(seen[1:], rounds, strict=True))
+    assert max(r.pr_auc for r in rounds) == rounds[0].pr_auc and any(np.allclose(w, s[2]) for s in seen[:2])
+
+
+def test_labelled_logit_is_where_the_gradient_is_zero(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=300)
+    y = (x + rng.normal(size=300) > 0).astype(int)
+    w = pu.labelled_logit(spark.createDataFrame([(int(b), float(a)) for a, b in zip(x, y, strict=True)] + [(None, 99.0)], "label int, x double"), ["x"])
+    z = np.column_stack([x, np.ones(300)])
+    assert np.abs(z.T @ (1 / (1 + np.exp(-z @ w)) - y) / 300 + np.array([1e-3, 1e-9]) * w).max() < 1e-7
