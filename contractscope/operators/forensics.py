@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,19 +104,50 @@ def funnel(m1: DataFrame, m2: DataFrame, m3: DataFrame, key: str) -> DataFrame:
     return out.unionByName(only1).unionByName(only2)
 
 
-def gower_neighbours(df: DataFrame, key: str, numbers: Sequence[str], classes: Sequence[str], k: int = 15) -> DataFrame:
-    """(key, rank, other, distance): k nearest by Gower distance, for a stated small query set against all rows.
+def gower_neighbours(df: DataFrame, key: str, numbers: Sequence[str], classes: Sequence[str], k: int = 15, queries: DataFrame | None = None, per_block: int = 2000) -> DataFrame:
+    """(key, rank, other, distance): k nearest rows of df by Gower distance for every row of `queries` (of df, if not given).
 
-    df holds a bounded sample (a few thousand rows at most): every row is compared with every other.
+    The query set is taken in blocks of about per_block rows, each of which is sent to all tasks; a task compares them with
+    its own rows and gives k rows a query, so no row of df is moved. Distance: the mean over features of the difference over
+    the range, and of 0 or 1 for classes, where two nulls are equal; a null number counts as a whole range. Equal distances
+    go by key.
     """
     low = df.agg(*[F.struct(F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in numbers]).first() if numbers else {}
-    left, right = df.select(*[F.col(c).alias(f"x_{c}") for c in (key, *numbers, *classes)]), df.select(*[F.col(c).alias(f"y_{c}") for c in (key, *numbers, *classes)])
-    total = F.lit(0.0)
-    for c in numbers:
-        span = (low[c]["b"] - low[c]["a"]) or 1.0
-        total = total + F.abs(F.col(f"x_{c}") - F.col(f"y_{c}")) / F.lit(float(span))
-    for c in classes:
-        total = total + (~F.col(f"x_{c}").eqNullSafe(F.col(f"y_{c}"))).cast("double")
-    pairs = left.join(right, F.col(f"x_{key}") != F.col(f"y_{key}")).withColumn("distance", total / (len(numbers) + len(classes)))
-    w = Window.partitionBy(f"x_{key}").orderBy("distance", f"y_{key}")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col(f"x_{key}").alias(key), "rank", F.col(f"y_{key}").alias("other"), "distance")
+    span = np.array([float((low[c]["b"] - low[c]["a"]) if low[c]["b"] is not None else 0.0) or 1.0 for c in numbers])
+    names = [key, *numbers, *classes]
+    asked = (queries if queries is not None else df).select(*names)
+    n_blocks = max(1, -(-asked.count() // per_block))
+    kind = df.schema[key].dataType.simpleString()
+    slim = df.select(*names)
+
+    def values(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+        return pdf[list(numbers)].to_numpy(float) / span if numbers else np.zeros((len(pdf), 0)), [pdf[c].astype(object).where(pdf[c].notna(), None).to_numpy() for c in classes]
+
+    def nearest(block: list[tuple]):
+        q = pd.DataFrame(block, columns=names)
+        qx, qc = values(q)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: list[pd.DataFrame] = [pd.DataFrame({"other": [], "distance": []})] * len(q)
+            for pdf in batches:
+                x, c = values(pdf)
+                for i in range(len(q)):
+                    d = np.where(np.isnan(gap := np.abs(x - qx[i])), 1.0, gap).sum(axis=1)
+                    for a, b in zip(c, qc, strict=True):
+                        d = d + np.array([u != b[i] for u in a], float)
+                    some = pd.DataFrame({"other": pdf[key], "distance": d / (len(numbers) + len(classes))})[(pdf[key] != q[key].iloc[i]).to_numpy()]
+                    best[i] = pd.concat([best[i], some]).sort_values(["distance", "other"]).head(k) if len(best[i]) else some.sort_values(["distance", "other"]).head(k)
+            for i, found in enumerate(best):
+                if len(found):
+                    yield pd.DataFrame({key: q[key].iloc[i], "other": found["other"], "distance": found["distance"]})
+
+        return run
+
+    out = None
+    for b in range(n_blocks):
+        block = [tuple(r) for r in (asked.filter(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == b) if n_blocks > 1 else asked).collect()]
+        found = slim.mapInPandas(nearest(block), f"`{key}` {kind}, other {kind}, distance double")
+        w = Window.partitionBy(key).orderBy("distance", "other")
+        found = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(key, "rank", "other", "distance")
+        out = found if out is None else out.unionByName(found)
+    return out

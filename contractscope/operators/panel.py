@@ -100,9 +100,20 @@ def shuffle_key(seed: int, *columns: str) -> Column:
 
 
 def stratified_folds(df: DataFrame, strata: Sequence[str], key: str, n: int = 4, seed: int = 2025, name: str = "fold") -> DataFrame:
-    """Round-robin folds in pseudo-random order within each stratum."""
-    w = Window.partitionBy(*strata).orderBy(shuffle_key(seed, key), key)
-    return df.withColumn(name, ((F.row_number().over(w) - 1) % n).cast("int"))
+    """Round-robin folds in pseudo-random order within each stratum.
+
+    The order is cut by its first characters into 4096 stretches, so that a stratum of any size is numbered by many tasks;
+    a stretch's first number comes from the counts of those before it, one row a stratum and stretch.
+    """
+    t = df.withColumn("_o", shuffle_key(seed, key)).withColumn("_b", F.substring("_o", 1, 3))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = t.groupBy(*strata, "_b").agg(F.count("*").alias("_c")).select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)], F.col("_b").alias("_x"), before.alias("_before"))
+    numbered = t.withColumn("_r", F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_o", key)))
+    same = F.col("_b") == F.col("_x")
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    made = numbered.join(counts, same).withColumn(name, ((F.col("_before") + F.col("_r") - 1) % n).cast("int"))
+    return made.drop("_o", "_b", "_r", "_x", "_before", *[f"_s{i}" for i in range(len(strata))])
 
 
 def nested_folds(levels: Sequence[DataFrame], strata: Sequence[str], key: str, n: int = 4, seed: int = 2025) -> DataFrame:
