@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contractscope.functions import columns as C
-from contractscope.operators import forensics, metrics, neural, panel, pu, rows
+from contractscope.operators import forensics, metrics, neural, panel, pu, rows, scoring, tabular
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -569,6 +569,79 @@ def gower_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return forensics.gower_neighbours(t(spark, d, "supplier"), "s_suppkey", ["s_acctbal"], ["s_nationkey"], 5).withColumn("distance", r6("distance"))
 
 
+# --- small table operators ---
+
+
+@query("SELECT user_id, coalesce(string_agg(DISTINCT event_type, ', ' ORDER BY event_type), '') AS kinds FROM events GROUP BY user_id")
+def joined_set(spark: SparkSession, d: str) -> DataFrame:
+    return tabular.joined_set(t(spark, d, "events"), ["user_id"], "event_type", "kinds")
+
+
+@query("SELECT l_orderkey, bool_or(l_returnflag = 'R') AS returned, bool_or(l_quantity > 45 AND l_discount > 0.05) AS bulk FROM lineitem GROUP BY 1")
+def any_of(spark: SparkSession, d: str) -> DataFrame:
+    return tabular.any_of(t(spark, d, "lineitem"), ["l_orderkey"], returned=F.col("l_returnflag") == "R", bulk=(F.col("l_quantity") > 45) & (F.col("l_discount") > 0.05))
+
+
+@query("""
+    WITH x AS (SELECT quality AS label, lang AS value, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY ALL)
+    SELECT label, value, n, round(n / sum(n) OVER (PARTITION BY label), 6) AS share FROM x
+""")
+def crosstab_by_label(spark: SparkSession, d: str) -> DataFrame:
+    x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+    return tabular.crosstab(x, "quality", "lang").withColumn("share", r6("share"))
+
+
+@query("SELECT l_suppkey, round(sum(l_extendedprice + l_tax) / sum(l_quantity), 6) AS unit_price FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 0")
+def group_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return tabular.group_ratio(t(spark, d, "lineitem"), ["l_suppkey"], ["l_extendedprice", "l_tax"], "l_quantity", "unit_price").withColumn("unit_price", r6("unit_price"))
+
+
+@query("SELECT CASE WHEN o_totalprice < 40000 THEN '<40k' WHEN o_totalprice < 150000 THEN '40k-150k' WHEN o_totalprice < 1000000 THEN '150k-1M' ELSE '>=1M' END AS band, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1")
+def amount_bands(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "orders").select(tabular.amount_band(F.col("o_totalprice")).alias("band")).filter("band IS NOT NULL").groupBy("band").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity BETWEEN 1 AND 25 AND l_discount > 0.01 AND l_discount < 0.09")
+def range_filters(spark: SparkSession, d: str) -> DataFrame:
+    return tabular.within(t(spark, d, "lineitem"), closed={"l_quantity": (1, 25)}, opened={"l_discount": (0.01, 0.09)}).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+
+
+@query("SELECT o_orderkey, o_orderstatus, coalesce(n, 0) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey")
+def features_onto_base(spark: SparkSession, d: str) -> DataFrame:
+    n = t(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return tabular.onto(n, t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", ["n"])
+
+
+@query(f"""
+    WITH x AS ({SCORED}), m AS (SELECT median(score) AS m FROM x),
+    c AS (SELECT 'highest' AS "case", doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM x UNION ALL SELECT 'hard_positive', doc_id, score, row_number() OVER (ORDER BY score, doc_id) FROM x WHERE label = 1
+          UNION ALL SELECT 'extreme_negative', doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) FROM x WHERE label = 0 UNION ALL SELECT 'median', doc_id, score, row_number() OVER (ORDER BY abs(score - m), doc_id) FROM x, m)
+    SELECT "case", doc_id, score FROM c WHERE k = 1
+""")
+def telling_cases(spark: SparkSession, d: str) -> DataFrame:
+    return tabular.telling_cases(scored(spark, d), "doc_id")
+
+
+@query(f"""
+    WITH x AS (SELECT doc_id, label, CAST(doc_id % 4 AS INTEGER) AS fold FROM ({SCORED})), r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY md5('42|' || doc_id), doc_id) AS k FROM x WHERE label IS NULL)
+    SELECT doc_id, label, fold FROM x WHERE label IS NOT NULL UNION ALL SELECT doc_id, label, fold FROM r WHERE k <= 20
+""")
+def sample_per_fold(spark: SparkSession, d: str) -> DataFrame:
+    return tabular.sample_per_fold(scored(spark, d).select("doc_id", "label", (F.col("doc_id") % 4).cast("int").alias("fold")), "doc_id", 20)
+
+
+@query("""
+    WITH c AS (SELECT DISTINCT o_orderpriority AS v FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IS NOT NULL), k AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM c)
+    SELECT o_orderkey, coalesce(code, -1) AS o_orderpriority FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'new' ELSE o_orderpriority END AS p FROM orders) LEFT JOIN k ON p = v
+""")
+def learnt_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes learnt on some orders, applied to all; null and new levels are -1."""
+    o = t(spark, d, "orders")
+    levels = scoring.level_codes(o.filter("o_orderstatus = 'F'"), ["o_orderpriority"])
+    p = F.when(F.col("o_orderkey") % 5 == 0, None).when(F.col("o_orderkey") % 7 == 0, "new").otherwise(F.col("o_orderpriority"))
+    return tabular.codes_or_minus_one(o.select("o_orderkey", p.alias("o_orderpriority")), ["o_orderpriority"], levels)
+
+
 # --- positive-unlabelled learning ---
 
 
