@@ -252,38 +252,63 @@ def blind_trie(strings: list[bytes]) -> tuple[list[int], list[int]]:
     return order, prefix
 
 
+def multikey_quicksort(words: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by their first `shallow` symbols, and where in it a row differs from the one before it.
+
+    Every part of more than one row is split three ways, all parts side by side: its rows' symbols are below, at or above
+    the median of three of them. The rows at the pivot go on to their next symbol, the others stay at theirs; parts that
+    have come to the depth, or to one row, rest.
+    """
+    n = len(words)
+    order, depth, new = np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)
+    new[:1] = True
+    open_ = np.arange(n)
+    while True:
+        begin = np.flatnonzero(new[open_])
+        size = np.diff(np.append(begin, len(open_)))
+        open_ = open_[np.repeat(size > 1, size) & (depth[open_] < shallow)]
+        if not len(open_):
+            return order, new
+        begin = np.flatnonzero(new[open_])
+        size = np.diff(np.append(begin, len(open_)))
+        rows = order[open_]
+        symbol = words[rows, depth[open_]]
+        a, b, c = symbol[begin], symbol[begin + size // 2], symbol[begin + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        side = 1 + (symbol > pivot).astype(np.int8) - (symbol < pivot)
+        by = np.argsort(3 * np.repeat(np.arange(len(begin)), size) + side, kind="stable")
+        order[open_], side = rows[by], side[by]
+        depth[open_] += side == 1
+        new[open_[1:][side[1:] != side[:-1]]] = True
+
+
 def sort_suffixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of the rows of a byte matrix, and each one's common prefix with the row before it (0 for the first)."""
+    """Sorted order of the rows of a byte matrix, and each one's common prefix with the row before it (0 for the first).
+
+    Deep-shallow: multikey quicksort over SHALLOW symbols of eight bytes, then a blind trie for each group of rows that
+    these don't tell apart.
+    """
     n, m = rows.shape
     width = -(-m // 8) * 8
     wide = np.zeros((n, width), np.uint8)
     wide[:, :m] = rows
     words = wide.view(">u8").astype(np.uint64)
-    order, group, prefix = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for level in range(min(SHALLOW, width // 8)):
-        # every group's rows are split by their next symbol; groups stay in place
-        open_ = np.flatnonzero(np.bincount(group, minlength=n)[group] > 1)
-        if not len(open_):
-            break
-        symbol = words[order[open_], level]
-        by = np.lexsort((symbol, group[open_]))
-        order[open_], symbol = order[open_][by], symbol[by]
-        inside = np.concatenate([[False], group[open_][1:] == group[open_][:-1]])
-        differ = np.concatenate([[np.uint64(0)], symbol[1:] ^ symbol[:-1]])
-        bits = np.zeros(len(differ), np.int64)
-        cutting = inside & (differ != 0)
+    levels = min(SHALLOW, width // 8)
+    order, new = multikey_quicksort(words, levels)
+    prefix = np.zeros(n, np.int64)
+    if n > 1:
+        differ = words[order[1:], :levels] ^ words[order[:-1], :levels]
+        level = np.argmax(differ != 0, axis=1)
+        at = differ[np.arange(n - 1), level]
+        bits = np.zeros(n - 1, np.int64)
+        same = at == 0
         for shift in (32, 16, 8):
-            big = differ >= np.uint64(1 << shift)
+            big = at >= np.uint64(1 << shift)
             bits += np.where(big, shift, 0)
-            differ = np.where(big, differ >> np.uint64(shift), differ)
-        prefix[open_[cutting]] = level * 8 + 7 - bits[cutting] // 8
-        prefix[open_[inside & ~cutting]] = min(m, level * 8 + 8)
-        starts = np.zeros(n, np.int64)
-        starts[np.concatenate([[True], group[1:] != group[:-1]])] = 1
-        starts[open_[cutting]] = 1
-        group = np.cumsum(starts) - 1
+            at = np.where(big, at >> np.uint64(shift), at)
+        prefix[1:] = np.where(same, 8 * levels, level * 8 + 7 - bits // 8)
     if m > 8 * SHALLOW:
-        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, n))
         tails = np.ascontiguousarray(rows[:, 8 * SHALLOW :])
         for b, k in zip(begin[size > 1].tolist(), size[size > 1].tolist(), strict=True):
