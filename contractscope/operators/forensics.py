@@ -95,6 +95,15 @@ def missing_rates(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
     return t.unpivot(list(keys), list(columns), "column", "rate")
 
 
+def missingness_signal(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
+    """(feature, pct_p, pct_n, delta): percent of nulls among positives and among negatives, and their difference in points,
+    for features that either lacks at times; one aggregation."""
+    of = lambda c, v: F.avg(F.when(F.col(label) == v, F.col(c).isNull().cast("double") * 100))
+    made = df.agg(*[x for c in columns for x in (of(c, 1).alias(f"p_{c}"), of(c, 0).alias(f"n_{c}"))])
+    rows = made.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"p_{c}").alias("pct_p"), F.col(f"n_{c}").alias("pct_n")) for c in columns])))
+    return rows.withColumn("delta", F.col("pct_p") - F.col("pct_n")).filter("delta IS NOT NULL AND (pct_p > 0 OR pct_n > 0)")
+
+
 def funnel(m1: DataFrame, m2: DataFrame, m3: DataFrame, key: str) -> DataFrame:
     """Rows of each nested set and of those that leave after it, by anti joins."""
     out = m1.agg(F.lit("M1").alias("phase"), F.count("*").alias("n"))

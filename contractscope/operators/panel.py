@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,11 +28,16 @@ def backward_fill(df: DataFrame, keys: Sequence[str], order: str, columns: Seque
     return out.select(*[F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def proxy_fill(df: DataFrame, parent: str, key: str, order: str, columns: Sequence[str]) -> DataFrame:
-    """Missing values from the same year of the entity that `parent` names."""
-    other = df.select(F.col(key).alias(parent), order, *[F.col(c).alias(f"_{c}") for c in columns])
-    out = df.join(other, [parent, order], "left")
-    return out.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+def parent_proxy(df: DataFrame, parents: Mapping, key: str, order: str, columns: Sequence[str], last: int) -> DataFrame:
+    """Up to `last`, an entity that another one was split from takes its known values, as far as they are known.
+
+    parents names each such entity's parent; of these few entities only the parents' early rows are joined.
+    """
+    early = df.filter(F.col(key).isin(list(set(parents.values()))) & (F.col(order) <= last))
+    other = early.select(F.col(key).alias("_parent"), F.col(order).alias("_order"), *[F.col(c).alias(f"_{c}") for c in columns])
+    named = F.create_map(*[F.lit(x) for kv in parents.items() for x in kv])
+    out = df.withColumn("_of", F.when(F.col(order) <= last, F.try_element_at(named, F.col(key)))).join(other, (F.col("_of") == F.col("_parent")) & (F.col(order) == F.col("_order")), "left")
+    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop("_of", "_parent", "_order", *[f"_{c}" for c in columns])
 
 
 def average_rank(score: str, *keys: str) -> Column:

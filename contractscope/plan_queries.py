@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractscope.operators import boost, intervals, panel, sanity, scoring, shap, tuning
+from contractscope.operators import boost, intervals, panel, pu, sanity, scoring, shap, tuning
 from contractscope.plans import datasets, features, labels
 from contractscope.queries import FEATURES, _features, query, r6, scored, t
 
@@ -526,3 +526,12 @@ def score_intervals(spark: SparkSession, d: str) -> DataFrame:
     x = _folded(spark, d)
     rate = x.agg(F.avg(F.col("label").cast("double"))).first()[0]
     return intervals.intervals(intervals.calibrated_replicates(x, "doc_id"), "doc_id", F.col("probs"), 0.02, rate)
+
+
+@query()
+def pu_scorer_priors(spark: SparkSession, d: str) -> DataFrame:
+    """Class priors from out-of-fold scores of positives against the rest: by positives' mean score, and by quantiles."""
+    scores = tuning.pu_scores(_features(spark, d), "doc_id", FEATURES)
+    scores = scores.checkpoint() if spark.sparkContext.getCheckpointDir() else scores
+    pu_ = scores.withColumn("label", F.when(F.col("label") == 1, 1))
+    return pu.elkan_noto(pu_).select(F.lit("elkan_noto").alias("method"), "prior").unionByName(pu.blanchard(pu_).select(F.lit("quantile").alias("method"), "prior"))

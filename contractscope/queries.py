@@ -215,6 +215,29 @@ def panel_backward_fill(spark: SparkSession, d: str) -> DataFrame:
     return panel.backward_fill(_panel(spark, d), ["user_id"], "week", ["v"], 3).select("user_id", "week", r6("v").alias("v"))
 
 
+@query(_PANEL + """, m AS (SELECT user_id, week, v, CASE WHEN week <= 5 THEN CASE user_id WHEN 2 THEN 1 WHEN 4 THEN 3 WHEN 6 THEN 5 END END AS parent FROM j)
+    SELECT m.user_id, CAST(m.week AS INTEGER) AS week, round(coalesce(o.v, m.v), 6) AS v FROM m LEFT JOIN j o ON m.parent = o.user_id AND m.week = o.week""")
+def panel_parent_proxy(spark: SparkSession, d: str) -> DataFrame:
+    """Users 2, 4 and 6 take the early values of those that they were split from."""
+    return panel.parent_proxy(_panel(spark, d), {2: 1, 4: 3, 6: 5}, "user_id", "week", ["v"], 5).select("user_id", "week", r6("v").alias("v"))
+
+
+@query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (ORDER BY md5('2025|' || doc_id), doc_id) AS k FROM documents) WHERE k <= 50")
+def sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty documents in pseudo-random, reproducible order: a sampling operator."""
+    return panel.sample_rows(t(spark, d, "documents"), 50, "doc_id").select("doc_id", "lang")
+
+
+@query("""
+    WITH x AS (SELECT quality, CASE WHEN n_chars > 400 THEN n_chars END AS a, CASE WHEN lang <> 'en' THEN lang END AS b FROM documents JOIN labels USING (doc_id)),
+    s AS (SELECT 100.0 * avg(CASE WHEN a IS NULL THEN 1 ELSE 0 END) FILTER (WHERE quality = 1) AS pa, 100.0 * avg(CASE WHEN a IS NULL THEN 1 ELSE 0 END) FILTER (WHERE quality = 0) AS na, 100.0 * avg(CASE WHEN b IS NULL THEN 1 ELSE 0 END) FILTER (WHERE quality = 1) AS pb, 100.0 * avg(CASE WHEN b IS NULL THEN 1 ELSE 0 END) FILTER (WHERE quality = 0) AS nb FROM x)
+    SELECT 'a' AS feature, round(pa, 6) AS pct_p, round(na, 6) AS pct_n, round(pa - na, 6) AS delta FROM s UNION ALL SELECT 'b', round(pb, 6), round(nb, 6), round(pb - nb, 6) FROM s
+""")
+def missingness_signal(spark: SparkSession, d: str) -> DataFrame:
+    x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select(F.col("quality").alias("label"), F.when(F.col("n_chars") > 400, F.col("n_chars")).alias("a"), F.when(F.col("lang") != "en", F.col("lang")).alias("b"), F.lit(1).alias("c"))
+    return forensics.missingness_signal(x, ["a", "b", "c"]).withColumns({c: r6(c) for c in ("pct_p", "pct_n", "delta")})
+
+
 @query("SELECT p_partkey, round((rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0) / count(*) OVER () * 100, 6) AS percentile_rank FROM part")
 def percentile_rank(spark: SparkSession, d: str) -> DataFrame:
     return panel.percentile_rank(t(spark, d, "part"), "p_size").select("p_partkey", r6("percentile_rank").alias("percentile_rank"))
