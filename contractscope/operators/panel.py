@@ -40,13 +40,6 @@ def parent_proxy(df: DataFrame, parents: Mapping, key: str, order: str, columns:
     return out.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop("_of", "_parent", "_order", *[f"_{c}" for c in columns])
 
 
-def average_rank(score: str, *keys: str) -> Column:
-    """Rank from 1 on, ties getting the mean of their ranks."""
-    w = Window.partitionBy(*keys).orderBy(score)
-    ties = F.count("*").over(Window.partitionBy(*keys, score))
-    return F.rank().over(w) + (ties - 1) / F.lit(2.0)
-
-
 def running_sum(counts: DataFrame, order: str, value: str, name: str, down: bool = False, parts: int = 64) -> DataFrame:
     """Add the sum of value over all rows up to each one in the order of a distinct number, without sorting in one task.
 

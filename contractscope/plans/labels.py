@@ -44,11 +44,6 @@ def latest(rulings: DataFrame) -> DataFrame:
     return dedup_latest(rulings, ["uid"], "published", F.col("outcome"))
 
 
-def consolidate(judgments: DataFrame, orders: DataFrame) -> DataFrame:
-    """Judgments, and orders on cases without a judgment."""
-    return judgments.unionByName(orders.join(judgments.select("uid").distinct(), "uid", "left_anti"))
-
-
 def council_verdicts(rulings: DataFrame, appeals: DataFrame) -> DataFrame:
     """(cig, verdict): of each cig's latest second-instance ruling: undone, open or confirmed."""
     t = appeals.join(rulings.filter("second"), "uid")
