@@ -696,22 +696,31 @@ def partial_dependence(spark: SparkSession, d: str) -> DataFrame:
     return pu.partial_dependence(x, "p_size", C.sigmoid(F.col("p_size") / 50.0 - F.col("p_retailprice") / 2000.0), 5).withColumn("mean_score", r6("mean_score"))
 
 
-@query()
-def blanchard_prior(spark: SparkSession, d: str) -> DataFrame:
-    return pu.blanchard(scored(spark, d))
+#: Least ratio of the shares of unlabelled and of positive rows at or above 200 thresholds, for each group f of x (f, label, score).
+_LEAST_RATIO = """q AS (SELECT f, quantile_cont(score, 0.05) AS a, quantile_cont(score, 0.95) AS b FROM x GROUP BY f), g AS (SELECT f, i, a + (b - a) * i / 199.0 AS e FROM q, (SELECT unnest(range(0, 200)) AS i)),
+    r AS (SELECT x.f, i, avg(CASE WHEN score >= e - 1e-9 THEN 1.0 ELSE 0 END) FILTER (WHERE label IS NULL) AS u, avg(CASE WHEN score >= e - 1e-9 THEN 1.0 ELSE 0 END) FILTER (WHERE label = 1) AS p FROM x JOIN g ON x.f = g.f GROUP BY ALL)"""
 
 
-@query()
-def kernel_mean_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Kernel-mean estimates of the share of good documents among unlabelled ones, on ten independent samples."""
-    return pu.multi_sample_prior(_features(spark, d), "doc_id", FEATURES)
+@query(f"WITH x AS (SELECT 1 AS f, label, score FROM ({SCORED})), {_LEAST_RATIO} SELECT round(least(1.0, min(u / p)), 6) AS prior FROM r WHERE p > 0")
+def blanchard_prior(spark: SparkSession, d: str) -> DataFrame:
+    return pu.blanchard(scored(spark, d)).select(r6("prior").alias("prior"))
 
 
-@query()
+@query(f"""
+    WITH s AS ({SCORED}), k AS (SELECT least(1.0, avg(score) FILTER (WHERE label IS NULL) / avg(score) FILTER (WHERE label = 1)) AS p0 FROM s), a AS (SELECT f, p0, least(greatest(p0 * f, 1e-6), 0.9999) AS assumed FROM k, (SELECT CAST(unnest([0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4]) AS DOUBLE) AS f)),
+    x AS (SELECT f, label, least(greatest(score * (assumed / greatest(p0, 1e-6)), 0.0), 1.0) AS score FROM s, a), {_LEAST_RATIO}
+    SELECT a.f AS factor, round(assumed, 6) AS assumed, round(least(1.0, (SELECT min(u / p) FROM r WHERE p > 0 AND r.f = a.f)), 6) AS estimate FROM a
+""")
 def prior_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """The quantile estimate of the prior under nine assumed priors."""
     x = scored(spark, d)
-    return pu.prior_sensitivity(x, pu.elkan_noto(x).first()["prior"])
+    return pu.prior_sensitivity(x, pu.elkan_noto(x).first()["prior"]).select("factor", r6("assumed").alias("assumed"), r6("estimate").alias("estimate"))
+
+
+@query()
+def kernel_mean_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Kernel-mean estimates of the share of good documents among unlabelled ones, on ten independent samples."""
+    return pu.multi_sample_prior(_features(spark, d), "doc_id", FEATURES)
 
 
 _RANKS = "100 * (rank() OVER (ORDER BY {s}) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0) / count(*) OVER () AS {s}"

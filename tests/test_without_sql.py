@@ -24,14 +24,6 @@ def test_platt_fit(spark):
     assert np.allclose([r.se_a, r.se_b], np.sqrt(np.diag(inverse)), rtol=1e-6)
 
 
-def test_blanchard_prior(spark):
-    t = table(spark)
-    s, p, u = t["score"].to_numpy(float), (t["label"] == 1).to_numpy(), t["label"].isna().to_numpy()
-    edges = np.linspace(np.percentile(s, 5), np.percentile(s, 95), 200)
-    want = min([1.0] + [(s[u] >= e - 1e-12).mean() / (s[p] >= e - 1e-12).mean() for e in edges if (s[p] >= e - 1e-12).any()])
-    assert abs(own.QUERIES["blanchard_prior"](spark, SF).first()["prior"] - want) < 1e-9
-
-
 def test_bootstrap_mean(spark):
     weights = own.scored(spark, SF).select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("b")).select("doc_id", "b", metrics.poisson_weight(F.col("doc_id"), F.col("b")).alias("w")).toPandas()
     both = weights.merge(table(spark)[["doc_id", "score", "lang"]], on="doc_id")
