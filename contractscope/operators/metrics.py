@@ -78,7 +78,7 @@ def rank_agreement(df: DataFrame, scores: Sequence[str], far: float = 20.0) -> D
         ranked = percentile_rank(ranked, s, f"_rank_{s}")
     pairs = [(a, b) for i, a in enumerate(scores) for b in scores[i + 1 :]]
     gap = lambda a, b: F.abs(F.col(f"_rank_{a}") - F.col(f"_rank_{b}"))
-    made = ranked.agg(F.count("*").alias("n"), *[x for i, (a, b) in enumerate(pairs) for x in (F.corr(f"_rank_{a}", f"_rank_{b}").alias(f"r{i}"), F.avg(gap(a, b)).alias(f"m{i}"), F.avg((gap(a, b) > far).cast("double") * 100).alias(f"f{i}"))])
+    made = ranked.agg(F.count("*").alias("n"), *[x for i, (a, b) in enumerate(pairs) for x in (F.corr(f"_rank_{a}", f"_rank_{b}").alias(f"r{i}"), F.avg(gap(a, b)).alias(f"m{i}"), F.avg((gap(a, b) > far + 1e-9).cast("double") * 100).alias(f"f{i}"))])
     rows = [F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col("n"), F.nanvl(f"r{i}", F.lit(None)).alias("spearman"), F.col(f"m{i}").alias("mae"), F.col(f"f{i}").alias("share_far")) for i, (a, b) in enumerate(pairs)]
     return made.select(F.inline(F.array(*rows)))
 

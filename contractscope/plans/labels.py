@@ -47,7 +47,7 @@ def latest(rulings: DataFrame) -> DataFrame:
 def council_verdicts(rulings: DataFrame, appeals: DataFrame) -> DataFrame:
     """(cig, verdict): of each cig's latest second-instance ruling: undone, open or confirmed."""
     t = appeals.join(rulings.filter("second"), "uid")
-    last = pick_one(t, ["cig"], F.col("published").desc_nulls_last(), F.col("uid"))
+    last = pick_one(t, ["cig"], F.col("published").desc_nulls_last(), F.col("uid"), F.col("outcome"))
     return last.select("cig", F.when(F.col("outcome").isin(UNDONE), "undone").when(F.col("outcome").isin(OPEN), "open").otherwise("confirmed").alias("verdict"))
 
 

@@ -728,9 +728,9 @@ _RANKS = "100 * (rank() OVER (ORDER BY {s}) + (count(*) OVER (PARTITION BY {s})
 
 @query(f"""
     WITH x AS (SELECT (n_chars % 200) / 200.0 AS a, (n_chars % 97) / 97.0 AS b, n_chars * 1.0 AS c FROM documents), r AS (SELECT {_RANKS.format(s='a')}, {_RANKS.format(s='b')}, {_RANKS.format(s='c')} FROM x)
-    SELECT 'a' AS model_a, 'b' AS model_b, count(*) AS n, round(corr(a, b), 6) AS spearman, round(avg(abs(a - b)), 6) AS mae, round(avg(CASE WHEN abs(a - b) > 20 THEN 100.0 ELSE 0 END), 6) AS share_far FROM r
-    UNION ALL SELECT 'a', 'c', count(*), round(corr(a, c), 6), round(avg(abs(a - c)), 6), round(avg(CASE WHEN abs(a - c) > 20 THEN 100.0 ELSE 0 END), 6) FROM r
-    UNION ALL SELECT 'b', 'c', count(*), round(corr(b, c), 6), round(avg(abs(b - c)), 6), round(avg(CASE WHEN abs(b - c) > 20 THEN 100.0 ELSE 0 END), 6) FROM r
+    SELECT 'a' AS model_a, 'b' AS model_b, count(*) AS n, round(corr(a, b), 6) AS spearman, round(avg(abs(a - b)), 6) AS mae, round(avg(CASE WHEN abs(a - b) > 20 + 1e-9 THEN 100.0 ELSE 0 END), 6) AS share_far FROM r
+    UNION ALL SELECT 'a', 'c', count(*), round(corr(a, c), 6), round(avg(abs(a - c)), 6), round(avg(CASE WHEN abs(a - c) > 20 + 1e-9 THEN 100.0 ELSE 0 END), 6) FROM r
+    UNION ALL SELECT 'b', 'c', count(*), round(corr(b, c), 6), round(avg(abs(b - c)), 6), round(avg(CASE WHEN abs(b - c) > 20 + 1e-9 THEN 100.0 ELSE 0 END), 6) FROM r
 """)
 def rank_agreement(spark: SparkSession, d: str) -> DataFrame:
     """How far three scores agree on the ranks of documents."""
