@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,8 +99,19 @@ def prefix_class(c: Column, table: Mapping[str, str], default: str, width: int =
 
 
 def moment(c: Column, formats: Sequence[str] = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"), low: str = "1990-01-01", high: str = "2030-12-31") -> Column:
-    """Timestamp by the first format that fits; null for garbage and for what lies outside of the range."""
-    t = F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats])
+    """Timestamp by the first format that fits; null for garbage and for what lies outside of the range.
+
+    A text that is shorter than a format or lacks one of its signs can't fit it; each such try would cost an exception.
+    """
+    v = F.trim(c)
+
+    def fits(f: str) -> Column:
+        if {x for x in f if x.isalpha()} - set("yMdHms") or "MMM" in f or {*f} & {*"'[]{}#"}:
+            return F.lit(True)  # names of months, optional and quoted parts can be of any length
+        signs = [F.contains(v, F.lit(x)) for x in sorted({x for x in f if not x.isalpha()})]
+        return reduce(lambda a, b: a & b, signs, F.char_length(v) >= len(f))
+
+    t = F.coalesce(*[F.when(fits(f), F.try_to_timestamp(v, F.lit(f))) for f in formats])
     return F.when(t.between(F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")), t)
 
 
