@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,28 @@ def check(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def samples(df: DataFrame, key: str, rules: Sequence[Rule], n: int = 10) -> DataFrame:
-    """(rule, rank, key): for each rule the n smallest keys that break it; tasks keep n rows a rule before they send them."""
-    names = F.filter(F.array(*[F.when(r.bad(), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    hit = df.select(key, F.explode(names).alias("rule"))
+    """(rule, rank, key): for each rule the n smallest keys that break it; a null key is the smallest.
+
+    A task keeps n keys a rule and sends no others; no row is copied or sorted before that.
+    """
+    names, kind = [r.name for r in rules], df.schema[key].dataType.simpleString()
+    told = df.select(F.col(key).alias("_key"), *[r.bad().alias(f"b{i}") for i, r in enumerate(rules)])
+
+    def first(keys: pa.Array) -> pa.Array:
+        return keys.take(pc.array_sort_indices(keys, null_placement="at_start")[:n]) if len(keys) > n else keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, pa.Array] = {}
+        for batch in batches:
+            keys = batch.column(0)
+            for i in range(len(names)):
+                found = keys.filter(batch.column(i + 1))
+                if len(found):
+                    kept[i] = first(pa.concat_arrays([kept[i], found]) if i in kept else found)
+        for i, found in kept.items():
+            yield pa.RecordBatch.from_arrays([found, pa.array([names[i]] * len(found), pa.string())], names=[key, "rule"])
+
+    hit = told.mapInArrow(run, f"`{key}` {kind}, rule string")
     return hit.withColumn("rank", F.row_number().over(Window.partitionBy("rule").orderBy(key))).filter(F.col("rank") <= n).select("rule", "rank", key)
 
 
