@@ -116,8 +116,9 @@ def funnel(m1: DataFrame, m2: DataFrame, m3: DataFrame, key: str) -> DataFrame:
 def gower_neighbours(df: DataFrame, key: str, numbers: Sequence[str], classes: Sequence[str], k: int = 15, queries: DataFrame | None = None, per_block: int = 2000) -> DataFrame:
     """(key, rank, other, distance): k nearest rows of df by Gower distance for every row of `queries` (of df, if not given).
 
-    The query set is taken in blocks of about per_block rows, each of which is sent to all tasks; a task compares them with
-    its own rows and gives k rows a query, so no row of df is moved. Distance: the mean over features of the difference over
+    The query set is taken in blocks of about per_block rows, each of which is sent to all tasks; rows are dealt by key to as
+    many tasks as run at once. A task compares a block with a batch of its rows as one matrix, of which only what is no
+    farther than a query's k-th distance so far is looked at, and gives k rows a query. Distance: the mean over features of the difference over
     the range, and of 0 or 1 for classes, where two nulls are equal; a null number counts as a whole range. Equal distances
     go by key.
     """
@@ -127,7 +128,7 @@ def gower_neighbours(df: DataFrame, key: str, numbers: Sequence[str], classes: S
     asked = (queries if queries is not None else df).select(*names)
     n_blocks = max(1, -(-asked.count() // per_block))
     kind = df.schema[key].dataType.simpleString()
-    slim = df.select(*names)
+    slim = df.select(*names).repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
     def values(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
         return pdf[list(numbers)].to_numpy(float) / span if numbers else np.zeros((len(pdf), 0)), [pdf[c].astype(object).where(pdf[c].notna(), None).to_numpy() for c in classes]
@@ -135,20 +136,46 @@ def gower_neighbours(df: DataFrame, key: str, numbers: Sequence[str], classes: S
     def nearest(block: list[tuple]):
         q = pd.DataFrame(block, columns=names)
         qx, qc = values(q)
+        ids = q[key].to_numpy()
+        places = [{u: i for i, u in enumerate(dict.fromkeys(c))} for c in qc]
+        asked_codes = [np.array([place[u] for u in c], np.int64) for c, place in zip(qc, places, strict=True)]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: list[pd.DataFrame] = [pd.DataFrame({"other": [], "distance": []})] * len(q)
+            best = [(np.zeros(0, ids.dtype), np.zeros(0))] * len(q)
+            most = np.full(len(q), np.inf)  # the k-th distance so far
             for pdf in batches:
                 x, c = values(pdf)
-                for i in range(len(q)):
-                    d = np.where(np.isnan(gap := np.abs(x - qx[i])), 1.0, gap).sum(axis=1)
-                    for a, b in zip(c, qc, strict=True):
-                        d = d + np.array([u != b[i] for u in a], float)
-                    some = pd.DataFrame({"other": pdf[key], "distance": d / (len(numbers) + len(classes))})[(pdf[key] != q[key].iloc[i]).to_numpy()]
-                    best[i] = pd.concat([best[i], some]).sort_values(["distance", "other"]).head(k) if len(best[i]) else some.sort_values(["distance", "other"]).head(k)
-            for i, found in enumerate(best):
-                if len(found):
-                    yield pd.DataFrame({key: q[key].iloc[i], "other": found["other"], "distance": found["distance"]})
+                others = pdf[key].to_numpy()
+                codes = [np.array([place.get(u, -1) for u in some], np.int64) for some, place in zip(c, places, strict=True)]
+                step = max(1, (1 << 21) // max(1, len(pdf)))
+                for a in range(0, len(q), step):
+                    z = min(len(q), a + step)
+                    d = np.zeros((z - a, len(pdf)))
+                    for j in range(len(numbers)):
+                        gap = np.abs(x[:, j] - qx[a:z, j, None])
+                        d += np.where(np.isnan(gap), 1.0, gap)
+                    for there, here in zip(codes, asked_codes, strict=True):
+                        d += there != here[a:z, None]
+                    d /= len(numbers) + len(classes)
+                    for m in np.flatnonzero(np.isin(others, ids[a:z])):
+                        d[ids[a:z] == others[m], m] = np.inf
+                    bound = most[a:z]
+                    if len(pdf) > k and np.isinf(bound).any():
+                        bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1])
+                    rows, cols = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
+                    edges = np.flatnonzero(np.diff(rows)) + 1
+                    for some in np.split(np.arange(len(rows)), edges) if len(rows) else []:
+                        i = a + rows[some[0]]
+                        other = np.concatenate([best[i][0], others[cols[some]]])
+                        far = np.concatenate([best[i][1], d[rows[some], cols[some]]])
+                        first = np.argsort(other, kind="stable")
+                        first = first[np.argsort(far[first], kind="stable")][:k]
+                        best[i] = (other[first], far[first])
+                        if len(first) == k:
+                            most[i] = far[first[-1]]
+            sizes = [len(o) for o, _ in best]
+            if sum(sizes):
+                yield pd.DataFrame({key: np.repeat(ids, sizes), "other": np.concatenate([o for o, _ in best if len(o)]), "distance": np.concatenate([f for _, f in best])})
 
         return run
 

@@ -3,6 +3,8 @@
 import hashlib
 from collections import defaultdict
 
+import time
+
 import numpy as np
 
 from contractscope.operators import forensics, panel
@@ -36,3 +38,18 @@ def test_gower_neighbours_of_a_query_set(spark):
             want = sorted((d(r), r[0]) for r in rows if r[0] != i)[:5]
             assert [o for _, o, _ in sorted(found)] == [o for _, o in want] and np.allclose([x for _, _, x in sorted(found)], [x for x, _ in want])
     assert forensics.gower_neighbours(df.limit(0), "id", ["a", "b"], ["c"]).count() == 0
+
+
+def test_gower_neighbours_look_at_blocks_not_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.integers(0, 400)), "abc"[i % 3]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, a double, c string")
+    began = time.perf_counter()
+    got = forensics.gower_neighbours(df, "id", ["a"], ["c"], 5, per_block=1000).collect()
+    assert time.perf_counter() - began < 30 and len(got) == 15000
+    span = max(r[1] for r in rows) - min(r[1] for r in rows)
+    a, c = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    for i in (0, 17, 2999):
+        d = (np.abs(a / span - a[i] / span) + (c != c[i])) / 2
+        want = [j for j in np.lexsort((np.arange(3000), d)) if j != i][:5]
+        assert [r.other for r in sorted((r for r in got if r.id == i), key=lambda r: r["rank"])] == want
