@@ -171,7 +171,7 @@ class Codec:
 
     _kept: dict[str, Codec] = {}
 
-    def __init__(self, path: str, most: int = 1_000_000, longest: int = 40):
+    def __init__(self, path: str, most: int = 250_000, longest: int = 40):
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         model, cut = said["model"], said["pre_tokenizer"] or {}
@@ -279,13 +279,31 @@ def _with_column(docs: DataFrame, source: str, name: str, kind: str, run) -> Dat
     return slim.mapInArrow(lean(each), f"{fields}{', ' if fields else ''}`{name}` {kind}")
 
 
+def encode_and_decode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs with both columns in the place of the text, as encode and then decode give them.
+
+    One pass, so that a task has one worker with one set of word tables, where two passes would hold two at once.
+    """
+    keep = [c for c in docs.columns if c not in (text, ids, decoded)]
+    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_source"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema.fields[:-1])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.of(tokenizer)
+        for batch in gathered(batches, len(keep), 1 << 22):
+            made = codec.encode(batch.column(len(keep)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made, codec.decode(made).cast(pa.string())], names=[*keep, ids, decoded])
+
+    return slim.mapInArrow(lean(each), f"{fields}`{ids}` array<int>, `{decoded}` string")
+
+
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", name: str = "ids") -> DataFrame:
     """docs with the column `ids`: the tokenizer's ids of each whole text, without special tokens around it.
 
     A null or empty text has no ids. Special tokens of the file are found inside texts, as the library does. Rows are
     kept as they are, repeated ones too; an empty table gives an empty result; an input column of the new one's name is
     replaced. Narrow: no shuffle. A worker holds one batch of about 8 MB of text (or one text, if longer) and tables of
-    at most a million words; a word of any length is merged in n log n steps.
+    at most 250 000 words; a word of any length is merged in n log n steps.
     """
     return _with_column(docs, text, name, "array<int>", lambda texts: Codec.of(tokenizer).encode(texts))
 

@@ -92,7 +92,7 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and what they decode to, as digests."""
     small_batches(spark, 512)
     path = tokenizer_file("word_bpe_49k.json")
-    made = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    made = bpe.encode_and_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

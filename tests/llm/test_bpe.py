@@ -80,3 +80,12 @@ def test_query_equals_the_library_on_the_whole_table(spark, library):
         ids = library.encode(d.text, add_special_tokens=False).ids
         r = got[d.doc_id]
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
+def test_query_has_one_python_pass(spark):
+    made = queries.op11_bpe(spark, "/root/testdata/sf0.001")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    df = spark.createDataFrame([(1, "Hello <|endoftext|> W\u00f6rld 12"), (2, None), (3, "")], "k int, text string")
+    two = bpe.decode(bpe.encode(df, PATH), PATH).select("k", "ids", "decoded").orderBy("k").collect()
+    assert bpe.encode_and_decode(df, PATH).orderBy("k").collect() == two
+    assert bpe.encode_and_decode(df.limit(0), PATH).count() == 0
