@@ -147,3 +147,70 @@ def test_explanations_of_rows(spark):
     assert [(b.feature, b["rank"], b.contribution) for b in best] == [(names[k], 1, seven[k])]
     assert shap.explain(df.limit(0), "id", names, models, "fold").count() == 0
     told.unpersist()
+
+
+def spread(n):
+    """Rows in few cells, with missing values, and labels of all kinds."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(n, 3)))
+    x[rng.random((n, 3)) < 0.1] = np.nan
+    y = (rng.random(n) < 1 / (1 + np.exp(-np.nan_to_num(x[:, 0] + x[:, 1])))).astype(float)
+    y[rng.random(n) < 0.3] = np.nan
+    return x, y
+
+
+@pytest.mark.parametrize("kind", ["nnpu", "bag"])
+def test_rounds_do_not_pass_over_rows(kind, monkeypatch):
+    """Rows of one label that share all bins go through the rounds as one, however many there are."""
+    seen = []
+    grow_binned = boost.grow_binned
+    monkeypatch.setattr(boost, "grow_binned", lambda rows, g, h, **o: seen.append(len(g)) or grow_binned(rows, g, h, **o))
+    made = []
+    for times in (1, 6):
+        x, y = spread(3000)
+        made.append(boost.fit_one(kind, np.tile(x, (times, 1)), np.tile(y, times), 0.5, 0.5, 3, rounds=8, hold=0.0, least=20 * times, l2=0.5 * times))
+    assert len(set(seen)) == 1 and seen[0] < 1500
+    x, _ = spread(500)
+    assert np.abs(made[0].raw(x) - made[1].raw(x)).max() < (1e-9 if kind == "bag" else 0.1)
+
+
+def test_cells_give_the_trees_of_their_rows(monkeypatch):
+    x, y = spread(4000)
+    cells = boost.fit_one("nnpu", x, y, 0.5, 0.5, 3, rounds=30, rate=0.1)
+    monkeypatch.setattr(boost.Binned, "gather", lambda self, kind: np.arange(len(kind)))
+    rows = boost.fit_one("nnpu", x, y, 0.5, 0.5, 3, rounds=30, rate=0.1)
+    assert len(cells.trees) == len(rows.trees) and np.abs(cells.raw(x) - rows.raw(x)).max() < 1e-9
+    assert [[t[6] for t in tree] for tree in cells.trees] == [[t[6] for t in tree] for tree in rows.trees]
+
+
+def test_cells_rank_as_their_rows():
+    rng = np.random.default_rng(6)
+    score, positive = rng.integers(0, 9, 300) / 8.0, rng.random(300) < 0.4
+    values, cell = np.unique(score, return_inverse=True)
+    score_of = np.concatenate([values, values[:1]])  # two cells may share a score
+    p, n = np.bincount(cell, positive, 10), np.bincount(cell, minlength=10)
+    p[9], n[9] = 1, 2
+    whole = boost.auc(np.append(score, [values[0]] * 2), np.append(positive, [True, False]))
+    assert boost.auc_of_cells(score_of, p, n) == whole
+
+
+def test_a_table_of_cells_scores_as_the_trees_do():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 3))
+    x[rng.random((3000, 3)) < 0.1] = np.nan
+    x[:5, 0] = -np.inf
+    y = np.where(rng.random(3000) < 0.5, (x[:, 0] > 0).astype(float), np.nan)
+    model = boost.fit_one("nnpu", x, y, 0.5, 0.5, 3, rounds=40, rate=0.1)
+    read = boost.reader(model.text())
+    other = np.vstack([rng.normal(size=(500, 3)) * 3, x[:50], [[t[1]] * 3 for t in model.trees[0] if t[0] >= 0]])
+    assert isinstance(read, boost.Grid) and read.raw(other).tobytes() == model.raw(other).tobytes()
+    assert boost.reader(boost.Trees(0.25).text()).raw(other).tolist() == [0.25] * len(other)
+
+
+def test_models_that_a_table_does_not_fit(monkeypatch):
+    x, y = spread(500)
+    model = boost.fit_one("nnpu", x, y, 0.5, 0.5, 3, rounds=5)
+    right = boost.Trees(0.0, [[(0, 0.0, 1, 2, 0, 0.0, 2), (-1, 0.0, -1, -1, 0, 1.0, 1), (-1, 0.0, -1, -1, 0, 2.0, 1)]])
+    assert isinstance(boost.reader(right.text()), boost.Trees) and boost.reader(right.text()).raw(np.array([[np.nan], [-1.0]])).tolist() == [2.0, 1.0]
+    monkeypatch.setattr(boost, "MOST_CELLS", 10)
+    assert boost.Grid.of(model) is None
