@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contractscope.operators.boost import Trees, drawn_share, fit_one
+from contractscope.operators.boost import Trees, drawn_share, fit_one, reader
 from contractscope.operators.panel import risk_band
 
 #: Least and largest number of unlabelled rows of a fit.
@@ -98,15 +98,12 @@ def fit_signatures(signatures: DataFrame, reference: Mapping[int, DataFrame], re
     return asked.join(sample, "stage").groupBy("signature", "bag").applyInPandas(fit, "stage int, signature string, bag int, model string")
 
 
-def _scorer(models: dict[tuple[int, str], dict[int, str]], names: list[str]):
-    """(stage, signature, bag, x) -> scores, with each model read once a task."""
-    ready: dict[tuple[str, int], tuple[Trees, list[int]]] = {}
+def _scorer(models: dict[tuple[int, str], dict[int, str]]):
+    """(stage, signature, bag, x) -> scores, with each model read once a worker."""
 
     def score(stage: int, signature: str, bag: int, x: np.ndarray) -> np.ndarray:
-        if (signature, bag) not in ready:
-            ready[signature, bag] = Trees.of(models[stage, signature][bag]), [i for i, b in enumerate(signature) if b == "1"]
-        trees, at = ready[signature, bag]
-        return 1 / (1 + np.exp(-np.clip(trees.raw(x[:, at]), -40, 40)))
+        at = [i for i, b in enumerate(signature) if b == "1"]
+        return 1 / (1 + np.exp(-np.clip(reader(models[stage, signature][bag]).raw(x[:, at]), -40, 40)))
 
     return score
 
@@ -138,7 +135,7 @@ def score_uploads(uploads: DataFrame, key: str, reference: Mapping[int, DataFram
     bags = list(range(boot + 1))
 
     def targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = _scorer(models.value, names)
+        score = _scorer(models.value)
         for pdf in batches:
             for (stage, signature), some in pdf.groupby(["stage", "signature"]):
                 x = some[names].to_numpy(float)
@@ -161,7 +158,7 @@ def score_uploads(uploads: DataFrame, key: str, reference: Mapping[int, DataFram
             ref = table.select(*encoded(table, here, codes), *[F.lit(None).cast("double").alias(c) for c in names if c not in here]).select(*names)
 
             def place(batches: Iterator[pd.DataFrame], stage: int = stage, sent=sent) -> Iterator[pd.DataFrame]:
-                score = _scorer(models.value, names)
+                score = _scorer(models.value)
                 counts = [np.zeros(len(e) + 1, np.int64) for _, _, e in sent.value[stage]]
                 for pdf in batches:
                     x = pdf[names].to_numpy(float)

@@ -59,3 +59,14 @@ def test_blocks_and_resampled_ranks(spark):
     assert all(r.rank_low <= r.rank_high for r in one.values())
     assert scoring.score_uploads(uploads.limit(0), "n", tables_, REGISTRY, ["kind"], prior=0.5, **OPTIONS).count() == 0
     assert scoring.score_uploads(uploads.withColumn("b", F.lit(None).cast("double")), "n", tables_, REGISTRY, ["kind"], prior=0.5, **OPTIONS).select("stage").distinct().collect()[0][0] == 1
+
+
+def test_rows_are_not_scored_tree_by_tree(monkeypatch):
+    """A reference row's score is looked up, so its cost does not grow with the rounds of a model."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    model = boost.fit_one("nnpu", x[:, :2], np.where(rng.random(400) < 0.5, (x[:, 0] > 0).astype(float), np.nan), 1.0, 0.5, 3, rounds=20)
+    want = 1 / (1 + np.exp(-model.raw(x[:, :2])))
+    monkeypatch.setattr(boost, "tree_values", None)
+    score = scoring._scorer({(1, "110"): {0: model.text()}})
+    assert score(1, "110", 0, x).tolist() == want.tolist()
