@@ -3,11 +3,13 @@
 A leaf adds value * product over the features on its path of (does the row go this way, or else the share of training
 rows that do). Its Shapley value for one feature is an integral from 0 to 1 of the product over the other features of
 z (1 - t) + o t, where o is 0 or 1 and z the share; the integrand is a polynomial of a degree below the number of
-features, so a Gauss-Legendre rule with half as many points is exact. Rows are explained side by side.
+features, so a Gauss-Legendre rule with half as many points is exact. Rows are explained side by side, or, where the
+model's edges make few cells, looked up in a table of all cells.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -16,7 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contractscope.operators.boost import Trees
+from contractscope.operators.boost import Grid, Trees, codes_of
+
+#: Most features of a model that is explained by a table; a leaf has a box for each subset of those on its path.
+MOST_FEATURES = 6
 
 
 @lru_cache(maxsize=64)
@@ -75,6 +80,74 @@ def contributions(model: Trees, x: np.ndarray) -> tuple[np.ndarray, float]:
     return out, base
 
 
+class Table:
+    """Contributions of a sum of trees for every cell of its edges.
+
+    A leaf's contribution is a sum over subsets of the features on its path, each a number times whether the row goes the
+    leaf's way for all features of the subset; that is a box of cells, to which the number is added.
+    """
+
+    def __init__(self, model: Trees, grid: Grid):
+        self.grid, self.base = grid, model.start
+        sizes = [len(e) + 2 for e in grid.edges]
+        sums: dict[tuple[int, ...], np.ndarray] = {}
+        for tree in model.trees:
+            for value, path in leaves(tree):
+                self.base += self._leaf(value, path, sizes, sums)
+        self.table = np.zeros((len(sizes), *sizes))
+        for some in sums.values():
+            self.table += some
+
+    def _leaf(self, value: float, path: list[tuple], sizes: list[int], sums: dict[tuple[int, ...], np.ndarray]) -> float:
+        share: dict[int, float] = {}
+        box: dict[int, tuple[int, int]] = {}
+        for f, edge, left, _, z in path:
+            cut = int(np.searchsorted(self.grid.edges[f], edge)) + 2
+            low, high = box.get(f, (0, sizes[f]))
+            share[f], box[f] = share.get(f, 1.0) * z, (low, min(high, cut)) if left > 0 else (max(low, cut), high)
+        names = sorted(share)
+        t, w = _rule(len(names))
+
+        def add(inside: tuple[int, ...], i: int, number: float) -> None:
+            if inside not in sums:
+                sums[inside] = np.zeros((len(sizes), *[n if f in inside else 1 for f, n in enumerate(sizes)]))
+            sums[inside][(i, *[slice(*box[f]) if f in inside else slice(None) for f in range(len(sizes))])] += number
+
+        for i in names:
+            others = [f for f in names if f != i]
+            for k in range(len(others) + 1):
+                for inside in itertools.combinations(others, k):
+                    number = value * float(np.prod([t if f in inside else share[f] * (1 - t) for f in others], axis=0) @ w if others else w.sum())
+                    add(tuple(sorted((*inside, i))), i, number)
+                    add(inside, i, -share[i] * number)
+        return value * float(np.prod([share[f] for f in names]))
+
+    def contributions(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        out = np.zeros(x.shape)
+        used = len(self.grid.edges)
+        if used:
+            out[:, :used] = self.table[(slice(None), *codes_of(x[:, :used], self.grid.edges))].T
+        return out, self.base
+
+
+class Rows:
+    """Contributions row by row, for models with too many cells."""
+
+    def __init__(self, model: Trees):
+        self.model = model
+
+    def contributions(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        return contributions(self.model, x)
+
+
+@lru_cache(maxsize=16)
+def explainer(text: str) -> tuple[Table | Rows, Grid | Trees]:
+    """What explains and what scores rows by a model, made once in a worker for all its tasks."""
+    model = Trees.of(text)
+    grid = Grid.of(model)
+    return (Table(model, grid), grid) if grid and len(grid.edges) <= MOST_FEATURES else (Rows(model), grid or model)
+
+
 def explain(df: DataFrame, key: str, features: Sequence[str], models: DataFrame, fold: str | None = None) -> DataFrame:
     """(key, gamma, base, raw, contributions array<double> in the order of features) for every row, the mean over bags.
 
@@ -91,14 +164,14 @@ def explain(df: DataFrame, key: str, features: Sequence[str], models: DataFrame,
     rows = df.select(F.col(key).alias("_key"), part.alias("_fold"), *[F.col(c).cast("double").alias(c) for c in names]).filter("_fold IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = {k: {g: [Trees.of(t) for t in ts] for g, ts in by.items()} for k, by in shared.value.items()}
         for pdf in batches:
             for k, some in pdf.groupby("_fold"):
                 x = some[names].to_numpy(float)
-                for gamma, trees in ready.get(k, {}).items():
-                    each = [contributions(t, x) for t in trees]
+                for gamma, texts in shared.value.get(k, {}).items():
+                    made_of = [explainer(t) for t in texts]
+                    each = [m.contributions(x) for m, _ in made_of]
                     made, base = np.mean([c for c, _ in each], axis=0), float(np.mean([b for _, b in each]))
-                    yield pd.DataFrame({key: some["_key"], "gamma": gamma, "base": base, "raw": np.mean([t.raw(x) for t in trees], axis=0), "contributions": list(made)})
+                    yield pd.DataFrame({key: some["_key"], "gamma": gamma, "base": base, "raw": np.mean([t.raw(x) for _, t in made_of], axis=0), "contributions": list(made)})
 
     return rows.mapInPandas(run, f"`{key}` {kind}, gamma double, base double, raw double, contributions array<double>")
 

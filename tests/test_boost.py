@@ -214,3 +214,14 @@ def test_models_that_a_table_does_not_fit(monkeypatch):
     assert isinstance(boost.reader(right.text()), boost.Trees) and boost.reader(right.text()).raw(np.array([[np.nan], [-1.0]])).tolist() == [2.0, 1.0]
     monkeypatch.setattr(boost, "MOST_CELLS", 10)
     assert boost.Grid.of(model) is None
+
+
+def test_a_table_explains_as_the_rows_do(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(800, 4))
+    x[rng.random((800, 4)) < 0.1] = np.nan
+    y = np.where(rng.random(800) < 0.5, (x[:, 0] * np.nan_to_num(x[:, 2]) > 0).astype(float), np.nan)
+    model = boost.fit_one("nnpu", x, y, 0.5, 0.5, 3, rounds=12, rate=0.1, bins=16)
+    table, _ = shap.explainer(model.text())
+    (made, base), (want, start) = table.contributions(x), shap.contributions(model, x)
+    assert isinstance(table, shap.Table) and np.abs(made - want).max() < 1e-12 and abs(base - start) < 1e-12
