@@ -121,3 +121,42 @@ def test_labelled_logit_is_where_the_gradient_is_zero(spark):
     w = pu.labelled_logit(spark.createDataFrame([(int(b), float(a)) for a, b in zip(x, y, strict=True)] + [(None, 99.0)], "label int, x double"), ["x"])
     z = np.column_stack([x, np.ones(300)])
     assert np.abs(z.T @ (1 / (1 + np.exp(-z @ w)) - y) / 300 + np.array([1e-3, 1e-9]) * w).max() < 1e-7
+
+
+def _ridge_logit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 25) -> np.ndarray:
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + l2 * np.eye(len(w))
+        w = w - np.linalg.solve(h, x.T @ (weight * (p - y)) + l2 * w)
+    return w
+
+
+def test_bags_are_fitted_side_by_side_and_rows_are_not_copied(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [1, 0, None, None][i % 4], float(rng.normal()), None if i % 9 == 0 else float(rng.normal())) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, label int, a double, b double").repartition(3)
+    seen = []
+    summed = pu.summed
+    monkeypatch.setattr(pu, "summed", lambda part, of, size: seen.append(part) or summed(part, of, size))
+    got = {r.bag: np.array(r.w) for r in pu.bagged_weights(df, "id", ["a", "b"], bags=4, unlabelled=60, gamma=0.5).collect()}
+    dealt = seen[0].collect()
+    assert sum(r.label is not None for r in dealt) == 200 and sorted(got) == [0, 1, 2, 3]
+    for bag, w in got.items():
+        mine = [r for r in dealt if r.bag in (-1, bag)]
+        x = np.nan_to_num(np.array([[r.a, r.b] for r in mine], float))
+        label = np.array([r.label for r in mine], float)
+        assert 200 < len(mine) < 300
+        assert np.abs(w - _ridge_logit(x, (label == 1).astype(float), np.where(label == 0, 0.5, 1.0))).max() < 1e-8
+
+
+def test_bags_score_in_tasks(spark):
+    """A model of 150 bags is no expression of 150 terms a row."""
+    df = spark.createDataFrame([(1, 0.5, None), (2, -1.0, 2.0)], "id long, a double, b double")
+    ws = np.random.default_rng(5).normal(size=(150, 3))
+    made = pu.bagged_score(df, ["a", "b"], spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(ws)], "bag int, w array<double>"))
+    assert made._jdf.queryExecution().analyzed().toString().upper().count("EXP(") == 0
+    got = {r.id: r.score for r in made.collect()}
+    for i, x in ((1, [0.5, 0, 1]), (2, [-1, 2, 1])):
+        assert abs(got[i] - np.mean(1 / (1 + np.exp(-ws @ np.array(x, float))))) < 1e-12
