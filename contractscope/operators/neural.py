@@ -91,11 +91,15 @@ class Net:
 def risk_parts(net: Net, label: np.ndarray, x: np.ndarray, keep: Sequence[np.ndarray] | None = None) -> np.ndarray:
     """Numbers of positive, negative and unlabelled rows, their sums of l-, and the gradients of the sums of l+ over positives
     and of l- over positives, negatives and unlabelled rows."""
-    s, inputs = net.forward(x, keep)
-    q, minus = 1 / (1 + np.exp(-np.clip(s, -500, 500))), np.logaddexp(0, s)
-    kinds = [label == 1, label == 0, np.isnan(label)]
-    grads = [net.backward(inputs, np.where(kinds[0], q - 1, 0), keep), *[net.backward(inputs, np.where(k, q, 0), keep) for k in kinds]]
-    return np.concatenate([[k.sum() for k in kinds], [minus[k].sum() for k in kinds], *grads])
+    numbers, losses, grads = [], [], []
+    for kind, both in ((label == 1, True), (label == 0, False), (np.isnan(label), False)):  # each row goes back for its own kind alone
+        s, inputs = net.forward(x[kind], keep)
+        q = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
+        numbers.append(kind.sum())
+        losses.append(np.logaddexp(0, s).sum())
+        grads += [net.backward(inputs, q - 1, keep)] if both else []
+        grads.append(net.backward(inputs, q, keep))
+    return np.concatenate([numbers, losses, *grads])
 
 
 def risk_gradient(parts: np.ndarray, prior: float, gamma: float, unlabelled: float) -> np.ndarray:

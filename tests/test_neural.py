@@ -95,3 +95,17 @@ def test_random_features_come_near_the_kernel():
     x = np.random.default_rng(0).normal(size=(40, 3))
     z = neural.mapped(x, *neural.random_map(3, 0.3, 20_000, 1))[:, :-1]
     assert np.abs(z @ z.T - np.exp(-0.3 * ((x[:, None] - x) ** 2).sum(axis=2))).max() < 0.05
+
+
+def test_a_row_goes_back_for_its_own_kind_alone(monkeypatch):
+    rng = np.random.default_rng(9)
+    x, label = rng.normal(size=(90, 3)), np.repeat([1.0, 0.0, np.nan], [10, 20, 60])
+    net, seen, backward = neural.Net.drawn([3, 5, 1], 1), [], neural.Net.backward
+    monkeypatch.setattr(neural.Net, "backward", lambda self, inputs, out, keep=None: seen.append(len(out)) or backward(self, inputs, out, keep))
+    made = neural.risk_parts(net, label, x)
+    assert sum(seen) == 10 + 90
+    s, inputs = net.forward(x)
+    q = 1 / (1 + np.exp(-s))
+    whole = [backward(net, inputs, np.where(k, v, 0)) for k, v in ((label == 1, q - 1), (label == 1, q), (label == 0, q), (np.isnan(label), q))]
+    assert made[:3].tolist() == [10, 20, 60] and np.allclose(made[6:], np.concatenate(whole))
+    assert np.allclose(made[3:6], [np.logaddexp(0, s[k]).sum() for k in (label == 1, label == 0, np.isnan(label))])
