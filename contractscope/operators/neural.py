@@ -181,7 +181,9 @@ def hinge_parts(w: np.ndarray, target: np.ndarray, weight: np.ndarray, z: np.nda
     short = np.clip(1 - margin, 0, None)
     loss = np.where(short >= band, short - band / 2, short**2 / (2 * band))
     slope, bend = np.minimum(short / band, 1), ((short > 0) & (short < band)) / band
-    return np.concatenate([[(weight * loss).sum()], z.T @ (-weight * target * slope), ((z * (weight * bend)[:, None]).T @ z).ravel()])
+    inside = np.flatnonzero(bend)
+    bent = z[inside] * np.sqrt((weight * bend)[inside])[:, None]  # a product with itself takes half the work
+    return np.concatenate([[(weight * loss).sum()], z.T @ (-weight * target * slope), (bent.T @ bent).ravel()])
 
 
 def fit_kernel(df: DataFrame, features: Sequence[str], unlabelled: float = 0.025, with_negatives: bool = True, cost: float = 1.0, width: float | None = None, size: int = 256, band: float = 0.1, steps: int = 30, seed: int = 42) -> dict:

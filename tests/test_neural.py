@@ -109,3 +109,12 @@ def test_a_row_goes_back_for_its_own_kind_alone(monkeypatch):
     whole = [backward(net, inputs, np.where(k, v, 0)) for k, v in ((label == 1, q - 1), (label == 1, q), (label == 0, q), (np.isnan(label), q))]
     assert made[:3].tolist() == [10, 20, 60] and np.allclose(made[6:], np.concatenate(whole))
     assert np.allclose(made[3:6], [np.logaddexp(0, s[k]).sum() for k in (label == 1, label == 0, np.isnan(label))])
+
+
+def test_second_derivatives_are_one_product_with_itself():
+    rng = np.random.default_rng(10)
+    z, w, target, weight = rng.normal(size=(500, 40)), rng.normal(size=40) / 4, rng.choice([-1.0, 1.0], 500), rng.random(500)
+    h = neural.hinge_parts(w, target, weight, z, 0.5)[41:].reshape(40, 40)
+    short = 1 - target * (z @ w)
+    bend = ((short > 0) & (short < 0.5)) / 0.5
+    assert (h == h.T).all() and np.allclose(h, (z * (weight * bend)[:, None]).T @ z)
