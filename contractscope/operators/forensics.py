@@ -60,11 +60,12 @@ def red_flags(df: DataFrame, group: str) -> DataFrame:
     """Add five flags and their sum cri: single bid, no open procedure, short window, urgency, low discount.
 
     "Short" and "low" compare with the group's median window and lower quartile of discounts, exact percentiles that
-    are computed once per group and joined back. Unknown values raise no flag.
+    are computed once per group and sent to every task, so that rows stay where they are: a group is a category of which
+    there are few, and a join by it would gather a category's rows in one task. Unknown values raise no flag.
     """
     stats = df.groupBy(F.col(group).alias("_g")).agg(F.percentile("finestra_offerta_giorni", F.lit(0.5)).alias("_w"), F.percentile("ribasso_aggiudicazione", F.lit(0.25)).alias("_q"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    t = df.join(stats, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+    t = df.join(F.broadcast(stats), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
     t = t.withColumns({"cri_single": flag(F.col("num_imprese_offerenti") <= 1), "cri_nonopen": flag(F.col("tipo_scelta_4cls") != "APERTA"), "cri_short": flag(F.col("finestra_offerta_giorni") < F.col("_w")), "cri_urgency": flag(F.col("flag_urgenza") == 1), "cri_low": flag(F.col("ribasso_aggiudicazione") < F.col("_q"))})
     return t.withColumn("cri", sum((F.col(c) for c in ("cri_nonopen", "cri_short", "cri_urgency", "cri_low")), F.col("cri_single"))).drop("_w", "_q")
 

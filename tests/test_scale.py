@@ -53,3 +53,11 @@ def test_gower_neighbours_look_at_blocks_not_pairs(spark):
         d = (np.abs(a / span - a[i] / span) + (c != c[i])) / 2
         want = [j for j in np.lexsort((np.arange(3000), d)) if j != i][:5]
         assert [r.other for r in sorted((r for r in got if r.id == i), key=lambda r: r["rank"])] == want
+
+
+def test_red_flags_do_not_gather_a_category(spark):
+    rows = [(i, "ab"[i % 2], i % 5, float(i % 30), float(i % 40), 0, "APERTA") for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, g string, num_imprese_offerenti int, finestra_offerta_giorni double, ribasso_aggiudicazione double, flag_urgenza int, tipo_scelta_4cls string")
+    made = forensics.red_flags(df, "g")
+    assert "strategy=broadcast" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count() == 200
