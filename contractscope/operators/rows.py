@@ -22,14 +22,24 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], moment: str, *ties: Column)
     return pick_one(df, keys, F.col(moment).desc_nulls_last(), *ties)
 
 
-def pick_award(df: DataFrame, targets: DataFrame | None = None, *ties: Column) -> DataFrame:
+#: Fixed value: about so many rows of awards are sorted by one task.
+ROWS_A_TASK = 250_000
+
+
+def pick_award(df: DataFrame, targets: DataFrame | None = None, *ties: Column, n_rows: int | None = None) -> DataFrame:
     """One award per cig: the known target award if there is one, else the earliest that is no re-award, else the earliest.
 
-    Ties go by the column `_row`, the place in the file, if there is one, then by award id.
+    Ties go by the column `_row`, the place in the file, if there is one, then by award id. With n_rows, the number of
+    awards, they are dealt to so many tasks that each sorts a bounded number, and targets are merged, not sent to every task.
     """
+    if n_rows is not None:
+        parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-n_rows // ROWS_A_TASK))
+        df = df.repartition(parts, "cig")
+        targets = targets.repartition(parts, "cig") if targets is not None else None
     tie = [F.col("_row").asc_nulls_last()] if "_row" in df.columns else []
     if targets is not None:
-        df = df.join(targets.select("cig", F.col("id_aggiudicazione").alias("_target")).distinct(), "cig", "left")
+        known = targets.select("cig", F.col("id_aggiudicazione").alias("_target")).distinct()
+        df = df.join(known.hint("merge") if n_rows is not None else known, "cig", "left")
     else:
         df = df.withColumn("_target", F.lit(None).cast("string"))
     rank = F.when(F.trim("id_aggiudicazione") == F.col("_target"), 0).when(F.coalesce(F.trim("cod_modo_riaggiudicazione"), F.lit("")).isin("", "nan"), 1).otherwise(2)

@@ -8,6 +8,7 @@ import time
 import numpy as np
 
 from contractscope.operators import forensics, panel
+from contractscope.operators import rows as row_ops
 
 
 def test_folds_go_round_each_stratum(spark):
@@ -61,3 +62,13 @@ def test_red_flags_do_not_gather_a_category(spark):
     made = forensics.red_flags(df, "g")
     assert "strategy=broadcast" in made._jdf.queryExecution().optimizedPlan().toString()
     assert made.count() == 200
+
+
+def test_award_rows_of_a_task_are_bounded(spark):
+    awards = [(str(i % 50), str(i % 3), None, f"2020-01-{1 + i % 28:02d}") for i in range(300)]
+    df = spark.createDataFrame(awards, "cig string, id_aggiudicazione string, cod_modo_riaggiudicazione string, data_aggiudicazione_definitiva string")
+    targets = df.filter("cig < '3' AND id_aggiudicazione = '2'").select("cig", "id_aggiudicazione")
+    many = row_ops.pick_award(df, targets, n_rows=100 * row_ops.ROWS_A_TASK)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "cig#" in plan and ", 100" in plan.split("RepartitionByExpression")[1].split("\n")[0] and "strategy=merge" in plan
+    assert sorted(many.collect()) == sorted(row_ops.pick_award(df, targets).collect())
