@@ -117,7 +117,9 @@ def score_uploads(uploads: DataFrame, key: str, reference: Mapping[int, DataFram
     meant, counts as unknown. A row that knows nothing is ranked by a constant. Repeated keys have a row each.
 
     Reference rows are scored where they lie; a task counts how many fall between the uploaded scores of each signature,
-    which are sent to it in blocks of at most about per_block scores, so nothing of the reference's size is shuffled.
+    which are sent to it in blocks of at most about per_block distinct scores, so nothing of the reference's size is
+    shuffled. A table of a model's cells has no more scores than cells, so passes over the reference then don't grow with
+    the uploads.
     """
     spark = uploads.sparkSession
     last = max(registry)
@@ -144,12 +146,14 @@ def score_uploads(uploads: DataFrame, key: str, reference: Mapping[int, DataFram
 
     scored = rows.mapInPandas(targets, "_row long, stage int, signature string, bag int, score double")
     scored = scored.checkpoint() if spark.sparkContext.getCheckpointDir() else scored.persist()
-    n_blocks = max(1, -(-scored.count() // per_block))
-    ranked = None
+    alike = scored.select("stage", "signature", "bag", "score").distinct()
+    alike = alike.checkpoint() if spark.sparkContext.getCheckpointDir() else alike.persist()
+    n_blocks = max(1, -(-alike.count() // per_block))
+    shares = None
     for b in range(n_blocks):
-        mine = scored.filter(F.pmod(F.xxhash64("_row"), F.lit(n_blocks)) == b) if n_blocks > 1 else scored
+        mine = alike.filter(F.pmod(F.xxhash64("signature", "bag", "score"), F.lit(n_blocks)) == b) if n_blocks > 1 else alike
         edges: dict[int, list[tuple[str, int, np.ndarray]]] = {}
-        for r in mine.groupBy("stage", "signature", "bag").agg(F.array_sort(F.collect_set("score")).alias("e")).collect():
+        for r in mine.groupBy("stage", "signature", "bag").agg(F.array_sort(F.collect_list("score")).alias("e")).collect():
             edges.setdefault(r["stage"], []).append((r["signature"], r["bag"], np.array(r["e"])))
         sent = spark.sparkContext.broadcast(edges)
         for stage in edges:
@@ -178,12 +182,12 @@ def score_uploads(uploads: DataFrame, key: str, reference: Mapping[int, DataFram
                 for at, n in got.get((signature, bag), {}).items():
                     c[at] = n
                 total = max(1, c.sum())
-                below += [(signature, bag, float(s), 100.0 * float(k) / float(total)) for s, k in zip(e, np.cumsum(c)[:-1], strict=True)]
-            shares = spark.createDataFrame(pd.DataFrame(below, columns=["signature", "bag", "score", "rank_pct"]), "signature string, bag int, score double, rank_pct double")
-            part = mine.filter(F.col("stage") == stage).join(shares, ["signature", "bag", "score"])
-            ranked = part if ranked is None else ranked.unionByName(part)
-    if ranked is None:
-        ranked = scored.withColumn("rank_pct", F.lit(None).cast("double"))
+                below += [(stage, signature, bag, float(s), 100.0 * float(k) / float(total)) for s, k in zip(e, np.cumsum(c)[:-1], strict=True)]
+            share = spark.createDataFrame(pd.DataFrame(below, columns=["stage", "signature", "bag", "score", "rank_pct"]), "stage int, signature string, bag int, score double, rank_pct double")
+            if n_blocks > 1 and spark.sparkContext.getCheckpointDir():
+                share = share.checkpoint()  # the driver keeps one block at a time
+            shares = share if shares is None else shares.unionByName(share)
+    ranked = scored.join(shares, ["stage", "signature", "bag", "score"]) if shares is not None else scored.withColumn("rank_pct", F.lit(None).cast("double"))
     point = ranked.filter("bag = 0").select("_row", "stage", "signature", "score", "rank_pct", risk_band(F.col("rank_pct")).alias("band"))
     if boot:
         limits = ranked.filter("bag > 0").groupBy("_row").agg(F.percentile("rank_pct", F.lit(0.05)).alias("rank_low"), F.percentile("rank_pct", F.lit(0.95)).alias("rank_high"))

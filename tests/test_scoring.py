@@ -70,3 +70,15 @@ def test_rows_are_not_scored_tree_by_tree(monkeypatch):
     monkeypatch.setattr(boost, "tree_values", None)
     score = scoring._scorer({(1, "110"): {0: model.text()}})
     assert score(1, "110", 0, x).tolist() == want.tolist()
+
+
+def test_copies_add_no_pass_over_the_reference(spark, monkeypatch):
+    """Blocks are filled by distinct scores, so uploads that score alike are asked for once."""
+    tables_, rows = reference(spark)
+    uploads = spark.createDataFrame([(i, rows[i % 10][2], rows[i % 10][3], None) for i in range(200)], "n long, a double, kind string, b double")
+    passes = []
+    whole = scoring.encoded
+    monkeypatch.setattr(scoring, "encoded", lambda df, *a: passes.append(df.columns) or whole(df, *a))
+    got = scoring.score_uploads(uploads, "n", tables_, REGISTRY, ["kind"], prior=0.5, per_block=40, **OPTIONS).collect()
+    assert sum(c == tables_[1].columns for c in passes) == 2  # for the fits and for one block
+    assert len(got) == 200 and len({(r.n % 10, r.rank_pct) for r in got}) == 10
