@@ -1,5 +1,7 @@
 """Registered queries that SQL cannot express, against NumPy on the same tables."""
 
+import unicodedata
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -64,3 +66,22 @@ def test_supervised_scores_are_where_the_penalised_loss_is_flat(spark):
     weight, target = np.where(x["label"].isna(), 0.025, 1.0), (x["label"] == 1).to_numpy(float)
     assert abs((weight * (p - target)).sum() / weight.sum()) < 1e-4  # the intercept is free
     assert np.linalg.matrix_rank(np.column_stack([np.log(p / (1 - p)), x[own.FEATURES].to_numpy(float), np.ones(len(x))]), tol=1e-6) <= 4
+
+
+def test_features_join_numbers_not_texts(spark):
+    """Features are made before labels are joined, so a join that shuffles takes no text along."""
+    x = own._features(spark, SF)
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    (join,) = [n for n in nodes(x._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join"]
+    assert "text" not in [join.output().apply(i).name() for i in range(join.output().size())]
+    got = {r.doc_id: r for r in x.collect()}
+    for r in own.t(spark, SF, "documents").collect():
+        n = len(r.text)
+        odd = sum(not (unicodedata.category(c)[0] == "L" or c in " \t\n\x0b\f\r") for c in r.text)
+        upper = sum("A" <= c <= "Z" for c in r.text)
+        assert np.allclose([got[r.doc_id][c] for c in own.FEATURES], [np.log1p(n) / 10, odd / (n + 1), upper / (n + 1)], rtol=1e-12)
